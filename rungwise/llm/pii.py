@@ -209,11 +209,11 @@ KINDS: tuple[tuple[str, str, re.Pattern, Callable], ...] = (
     ("access_key", "A", re.compile(r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"), _access_key),
     ("email", "@", re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,63})@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), _email),
     ("iban", DIGITS, re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), _iban),
-    ("card", DIGITS, re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])"), _card),
+    ("card", DIGITS, re.compile(r"(?<![\w.+-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}(?P<gap6>[ -])\d{6}(?P=gap6)\d{5})(?![\w-])"), _card),
     ("date", DIGITS, re.compile(r"(?<![\w./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d)"), _date),
     ("ssn", DIGITS, re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), _ssn),
     ("ip", DIGITS, re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"), _ip),
-    ("phone", DIGITS, re.compile(r"(?<![\w+.-])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])"), _phone),
+    ("phone", DIGITS, re.compile(r"(?<![\w+.-])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+(?!1[ .(-])\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])"), _phone),
 )
 _ANY_DIGIT = re.compile("[0-9]")
 
@@ -225,12 +225,10 @@ def replacements(p: Permuter, text: str) -> list[tuple[int, int, str, str]]:
     for kind, needs, form, replace in KINDS:
         if not (digit if needs is DIGITS else any(c in text for c in needs)):
             continue
-        for m in form.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b, _, _ in found):
-                continue
-            new = replace(p, m)
-            if new is not None:
-                found.append((m.start(), m.end(), kind, new))
+        new = [(m.start(), m.end(), kind, to) for m in form.finditer(text) if (to := replace(p, m)) is not None]
+        for a, b, _, _ in new:  # what is taken is hidden from the kinds that follow
+            text = text[:a] + "\0" * (b - a) + text[b:]
+        found += new
     return sorted(found)
 
 
