@@ -8,11 +8,12 @@ its first point, and a process ends once its time passes the text's slowest slot
 about SLOTS * ln(SLOTS) points whatever its length, and two texts agree in a slot with probability
 equal to their weighted Jaccard similarity.
 
-Equal texts are one class from the start.  Classes that share a band are compared with the band's
-first class, by exact multiset overlap; components of these links are found; and then, in bands that
-still hold several components, every member outside the largest one is compared with all members of
-other components.  So every pair that shares a band is either compared or already in one component,
-without all pairs of a group.
+Equal texts are one class from the start.  Classes that share a band are compared with LEADERS of its
+classes, by exact multiset overlap, and components of these links are found.  Bands that still hold
+several components have a second round: members outside a band's largest component are compared with
+leaders drawn from that one.  In bands that hold several components even then, every member outside
+the largest one is compared with all members of other components.  So every pair that shares a band
+is either compared or already in one component, without all pairs of a group.
 
 Words are lower-cased and split at white space.  Defined results: texts with one to four words are one
 shingle; null, empty and wordless texts match nothing, not even each other; rows with equal doc_id and
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rungwise.llm.common import materialise, table
@@ -39,6 +40,8 @@ SIMILARITY = 0.8
 SLOTS = 125
 #: Rows of a band: pairs at the similarity share one of 25 bands with probability 1 - 5e-5.
 BAND = 5
+#: Members of a band that the others are compared with in the first round, and in the second.
+LEADERS, MORE_LEADERS = 3, 12
 CACHE_WORDS = 200_000
 
 _U = np.uint64
@@ -182,25 +185,48 @@ def _pair(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _leaders(members: DataFrame, seed: str, n: int) -> DataFrame:
+    """band and leader: n members of each band, by a hash. Spark cuts to n before it shuffles."""
+    by_hash = Window.partitionBy("band").orderBy(F.xxhash64(F.lit(seed), "band", "cid"))
+    return members.select("band", "cid").withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= n).select("band", F.col("cid").alias("leader"))
+
+
+def _open_bands(members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members outside, members inside the largest component of their band) where a band has several."""
+    placed = members.join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    sizes = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("several")).filter("several > 1").select("band", "main")
+    rows = materialise(placed.join(largest, "band"), "open-bands")
+    columns = ["band", "cid", "component"]
+    return rows.filter("component <> main").select(*columns), rows.filter("component = main").select(*columns)
+
+
 def grouped_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """h0, h1, least_id of each class and component_id, the least doc_id of its component."""
     classes = classes_of(docs)
     rows = classes.select("cid", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.min("cid").alias("first"), F.max("cid").alias("last")).filter("first <> last").select("band", "first")
-    members = materialise(rows.join(shared, "band"), "bands")
+    shared = rows.groupBy("band").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).filter("x <> y").select("band")
+    members = materialise(rows.join(shared, "band", "left_semi"), "bands")
     texts = _texts(docs, classes, members)
-    stars = materialise(members.filter("cid <> first").select(*_pair("cid", "first")).distinct(), "pairs")
-    links = materialise(_verified(stars, texts, similarity), "links")
-    found = components(links)
 
-    placed = members.select("band", "cid").join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    sizes = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("several")).filter("several > 1").select("band", "main")
-    open_bands = materialise(placed.join(largest, "band"), "open-bands")
-    minor = open_bands.filter("component <> main").select("band", F.col("cid").alias("x"), F.col("component").alias("cx"))
-    every = open_bands.select("band", F.col("cid").alias("y"), F.col("component").alias("cy"))
-    across = minor.join(every, "band").filter("cx <> cy").select(*_pair("x", "y")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = _verified(across, texts, similarity)
+    leaders = _leaders(members, "first", LEADERS)
+    compared = materialise(members.join(leaders, "band").filter("cid <> leader").select(*_pair("cid", "leader")).distinct(), "pairs")
+    links = materialise(_verified(compared, texts, similarity), "links")
+
+    left, main = _open_bands(members, components(links))
+    pairs = left.join(_leaders(main, "second", MORE_LEADERS), "band").select(*_pair("cid", "leader")).distinct()
+    again = materialise(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
+    compared = compared.unionByName(again)
+    links = materialise(links.unionByName(_verified(again, texts, similarity)), "links")
+
+    left, main = _open_bands(members, components(links))
+    # A pair is emitted by the first band that it shares.
+    bands = classes.select("cid", "bands")
+    x = left.join(bands, "cid").select("band", F.col("cid").alias("x"), F.col("component").alias("cx"), F.col("bands").alias("bx"))
+    every = left.unionByName(main).join(bands, "cid").select(F.col("band").alias("of"), F.col("cid").alias("y"), F.col("component").alias("cy"), F.col("bands").alias("by"))
+    first = F.element_at(F.array_intersect("bx", "by"), 1)
+    across = x.join(every, (F.col("band") == F.col("of")) & (F.col("cx") != F.col("cy")) & (first == F.col("band"))).select(*_pair("x", "y")).distinct()
+    more = _verified(across.join(compared, ["a", "b"], "left_anti"), texts, similarity)
     every_link = materialise(links.unionByName(more), "all-links")
 
     whole = classes.drop("bands").join(components(every_link).withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
