@@ -9,11 +9,11 @@ about SLOTS * ln(SLOTS) points whatever its length, and two texts agree in a slo
 equal to their weighted Jaccard similarity.
 
 Equal texts are one class from the start.  Classes that share a band are compared with LEADERS of its
-classes, by exact multiset overlap, and components of these links are found.  Bands that still hold
-several components have a second round: members outside a band's largest component are compared with
-leaders drawn from that one.  In bands that hold several components even then, every member outside
-the largest one is compared with all members of other components.  So every pair that shares a band
-is either compared or already in one component, without all pairs of a group.
+classes, by exact multiset overlap, and components of these links are found.  In bands that still hold
+several components, every member outside the largest one is compared with all members of other
+components, in blocks: a row holds BLOCK members of either side, and one matrix product over the
+shingles of the block counts all overlaps.  So every pair that shares a band is either compared or
+already in one component, and pairs never become rows unless they are links.
 
 Words are lower-cased and split at white space.  Defined results: texts with one to four words are one
 shingle; null, empty and wordless texts match nothing, not even each other; rows with equal doc_id and
@@ -40,8 +40,10 @@ SIMILARITY = 0.8
 SLOTS = 125
 #: Rows of a band: pairs at the similarity share one of 25 bands with probability 1 - 5e-5.
 BAND = 5
-#: Members of a band that the others are compared with in the first round, and in the second.
-LEADERS, MORE_LEADERS = 3, 12
+#: Members of a band that the others are compared with first.
+LEADERS = 3
+#: Members of a band in a block, about; a block of long texts is split further by BLOCK_CHARS.
+BLOCK, BLOCK_CHARS = 128, 1 << 20
 CACHE_WORDS = 200_000
 
 _U = np.uint64
@@ -191,14 +193,80 @@ def _leaders(members: DataFrame, seed: str, n: int) -> DataFrame:
     return members.select("band", "cid").withColumn("rank", F.row_number().over(by_hash)).filter(F.col("rank") <= n).select("band", F.col("cid").alias("leader"))
 
 
-def _open_bands(members: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members outside, members inside the largest component of their band) where a band has several."""
+def _open_bands(members: DataFrame, found: DataFrame) -> DataFrame:
+    """band, cid, component and minor (outside the band's largest component) where a band has several."""
     placed = members.join(found.withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     sizes = placed.groupBy("band", "component").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("several")).filter("several > 1").select("band", "main")
-    rows = materialise(placed.join(largest, "band"), "open-bands")
-    columns = ["band", "cid", "component"]
-    return rows.filter("component <> main").select(*columns), rows.filter("component = main").select(*columns)
+    return materialise(placed.join(largest, "band").select("band", "cid", "component", (F.col("component") != F.col("main")).alias("minor")), "open-bands")
+
+
+def _across(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links between the minor members of a band and its members in other components, by blocks."""
+    sized = rows.join(texts.select("cid", "text"), "cid").withColumn("chars", F.length("text"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("chars") / BLOCK_CHARS)).cast("int")
+    counts = sized.groupBy("band").agg(blocks.alias("n"))
+    member = F.struct("cid", "component", "text")
+    dealt = sized.join(counts, "band").withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "cid"), "n").cast("int"))
+    every = dealt.groupBy("band", "block").agg(F.collect_list(member).alias("right"))
+    minors = dealt.filter("minor").groupBy("band", "n", F.col("block").alias("left_block")).agg(F.collect_list(member).alias("left"))
+    # Each block of minors goes to each block of the band: the pairs of blocks are dealt out, not the band.
+    sent = minors.select("band", "left", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block"))
+    pairs = sent.join(every, ["band", "block"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler = Shingler()
+        for batch in batches:
+            for left, right in zip(batch["left"], batch["right"]):
+                yield pd.DataFrame(_block_links(shingler, left, right, similarity), columns=["a", "b"]).astype("int64")
+
+    spark, name = rows.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(name)
+    spark.conf.set(name, 8)  # a row is two blocks
+    try:
+        return materialise(pairs.select("left", "right").mapInPandas(run, "a long, b long").distinct(), "links")
+    finally:
+        spark.conf.set(name, usual)
+
+
+def _block_links(shingler: Shingler, left, right, similarity: float) -> list[tuple[int, int]]:
+    """(a, b) of the pairs of other components whose overlap reaches the similarity.
+
+    The k-th occurrence of a shingle in a text is an element of its own, so that multisets are sets.
+    Elements that both sides hold become the columns of two 0/1 matrices, a slice at a time.
+    """
+    rows, owners = [], []
+    for i, member in enumerate([*left, *right]):
+        h = np.sort(shingler.shingles(member["text"]))
+        n = np.arange(len(h))
+        first = np.maximum.accumulate(np.where(np.concatenate([[True], h[1:] != h[:-1]]), n, 0)) if len(h) else n
+        rows.append(_mix(h + (n - first).astype(np.uint64) * _U(0xD1342543DE82EF95)))
+        owners.append(np.full(len(h), i))
+    sizes = np.array([len(r) for r in rows], np.float64)
+    element, owner = np.concatenate(rows), np.concatenate(owners)
+    codes = np.unique(element, return_inverse=True)[1]
+    split = len(left)
+    both = np.zeros(codes.max() + 1 if len(codes) else 0, bool)
+    in_left = np.zeros_like(both)
+    in_left[codes[owner < split]] = True
+    both[codes[owner >= split]] = True
+    both &= in_left
+    column = np.cumsum(both) - 1
+    used = both[codes]
+    at, owner = column[codes[used]], owner[used]
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    common = np.zeros((split, len(right)))
+    for begin in range(0, int(both.sum()), 4096):
+        lo, hi = np.searchsorted(at, [begin, begin + 4096])
+        held = np.zeros((split + len(right), 4096), np.float32)
+        held[owner[lo:hi], at[lo:hi] - begin] = 1
+        common += held[:split] @ held[split:].T
+    union = sizes[:split, None] + sizes[None, split:] - common
+    component = np.array([m["component"] for m in [*left, *right]])
+    x, y = np.nonzero((common >= similarity * union) & (component[:split, None] != component[None, split:]))
+    ids = np.array([m["cid"] for m in [*left, *right]])
+    return [(int(min(p, q)), int(max(p, q))) for p, q in zip(ids[x], ids[split + y])]
 
 
 def grouped_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -213,20 +281,7 @@ def grouped_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     compared = materialise(members.join(leaders, "band").filter("cid <> leader").select(*_pair("cid", "leader")).distinct(), "pairs")
     links = materialise(_verified(compared, texts, similarity), "links")
 
-    left, main = _open_bands(members, components(links))
-    pairs = left.join(_leaders(main, "second", MORE_LEADERS), "band").select(*_pair("cid", "leader")).distinct()
-    again = materialise(pairs.join(compared, ["a", "b"], "left_anti"), "pairs")
-    compared = compared.unionByName(again)
-    links = materialise(links.unionByName(_verified(again, texts, similarity)), "links")
-
-    left, main = _open_bands(members, components(links))
-    # A pair is emitted by the first band that it shares.
-    bands = classes.select("cid", "bands")
-    x = left.join(bands, "cid").select("band", F.col("cid").alias("x"), F.col("component").alias("cx"), F.col("bands").alias("bx"))
-    every = left.unionByName(main).join(bands, "cid").select(F.col("band").alias("of"), F.col("cid").alias("y"), F.col("component").alias("cy"), F.col("bands").alias("by"))
-    first = F.element_at(F.array_intersect("bx", "by"), 1)
-    across = x.join(every, (F.col("band") == F.col("of")) & (F.col("cx") != F.col("cy")) & (first == F.col("band"))).select(*_pair("x", "y")).distinct()
-    more = _verified(across.join(compared, ["a", "b"], "left_anti"), texts, similarity)
+    more = _across(_open_bands(members, components(links)), texts, similarity)
     every_link = materialise(links.unionByName(more), "all-links")
 
     whole = classes.drop("bands").join(components(every_link).withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
