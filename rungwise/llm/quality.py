@@ -18,10 +18,13 @@ any length is judged whole; equal rows give equal rows; other columns stay out o
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwise.llm.common import SPACE_CLASS, SPACES, WORD_CLASS, n_words, table, words_of
+from rungwise.llm.common import SPACES, WORD_CLASS, n_words, table, words_of
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -30,36 +33,57 @@ MAX_REPEAT_PERCENT = 30
 MAX_LOST_PERCENT = 50
 
 SYMBOLS = "#*$%&|<>"
-CLOSING = r"""[.!?…:;"'”’»)\]]""" + SPACE_CLASS + "*$"
-NAVIGATION = r"(\|.*\|)|[→»›]|^(home|menu|next|previous|back|search|login|contact)$"
-BOILERPLATE = r"all rights reserved|copyright|privacy policy|cookie|terms of (use|service)|javascript|lorem ipsum|subscribe|sign up|click here|licensed? under|spdx-license"
+CLOSING = tuple(".!?…:;\"'”’»)]")
+BARS, ARROWS = r"\|.*\|", tuple("→»›")
+LINKS = ("home", "menu", "next", "previous", "back", "search", "login", "contact")
+BOILERPLATE = (
+    "all rights reserved", "copyright", "privacy policy", "cookie", "terms of use", "terms of service", "javascript",
+    "lorem ipsum", "subscribe", "sign up", "click here", "license under", "licensed under", "spdx-license",
+)
+
+
+def _any_of(text: Column, parts) -> Column:
+    return reduce(or_, [F.contains(text, F.lit(p)) for p in parts])
 
 
 def _visible(text: Column) -> Column:
-    return F.length(F.translate(text, SPACES, ""))
+    """Number of code points other than ASCII white space."""
+    return F.length(reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), SPACES, text))
 
 
 def _symbol_count(text: Column) -> Column:
-    return F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
+    return F.regexp_count(text, F.lit("[" + SYMBOLS + "]"))
+
+
+def _guards(text: Column) -> dict[str, Column]:
+    """What some line must hold for a rule to fail it; few texts have any, so few lines are searched."""
+    return {"_boilerplate": _any_of(F.lower(text), BOILERPLATE), "_bars": F.contains(text, F.lit("|")), "_arrows": _any_of(text, ARROWS)}
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line fails a rule; a line without a word never does."""
-    low = F.lower(line)
-    letters = F.regexp_count(line, F.lit(r"\p{L}"))
+    """Whether a line fails a rule; a line without a word never does. Needs the columns of the guards."""
+    closed = F.right(F.rtrim(line, F.lit(SPACES)), F.lit(1)).isin(*CLOSING)
+    capitals = F.regexp_count(line, F.lit(r"\p{Lu}"))
+    letters = F.length(line) - F.regexp_count(line, F.lit(r"\P{L}"))
+    # Ten letters of which over half are capitals are six capitals at least.
+    shouting = (capitals >= 6) & (letters >= 10) & (capitals * 2 > letters)
+    symbols = _symbol_count(line)
     return line.rlike(WORD_CLASS) & (
-        ((n_words(line) >= 4) & ~line.rlike(CLOSING))
-        | F.btrim(low, F.lit(SPACES)).rlike(NAVIGATION)
-        | low.rlike(BOILERPLATE)
-        | (_symbol_count(line) * 10 >= _visible(line))
-        | ((letters >= 10) & (F.regexp_count(line, F.lit(r"\p{Lu}")) * 2 > letters))
+        (~closed & (n_words(line) >= 4))
+        | (F.col("_bars") & line.rlike(BARS))
+        | (F.col("_arrows") & _any_of(line, ARROWS))
+        | F.btrim(F.lower(line), F.lit(SPACES)).isin(*LINKS)
+        | (F.col("_boilerplate") & _any_of(F.lower(line), BOILERPLATE))
+        | ((symbols > 0) & (symbols * 10 >= _visible(line)))
+        | shouting
     )
 
 
 def clean(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``cleaned`` (the text without its failed lines) and ``n_failed_lines``, ``lost_chars``."""
-    lines = F.split(F.coalesce(F.col(f"`{text}`"), F.lit("")), "\n", -1)
-    out = docs.withColumn("_failed", F.transform(lines, line_fails)).withColumn("_lines", lines)
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    guarded = docs.withColumns(_guards(whole) | {"_lines": F.split(whole, "\n", -1)})
+    out = guarded.withColumn("_failed", F.transform("_lines", line_fails)).drop("_boilerplate", "_bars", "_arrows")
     at = F.arrays_zip("_lines", "_failed")
     good = F.transform(F.filter(at, lambda x: ~x["_failed"]), lambda x: x["_lines"])
     bad = F.filter(at, lambda x: x["_failed"])
@@ -71,13 +95,13 @@ def clean(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def repeated_words(docs: DataFrame, text: str = "text", out: str = "n_repeat_words") -> DataFrame:
-    """Adds the number of words that lie in a window of WINDOW words found twice or more in the text.
+def repeated_words(docs: DataFrame, words: str = "words", out: str = "n_repeat_words") -> DataFrame:
+    """Replaces an array of words by the number of words that lie in a window of WINDOW words found twice or more in the text.
 
     A window's key is a 64-bit hash of its words' hashes; sorting the keys brings equal ones together,
     the positions found are sorted again, and every one adds the words that the last hadn't covered.
     """
-    hashes = docs.withColumn("_words", F.transform(words_of(F.col(f"`{text}`")), lambda w: F.xxhash64(w)))
+    hashes = docs.withColumn("_words", F.transform(words, lambda w: F.xxhash64(w))).drop(words)
     keys = F.when(
         F.size("_words") >= WINDOW,
         F.transform(F.sequence(F.lit(0), F.size("_words") - WINDOW), lambda i: F.xxhash64(*[F.get(F.col("_words"), i + k) for k in range(WINDOW)])),
@@ -97,11 +121,12 @@ def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the base counts, the lines' losses, base_failed and kept."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD_CLASS))
-    counted = docs.select(
+    counted = docs.select("doc_id", text.alias("text"), words_of(text).alias("words")).select(
         "doc_id",
-        text.alias("text"),
-        n_words(text).alias("n_words"),
-        _visible(text).cast("long").alias("word_chars"),
+        "text",
+        "words",
+        F.size("words").cast("long").alias("n_words"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         _symbol_count(text).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
     )
@@ -118,6 +143,11 @@ def _sql(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
+# The rules once more, as patterns for the SQL.
+_CLOSING = r"""[.!?…:;"'”’»)\]][\x20\x09-\x0D]*$"""
+_NAVIGATION = r"(\|.*\|)|[→»›]|^(home|menu|next|previous|back|search|login|contact)$"
+_BOILERPLATE = r"all rights reserved|copyright|privacy policy|cookie|terms of (use|service)|javascript|lorem ipsum|subscribe|sign up|click here|licensed? under|spdx-license"
+
 _W, _S = r"'[^\x20\x09-\x0D]+'", r"'[\x20\x09-\x0D]+'"
 
 OP7_SQL = f"""
@@ -132,9 +162,9 @@ l AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
 m AS (SELECT rid, line, length(regexp_replace(line, {_S}, '', 'g')) AS chars, len(regexp_extract_all(line, {_W})) AS n,
         length(regexp_replace(line, '[^\\p{{L}}]', '', 'g')) AS letters, length(regexp_replace(line, '[^\\p{{Lu}}]', '', 'g')) AS capitals,
         length(line) - length(translate(line, '{SYMBOLS}', '')) AS symbols FROM l WHERE regexp_matches(line, {_W})),
-f AS (SELECT rid, line, chars, (n >= 4 AND NOT regexp_matches(line, {_sql(CLOSING)}))
-        OR regexp_matches(regexp_replace(regexp_replace(lower(line), '^[\\x20\\x09-\\x0D]+', ''), '[\\x20\\x09-\\x0D]+$', ''), {_sql(NAVIGATION)})
-        OR regexp_matches(lower(line), {_sql(BOILERPLATE)}) OR symbols * 10 >= chars OR (letters >= 10 AND capitals * 2 > letters) AS bad FROM m),
+f AS (SELECT rid, line, chars, (n >= 4 AND NOT regexp_matches(line, {_sql(_CLOSING)}))
+        OR regexp_matches(regexp_replace(regexp_replace(lower(line), '^[\\x20\\x09-\\x0D]+', ''), '[\\x20\\x09-\\x0D]+$', ''), {_sql(_NAVIGATION)})
+        OR regexp_matches(lower(line), {_sql(_BOILERPLATE)}) OR symbols * 10 >= chars OR (letters >= 10 AND capitals * 2 > letters) AS bad FROM m),
 g AS (SELECT rid, count(*) FILTER (bad) AS n_failed_lines, coalesce(sum(chars) FILTER (bad), 0) AS lost_chars, count(*) - count(DISTINCT line) AS n_dup_lines FROM f GROUP BY rid),
 b AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, {_S}, '', 'g')) AS BIGINT) AS word_chars,
         CAST(length(text) - length(translate(text, '{SYMBOLS}', '')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
