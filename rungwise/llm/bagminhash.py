@@ -120,7 +120,7 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], slots: int = SLOTS) ->
 
 def bands_of(times: np.ndarray) -> np.ndarray:
     """One 64-bit key for each band of a signature."""
-    bits = np.ascontiguousarray(times).view(np.uint64).reshape(len(times), -1, BAND)
+    bits = np.ascontiguousarray(times).view(np.uint64).reshape(len(times), times.shape[1] // BAND, BAND)
     key = np.arange(bits.shape[1], dtype=np.uint64)[None, :] * _U(0x9E3779B97F4A7C15)
     for k in range(BAND):
         key = _mix(key + bits[:, :, k])
@@ -151,7 +151,7 @@ def classes_of(docs: DataFrame) -> DataFrame:
                 bags = [np.unique(shingler.shingles(t), return_counts=True) for t in part["text"]]
                 part = part.drop(columns="text")[[len(x) > 0 for x, _ in bags]]
                 keys = bands_of(signatures([b for b in bags if len(b[0])]))
-                yield part.assign(bands=list(keys))
+                yield part.assign(bands=pd.Series(list(keys), index=part.index, dtype=object))
 
     schema = "doc_id long, h0 long, h1 long, bands array<long>"
     signed = _keyed(docs.select(F.col("doc_id").cast("long"), "text")).filter("text IS NOT NULL").mapInPandas(run, schema)
