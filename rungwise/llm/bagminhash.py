@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rungwise.llm.common import materialise, table
+from rungwise.llm.common import materialise, small_batches, table
 from rungwise.llm.components import components
 
 SHINGLE = 5
@@ -44,7 +44,7 @@ BAND = 5
 LEADERS = 3
 #: Members of a band in a block, about; a block of long texts is split further by BLOCK_CHARS.
 BLOCK, BLOCK_CHARS = 128, 1 << 20
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 
 _U = np.uint64
 
@@ -154,7 +154,7 @@ def classes_of(docs: DataFrame) -> DataFrame:
                 yield part.assign(bands=pd.Series(list(keys), index=part.index, dtype=object))
 
     schema = "doc_id long, h0 long, h1 long, bands array<long>"
-    signed = _keyed(docs.select(F.col("doc_id").cast("long"), "text")).filter("text IS NOT NULL").mapInPandas(run, schema)
+    signed = _keyed(small_batches(docs).select(F.col("doc_id").cast("long"), "text")).filter("text IS NOT NULL").mapInPandas(run, schema)
     grouped = signed.groupBy("h0", "h1").agg(F.min("doc_id").alias("least_id"), F.first("bands").alias("bands"))
     return materialise(grouped.withColumn("cid", F.monotonically_increasing_id()), "text-classes")
 

@@ -30,11 +30,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwise.llm.common import table
+from rungwise.llm.common import small_batches, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces in a generation of a worker's cache; a full one becomes the old one, whose hits move back.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 80_000
 #: Longest piece, in bytes, that goes through the matrix and the cache; a longer one has a heap.
 SHORT_PIECE = 64
 #: Code points that are scanned at once.
@@ -345,7 +345,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
             yield pd.DataFrame({"ids": [list(chain.from_iterable(r)) for r in rows], "token_ends": [np.cumsum([len(x) for x in r], dtype=np.int32) for r in rows]})
 
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("ids", "token_ends")]
-    return docs.select(*rest, run(F.col(f"`{text}`")).alias("_bpe")).select(*rest, "_bpe.ids", "_bpe.token_ends")
+    return small_batches(docs).select(*rest, run(F.col(f"`{text}`")).alias("_bpe")).select(*rest, "_bpe.ids", "_bpe.token_ends")
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids") -> DataFrame:
@@ -359,7 +359,7 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids") -> Dat
             yield pd.Series([codec.decode(x) if x is not None else b"" for x in batch], dtype=object)
 
     rest = [F.col(f"`{c}`") for c in encoded.columns if c != "decoded"]
-    return encoded.select(*rest, run(F.col(f"`{ids}`")).alias("decoded"))
+    return small_batches(encoded).select(*rest, run(F.col(f"`{ids}`")).alias("decoded"))
 
 
 def _sha256(content: bytes) -> str:
@@ -381,7 +381,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 rows.append((len(ids), _sha256(",".join(map(names.__getitem__, ids)).encode()), _sha256(codec.decode(ids)), len(got)))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "n_pretokens"])
 
-    return docs.select("doc_id", run("text").alias("_d")).select("doc_id", "_d.*")
+    return small_batches(docs).select("doc_id", run("text").alias("_d")).select("doc_id", "_d.*")
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,6 +74,20 @@ def _clean() -> None:
             return
 
 
+#: Rows and bytes of an Arrow batch at most, so that long texts and lists of ids stay small in a worker.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with its session's Arrow batches bounded; for operators that send texts to Python."""
+    conf = df.sparkSession.conf
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
+        conf.set(rows, BATCH_ROWS)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
 def unit_hash(seed: str, *columns: Column) -> Column:
     """A number in [0, 1) from MD5 of the seed and the columns: the same on every engine and run."""
     text = F.concat_ws("|", F.lit(seed), *[F.coalesce(c.cast("string"), F.lit("null")) for c in columns])

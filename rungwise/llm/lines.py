@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwise.llm.common import materialise, n_words, table, words_of
+from rungwise.llm.common import materialise, n_words, small_batches, table, words_of
 
 MIN_WORDS = 3
 NEAR_WORDS = 8
@@ -156,7 +156,7 @@ def _near_first(texts: DataFrame) -> DataFrame:
             if keys:
                 yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "role": np.concatenate(roles), "cid": np.concatenate(ids)})
 
-    emitted = texts.select("cid", "line").mapInPandas(variants, "key long, role byte, cid long").join(texts.select("cid", "first"), "cid")
+    emitted = small_batches(texts).select("cid", "line").mapInPandas(variants, "key long, role byte, cid long").join(texts.select("cid", "first"), "cid")
     holder = F.struct("first", "cid")
     is_placed = F.col("role") == PLACED
     emitted = materialise(emitted.select("key", is_placed.alias("placed"), "role", "cid", "first"), "line-variants")

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwise.llm.common import table
+from rungwise.llm.common import small_batches, table
 
 ROUNDS = 8
 #: Used where the session names no key in ``rungwise.pii.key``; production sets its own secret.
@@ -252,7 +252,7 @@ def pseudonymise(docs: DataFrame, key: str | None = None, text: str = "text") ->
             yield pd.DataFrame({"text": pd.Series([r[0] for r in rows], dtype=object), "spans": [[{"kind": k, "start": a, "stop": b} for a, b, k, _ in r[1]] for r in rows]})
 
     kept = [c for c in docs.columns if c not in ("n_values", "spans")]
-    done = docs.select(*[F.col(f"`{c}`") for c in kept], run(F.col(f"`{text}`")).alias("_pii"))
+    done = small_batches(docs).select(*[F.col(f"`{c}`") for c in kept], run(F.col(f"`{text}`")).alias("_pii"))
     out = [F.col("_pii.text").alias(text) if c == text else F.col(f"`{c}`") for c in kept]
     return done.select(*out, F.size("_pii.spans").cast("long").alias("n_values"), F.col("_pii.spans").alias("spans"))
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwise.llm.common import table, unit_hash
+from rungwise.llm.common import small_batches, table, unit_hash
 
 #: Expected number of labelled rows that are learned from.
 SAMPLE_ROWS = 12_000
@@ -42,7 +42,7 @@ THRESHOLD = 0.7
 BASE = 0.02
 WINDOW = 6
 QUOTED, ABUSIVE = 0.5, 1.15
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 
 # Words of reporting and of the second person in the corpus's languages.
 REPORTING = frozenset("said says wrote writes called calls quote quoted quotes term word dit écrit appelle mot sagte schrieb nannte wort dijo escribió llamó palabra".split())
@@ -188,7 +188,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     if not n:
         return Lexicon({})
     sample = known.filter(unit_hash("toxic sample", F.col("doc_id")) < min(1.0, SAMPLE_ROWS / n))
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # about SAMPLE_ROWS narrow rows
+    rows = small_batches(docs).select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # about SAMPLE_ROWS narrow rows
 
     def prepared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -271,7 +271,7 @@ def with_score(docs: DataFrame, lexicon: Lexicon, out: str = "score") -> DataFra
         for batch in batches:
             yield pd.Series([scorer.score(t if isinstance(t, str) else None) for t in batch], dtype="float64")
 
-    return docs.withColumn(out, run(F.col("text")))
+    return small_batches(docs).withColumn(out, run(F.col("text")))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

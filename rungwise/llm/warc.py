@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwise.llm.common import materialise, shared_path, table
+from rungwise.llm.common import materialise, shared_path, small_batches, table
 
 SEGMENT_BYTES = 64 * 1024
 CHUNK_BYTES = 8 * 1024
@@ -113,7 +113,6 @@ def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, min_revisit: int = MIN_REVISIT_BYTES) -> None:
     """Writes ``pages`` (page_id, url, html) to gzipped WARC files in ``path``."""
-    spark = pages.sparkSession
     payload = F.coalesce(F.col("html"), F.lit(""))
     # Written once: a record's id must be the same wherever it is named.
     keyed = materialise(
@@ -142,9 +141,8 @@ def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, min_r
             if made:
                 yield pd.DataFrame({"record": made})
 
-    strings = linked.withColumns({c: F.col(c).cast("string") for c in ("page_id", "ordinal", "origin")}).mapInPandas(out, "record binary")
+    strings = small_batches(linked).withColumns({c: F.col(c).cast("string") for c in ("page_id", "ordinal", "origin")}).mapInPandas(out, "record binary")
     strings.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
-    del spark
 
 
 def _name(ordinal) -> str:
@@ -174,7 +172,7 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
                 if made:
                     yield _frame(made)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = small_batches(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content"))
     return files.mapInPandas(rows, _PARSED)
 
 
