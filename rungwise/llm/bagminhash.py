@@ -44,6 +44,8 @@ BAND = 5
 LEADERS = 3
 #: Members of a band in a block, about; a block of long texts is split further by BLOCK_CHARS.
 BLOCK, BLOCK_CHARS = 128, 1 << 20
+#: Shingles that are signed at once.
+PORTION = 100_000
 CACHE_WORDS = 100_000
 
 _U = np.uint64
@@ -136,6 +138,23 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 0.0
 
 
+def _portions(shingler: Shingler, texts) -> Iterator[tuple[list[int], list[tuple[np.ndarray, np.ndarray]]]]:
+    """(positions, multisets) of texts with a word, so many at once that their shingles fit PORTION."""
+    at, bags, size = [], [], 0
+    for i, text in enumerate(texts):
+        bag = np.unique(shingler.shingles(text), return_counts=True)
+        if not len(bag[0]):
+            continue
+        if bags and size + len(bag[0]) > PORTION:
+            yield at, bags
+            at, bags, size = [], [], 0
+        at.append(i)
+        bags.append(bag)
+        size += len(bag[0])
+    if bags:
+        yield at, bags
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("h0"), F.xxhash64(F.lit(1), "text").alias("h1"), "text")
 
@@ -146,12 +165,10 @@ def classes_of(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler()
         for batch in batches:
-            for i in range(0, len(batch), 256):
-                part = batch.iloc[i : i + 256].drop_duplicates(["h0", "h1", "doc_id"])
-                bags = [np.unique(shingler.shingles(t), return_counts=True) for t in part["text"]]
-                part = part.drop(columns="text")[[len(x) > 0 for x, _ in bags]]
-                keys = bands_of(signatures([b for b in bags if len(b[0])]))
-                yield part.assign(bands=pd.Series(list(keys), index=part.index, dtype=object))
+            batch = batch.drop_duplicates(["h0", "h1", "doc_id"])
+            for at, bags in _portions(shingler, batch["text"]):
+                part = batch.iloc[at].drop(columns="text")
+                yield part.assign(bands=pd.Series(list(bands_of(signatures(bags))), index=part.index, dtype=object))
 
     schema = "doc_id long, h0 long, h1 long, bands array<long>"
     signed = _keyed(small_batches(docs).select(F.col("doc_id").cast("long"), "text")).filter("text IS NOT NULL").mapInPandas(run, schema)

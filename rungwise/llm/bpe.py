@@ -11,7 +11,7 @@ in each row, every round merges each row's leftmost pair of lowest rank, until n
 
 Defined results: null is the empty text (no ids); texts of any length are encoded whole, pieces of
 any length are merged with a heap; special-token strings are ordinary text; equal rows give equal
-results; other columns are kept by :func:`encode` unless they clash with ``ids`` and ``token_ends``.
+results; other columns are kept by :func:`encode` unless they clash with those it adds.
 """
 
 from __future__ import annotations
@@ -34,11 +34,11 @@ from rungwise.llm.common import small_batches, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Pieces in a generation of a worker's cache; a full one becomes the old one, whose hits move back.
-CACHE_ENTRIES = 80_000
+CACHE_ENTRIES = 60_000
 #: Longest piece, in bytes, that goes through the matrix and the cache; a longer one has a heap.
 SHORT_PIECE = 64
 #: Code points that are scanned at once.
-SCAN_POINTS = 1 << 20
+SCAN_POINTS = 1 << 18
 CHUNK = 128
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
@@ -335,17 +335,24 @@ def _encoded(path: str, batch: pd.Series) -> Iterator[list[tuple[int, ...]]]:
 
 
 def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
-    """Adds ``ids`` (the token ids of the whole text) and ``token_ends`` (ids up to each pre-token's end)."""
+    """Adds ``ids`` (the token ids of the whole text), ``token_ends`` (ids up to each pre-token's end)
+    and ``decoded_ok`` (whether the ids, decoded again, are the text's bytes)."""
     path = path or default_path()
 
-    @F.pandas_udf("struct<ids:array<int>,token_ends:array<int>>")
+    @F.pandas_udf("struct<ids:array<int>,token_ends:array<int>,decoded_ok:boolean>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        codec = _codec(path)
         for batch in texts:
-            rows = list(_encoded(path, batch))
-            yield pd.DataFrame({"ids": [list(chain.from_iterable(r)) for r in rows], "token_ends": [np.cumsum([len(x) for x in r], dtype=np.int32) for r in rows]})
-
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("ids", "token_ends")]
-    return small_batches(docs).select(*rest, run(F.col(f"`{text}`")).alias("_bpe")).select(*rest, "_bpe.ids", "_bpe.token_ends")
+            ids, ends, same = [], [], []
+            for t, got in zip(batch, _encoded(path, batch)):
+                ids.append(np.fromiter(chain.from_iterable(got), np.int32))
+                ends.append(np.cumsum([len(x) for x in got], dtype=np.int32))
+                same.append(codec.decode(ids[-1].tolist()) == (t.encode("utf-8", "replace") if isinstance(t, str) else b""))
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "token_ends": pd.Series(ends, dtype=object), "decoded_ok": pd.Series(same, dtype=bool)})
+
+    added = ("ids", "token_ends", "decoded_ok")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in added]
+    return small_batches(docs).select(*rest, run(F.col(f"`{text}`")).alias("_bpe")).select(*rest, *[f"_bpe.{c}" for c in added])
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids") -> DataFrame:
