@@ -122,7 +122,8 @@ def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, min_r
     key = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("page_id"), F.col("ordinal").alias("ordinal"))
     first = keyed.filter(F.col("size") >= min_revisit).groupBy("sha").agg(F.min(key).alias("first"), F.count("*").alias("n")).filter("n > 1")
     revisits = keyed.select("sha", "size", "ordinal").join(first, "sha").filter(f"size >= {int(min_revisit)} AND ordinal <> first.ordinal").select("ordinal", F.col("first.ordinal").alias("origin"))
-    # Few bytes: ids only. The pages themselves aren't shuffled unless this is too large to broadcast.
+    # Ids only, and written, so that Spark knows their size: pages are shuffled only if they can't be broadcast.
+    revisits = materialise(revisits, "warc-revisits")
     linked = keyed.join(revisits, "ordinal", "left").select("page_id", "url", F.when(F.col("origin").isNull(), F.col("html")).alias("html"), "sha", "ordinal", "origin")
 
     def out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,24 +150,46 @@ def _name(ordinal) -> str:
     return f"urn:rungwise:record:{int(ordinal)}"
 
 
-_PARSED = "record_id string, kind string, page_id long, url string, digest string, refers_to string, origin string, segment int, total long, block binary"
+_COLUMNS = {"record_id": "string", "kind": "string", "page_id": "long", "url": "string", "digest": "string", "refers_to": "string", "origin": "string", "segment": "int", "total": "long", "block": "binary", "size": "long"}
+_PARSED = ", ".join(f"{k} {v}" for k, v in _COLUMNS.items())
+#: Bytes of blocks in a frame that goes back to Spark, about.
+_FRAME_BYTES = 8 << 20
 
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the archives in ``path``."""
+def _payload(block: bytes, digest: str) -> bytes:
+    """The decoded body of a whole response block; another digest than the record's is an error."""
+    body = dechunked(block[block.index(_END) + 4 :])
+    if digest_of(body) != digest:
+        raise ValueError("a payload has another digest than its record")
+    return body
+
+
+def scan(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+    """A row for each record of the archives in ``path``.
+
+    Responses in one piece are decoded and checked here: block is their payload (null if it isn't
+    wanted) and size its length. Segments keep their raw block.
+    """
+
+    def row(f: dict[str, str], block: bytes) -> tuple:
+        page, segment, digest = f.get("x-page-id", ""), int(f.get("warc-segment-number", 0)), f.get("warc-payload-digest", "").removeprefix("sha1:")
+        size = None
+        if f["warc-type"] == "response" and not segment:
+            block = _payload(block, digest)
+            size = len(block)
+        keep = segment or (with_payload and size is not None)
+        named = lambda k: f.get(k, "").strip("<>") or None
+        total = f.get("warc-segment-total-length")
+        return (named("warc-record-id"), f["warc-type"], int(page) if page else None, f.get("warc-target-uri"), digest, named("warc-refers-to"), named("warc-segment-origin-id"), segment, int(total) if total else None, block if keep else None, size)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
                 made, size = [], 0
                 for f, block in parse(zlib.decompressobj(31).decompress(content) if content[:2] == b"\x1f\x8b" else content):
-                    page = f.get("x-page-id", "")
-                    made.append(
-                        (f["warc-record-id"].strip("<>"), f["warc-type"], int(page) if page else None, f.get("warc-target-uri"), f.get("warc-payload-digest", "").removeprefix("sha1:"), f.get("warc-refers-to", "").strip("<>") or None)
-                        + (f.get("warc-segment-origin-id", "").strip("<>") or None, int(f.get("warc-segment-number", 0)), int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None, block)
-                    )
-                    size += len(block)
-                    if size > 8 << 20:
+                    made.append(row(f, block))
+                    size += len(made[-1][9] or b"") + 200
+                    if size > _FRAME_BYTES:
                         yield _frame(made)
                         made, size = [], 0
                 if made:
@@ -177,20 +200,20 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["record_id", "kind", "page_id", "url", "digest", "refers_to", "origin", "segment", "total", "block"], dtype=object)
-    return out
+    return pd.DataFrame(rows, columns=list(_COLUMNS), dtype=object)
+
+
+_HEAD = ("record_id", "kind", "page_id", "url", "digest", "refers_to")
 
 
 def reassemble(parsed: DataFrame) -> DataFrame:
-    """Whole records: the blocks of a segmented record joined in order and checked for their total length.
+    """The blocks of segmented records, joined in order and checked for their total length.
 
     The records of one origin are the segments of one page, so a group is as large as a page.
-    Records in one piece pass by the shuffle.
     """
-    whole = parsed.filter("segment = 0").select("record_id", "kind", "page_id", "url", "digest", "refers_to", "block")
     parts = parsed.filter("segment > 0").withColumn("of", F.coalesce("origin", "record_id"))
     grouped = parts.groupBy("of").agg(
-        F.min_by(F.struct("record_id", "kind", "page_id", "url", "digest", "refers_to"), "segment").alias("head"),
+        F.min_by(F.struct(*_HEAD), "segment").alias("head"),
         F.max("total").alias("total"),
         F.max("segment").alias("n"),
         F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"),
@@ -198,48 +221,47 @@ def reassemble(parsed: DataFrame) -> DataFrame:
     # Joined as hexadecimal digits, since Spark's concat of an array's binary elements is for strings.
     joined = F.unhex(F.array_join(F.transform("parts", lambda p: F.hex(p["block"])), ""))
     complete = (F.size("parts") == F.col("n")) & (F.octet_length("block") == F.col("total"))
-    checked = grouped.withColumn("block", joined).withColumn("block", F.when(complete, F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments missing from "), "of")).cast("binary")))
-    return whole.unionByName(checked.select("head.*", "block"))
+    checked = F.when(complete, F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments missing from "), "of")).cast("binary"))
+    return grouped.withColumn("block", joined).withColumn("block", checked).select("head.*", "block")
 
 
-def payloads(whole: DataFrame) -> DataFrame:
-    """record_id, record_type, page_id, url, refers_to, payload_bytes, payload_digest, payload.
-
-    The framing of responses is decoded and the digest checked; a revisit has its origin's figures and
-    no payload of its own.  Joined by the origin's id: many revisits of one origin are rows of a skewed
-    join side, which Spark splits, against one narrow row.
-    """
+def responses(parsed: DataFrame) -> DataFrame:
+    """record_id, page_id, url, payload_bytes, payload_digest, payload of every response, whole or segmented."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = []
-            for block, digest in zip(batch["block"], batch["digest"]):
-                body = dechunked(block[block.index(_END) + 4 :])
-                if digest_of(body) != digest:
-                    raise ValueError("a payload has another digest than its record")
-                made.append((len(body), digest, body))
-            yield pd.concat([batch[["record_id", "page_id", "url"]], pd.DataFrame(made, columns=["payload_bytes", "payload_digest", "payload"], index=batch.index)], axis=1)
-
-    schema = "record_id string, page_id long, url string, payload_bytes long, payload_digest string, payload binary"
-    responses = whole.filter("kind = 'response'").select("record_id", "page_id", "url", "digest", "block").mapInPandas(decode, schema)
-    return responses
-
-
-def read(spark: SparkSession, path: str, tag: str = "warc-read") -> DataFrame:
-    """One row a page: page_id, url, payload (null for revisits), its bytes and digest, type, refers_to."""
-    whole = reassemble(scan(spark, path))
-    got = payloads(whole)
-    revisit = whole.filter("kind = 'revisit'").select("record_id", "page_id", "url", "digest", "refers_to")
+            bodies = [_payload(b, d) for b, d in zip(batch["block"], batch["digest"])]
+            yield batch[["record_id", "page_id", "url", "digest"]].assign(size=[len(b) for b in bodies], block=bodies)
+
+    columns = ["record_id", "page_id", "url", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("block").alias("payload")]
+    whole = parsed.filter("segment = 0 AND kind = 'response'").select(*columns)
+    segmented = reassemble(parsed).mapInPandas(decode, "record_id string, page_id long, url string, digest string, size long, block binary")
+    return whole.unionByName(segmented.select(*columns))
+
+
+def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+    """One row a page: page_id, url, payload_bytes, payload_digest, record_type, refers_to, and payload
+    (null for revisits, or if it isn't wanted).
+
+    The archives are parsed once, into a table of headers, segments and wanted payloads. A revisit has
+    its origin's figures, joined by the origin's id: many revisits of one origin are rows of a skewed
+    join side, which Spark splits, against one narrow row. An origin that is missing or of another
+    digest is an error.
+    """
+    parsed = materialise(scan(spark, path, with_payload), "warc-parsed")
+    got = responses(parsed)
+    if not with_payload:
+        got = materialise(got.drop("payload"), "warc-figures").withColumn("payload", F.lit(None).cast("binary"))
+    revisit = parsed.filter("kind = 'revisit'").select("page_id", "url", "digest", "refers_to", "record_id")
     origin = got.select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("origin_page"), "payload_bytes", "payload_digest")
-    # An origin that is missing, or of another digest, is an error and not a null.
     bad = F.col("payload_digest").isNull() | (F.col("payload_digest") != F.col("digest"))
-    joined = revisit.join(origin, "refers_to", "left").withColumn("payload_bytes", F.when(bad, F.raise_error(F.concat(F.lit("no origin for "), "record_id")).cast("long")).otherwise(F.col("payload_bytes")))
-    columns = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-    responses = got.withColumns({"record_type": F.lit("response"), "refers_to": F.lit(None).cast("long")}).select(*columns)
-    return responses.unionByName(joined.select("page_id", "url", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), F.col("origin_page").alias("refers_to"), F.lit(None).cast("binary").alias("payload")))
+    size = F.when(bad, F.raise_error(F.concat(F.lit("no origin for "), "record_id")).cast("long")).otherwise(F.col("payload_bytes"))
+    found = revisit.join(origin, "refers_to", "left").select("page_id", "url", size.alias("payload_bytes"), "payload_digest", F.lit("revisit").alias("record_type"), F.col("origin_page").alias("refers_to"), F.lit(None).cast("binary").alias("payload"))
+    kinds = {"record_type": F.lit("response"), "refers_to": F.lit(None).cast("long")}
+    return got.withColumns(kinds).select(*found.columns).unionByName(found)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     write(table(spark, sf_dir, "pages"), path)
-    return read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read(spark, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -138,7 +138,7 @@ def test_a_missing_segment_is_an_error(spark):
     parts = list(warc.records("urn:x", 1, "u", b"y" * 5000, warc.digest_of(b"y" * 5000), None, 1000))
     parsed = [f for p in (*parts[:2], *parts[3:]) for f in warc.parse(p + b"\r\n\r\n")]
     assert len(parsed) == len(parts) - 1
-    rows = [(f["warc-record-id"].strip("<>"), f["warc-type"], 1, "u", "d", None, f.get("warc-segment-origin-id", "").strip("<>") or None, int(f["warc-segment-number"]), int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None, bytearray(b)) for f, b in parsed]
+    rows = [(f["warc-record-id"].strip("<>"), f["warc-type"], 1, "u", "d", None, f.get("warc-segment-origin-id", "").strip("<>") or None, int(f["warc-segment-number"]), int(f["warc-segment-total-length"]) if "warc-segment-total-length" in f else None, bytearray(b), None) for f, b in parsed]
     with pytest.raises(Exception, match="segments missing"):
         warc.reassemble(spark.createDataFrame(rows, warc._PARSED)).collect()
 
