@@ -101,5 +101,13 @@ def words_of(text: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    """Number of those words, without building the array: the starts of words are counted."""
-    return F.coalesce(F.regexp_count(text, F.lit(WORD_CLASS + "+")), F.lit(0)).cast("long")
+    """Number of those words."""
+    return F.size(words_of(text)).cast("long")
+
+
+def count_of(text: Column, characters: str) -> Column:
+    """How often the characters occur: what their removal, one after the other, takes off the length."""
+    bare = text
+    for c in characters:
+        bare = F.replace(bare, F.lit(c), F.lit(""))
+    return F.length(text) - F.length(bare)

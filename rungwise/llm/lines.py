@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwise.llm.common import materialise, n_words, small_batches, table, words_of
+from rungwise.llm.common import materialise, small_batches, table, words_of
 
 MIN_WORDS = 3
 NEAR_WORDS = 8
@@ -45,9 +45,8 @@ def _place() -> Column:
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, th (the text's hash), pos, line for lines of MIN_WORDS words or more."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return rows.withColumn("n", n_words(F.col("line"))).filter(F.col("n") >= MIN_WORDS)
+    """doc_id, th (the text's hash), pos and line for every line."""
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
 
 
 def _line_keys() -> tuple[Column, Column]:
@@ -59,7 +58,7 @@ def _half_keys() -> list[Column]:
 
     A line of n words and one of n + 1 agree on n // 2 words at one end, so both emit that length.
     """
-    words, n, h = F.col("words"), F.col("n").cast("int"), (F.col("n") / 2).cast("int")
+    words, n, h = F.col("words"), F.col("n"), F.shiftright("n", 1)
     near = F.col("n") >= NEAR_WORDS
 
     def key(side: int, length: Column, when: Column) -> Column:
@@ -71,8 +70,8 @@ def _half_keys() -> list[Column]:
 
 
 def classes_of(lines: DataFrame) -> DataFrame:
-    """One row for each distinct line: cid, keys, first place, copies, half keys."""
-    worded = lines.withColumn("words", F.when(F.col("n") >= NEAR_WORDS, words_of(F.col("line"))))
+    """One row for each distinct line of MIN_WORDS words or more: cid, keys, first place, copies, half keys."""
+    worded = lines.withColumn("words", words_of(F.col("line"))).withColumn("n", F.size("words")).filter(F.col("n") >= MIN_WORDS)
     keyed = worded.select(*_line_keys(), _place().alias("place"), *_half_keys())
     halves = [F.max(f"k{i}").alias(f"k{i}") for i in range(4)]
     grouped = keyed.groupBy("h0", "h1").agg(F.min("place").alias("first"), F.count("*").alias("copies"), *halves)
@@ -156,14 +155,16 @@ def _near_first(texts: DataFrame) -> DataFrame:
             if keys:
                 yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "role": np.concatenate(roles), "cid": np.concatenate(ids)})
 
-    emitted = small_batches(texts).select("cid", "line").mapInPandas(variants, "key long, role byte, cid long").join(texts.select("cid", "first"), "cid")
+    rows = small_batches(texts).select("cid", "line").mapInPandas(variants, "key long, role byte, cid long")
+    emitted = materialise(rows.select("key", (F.col("role") == PLACED).alias("placed"), "role", "cid"), "line-variants")
+    # Most keys have one holder; they go before places are joined and compared.
+    shared = emitted.groupBy("key", "placed").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).filter("x <> y").select("key", "placed")
+    live = materialise(emitted.join(shared, ["key", "placed"], "left_semi").join(texts.select("cid", "first"), "cid"), "line-shared")
     holder = F.struct("first", "cid")
-    is_placed = F.col("role") == PLACED
-    emitted = materialise(emitted.select("key", is_placed.alias("placed"), "role", "cid", "first"), "line-variants")
-    least = emitted.groupBy("key", "placed").agg(F.min(F.when(F.col("role") != WITHOUT, holder)).alias("strong"), F.min(holder).alias("any"), F.min("cid").alias("x"), F.max("cid").alias("y")).filter("x <> y").drop("x", "y")
+    least = live.groupBy("key", "placed").agg(F.min(F.when(F.col("role") != WITHOUT, holder)).alias("strong"), F.min(holder).alias("any"))
     # A whole line is near every holder of its key; a line that lacks a word only near the whole ones.
     partner = F.when(F.col("role") == WITHOUT, F.col("strong")).otherwise(F.col("any"))
-    met = emitted.join(least, ["key", "placed"]).select("cid", "first", partner.alias("p")).filter(F.col("p").isNotNull() & (F.col("p.first") < F.col("first")))
+    met = live.join(least, ["key", "placed"]).select("cid", "first", partner.alias("p")).filter(F.col("p").isNotNull() & (F.col("p.first") < F.col("first")))
     best = met.groupBy("cid").agg(F.min("p").alias("p")).select("cid", F.col("p.first").alias("near"), F.col("p.cid").alias("other"))
 
     @F.pandas_udf("boolean")
@@ -183,7 +184,7 @@ def drop_list(docs: DataFrame) -> DataFrame:
     marked = classes.join(near, "cid", "left").filter("copies > 1 OR near IS NOT NULL")
     least = F.when(F.col("near") < F.col("first"), F.col("near")).otherwise(F.col("first"))
     limits = marked.select("h0", "h1", least.alias("keep"))
-    placed = lines.select(*_line_keys(), _place().alias("place"))
+    placed = lines.filter("line <> ''").select(*_line_keys(), _place().alias("place"))
     return placed.join(limits, ["h0", "h1"]).filter("place > keep").select("place.*")
 
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwise.llm.common import SPACES, materialise, n_words, table, unit_hash
+from rungwise.llm.common import count_of, materialise, n_words, table, unit_hash
 
 DIMS = ("source", "lang", "topic")
 #: Share of all tokens that is kept in expectation.
@@ -39,16 +39,12 @@ NONE = "(none)"
 _SYMBOLS = "#*$%&|<>"
 
 
-def topic_of(text: Column) -> Column:
+def topic_of(words: Column, bars: Column, symbols: Column, lines: Column) -> Column:
     """A coarse kind of text by shape; any other column can stand in for it."""
-    text = F.coalesce(text, F.lit(""))
-    words = n_words(text)
-    without = lambda characters: F.length(F.translate(text, characters, ""))
-    lines = F.length(text) - without("\n") + 1
     return (
         F.when(words < 50, "short")
-        .when((F.length(text) - without("|")) * 10 >= words, "table")
-        .when((F.length(text) - without(_SYMBOLS)) * 10 >= words, "markup")
+        .when(bars * 10 >= words, "table")
+        .when(symbols * 10 >= words, "markup")
         .when(lines * 12 >= words, "list")
         .when(words >= 1000, "long")
         .otherwise("prose")
@@ -57,17 +53,16 @@ def topic_of(text: Column) -> Column:
 
 def featured(docs: DataFrame, topic: Column | None = None, tokens: Column | None = None) -> DataFrame:
     """``docs`` with _source, _lang, _topic, _tokens and _u, the document's place in [0, 1)."""
-    text = F.col("text")
+    text = F.coalesce(F.col("text"), F.lit(""))
     filled = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
-    return docs.withColumns(
-        {
-            "_source": filled(F.col("source")),
-            "_lang": filled(F.col("lang")),
-            "_topic": filled(topic_of(text) if topic is None else topic),
-            "_tokens": n_words(text) if tokens is None else tokens.cast("long"),
-            "_u": unit_hash(SEED, F.col("doc_id")),
-        }
-    )
+    counted = docs.withColumns({"_tokens": n_words(text) if tokens is None else tokens.cast("long")})
+    if topic is None:
+        # Counted once, in a projection of their own.
+        shape = {"_words": n_words(text) if tokens is not None else F.col("_tokens"), "_bars": count_of(text, "|"), "_symbols": count_of(text, _SYMBOLS), "_lines": count_of(text, "\n") + 1}
+        counted = counted.withColumns(shape)
+        topic = topic_of(F.col("_words"), F.col("_bars"), F.col("_symbols"), F.col("_lines"))
+    ready = counted.withColumns({"_source": filled(F.col("source")), "_lang": filled(F.col("lang")), "_topic": filled(topic), "_u": unit_hash(SEED, F.col("doc_id"))})
+    return ready.drop("_words", "_bars", "_symbols", "_lines")
 
 
 def cells_of(featured_docs: DataFrame) -> DataFrame:
@@ -167,7 +162,6 @@ def _margin(dim: str, w: str) -> str:
     return f"least(tokens, {w} * (SELECT goal FROM goal_{dim} g WHERE g.v = x.{dim}) / sum({w}) OVER (PARTITION BY {dim}))"
 
 
-_WS = "".join(f"chr({ord(c)}), " for c in SPACES)[:-2]
 OP1_SQL = f"""
 WITH RECURSIVE t AS (
   SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang, coalesce(text, '') AS text,
