@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwise.llm.common import materialise, small_batches, table, words_of
+from rungwise.llm.common import count_of, materialise, small_batches, table, words_of
 
 MIN_WORDS = 3
 NEAR_WORDS = 8
@@ -88,9 +88,9 @@ def _with_shared_half(classes: DataFrame) -> DataFrame:
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """cid, first and line text for classes; a document's wanted lines travel as one list."""
     lists = wanted.groupBy(F.col("first.doc_id").alias("i"), F.col("first.th").alias("t")).agg(F.collect_list(F.struct("cid", F.col("first.pos").alias("pos"))).alias("wanted"))
-    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n", -1).alias("lines"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     found = texts.join(lists, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")))
-    each = found.select("doc_id", "th", "lines", F.explode("wanted").alias("w"))
+    each = found.select("doc_id", "th", F.split("text", "\n", -1).alias("lines"), "wanted").select("doc_id", "th", "lines", F.explode("wanted").alias("w"))
     # A document that occurs twice gives its lines twice.
     return each.select(F.col("w.cid").alias("cid"), F.struct("doc_id", "th", F.col("w.pos").alias("pos")).alias("first"), F.get("lines", F.col("w.pos")).alias("line")).dropDuplicates(["cid"])
 
@@ -193,14 +193,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     dropped = drop_list(docs).groupBy(F.col("doc_id").alias("_i"), F.col("th").alias("_t")).agg(F.collect_set("pos").alias("_drop"))
     rows = docs.drop("n_lines", "n_dropped").withColumn("_th", F.xxhash64("text"))
     joined = rows.join(dropped, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")), "left").drop("_i", "_t", "_th")
-    split = joined.withColumn("_lines", F.split("text", "\n", -1))
+    split = joined.withColumn("_lines", F.when(F.col("_drop").isNotNull(), F.split("text", "\n", -1)))
     last = F.size("_lines") - 1
     keep = F.array_sort(F.array_except(F.sequence(F.lit(0), last), F.col("_drop")))
     text = F.array_join(F.transform(keep, lambda i: F.get(F.col("_lines"), i)), "\n")
     out = split.withColumns(
         {
             "text": F.when(F.col("_drop").isNull(), F.col("text")).otherwise(text),
-            "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long"),
+            "n_lines": F.when(F.col("text").isNull(), 0).otherwise(count_of(F.col("text"), "\n") + 1).cast("long"),
             "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"),
         }
     ).drop("_lines", "_drop")
