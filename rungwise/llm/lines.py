@@ -46,7 +46,9 @@ def _place() -> Column:
 
 def line_rows(docs: DataFrame) -> DataFrame:
     """doc_id, th (the text's hash), pos and line for every line."""
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    # The hash is of a projection of its own: beside the generator it would be taken again for every line.
+    split = docs.select("doc_id", F.xxhash64("text").alias("th"), F.split("text", "\n", -1).alias("lines"))
+    return split.select("doc_id", "th", F.posexplode("lines").alias("pos", "line"))
 
 
 def _line_keys() -> tuple[Column, Column]:
@@ -71,7 +73,8 @@ def _half_keys() -> list[Column]:
 
 def classes_of(lines: DataFrame) -> DataFrame:
     """One row for each distinct line of MIN_WORDS words or more: cid, keys, first place, copies, half keys."""
-    worded = lines.withColumn("words", words_of(F.col("line"))).withColumn("n", F.size("words")).filter(F.col("n") >= MIN_WORDS)
+    # A generator of one row keeps the filter above it, so that lines are split once and not twice.
+    worded = lines.select("*", F.explode(F.array(words_of(F.col("line")))).alias("words")).withColumn("n", F.size("words")).filter(F.col("n") >= MIN_WORDS)
     keyed = worded.select(*_line_keys(), _place().alias("place"), *_half_keys())
     halves = [F.max(f"k{i}").alias(f"k{i}") for i in range(4)]
     grouped = keyed.groupBy("h0", "h1").agg(F.min("place").alias("first"), F.count("*").alias("copies"), *halves)
