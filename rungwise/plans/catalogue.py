@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rungwise.functions import distance as D
-from rungwise.operators import graph, ledger, policy, search, stats
+from rungwise.operators import graph, ledger, policy, quantize, search, stats
 from rungwise.operators.policy import END, N
 from rungwise.operators.search import GRID, K, LISTS
+from rungwise.streaming import monitor
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -495,3 +496,138 @@ def gaussian_edge_weights(spark, sf_dir):
     e = near.groupBy(F.least("query_id", "base_id").alias("src"), F.greatest("query_id", "base_id").alias("dst")).agg(F.sqrt(F.min("score")).alias("d"))
     rho = e.agg(F.median("d").alias("rho"))
     return e.crossJoin(F.broadcast(rho)).select("src", "dst", F.round(F.exp(-F.pow(F.col("d") / F.col("rho"), F.lit(2))), 6).alias("weight"))
+
+
+@query("mutual_knn_edges", f"WITH {_knn_sql('l2', k=3)} SELECT DISTINCT a.query_id AS src, a.base_id AS dst FROM knn a JOIN knn b ON a.query_id = b.base_id AND a.base_id = b.query_id WHERE a.query_id < a.base_id")
+def mutual_knn_edges(spark, sf_dir):
+    base = vecs(spark, sf_dir)
+    return graph.knn_edges(search.exact_knn_blocked(base, base, 3), "intersection")
+
+
+# --- quantisers, merged and grouped search, membership ---------------------------------------------------
+
+_DIMS = "x AS (SELECT vec_id, generate_subscripts(e, 1) - 1 AS dim, unnest(e) AS v FROM vec)"
+
+
+@query("scalar_quantizer", f"""WITH {_VEC}, {_DIMS}, b AS (SELECT dim, min(v) AS lo, (max(v) - min(v)) / {quantize.LEVELS} AS w FROM x GROUP BY dim),
+c AS (SELECT vec_id, v, lo, w, CASE WHEN w > 0 THEN least(floor((v - lo) / w), {quantize.LEVELS - 1}) ELSE 0 END AS code FROM x JOIN b USING (dim))
+SELECT vec_id, CAST(sum(code) AS BIGINT) AS code_sum, round(max(abs((code + 0.5) * w + lo - v)), 6) AS worst FROM c GROUP BY vec_id""")
+def scalar_quantizer(spark, sf_dir):
+    coded = quantize.scalar_codes(vecs(spark, sf_dir))
+    worst = F.array_max(F.zip_with("decoded", "e", lambda a, b: F.abs(a - b)))
+    return coded.select("vec_id", F.aggregate("codes", F.lit(0).cast("long"), lambda a, c: a + c).alias("code_sum"), F.round(worst, 6).alias("worst"))
+
+
+@query("lloyd_step", f"WITH {_VEC}, {_INDEX}, {_DIMS} SELECT list, CAST(dim AS INT) AS dim, count(*) AS size, round(avg(v), 6) AS mean FROM x JOIN assigned USING (vec_id) WHERE build = 1 GROUP BY list, dim")
+def lloyd_step(spark, sf_dir):
+    assigned = assign_centroid(spark, sf_dir).filter("build = 1").select("vec_id", "list")
+    centres = quantize.lloyd_step(vecs(spark, sf_dir), assigned)
+    return centres.select("list", "size", F.posexplode("centre").alias("dim", "m")).select("list", "dim", "size", F.round("m", 6).alias("mean"))
+
+
+@query("grouped_search", f"""WITH {_knn_sql('l2', 'b.label IS NOT NULL')}, g AS (SELECT query_id, label, min(score) AS s FROM scored JOIN vec ON vec_id = base_id GROUP BY ALL)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s, label) AS INT) AS rank, label, round(s, 6) AS score FROM g QUALIFY rank <= 3""")
+def grouped_search(spark, sf_dir):
+    """The nearest distinct labels: a minimum a label first, so that one label cannot fill the list."""
+    base, groups = vecs(spark, sf_dir), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("base_id"), "label").filter("label IS NOT NULL")
+    scored = search.range_search(base, base, float("inf")).join(groups, "base_id")
+    best = scored.groupBy("query_id", "label").agg(F.min("score").alias("score"))
+    found = search.top_k(best.withColumnRenamed("label", "base_id"), 3)
+    return found.select("query_id", "rank", F.col("base_id").alias("label"), F.round("score", 6).alias("score"))
+
+
+@query("merge_shards", f"WITH {_knn_sql('l2')} SELECT query_id, CAST(rank AS INT) AS rank, base_id, round(score, 6) AS score FROM knn")
+def merge_shards(spark, sf_dir):
+    """Two shards searched apart; of both lists the best k stay."""
+    base = vecs(spark, sf_dir)
+    lists = [search.exact_knn_blocked(base.filter(F.col("vec_id") % 2 == i), base) for i in (0, 1)]
+    merged = search.top_k(lists[0].drop("rank").unionByName(lists[1].drop("rank")), K)
+    return merged.select("query_id", "rank", "base_id", F.round("score", 6).alias("score"))
+
+
+@query("truth_by_membership", f"""WITH {_VEC}, s AS (SELECT unnest([0, 1]) AS state), p AS (SELECT state, a.vec_id AS query_id, b.vec_id AS base_id, {D.METRICS['l2'][1]} AS score FROM s, vec a, vec b WHERE a.vec_id % 5 = 4 AND b.vec_id % 5 <> 4 AND b.vec_id % 20 <> state)
+SELECT state, query_id, CAST(row_number() OVER (PARTITION BY state, query_id ORDER BY score, base_id) AS INT) AS rank, base_id, round(score, 6) AS score FROM p QUALIFY rank <= {K}""")
+def truth_by_membership(spark, sf_dir):
+    """Exact neighbours before and after a twentieth of the members is replaced; queries are no members."""
+    every = vecs(spark, sf_dir)
+    asked = every.filter("vec_id % 5 = 4")
+    members = every.join(asked.select("vec_id"), "vec_id", "left_anti")
+    states = [search.exact_knn_blocked(members.filter(F.col("vec_id") % 20 != s), asked).withColumn("state", F.lit(s)) for s in (0, 1)]
+    return states[0].unionByName(states[1]).select("state", "query_id", "rank", "base_id", F.round("score", 6).alias("score"))
+
+
+@query("membership_turnover", "WITH o AS (SELECT vec_id FROM embeddings WHERE vec_id % 20 <> 0), n AS (SELECT vec_id FROM embeddings WHERE vec_id % 20 <> 1) SELECT (SELECT count(*) FROM (FROM o INTERSECT FROM n)) AS kept, (SELECT count(*) FROM (FROM o EXCEPT FROM n)) AS removed, (SELECT count(*) FROM (FROM n EXCEPT FROM o)) AS added, (SELECT count(*) FROM (FROM o UNION FROM n)) AS together")
+def membership_turnover(spark, sf_dir):
+    ids = table(spark, sf_dir, "embeddings").select("vec_id")
+    sides = ids.filter("vec_id % 20 <> 0").withColumn("old", F.lit(True)).unionByName(ids.filter("vec_id % 20 <> 1").withColumn("old", F.lit(False)))
+    each = sides.groupBy("vec_id").agg(F.max("old").alias("o"), F.max(~F.col("old")).alias("n"))
+    count = lambda c, n: F.count(F.when(c, 1)).alias(n)
+    return each.agg(count(F.col("o") & F.col("n"), "kept"), count(F.col("o") & ~F.col("n"), "removed"), count(F.col("n") & ~F.col("o"), "added"), F.count("*").alias("together"))
+
+
+@query("score_reference", f"""WITH {_knn_sql('l2')}, r AS (SELECT score, list_dot_product(q.e, q.e) + list_dot_product(b.e, b.e) AS scale, list_dot_product(q.e, b.e) AS p FROM knn JOIN vec q ON q.vec_id = query_id JOIN vec b ON b.vec_id = base_id)
+SELECT count(*) AS n, count(*) FILTER (abs(score - (scale - 2 * p)) > scale * (128 * pow(2.0, -23)) + 1e-3) AS beyond FROM r""")
+def score_reference(spark, sf_dir):
+    """Scores recomputed by norms and products; counts those off by more than single precision allows."""
+    base = vecs(spark, sf_dir)
+    q, b = base.select(F.col("vec_id").alias("query_id"), F.col("e").alias("eq")), base.select(F.col("vec_id").alias("base_id"), F.col("e").alias("eb"))
+    both = search.exact_knn_blocked(base, base).join(q, "query_id").join(b, "base_id")
+    scale = D.norm_l2sq(F.col("eq")) + D.norm_l2sq(F.col("eb"))
+    off = F.abs(F.col("score") - D.l2_norm_form(F.col("eq"), F.col("eb"))) > scale * (128 * 2.0**-23) + 1e-3
+    return both.agg(F.count("*").alias("n"), F.count(F.when(off, 1)).alias("beyond"))
+
+
+# --- censored failures, envelopes, profile costs ---------------------------------------------------------
+
+
+@query("endpoint_censored_failure", f"""WITH {_CUBE}, z AS (SELECT *, hits < {K} AS rec, bool_or(hits < {K} AND action_idx = {N - 1}) OVER (PARTITION BY build, query_id) AS censored FROM cube)
+SELECT build, action_idx, count(*) FILTER (rec) AS recall_failures, count(*) FILTER (censored) AS censored, count(*) FILTER (rec OR censored) AS absolute_failures FROM z GROUP BY ALL""")
+def endpoint_censored_failure(spark, sf_dir):
+    """A query whose last action fails counts as a failure of every action."""
+    rec = F.col("hits") < K
+    z = cube_of(spark, sf_dir).withColumn("censored", F.max(rec & (F.col("action_idx") == N - 1)).over(Window.partitionBy("build", "query_id")))
+    count = lambda c, n: F.count(F.when(c, 1)).alias(n)
+    return z.groupBy("build", "action_idx").agg(count(rec, "recall_failures"), count(F.col("censored"), "censored"), count(rec | F.col("censored"), "absolute_failures"))
+
+
+@query("ordered_envelope", f"""WITH {_HM}, c AS (SELECT target, source_max AS cell, count(*) AS n, max(label) AS top FROM hm JOIN lab ON lab.build = target AND lab.query_id = hm.query_id GROUP BY ALL)
+SELECT target, CAST(cell AS INT) AS cell, n, CAST(top AS INT) AS common, CAST(max(top) OVER (PARTITION BY target ORDER BY cell) AS INT) AS ordered FROM c""")
+def ordered_envelope(spark, sf_dir):
+    """Each cell's largest label and its running maximum along the ordered cells (a row a cell by then)."""
+    labelled = policy.labels(cube_of(spark, sf_dir))
+    own = labelled.select(F.col("build").alias("target"), "query_id", "label")
+    cells = policy.history_max(labelled).select("target", "query_id", F.col("source_max").alias("cell")).join(own, ["target", "query_id"]).groupBy("target", "cell").agg(F.count("*").alias("n"), F.max("label").alias("common"))
+    return cells.withColumn("ordered", F.max("common").over(Window.partitionBy("target").orderBy("cell"))).select("target", "cell", "n", "common", "ordered")
+
+
+@query("sequential_profile_cost", f"WITH {_LABELS} SELECT build, query_id, CAST(sum(ndc) AS BIGINT) AS cost FROM cube JOIN lab USING (build, query_id) WHERE action_idx <= coalesce(first_pass, {N - 1}) GROUP BY ALL")
+def sequential_profile_cost(spark, sf_dir):
+    """The cost of trying actions in order up to the first that passes, in one pass over the sorted prices."""
+    tried = F.array_sort(F.collect_list(F.struct("action_idx", "hits", "ndc")))
+    each = cube_of(spark, sf_dir).groupBy("build", "query_id").agg(tried.alias("t"), F.coalesce(F.min(F.when(policy.safe(), F.col("action_idx"))), F.lit(N - 1)).alias("stop"))
+    cost = F.aggregate("t", F.lit(0).cast("long"), lambda a, x: a + F.when(x["action_idx"] <= F.col("stop"), x["ndc"]).otherwise(0))
+    return each.select("build", "query_id", cost.alias("cost"))
+
+
+@query("vector_cells", f"""WITH {_LABELS}, v AS (SELECT t.build AS target, t.query_id, t.label, string_agg(s.label, ',' ORDER BY s.build) AS cell FROM lab t JOIN lab s ON s.query_id = t.query_id AND s.build <> t.build GROUP BY ALL)
+SELECT target, cell, count(*) AS n, count(DISTINCT label) AS n_labels FROM v GROUP BY target, cell""")
+def vector_cells(spark, sf_dir):
+    """Cells by the whole vector of the other builds' labels: one list a query, cut for each target."""
+    labelled = policy.labels(cube_of(spark, sf_dir))
+    lists = labelled.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("build", "label"))).alias("v"))
+    each = lists.select("query_id", "v", F.explode("v").alias("t"))
+    cell = F.array_join(F.transform(F.filter("v", lambda s: s["build"] != F.col("t.build")), lambda s: s["label"].cast("string")), ",")
+    return each.select(F.col("t.build").alias("target"), cell.alias("cell"), F.col("t.label").alias("label")).groupBy("target", "cell").agg(F.count("*").alias("n"), F.count_distinct("label").alias("n_labels"))
+
+
+@query("tail_ratio", "WITH q AS (SELECT event_type, quantile_cont(value, 0.95) AS p FROM events GROUP BY 1) SELECT event_type, round(p / (SELECT quantile_cont(value, 0.95) FROM events), 6) AS ratio FROM q")
+def tail_ratio(spark, sf_dir):
+    """The 95th percentile of each type over that of all, from one grouping by type and its total."""
+    p = table(spark, sf_dir, "events").rollup("event_type").agg(F.percentile("value", F.lit(0.95)).alias("p"), F.grouping("event_type").alias("total"))
+    whole = p.filter("total = 1").select(F.col("p").alias("all"))
+    return p.filter("total = 0").join(F.broadcast(whole)).select("event_type", F.round(F.col("p") / F.col("all"), 6).alias("ratio"))
+
+
+@query("event_rates", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS start, count(*) AS n, count(*) FILTER (event_type = 'error') AS bad, round(count(*) FILTER (event_type = 'error') / count(*), 6) AS share, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+def event_rates(spark, sf_dir):
+    return monitor.rates(table(spark, sf_dir, "events")).withColumn("start", F.date_format("start", "yyyy-MM-dd HH"))
