@@ -96,8 +96,9 @@ def test_codes_decode_within_an_interval(spark):
     assert quantize.scalar_codes(rows.limit(0)).count() == 0
 
 
-def test_stream_equals_batch(spark):
-    folder = "/root/testdata/sf0.001/events.parquet"
+def test_stream_equals_batch(spark, tmp_path):
+    folder = str(tmp_path / "events")
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(3).write.parquet(folder)
     events = spark.read.parquet(folder)
     stream = monitor.watch(spark, folder, events.schema, "event_rates_seen")
     assert stream.awaitTermination(120)
