@@ -31,3 +31,12 @@ def lloyd_step(base: DataFrame, assigned: DataFrame) -> DataFrame:
     means = each.groupBy("list", "dim").agg(F.avg("v").alias("m"), F.count("*").alias("n"))
     listed = means.groupBy("list").agg(F.max("n").alias("size"), F.array_sort(F.collect_list(F.struct("dim", "m"))).alias("c"))
     return listed.select("list", "size", F.transform("c", lambda c: c["m"]).alias("centre"))
+
+
+def centred(base: DataFrame) -> DataFrame:
+    """vec_id and e less the mean of its dimension, over its length then; zero vectors stay zero."""
+    means = base.select(F.posexplode("e").alias("dim", "v")).groupBy("dim").agg(F.avg("v").alias("m"))
+    row = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda x: x["m"]).alias("m"))
+    moved = base.join(F.broadcast(row)).select("vec_id", F.zip_with("e", "m", lambda x, m: x - m).alias("e"))  # one row of one array
+    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))
+    return moved.withColumn("norm", norm).withColumn("e", F.transform("e", lambda x: F.when(F.col("norm") > 0, x / F.col("norm")).otherwise(0.0)))

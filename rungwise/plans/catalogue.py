@@ -631,3 +631,10 @@ def tail_ratio(spark, sf_dir):
 @query("event_rates", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS start, count(*) AS n, count(*) FILTER (event_type = 'error') AS bad, round(count(*) FILTER (event_type = 'error') / count(*), 6) AS share, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def event_rates(spark, sf_dir):
     return monitor.rates(table(spark, sf_dir, "events")).withColumn("start", F.date_format("start", "yyyy-MM-dd HH"))
+
+
+@query("centred_vectors", f"""WITH {_VEC}, {_DIMS}, m AS (SELECT dim, avg(v) AS m FROM x GROUP BY dim), c AS (SELECT vec_id, dim, v - m AS c FROM x JOIN m USING (dim)), n AS (SELECT vec_id, sqrt(sum(c * c)) AS norm FROM c GROUP BY vec_id)
+SELECT vec_id, CAST(dim AS INT) AS dim, round(norm, 6) AS norm, round(CASE WHEN norm > 0 THEN c / norm ELSE 0 END, 6) + 0.0 AS v FROM c JOIN n USING (vec_id)""")
+def centred_vectors(spark, sf_dir):
+    moved = quantize.centred(vecs(spark, sf_dir))
+    return moved.select("vec_id", F.round("norm", 6).alias("norm"), F.posexplode("e").alias("dim", "v")).withColumn("v", F.round("v", 6))
