@@ -14,6 +14,8 @@ from rungwise.llm import bagminhash, bpe, lines, mixing, toxicity
 from rungwise.llm.common import materialise, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Most words of edit between near lines: one for every ten words, from 20 words on, up to this.
+MOST_EDITS = 4
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier line equals or nearly equals; emptied ones stay."""
-    return lines.dedup_lines(docs).select(*docs.columns)
+    return lines.dedup_lines(docs, most=MOST_EDITS).select(*docs.columns)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,8 +14,15 @@ it or is near it.
 4. Each line's earliest partner is compared with it by edit distance; the drop list goes back to the
    documents as line numbers.
 
+With ``most`` over one the bound grows with the line: a word for every ten of the shorter line's, ``most``
+at most.  Deletions of several words are too many to write, so lines of 20 words and more also take a
+segment join: a line within k edits of another holds one of the other's k + 1 segments, at few places.
+Keys are met by the earliest line first; only lines that this leaves go on to all earlier ones, behind
+128 parity bits of the words that lose no pair.
+
 Defined results: lines are split at U+000A only; blank lines and lines under MIN_WORDS words always
-stay; lines under NEAR_WORDS words are compared for equality only; null texts stay null and empty ones
+stay; lines under NEAR_WORDS words are compared for equality only (callers may set both lower, as the
+pipeline does; the SQL of op4 holds these two); null texts stay null and empty ones
 empty; rows with equal doc_id and text share one fate; null ids come first in the order; a document may
 lose all its lines and stays as an empty text; all columns are kept, ``n_chars`` follows the text.
 """
@@ -35,6 +42,8 @@ from rungwise.llm.common import count_of, materialise, small_batches, table, wor
 MIN_WORDS = 3
 NEAR_WORDS = 8
 BOUND = 1
+#: Words of the shorter line for each word of edit, where the bound grows.
+WORDS_PER_EDIT = 10
 
 _P = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
@@ -55,13 +64,13 @@ def _line_keys() -> tuple[Column, Column]:
     return F.xxhash64("line").alias("h0"), F.xxhash64(F.lit(1), "line").alias("h1")
 
 
-def _half_keys() -> list[Column]:
+def _half_keys(near_words: int) -> list[Column]:
     """Hashes of the first and last half of a line's words, and of halves one shorter if n is even.
 
     A line of n words and one of n + 1 agree on n // 2 words at one end, so both emit that length.
     """
     words, n, h = F.col("words"), F.col("n"), F.shiftright("n", 1)
-    near = F.col("n") >= NEAR_WORDS
+    near = F.col("n") >= near_words
 
     def key(side: int, length: Column, when: Column) -> Column:
         part = F.slice(words, F.lit(1), length) if side == 0 else F.slice(words, n - length + 1, length)
@@ -71,13 +80,13 @@ def _half_keys() -> list[Column]:
     return [key(0, h, near).alias("k0"), key(1, h, near).alias("k1"), key(0, h - 1, even).alias("k2"), key(1, h - 1, even).alias("k3")]
 
 
-def classes_of(lines: DataFrame) -> DataFrame:
-    """One row for each distinct line of MIN_WORDS words or more: cid, keys, first place, copies, half keys."""
+def classes_of(lines: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, sized: bool = False) -> DataFrame:
+    """One row for each distinct line of min_words words or more: cid, keys, first place, copies, half keys."""
     # A generator of one row keeps the filter above it, so that lines are split once and not twice.
-    worded = lines.select("*", F.explode(F.array(words_of(F.col("line")))).alias("words")).withColumn("n", F.size("words")).filter(F.col("n") >= MIN_WORDS)
-    keyed = worded.select(*_line_keys(), _place().alias("place"), *_half_keys())
+    worded = lines.select("*", F.explode(F.array(words_of(F.col("line")))).alias("words")).withColumn("n", F.size("words")).filter(F.col("n") >= min_words)
+    keyed = worded.select(*_line_keys(), _place().alias("place"), *_half_keys(near_words), "n")
     halves = [F.max(f"k{i}").alias(f"k{i}") for i in range(4)]
-    grouped = keyed.groupBy("h0", "h1").agg(F.min("place").alias("first"), F.count("*").alias("copies"), *halves)
+    grouped = keyed.groupBy("h0", "h1").agg(F.min("place").alias("first"), F.count("*").alias("copies"), *halves, *([F.max("n").alias("n")] if sized else []))
     return materialise(grouped.withColumn("cid", F.monotonically_increasing_id()), "line-classes")
 
 
@@ -129,6 +138,51 @@ def distance_within(a: list[str], b: list[str], bound: int = BOUND) -> bool:
     return row[len(b)] <= bound
 
 
+def bound_of(n: int, most: int) -> int:
+    """Words of edit between lines of which the shorter has n words."""
+    return max(1, min(most, n // WORDS_PER_EDIT))
+
+
+def segment_keys(words: list[str], most: int) -> tuple[np.ndarray, int, tuple[int, int]]:
+    """(keys, how many of them are the line's own segments, parity bits); the others are what else it probes.
+
+    The line of n words lays down its bound + 1 even segments.  A line of m words probes those of every
+    n <= m: a segment i (from 0) of a line within k edits starts at most i places off with what is left of
+    it, and at most k - i places off with what is right of it, for one i at least.
+    """
+    m = len(words)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, m)
+    powers = np.full(m + 1, _P)
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    prefix = np.zeros(m + 1, np.uint64)
+    np.add.accumulate(hashes * powers[:-1], out=prefix[1:])
+    back = np.full(m + 1, _P_INVERSE)
+    back[0] = 1
+    back = np.multiply.accumulate(back)
+    at: list[tuple[int, int, int]] = []
+    own = 0
+    for n in range(m, max(m - most, 2 * WORDS_PER_EDIT) - 1, -1):
+        k, longer = bound_of(n, most), m - n
+        if longer > k:
+            continue
+        cuts = [n * i // (k + 1) for i in range(k + 2)]
+        if not longer:
+            at += [(cuts[i], cuts[i + 1], n * 8 + i) for i in range(k + 1)]
+            own = len(at)
+        for i in range(k + 1):
+            size = cuts[i + 1] - cuts[i]
+            low, high = max(-i, longer - (k - i)), min(i, longer + (k - i))
+            begins = range(max(0, cuts[i] + low), min(m - size, cuts[i] + high) + 1)
+            at += [(b, b + size, n * 8 + i) for b in begins if longer or b != cuts[i]]
+    begin, end, tag = np.array(at or np.zeros((0, 3)), dtype=np.int64).T
+    part = (prefix[end] - prefix[begin]) * back[begin]
+    keys = (part ^ (part >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + tag.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
+    bits = np.uint64(1) << (hashes & np.uint64(63))
+    high = (hashes & np.uint64(64)) > 0
+    return keys, own, tuple(int(np.bitwise_xor.reduce(bits[x]).view(np.int64)) if x.any() else 0 for x in (high, ~high))
+
+
 _SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
 
 
@@ -178,12 +232,71 @@ def _near_first(texts: DataFrame) -> DataFrame:
     return pairs.filter(near("line", "other_line")).select("cid", "near")
 
 
-def drop_list(docs: DataFrame) -> DataFrame:
+def _near_earlier(texts: DataFrame, most: int) -> DataFrame:
+    """cid and the first place of an earlier class within the growing bound; for lines of 20 words and more."""
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts, holders, size = [], [], 0
+            for cid, line in zip(batch["cid"], batch["line"]):
+                found, own, _ = segment_keys(_words(line), most)
+                parts.append(found.view(np.int64))
+                holders.append(cid * 2 + (np.arange(len(found)) >= own))
+                size += len(found)
+                if size > 300_000:
+                    yield pd.DataFrame({"key": np.concatenate(parts), "holder": np.concatenate(holders)})
+                    parts, holders, size = [], [], 0
+            if parts:
+                yield pd.DataFrame({"key": np.concatenate(parts), "holder": np.concatenate(holders)})
+
+    @F.pandas_udf("struct<n:int,b0:long,b1:long>")
+    def bits(line: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(len(w), *segment_keys(w, most)[2]) for w in map(_words, line)], columns=["n", "b0", "b1"])
+
+    # Most keys have one holder.  The rows are narrow (the lowest bit of a holder tells a probe), and one
+    # exchange by key serves both the count of holders and the join with it.
+    emitted = small_batches(texts).select("cid", "line").mapInPandas(keys, "key long, holder long").repartition("key")
+    ends = F.min("holder").alias("x"), F.max("holder").alias("y"), F.min(F.col("holder") % 2).alias("probe")
+    shared = emitted.groupBy("key").agg(*ends).filter("probe = 0 AND shiftright(x, 1) <> shiftright(y, 1)").select("key")
+    held = materialise(emitted.join(shared.hint("merge"), "key", "left_semi"), "line-segments")
+    held = held.select("key", (F.col("holder") % 2 == 1).alias("probe"), F.shiftright("holder", 1).alias("cid"))
+    known = texts.join(held.select("cid").distinct(), "cid", "left_semi").select("cid", "first", bits("line").alias("w")).select("cid", "first", "w.*")
+    live = materialise(held.join(known, "cid"), "line-segments-shared")
+    limit = lambda n: F.greatest(F.lit(1), F.least(F.lit(most), F.floor(n / WORDS_PER_EDIT)))
+
+    def close(a: str, b: str) -> Column:
+        """Whether b is earlier and the bits, of which an edit turns two at most, allow the bound."""
+        turned = F.bit_count(F.col(f"{a}.b0").bitwiseXOR(F.col(f"{b}.b0"))) + F.bit_count(F.col(f"{a}.b1").bitwiseXOR(F.col(f"{b}.b1")))
+        return (F.col(f"{b}.first") < F.col(f"{a}.first")) & (turned <= 2 * limit(F.least(F.col(f"{a}.n"), F.col(f"{b}.n"))))
+
+    @F.pandas_udf("boolean")
+    def near(a: pd.Series, b: pd.Series) -> pd.Series:
+        pairs = ((_words(x), _words(y)) for x, y in zip(a, b))
+        return pd.Series([distance_within(x, y, bound_of(min(len(x), len(y)), most)) for x, y in pairs], dtype=bool)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        lines = pairs.distinct().join(texts.select("cid", "line"), "cid")
+        lines = lines.join(texts.select(F.col("cid").alias("other"), F.col("line").alias("other_line"), F.col("first").alias("near")), "other")
+        return lines.filter(near("line", "other_line")).groupBy("cid").agg(F.min("near").alias("near"))
+
+    holder = F.struct("first", "cid", "n", "b0", "b1")
+    least = live.groupBy("key").agg(F.min(holder).alias("any"), F.min(F.when(~F.col("probe"), holder)).alias("own"))
+    met = live.alias("a").join(least, "key").withColumn("b", F.when(F.col("probe"), F.col("own")).otherwise(F.col("any")))
+    found = materialise(verified(met.filter(close("a", "b")).select(F.col("a.cid").alias("cid"), F.col("b.cid").alias("other"))), "line-earliest")
+    a, b = live.join(found, "cid", "left_anti").alias("a"), live.alias("b")
+    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & ~(F.col("a.probe") & F.col("b.probe")) & close("a", "b"))
+    return found.unionByName(verified(rest.select(F.col("a.cid").alias("cid"), F.col("b.cid").alias("other"))))
+
+
+def drop_list(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, most: int = BOUND) -> DataFrame:
     """doc_id, th and pos of the lines that go."""
     lines = line_rows(docs)
-    classes = classes_of(lines)
+    classes = classes_of(lines, min_words, near_words, most > 1)
     texts = materialise(_texts_of(docs, _with_shared_half(classes)), "line-texts")
     near = materialise(_near_first(texts), "line-near")
+    if most > 1:
+        long = materialise(_texts_of(docs, classes.filter(F.col("n") >= 2 * WORDS_PER_EDIT).select("cid", "first")), "line-long")
+        near = materialise(near.unionByName(_near_earlier(long, most)).groupBy("cid").agg(F.min("near").alias("near")), "line-nearest")
     marked = classes.join(near, "cid", "left").filter("copies > 1 OR near IS NOT NULL")
     least = F.when(F.col("near") < F.col("first"), F.col("near")).otherwise(F.col("first"))
     limits = marked.select("h0", "h1", least.alias("keep"))
@@ -191,9 +304,9 @@ def drop_list(docs: DataFrame) -> DataFrame:
     return placed.join(limits, ["h0", "h1"]).filter("place > keep").select("place.*")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, most: int = BOUND) -> DataFrame:
     """``docs`` with the text rewritten, n_lines and n_dropped added."""
-    dropped = drop_list(docs).groupBy(F.col("doc_id").alias("_i"), F.col("th").alias("_t")).agg(F.collect_set("pos").alias("_drop"))
+    dropped = drop_list(docs, min_words, near_words, most).groupBy(F.col("doc_id").alias("_i"), F.col("th").alias("_t")).agg(F.collect_set("pos").alias("_drop"))
     rows = docs.drop("n_lines", "n_dropped").withColumn("_th", F.xxhash64("text"))
     joined = rows.join(dropped, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")), "left").drop("_i", "_t", "_th")
     split = joined.withColumn("_lines", F.when(F.col("_drop").isNotNull(), F.split("text", "\n", -1)))

@@ -118,6 +118,46 @@ def test_lines(docs, empty, spark):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def _edited(rng, words, edits):
+    out = list(words)
+    for _ in range(edits):
+        i = rng.randrange(len(out))
+        out[i : i + rng.randint(0, 1)] = [f"v{rng.randrange(99)}"] * rng.randint(0, 1)
+    return out
+
+
+def test_segment_keys_find_every_near_pair():
+    rng = random.Random(6)
+    for _ in range(2000):
+        a = [f"w{rng.randrange(9)}" for _ in range(rng.randint(20, 60))]
+        b = _edited(rng, a, rng.randint(1, 4))
+        a, b = sorted((a, b), key=len)
+        k = lines.bound_of(len(a), 4)
+        if len(a) < 20 or not lines.distance_within(a, b, k):
+            continue
+        (ka, own, sa), (kb, _, sb) = lines.segment_keys(a, 4), lines.segment_keys(b, 4)
+        assert set(ka[:own]) & set(kb)
+        assert sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(sa, sb)) <= 2 * k
+
+
+def test_growing_bound_against_all_pairs(spark):
+    rng = random.Random(7)
+    rows = []
+    for _ in range(60):
+        base = [f"w{rng.randrange(300)}" for _ in range(rng.randint(12, 55))]
+        rows += [base] + [_edited(rng, base, rng.randint(0, 6)) for _ in range(rng.randrange(5))]
+    passage = [f"p{i}" for i in range(15)]
+    rows += [passage + [f"w{rng.randrange(300)}" for _ in range(25)] for _ in range(40)]
+    rng.shuffle(rows)
+    want = set()
+    for i, a in enumerate(rows):
+        if any(lines.distance_within(a, b, lines.bound_of(min(len(a), len(b)), 4)) for b in rows[:i]):
+            want.add(i)
+    df = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    assert {r["doc_id"] for r in lines.dedup_lines(df, most=4).collect() if r["n_dropped"]} == want
+    assert {r["doc_id"] for r in lines.dedup_lines(df).collect() if r["n_dropped"]} < want
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = [(1, "http://a", "x" * 200_000 + "é"), (2, "u", "x" * 200_000 + "é"), (3, None, None), (4, "n\r\nl", ""), (5, "w", "a\r\n\r\nWARC/1.1\r\nContent-Length: 1\r\n\r\nzz"), (None, "z", "zz"), (6, "w", "zz"), (6, "w", "zz")]
     path = str(tmp_path / "w")
