@@ -20,3 +20,10 @@ def test_run(spark):
     assert {r["doc_id"] for r in rows} == set(texts)
     assert all(r["decoded_ok"] and list(r["ids"]) == codec.encode(texts[r["doc_id"]]) for r in rows)
     assert toxicity.THRESHOLD == 0.7
+
+
+def test_short_and_unspaced_lines_are_deduplicated(spark):
+    rows = [(1, "Les.\n漢字漢字漢字漢字\none two three four five\n\na b c d"), (2, "Les.\n漢字漢字漢字漢字\none two X four five\n\na b c X")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, docs, SMALL).collect()}
+    assert got == {1: rows[0][1], 2: "\na b c X"}
