@@ -126,11 +126,15 @@ def _iban_check(country: str, account: str) -> str:
 
 
 def _iban(p: Permuter, m: re.Match) -> str | None:
-    plain = m.group().replace(" ", "")
-    if not 15 <= len(plain) <= 34 or _iban_check(plain[:2], plain[4:]) != plain[2:4]:
-        return None
-    account = _same_classes(p, plain[4:], "iban" + plain[:2])
-    return _fill(m.group(), plain[:2] + _iban_check(plain[:2], account) + account, str.isalnum)
+    """The pseudonym of the longest run of groups that passes; words after the value may fit the form too."""
+    text = m.group()
+    while text:
+        plain = text.replace(" ", "")
+        if 15 <= len(plain) <= 34 and _iban_check(plain[:2], plain[4:]) == plain[2:4]:
+            account = _same_classes(p, plain[4:], "iban" + plain[:2])
+            return _fill(text, plain[:2] + _iban_check(plain[:2], account) + account, str.isalnum)
+        text = text.rpartition(" ")[0]
+    return None
 
 
 def _ssn(p: Permuter, m: re.Match) -> str | None:
@@ -141,13 +145,12 @@ def _ssn(p: Permuter, m: re.Match) -> str | None:
 
 def _ip(p: Permuter, m: re.Match) -> str | None:
     octets = m.group().split(".")
-    if any(int(o) > 255 or (len(o) > 1 and o[0] == "0") for o in octets) or not 1 <= int(octets[0]) <= 223:
+    if any(int(o) > 255 or (len(o) > 1 and o[0] == "0") for o in octets):
         return None
     value = 0
     for o in octets:
         value = value * 256 + int(o)
-    low, size = 1 << 24, 223 << 24
-    value = low + p.number(value - low, size, "ip")
+    value = p.number(value, 1 << 32, "ip")
     return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
 
 
@@ -218,6 +221,19 @@ KINDS: tuple[tuple[str, str, re.Pattern, Callable], ...] = (
 _ANY_DIGIT = re.compile("[0-9]")
 
 
+def _found(p: Permuter, text: str, kind: str, form: re.Pattern, replace: Callable) -> Iterator[tuple[int, int, str]]:
+    """(start, end, pseudonym) of one kind.  An IBAN's match may run into what follows, another IBAN too: it
+    ends where its pseudonym does, and one that fails gives up its first four characters only."""
+    m = form.search(text)
+    while m:
+        to, end = replace(p, m), m.end()
+        if kind == "iban":
+            end = m.start() + (4 if to is None else len(to))
+        if to is not None:
+            yield m.start(), end, to
+        m = form.search(text, end)
+
+
 def replacements(p: Permuter, text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of the values in a text, in order and without overlaps."""
     found: list[tuple[int, int, str, str]] = []
@@ -225,7 +241,7 @@ def replacements(p: Permuter, text: str) -> list[tuple[int, int, str, str]]:
     for kind, needs, form, replace in KINDS:
         if not (digit if needs is DIGITS else any(c in text for c in needs)):
             continue
-        new = [(m.start(), m.end(), kind, to) for m in form.finditer(text) if (to := replace(p, m)) is not None]
+        new = [(a, b, kind, to) for a, b, to in _found(p, text, kind, form, replace)]
         for a, b, _, _ in new:  # what is taken is hidden from the kinds that follow
             text = text[:a] + "\0" * (b - a) + text[b:]
         found += new

@@ -72,6 +72,19 @@ def test_pseudonyms(docs, empty):
     assert pii.pseudonymise(empty).count() == 0
 
 
+def test_addresses_of_all_octets_and_ibans_before_words():
+    p = pii.Permuter("k")
+    for text in ("233.254.104.120", "240.40.1.146", "0.0.0.0"):
+        assert pii.pseudonymised(p, f"at {text}.")[0] != f"at {text}."
+    for value in ("AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332"):
+        alone = pii.pseudonymised(p, value)[0]
+        assert alone != value
+        for rest in (" BIC", " BANK NO", " " + value):
+            new, found = pii.pseudonymised(p, value + rest)
+            assert new == alone + (" " + alone if value in rest else rest) and found[0][:3] == (0, len(value), "iban")
+    assert pii.pseudonymised(p, "XX12 3456 7890 AT61 1904 3002 3457 3201")[0] == "XX12 3456 7890 " + pii.pseudonymised(p, "AT61 1904 3002 3457 3201")[0]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(120, 24))
