@@ -6,8 +6,8 @@ trees learn the verdict from lexical features (length, depth, digit ratio, entro
 and from smoothed block rates of suffixes and first path segments, and judge every other URL.
 
 Only the fit reads a sample: rows whose hash lies under ``SAMPLE_ROWS / labelled rows``, so about
-SAMPLE_ROWS at any size.  Suffix statistics come from that sample too, and only the STAT_VALUES
-most frequent values have one, which bounds the map that the plan carries.
+SAMPLE_ROWS at any size.  The block rates are counted on all labelled rows, for every value, and joined;
+they are broadcast up to BROADCAST_VALUES values (counted), beyond that the join is by value.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, fits no rule and is
 judged by the trees like any other; if the labelled URLs are none or of one kind only, that kind is
@@ -24,12 +24,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwise.llm.common import table, unit_hash
+from rungwise.llm.common import materialise, table, unit_hash
 
 #: Expected number of labelled rows that the trees are fitted on.
 SAMPLE_ROWS = 20_000
-#: Values of a suffix or path segment that have a statistic of their own.
-STAT_VALUES = 200
+#: Values of a suffix or path segment up to which their rates are broadcast.
+BROADCAST_VALUES = 100_000
 PRIOR_ROWS = 10.0
 TREES, DEPTH = 10, 4
 #: Rules that are written into the plan; more would make it unwieldy.
@@ -91,13 +91,19 @@ LEXICAL = ["f_length", "f_host_length", "f_labels", "f_depth", "f_digits", "f_en
 RATES = {"v_suffix": "f_suffix_rate", "v_segment": "f_segment_rate"}
 
 
-def _rate_column(sample: DataFrame, value: str, prior: float) -> Column:
-    """Smoothed block rate of a value in the sample; the prior for values without one."""
-    top = sample.groupBy(value).agg(F.count("*").alias("n"), F.sum("label").alias("blocked")).orderBy(F.desc("n"), value).limit(STAT_VALUES).collect()
-    if not top:
-        return F.lit(prior)
-    pairs = [x for r in top for x in (F.lit(r[value]), F.lit((r["blocked"] + PRIOR_ROWS * prior) / (r["n"] + PRIOR_ROWS)))]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(value)), F.lit(prior))
+def _rates(labelled: DataFrame, value: str, prior: float) -> DataFrame:
+    """Each labelled value with its smoothed block rate."""
+    counted = labelled.groupBy(value).agg(F.count("*").alias("n"), F.sum("label").alias("blocked"))
+    rate = (F.col("blocked") + PRIOR_ROWS * prior) / (F.col("n") + PRIOR_ROWS)
+    rates = materialise(counted.select(value, rate.alias(RATES[value])), "url-rates")
+    return F.broadcast(rates) if rates.count() <= BROADCAST_VALUES else rates
+
+
+def _with_rates(featured: DataFrame, rates: dict[str, DataFrame], prior: float) -> DataFrame:
+    """The rates of both values; the prior for values without a label."""
+    for value, found in rates.items():
+        featured = featured.join(found, value, "left").withColumn(RATES[value], F.coalesce(RATES[value], F.lit(prior)))
+    return featured
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -111,19 +117,16 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
         only = next(iter(kinds), "allow")
         return ruled.select(*out, F.coalesce("ruled", F.lit(only)).alias("verdict"), F.lit(float(only == "block")).alias("score"))
     share = min(1.0, SAMPLE_ROWS / sum(kinds.values()))
-    labelled = ruled.filter(F.col("ruled").isNotNull() & (unit_hash("url sample", F.col("url"), F.col("page_id")) < share))
-    sample = _features(labelled).withColumn("label", (F.col("ruled") == "block").cast("double")).cache()
+    prior = kinds["block"] / sum(kinds.values())
+    labelled = _features(ruled.filter(F.col("ruled").isNotNull())).withColumn("label", (F.col("ruled") == "block").cast("double"))
+    rates = {value: _rates(labelled, value, prior) for value in RATES}
+    gather = VectorAssembler(inputCols=[*LEXICAL, *RATES.values()], outputCol="features")
+    sample = gather.transform(_with_rates(labelled.filter(unit_hash("url sample", F.col("url"), F.col("page_id")) < share), rates, prior)).select("features", "label").cache()
     try:
-        prior = sample.agg(F.avg("label")).first()[0]
-        if prior is None:
-            prior = kinds["block"] / sum(kinds.values())
-        rates = {to: _rate_column(sample, value, prior) for value, to in RATES.items()}
-        inputs = [*LEXICAL, *rates]
-        gather = VectorAssembler(inputCols=inputs, outputCol="features")
-        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(gather.transform(sample.withColumns(rates)).select("features", "label"))
+        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(sample)
     finally:
         sample.unpersist()
-    scored = model.transform(gather.transform(_features(ruled).withColumns(rates)))
+    scored = model.transform(gather.transform(_with_rates(_features(ruled), rates, prior)))
     score = vector_to_array("probability")[1]
     return scored.select(*out, F.coalesce("ruled", F.when(score >= 0.5, "block").otherwise("allow")).alias("verdict"), score.alias("score"))
 

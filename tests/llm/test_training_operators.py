@@ -313,3 +313,10 @@ def test_url_trees_learn_the_rules(spark):
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url")
     rows = urls.judge(pages).filter("rule IS NOT NULL").selectExpr("avg(IF((score >= 0.5) = (verdict = 'block'), 1.0, 0.0)) AS right").first()
     assert rows["right"] > 0.9
+
+
+def test_url_rates_cover_every_labelled_value(spark):
+    rows = [(f"http://{host}.net/{i:03d}/x", i) for i in range(400) for host in [("abc", "bca")[i % 2]] * 20 + ["cab"]]
+    pages = spark.createDataFrame([(n, url) for n, (url, _) in enumerate(rows)], "page_id long, url string")
+    got = urls.judge(pages, (("block", "abc.net/"), ("allow", "bca.net/"))).filter("rule IS NULL").collect()
+    assert len(got) == 400 and all(r["verdict"] == ("allow" if int(r["path"][1:4]) % 2 else "block") for r in got)
