@@ -253,8 +253,7 @@ def _near_earlier(texts: DataFrame, most: int) -> DataFrame:
     def bits(line: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([(len(w), *segment_keys(w, most)[2]) for w in map(_words, line)], columns=["n", "b0", "b1"])
 
-    # Most keys have one holder.  The rows are narrow (the lowest bit of a holder tells a probe), and one
-    # exchange by key serves both the count of holders and the join with it.
+    # Most keys have one holder.  The rows are narrow: the lowest bit of a holder tells a probe.
     emitted = small_batches(texts).select("cid", "line").mapInPandas(keys, "key long, holder long").repartition("key")
     ends = F.min("holder").alias("x"), F.max("holder").alias("y"), F.min(F.col("holder") % 2).alias("probe")
     shared = emitted.groupBy("key").agg(*ends).filter("probe = 0 AND shiftright(x, 1) <> shiftright(y, 1)").select("key")
