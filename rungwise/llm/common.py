@@ -10,6 +10,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +23,7 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 
 _made: list[tuple[SparkSession, str]] = []
+_scope: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("scope", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,8 +33,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    Taken from ``spark.checkpoint.dir`` or the session's checkpoint folder; only where neither is
-    set (tests on one machine) a temporary folder is made and set.
+    Taken from ``spark.checkpoint.dir`` or the session's checkpoint folder; where neither is set, a
+    temporary folder is made and set on a single machine, and anything else is an error.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
@@ -38,6 +42,8 @@ def shared_folder(spark: SparkSession) -> str:
         java = context._jsc.sc().getCheckpointDir()
         if java.isDefined():
             return java.get()
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="rungwise-")
         context.setCheckpointDir(named)
         return context._jsc.sc().getCheckpointDir().get()
@@ -52,13 +58,32 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back; cuts lineage."""
+def materialise(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back; cuts lineage.
+
+    Inside :func:`scratch` the table goes at the end of the block unless it is to be kept.
+    """
     path = shared_path(df.sparkSession, tag)
+    inside = _scope.get()
+    if inside is not None and not keep:
+        inside.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Drops the tables that were materialised inside the block; what outlives it must be kept ones."""
+    paths: list[tuple[SparkSession, str]] = []
+    token = _scope.set(paths)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for spark, path in paths:
+            drop_path(spark, path)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -95,9 +120,14 @@ def unit_hash(seed: str, *columns: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """The maximal runs of characters other than ASCII white space; null has none."""
-    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS + "+"))
+    """The maximal runs of characters other than ASCII white space; null has none.
+
+    Split at single blanks, which Java does without a regular expression.
+    """
+    blank = F.coalesce(text, F.lit(""))
+    for c in SPACES[1:]:
+        blank = F.replace(blank, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(blank, " ", -1), "")
 
 
 def n_words(text: Column) -> Column:

@@ -1,30 +1,30 @@
-"""Line dedup: a deletion-neighbourhood join over lines, bound one, in words.
+"""Line dedup: a deletion-neighbourhood join over lines, by words.
 
-Two lines are near if one word is inserted, deleted or replaced between them, or none.  Of near lines
-the earliest stays: a line goes if an earlier one (by doc_id, then text hash, then line number) equals
-it or is near it.
+Two lines are near if their edit distance in words is within a bound: one word from NEAR_WORDS words on,
+and one more for every WORDS_PER_EDIT words of the shorter line, from twice that on, MOST_EDITS at most.
+In the order of their first places (doc_id, then text hash, then line number) a line stays if no earlier
+line that stays equals it or is near it; so every line that goes has one that stays near it.
 
 1. Equal lines become classes with their first place (map-side combined).
-2. A near pair shares the words of one half, whichever edit it has.  Classes that share no half with
-   any other have no near line and stop here; this loses nothing and leaves few.
-3. The others emit all their variants, as keys: the line itself, and the line without each word, with
-   and without the place of the deletion.  Lines with an equal variant at an equal place differ in that
-   word; a whole line that equals another's variant lacks that word.  For each key the earliest holder
-   is a minimum, so that even a key shared by a third of all lines makes one row a line and no pairs.
-4. Each line's earliest partner is compared with it by edit distance; the drop list goes back to the
-   documents as line numbers.
-
-With ``most`` over one the bound grows with the line: a word for every ten of the shorter line's, ``most``
-at most.  Deletions of several words are too many to write, so lines of 20 words and more also take a
-segment join: a line within k edits of another holds one of the other's k + 1 segments, at few places.
-Keys are met by the earliest line first; only lines that this leaves go on to all earlier ones, behind
-128 parity bits of the words that lose no pair.
-
-Defined results: lines are split at U+000A only; blank lines and lines under MIN_WORDS words always
-stay; lines under NEAR_WORDS words are compared for equality only (callers may set both lower, as the
-pipeline does; the SQL of op4 holds these two); null texts stay null and empty ones
-empty; rows with equal doc_id and text share one fate; null ids come first in the order; a document may
-lose all its lines and stays as an empty text; all columns are kept, ``n_chars`` follows the text.
+2. Bound one, for lines up to twice WORDS_PER_EDIT words (all, if the bound doesn't grow): a near pair
+   shares the words of one half; classes that share no half with another stop here.  The others emit
+   their variants as keys: the line itself, and the line without each word, with and without the place
+   of the deletion.  Lines with an equal variant at an equal place differ in that word; a whole line that
+   equals another's variant lacks that word.
+3. Bounds over one, for longer lines: all variants within the bound are too many to write.  The words
+   are dealt to 2k + 1 parts by a hash; k edits touch 2k parts at most, so a near pair agrees in one
+   part: the variant without all other words.  Unlike a passage, such a part spans the whole line, so
+   that lines which only share a passage share no key.
+4. Each round compares a line with the earliest holder of each of its keys that has not gone; lines that
+   find no near one there go on to all earlier holders, behind 128 parity bits of the words, which lose
+   no pair.  Candidates are verified by edit distance.  Lines near one that stays go, lines with none
+   near stay, and what waits for another line's fate takes the next round.
+
+Defined results: lines are split at U+000A only; blank lines always stay; lines under NEAR_WORDS words
+are compared for equality only, and so are lines without ASCII blanks, being one word; null texts stay
+null and empty ones empty; rows with equal doc_id and text share one fate; null ids come first in the
+order; a document may lose all its lines and stays as an empty text; ``n_chars`` follows the text, and
+all other columns are kept but for ``n_lines`` and ``n_dropped``, which are replaced.
 """
 
 from __future__ import annotations
@@ -37,17 +37,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwise.llm.common import count_of, materialise, small_batches, table, words_of
+from rungwise.llm.common import count_of, materialise, scratch, small_batches, table, words_of
 
-MIN_WORDS = 3
-NEAR_WORDS = 8
-BOUND = 1
-#: Words of the shorter line for each word of edit, where the bound grows.
+#: Words from which lines are compared for nearness; lines with a word are compared for equality.
+NEAR_WORDS = 5
+#: Words of the shorter line for each word of edit, from twice as many on.
 WORDS_PER_EDIT = 10
+MOST_EDITS = 4
+MAX_ROUNDS = 100
 
 _P = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 
+WHOLE, WITHOUT, PLACED, PART = 0, 1, 2, 3
+
 
 def _place() -> Column:
     return F.struct("doc_id", "th", "pos")
@@ -64,13 +67,12 @@ def _line_keys() -> tuple[Column, Column]:
     return F.xxhash64("line").alias("h0"), F.xxhash64(F.lit(1), "line").alias("h1")
 
 
-def _half_keys(near_words: int) -> list[Column]:
+def _half_keys(near: Column) -> list[Column]:
     """Hashes of the first and last half of a line's words, and of halves one shorter if n is even.
 
     A line of n words and one of n + 1 agree on n // 2 words at one end, so both emit that length.
     """
     words, n, h = F.col("words"), F.col("n"), F.shiftright("n", 1)
-    near = F.col("n") >= near_words
 
     def key(side: int, length: Column, when: Column) -> Column:
         part = F.slice(words, F.lit(1), length) if side == 0 else F.slice(words, n - length + 1, length)
@@ -80,13 +82,47 @@ def _half_keys(near_words: int) -> list[Column]:
     return [key(0, h, near).alias("k0"), key(1, h, near).alias("k1"), key(0, h - 1, even).alias("k2"), key(1, h - 1, even).alias("k3")]
 
 
-def classes_of(lines: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, sized: bool = False) -> DataFrame:
-    """One row for each distinct line of min_words words or more: cid, keys, first place, copies, half keys."""
+def bound_of(n: int, most: int = MOST_EDITS) -> int:
+    """Words of edit between lines of which the shorter has n words."""
+    return max(1, min(most, n // WORDS_PER_EDIT))
+
+
+def _part_keys(most: int) -> Column:
+    """The keys of a line's parts, from its words' hashes in ``hs``; null for short lines."""
+
+    def keys(k: int) -> Column:
+        parts = 2 * k + 1
+        return F.array(*[F.xxhash64(F.lit(64 * k + c), F.filter("hs", lambda h: F.pmod(h, F.lit(parts)) == c)) for c in range(parts)])
+
+    none = F.array().cast("array<bigint>")
+    dealt = []
+    for k in range(2, most + 1):
+        upper = F.lit(True) if k == most else F.col("n") < (k + 1) * WORDS_PER_EDIT + k
+        dealt.append(F.when((F.col("n") >= k * WORDS_PER_EDIT) & upper, keys(k)).otherwise(none))
+    return F.when(F.col("hs").isNotNull(), F.concat(*dealt))
+
+
+def _parity(high: bool) -> Column:
+    """64 parity bits of the words: an edit turns two of all 128 at most."""
+    one = F.lit(1).cast("long")
+    side = lambda h: F.shiftright(h, 6).bitwiseAND(one) == (1 if high else 0)
+    bit = lambda h: F.call_function("shiftleft", one, h.bitwiseAND(F.lit(63)).cast("int"))
+    return F.aggregate("hs", F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(F.when(side(h), bit(h)).otherwise(F.lit(0).cast("long"))))
+
+
+def classes_of(lines: DataFrame, near_words: int = NEAR_WORDS, most: int = MOST_EDITS) -> DataFrame:
+    """One row for each distinct line with a word: cid, keys, first place, copies, half keys; parts and bits of long lines."""
     # A generator of one row keeps the filter above it, so that lines are split once and not twice.
-    worded = lines.select("*", F.explode(F.array(words_of(F.col("line")))).alias("words")).withColumn("n", F.size("words")).filter(F.col("n") >= min_words)
-    keyed = worded.select(*_line_keys(), _place().alias("place"), *_half_keys(near_words), "n")
-    halves = [F.max(f"k{i}").alias(f"k{i}") for i in range(4)]
-    grouped = keyed.groupBy("h0", "h1").agg(F.min("place").alias("first"), F.count("*").alias("copies"), *halves, *([F.max("n").alias("n")] if sized else []))
+    worded = lines.select("*", F.explode(F.array(words_of(F.col("line")))).alias("words")).withColumn("n", F.size("words")).filter("n > 0")
+    near = F.col("n") >= near_words
+    extra: list[Column] = []
+    if most > 1:
+        near = near & (F.col("n") <= 2 * WORDS_PER_EDIT)
+        worded = worded.withColumn("hs", F.when(F.col("n") >= 2 * WORDS_PER_EDIT, F.transform("words", lambda w: F.xxhash64(w))))
+        extra = ["n", _part_keys(most).alias("parts"), _parity(False).alias("b0"), _parity(True).alias("b1")]
+    keyed = worded.select(*_line_keys(), _place().alias("place"), *_half_keys(near), *extra)
+    more = [F.max("n").alias("n"), F.first("parts").alias("parts"), F.max("b0").alias("b0"), F.max("b1").alias("b1")] if most > 1 else []
+    grouped = keyed.groupBy("h0", "h1").agg(F.min("place").alias("first"), F.count("*").alias("copies"), *[F.max(f"k{i}").alias(f"k{i}") for i in range(4)], *more)
     return materialise(grouped.withColumn("cid", F.monotonically_increasing_id()), "line-classes")
 
 
@@ -97,6 +133,13 @@ def _with_shared_half(classes: DataFrame) -> DataFrame:
     return halves.join(shared, "k", "left_semi").select("cid").distinct().join(classes.select("cid", "first"), "cid")
 
 
+def _part_holders(classes: DataFrame) -> DataFrame:
+    """key, role, cid, first, n and bits of the long lines whose part another class has too."""
+    held = classes.filter("parts IS NOT NULL").select(F.explode("parts").alias("key"), "cid")
+    shared = held.groupBy("key").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).filter("x <> y").select("key")
+    return held.join(shared, "key", "left_semi").join(classes.select("cid", "first", "n", "b0", "b1"), "cid").select("key", F.lit(PART).cast("byte").alias("role"), "cid", "first", "n", "b0", "b1")
+
+
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """cid, first and line text for classes; a document's wanted lines travel as one list."""
     lists = wanted.groupBy(F.col("first.doc_id").alias("i"), F.col("first.th").alias("t")).agg(F.collect_list(F.struct("cid", F.col("first.pos").alias("pos"))).alias("wanted"))
@@ -122,10 +165,16 @@ def variant_keys(words: list[str]) -> tuple[np.uint64, np.ndarray, np.ndarray]:
     return mix(prefix[-1:], np.uint64(n))[0], mix(without, np.uint64(n - 1)), mix(without, np.uint64(n) + places)
 
 
-def distance_within(a: list[str], b: list[str], bound: int = BOUND) -> bool:
-    """Whether the edit distance in words is within the bound (a banded table)."""
+def distance_within(a: list[str], b: list[str], bound: int = 1) -> bool:
+    """Whether the edit distance in words is within the bound (a banded table of what differs)."""
     if abs(len(a) - len(b)) > bound:
         return False
+    low, high = 0, 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        low += 1
+    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    a, b = a[low : len(a) - high], b[low : len(b) - high]
     far = bound + 1
     row = {j: j for j in range(min(len(b), bound) + 1)}
     for i, x in enumerate(a, 1):
@@ -138,51 +187,6 @@ def distance_within(a: list[str], b: list[str], bound: int = BOUND) -> bool:
     return row[len(b)] <= bound
 
 
-def bound_of(n: int, most: int) -> int:
-    """Words of edit between lines of which the shorter has n words."""
-    return max(1, min(most, n // WORDS_PER_EDIT))
-
-
-def segment_keys(words: list[str], most: int) -> tuple[np.ndarray, int, tuple[int, int]]:
-    """(keys, how many of them are the line's own segments, parity bits); the others are what else it probes.
-
-    The line of n words lays down its bound + 1 even segments.  A line of m words probes those of every
-    n <= m: a segment i (from 0) of a line within k edits starts at most i places off with what is left of
-    it, and at most k - i places off with what is right of it, for one i at least.
-    """
-    m = len(words)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, m)
-    powers = np.full(m + 1, _P)
-    powers[0] = 1
-    powers = np.multiply.accumulate(powers)
-    prefix = np.zeros(m + 1, np.uint64)
-    np.add.accumulate(hashes * powers[:-1], out=prefix[1:])
-    back = np.full(m + 1, _P_INVERSE)
-    back[0] = 1
-    back = np.multiply.accumulate(back)
-    at: list[tuple[int, int, int]] = []
-    own = 0
-    for n in range(m, max(m - most, 2 * WORDS_PER_EDIT) - 1, -1):
-        k, longer = bound_of(n, most), m - n
-        if longer > k:
-            continue
-        cuts = [n * i // (k + 1) for i in range(k + 2)]
-        if not longer:
-            at += [(cuts[i], cuts[i + 1], n * 8 + i) for i in range(k + 1)]
-            own = len(at)
-        for i in range(k + 1):
-            size = cuts[i + 1] - cuts[i]
-            low, high = max(-i, longer - (k - i)), min(i, longer + (k - i))
-            begins = range(max(0, cuts[i] + low), min(m - size, cuts[i] + high) + 1)
-            at += [(b, b + size, n * 8 + i) for b in begins if longer or b != cuts[i]]
-    begin, end, tag = np.array(at or np.zeros((0, 3)), dtype=np.int64).T
-    part = (prefix[end] - prefix[begin]) * back[begin]
-    keys = (part ^ (part >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + tag.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
-    bits = np.uint64(1) << (hashes & np.uint64(63))
-    high = (hashes & np.uint64(64)) > 0
-    return keys, own, tuple(int(np.bitwise_xor.reduce(bits[x]).view(np.int64)) if x.any() else 0 for x in (high, ~high))
-
-
 _SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
 
 
@@ -190,18 +194,16 @@ def _words(line: str) -> list[str]:
     return [w for w in line.translate(_SPACES).split(" ") if w]
 
 
-WHOLE, WITHOUT, PLACED = 0, 1, 2
-
-
-def _near_first(texts: DataFrame) -> DataFrame:
-    """cid and the first place of the earliest class near it, where that one is earlier."""
+def _variant_holders(texts: DataFrame) -> DataFrame:
+    """key, role, cid and first of the variants that another class has too, of a role that makes them near."""
 
     def variants(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keys, roles, ids, size = [], [], [], 0
             for cid, line in zip(batch["cid"], batch["line"]):
                 whole, without, placed = variant_keys(_words(line))
-                keys += [np.array([whole]), without, placed]
+                # Placed keys and the others never meet: the lowest bit tells them apart.
+                keys += [np.array([whole]) << np.uint64(1), without << np.uint64(1), placed << np.uint64(1) | np.uint64(1)]
                 n = len(without)
                 roles.append(np.repeat(np.array([WHOLE, WITHOUT, PLACED], np.int8), [1, n, n]))
                 ids.append(np.full(2 * n + 1, cid))
@@ -212,138 +214,142 @@ def _near_first(texts: DataFrame) -> DataFrame:
             if keys:
                 yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "role": np.concatenate(roles), "cid": np.concatenate(ids)})
 
-    rows = small_batches(texts).select("cid", "line").mapInPandas(variants, "key long, role byte, cid long")
-    emitted = materialise(rows.select("key", (F.col("role") == PLACED).alias("placed"), "role", "cid"), "line-variants")
+    emitted = materialise(small_batches(texts).select("cid", "line").mapInPandas(variants, "key long, role byte, cid long"), "line-variants")
     # Most keys have one holder; they go before places are joined and compared.
-    shared = emitted.groupBy("key", "placed").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).filter("x <> y").select("key", "placed")
-    live = materialise(emitted.join(shared, ["key", "placed"], "left_semi").join(texts.select("cid", "first"), "cid"), "line-shared")
-    holder = F.struct("first", "cid")
-    least = live.groupBy("key", "placed").agg(F.min(F.when(F.col("role") != WITHOUT, holder)).alias("strong"), F.min(holder).alias("any"))
-    # A whole line is near every holder of its key; a line that lacks a word only near the whole ones.
-    partner = F.when(F.col("role") == WITHOUT, F.col("strong")).otherwise(F.col("any"))
-    met = live.join(least, ["key", "placed"]).select("cid", "first", partner.alias("p")).filter(F.col("p").isNotNull() & (F.col("p.first") < F.col("first")))
-    best = met.groupBy("cid").agg(F.min("p").alias("p")).select("cid", F.col("p.first").alias("near"), F.col("p.cid").alias("other"))
+    strong = F.min(F.when(F.col("role") != WITHOUT, F.col("cid")))
+    shared = emitted.groupBy("key").agg(F.min("cid").alias("x"), F.max("cid").alias("y"), strong.alias("s")).filter("x <> y AND s IS NOT NULL").select("key")
+    held = emitted.join(shared, "key", "left_semi").join(texts.select("cid", "first"), "cid")
+    none = {c: F.lit(None).cast(kind) for c, kind in (("n", "int"), ("b0", "long"), ("b1", "long"))}
+    return held.withColumns(none).select("key", "role", "cid", "first", "n", "b0", "b1")
+
+
+def _near_pairs(pairs: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """The distinct (cid, other) whose lines are near, with the other's first place."""
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([distance_within(_words(x), _words(y)) for x, y in zip(a, b)], dtype=bool)
+        both = ((_words(x), _words(y)) for x, y in zip(a, b))
+        return pd.Series([distance_within(x, y, bound_of(min(len(x), len(y)), most)) for x, y in both], dtype=bool)
 
-    pairs = best.join(texts.select("cid", "line"), "cid").join(texts.select(F.col("cid").alias("other"), F.col("line").alias("other_line")), "other")
-    return pairs.filter(near("line", "other_line")).select("cid", "near")
+    lines = pairs.select("cid", "other").distinct().join(texts.select("cid", "line"), "cid")
+    lines = lines.join(texts.select(F.col("cid").alias("other"), F.col("line").alias("other_line"), F.col("first").alias("near")), "other")
+    return small_batches(lines).filter(near("line", "other_line")).select("cid", "other", "near")
 
 
-def _near_earlier(texts: DataFrame, most: int) -> DataFrame:
-    """cid and the first place of an earlier class within the growing bound; for lines of 20 words and more."""
+def _gone(live: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """cid of each class that goes, and near: the first place of a class that stays and is near it.
 
-    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parts, holders, size = [], [], 0
-            for cid, line in zip(batch["cid"], batch["line"]):
-                found, own, _ = segment_keys(_words(line), most)
-                parts.append(found.view(np.int64))
-                holders.append(cid * 2 + (np.arange(len(found)) >= own))
-                size += len(found)
-                if size > 300_000:
-                    yield pd.DataFrame({"key": np.concatenate(parts), "holder": np.concatenate(holders)})
-                    parts, holders, size = [], [], 0
-            if parts:
-                yield pd.DataFrame({"key": np.concatenate(parts), "holder": np.concatenate(holders)})
-
-    @F.pandas_udf("struct<n:int,b0:long,b1:long>")
-    def bits(line: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(len(w), *segment_keys(w, most)[2]) for w in map(_words, line)], columns=["n", "b0", "b1"])
-
-    # Most keys have one holder.  The rows are narrow: the lowest bit of a holder tells a probe.
-    emitted = small_batches(texts).select("cid", "line").mapInPandas(keys, "key long, holder long").repartition("key")
-    ends = F.min("holder").alias("x"), F.max("holder").alias("y"), F.min(F.col("holder") % 2).alias("probe")
-    shared = emitted.groupBy("key").agg(*ends).filter("probe = 0 AND shiftright(x, 1) <> shiftright(y, 1)").select("key")
-    held = materialise(emitted.join(shared.hint("merge"), "key", "left_semi"), "line-segments")
-    held = held.select("key", (F.col("holder") % 2 == 1).alias("probe"), F.shiftright("holder", 1).alias("cid"))
-    known = texts.join(held.select("cid").distinct(), "cid", "left_semi").select("cid", "first", bits("line").alias("w")).select("cid", "first", "w.*")
-    live = materialise(held.join(known, "cid"), "line-segments-shared")
+    ``live`` holds the rows of all keys that several classes have.  A round reads the rows of the lines
+    that are still open and of those that stay and share a key with them.
+    """
     limit = lambda n: F.greatest(F.lit(1), F.least(F.lit(most), F.floor(n / WORDS_PER_EDIT)))
 
     def close(a: str, b: str) -> Column:
-        """Whether b is earlier and the bits, of which an edit turns two at most, allow the bound."""
+        """Whether b is earlier and lengths and bits, cheapest first, allow the bound; variants need neither."""
         turned = F.bit_count(F.col(f"{a}.b0").bitwiseXOR(F.col(f"{b}.b0"))) + F.bit_count(F.col(f"{a}.b1").bitwiseXOR(F.col(f"{b}.b1")))
-        return (F.col(f"{b}.first") < F.col(f"{a}.first")) & (turned <= 2 * limit(F.least(F.col(f"{a}.n"), F.col(f"{b}.n"))))
-
-    @F.pandas_udf("boolean")
-    def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        pairs = ((_words(x), _words(y)) for x, y in zip(a, b))
-        return pd.Series([distance_within(x, y, bound_of(min(len(x), len(y)), most)) for x, y in pairs], dtype=bool)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        lines = pairs.distinct().join(texts.select("cid", "line"), "cid")
-        lines = lines.join(texts.select(F.col("cid").alias("other"), F.col("line").alias("other_line"), F.col("first").alias("near")), "other")
-        return lines.filter(near("line", "other_line")).groupBy("cid").agg(F.min("near").alias("near"))
+        k = limit(F.least(F.col(f"{a}.n"), F.col(f"{b}.n")))
+        allowed = (F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")) <= k) & (turned <= 2 * k)
+        return F.coalesce(allowed, F.lit(True)) & (F.col(f"{b}.first") < F.col(f"{a}.first"))
 
     holder = F.struct("first", "cid", "n", "b0", "b1")
-    least = live.groupBy("key").agg(F.min(holder).alias("any"), F.min(F.when(~F.col("probe"), holder)).alias("own"))
-    met = live.alias("a").join(least, "key").withColumn("b", F.when(F.col("probe"), F.col("own")).otherwise(F.col("any")))
-    found = materialise(verified(met.filter(close("a", "b")).select(F.col("a.cid").alias("cid"), F.col("b.cid").alias("other"))), "line-earliest")
-    a, b = live.join(found, "cid", "left_anti").alias("a"), live.alias("b")
-    rest = a.join(b, (F.col("a.key") == F.col("b.key")) & ~(F.col("a.probe") & F.col("b.probe")) & close("a", "b"))
-    return found.unionByName(verified(rest.select(F.col("a.cid").alias("cid"), F.col("b.cid").alias("other"))))
-
-
-def drop_list(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, most: int = BOUND) -> DataFrame:
+    gone, opened = None, live.withColumn("stays", F.lit(False))
+    for _ in range(MAX_ROUNDS):
+        least = opened.groupBy("key").agg(F.min(holder).alias("any"), F.min(F.when(F.col("role") != WITHOUT, holder)).alias("strong"))
+        asked = opened.filter("NOT stays").drop("stays")
+        # A whole line is near every holder of its key; a line that lacks a word only near the whole ones.
+        met = asked.join(least, "key").withColumn("b", F.when(F.col("role") == WITHOUT, F.col("strong")).otherwise(F.col("any")))
+        met = materialise(met.select("key", "role", "cid", "first", "n", "b0", "b1", "b").filter("b.first < first").alias("a"), "line-met")
+        found = materialise(_near_pairs(met.alias("a").filter(close("a", "b")).select(F.col("a.cid").alias("cid"), F.col("b.cid").alias("other")), texts, most), "line-found")
+        a, b = met.drop("b").join(found.select("cid"), "cid", "left_anti").alias("a"), opened.alias("b")
+        weak = (F.col("a.role") == WITHOUT) & (F.col("b.role") == WITHOUT)
+        rest = a.join(b, (F.col("a.key") == F.col("b.key")) & ~weak & close("a", "b")).select(F.col("a.cid").alias("cid"), F.col("b.cid").alias("other"))
+        links = materialise(found.unionByName(_near_pairs(rest, texts, most)), "line-links")
+        stay = opened.select("cid", "stays").distinct().join(links.select("cid").distinct(), "cid", "left_anti").select("cid")
+        going = materialise(links.join(stay.withColumnRenamed("cid", "other"), "other", "left_semi").groupBy("cid").agg(F.min("near").alias("near")), "line-going")
+        gone = going if gone is None else gone.unionByName(going)
+        waiting = links.select("cid").distinct().join(going, "cid", "left_anti")
+        if waiting.isEmpty():
+            return gone
+        marked = opened.join(going, "cid", "left_anti").join(waiting.withColumn("waits", F.lit(True)), "cid", "left")
+        marked = marked.withColumn("stays", F.col("waits").isNull()).drop("waits")
+        keys = marked.filter("NOT stays").select("key").distinct()
+        opened = materialise(marked.join(keys, "key", "left_semi"), "line-open")
+    raise RuntimeError("the lines did not settle")
+
+
+def drop_list(docs: DataFrame, near_words: int = NEAR_WORDS, most: int = MOST_EDITS) -> DataFrame:
     """doc_id, th and pos of the lines that go."""
     lines = line_rows(docs)
-    classes = classes_of(lines, min_words, near_words, most > 1)
-    texts = materialise(_texts_of(docs, _with_shared_half(classes)), "line-texts")
-    near = materialise(_near_first(texts), "line-near")
-    if most > 1:
-        long = materialise(_texts_of(docs, classes.filter(F.col("n") >= 2 * WORDS_PER_EDIT).select("cid", "first")), "line-long")
-        near = materialise(near.unionByName(_near_earlier(long, most)).groupBy("cid").agg(F.min("near").alias("near")), "line-nearest")
-    marked = classes.join(near, "cid", "left").filter("copies > 1 OR near IS NOT NULL")
-    least = F.when(F.col("near") < F.col("first"), F.col("near")).otherwise(F.col("first"))
-    limits = marked.select("h0", "h1", least.alias("keep"))
+    with scratch():
+        classes = classes_of(lines, near_words, most)
+        wanted, parts = _with_shared_half(classes), None
+        if most > 1:
+            parts = materialise(_part_holders(classes), "line-parts")
+            wanted = wanted.unionByName(parts.select("cid", "first")).dropDuplicates(["cid"])
+        texts = materialise(_texts_of(docs, wanted), "line-texts")
+        short = texts if most == 1 else texts.join(classes.filter(F.col("k0").isNotNull()).select("cid"), "cid", "left_semi")
+        live = _variant_holders(short)
+        live = materialise(live if parts is None else live.unionByName(parts), "line-live")
+        marked = classes.join(_gone(live, texts, most), "cid", "left").filter("copies > 1 OR near IS NOT NULL")
+        limits = materialise(marked.select("h0", "h1", F.coalesce("near", "first").alias("keep")), "line-limits", keep=True)
     placed = lines.filter("line <> ''").select(*_line_keys(), _place().alias("place"))
     return placed.join(limits, ["h0", "h1"]).filter("place > keep").select("place.*")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS, most: int = BOUND) -> DataFrame:
+def dedup_lines(docs: DataFrame, near_words: int = NEAR_WORDS, most: int = MOST_EDITS) -> DataFrame:
     """``docs`` with the text rewritten, n_lines and n_dropped added."""
-    dropped = drop_list(docs, min_words, near_words, most).groupBy(F.col("doc_id").alias("_i"), F.col("th").alias("_t")).agg(F.collect_set("pos").alias("_drop"))
-    rows = docs.drop("n_lines", "n_dropped").withColumn("_th", F.xxhash64("text"))
-    joined = rows.join(dropped, F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_t")), "left").drop("_i", "_t", "_th")
-    split = joined.withColumn("_lines", F.when(F.col("_drop").isNotNull(), F.split("text", "\n", -1)))
-    last = F.size("_lines") - 1
-    keep = F.array_sort(F.array_except(F.sequence(F.lit(0), last), F.col("_drop")))
-    text = F.array_join(F.transform(keep, lambda i: F.get(F.col("_lines"), i)), "\n")
-    out = split.withColumns(
-        {
-            "text": F.when(F.col("_drop").isNull(), F.col("text")).otherwise(text),
-            "n_lines": F.when(F.col("text").isNull(), 0).otherwise(count_of(F.col("text"), "\n") + 1).cast("long"),
-            "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"),
-        }
-    ).drop("_lines", "_drop")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    dropped = drop_list(docs.select("doc_id", "text"), near_words, most).groupBy(F.col("doc_id").alias("i"), F.col("th").alias("t")).agg(F.collect_set("pos").alias("pos"))
+    # The caller's columns travel inside one, so that no name can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.xxhash64("text").alias("th"))
+    on = F.col("row.doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t"))
+    split = rows.join(dropped, on, "left").select("row", "pos", F.when(F.col("pos").isNotNull(), F.split("row.text", "\n", -1)).alias("lines"))
+    keep = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("pos")))
+    kept = F.array_join(F.transform(keep, lambda i: F.get(F.col("lines"), i)), "\n")
+    text = F.when(F.col("pos").isNull(), F.col("row.text")).otherwise(kept)
+    counted = split.select("row", "pos", text.alias("text"))
+    whole = F.col("row.text")
+    new = {"text": F.col("text")}
+    if "n_chars" in columns:
+        new["n_chars"] = F.when(F.col("pos").isNull(), F.col("row.n_chars")).otherwise(F.length("text").cast("long"))
+    n_lines = F.when(whole.isNull(), 0).otherwise(count_of(whole, "\n") + 1).cast("long")
+    n_dropped = F.when(F.col("pos").isNull(), 0).otherwise(F.size("pos")).cast("long")
+    return counted.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in columns], n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_lines", F.greatest("n_dropped", F.lit(0)).alias("n_dropped"))
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", "n_lines", "n_dropped")
+
 
+_LETTERS = "array_to_string(list_transform(ws, lambda w: chr(CAST(33 + ('0x' || md5(w || '{0}')[1:6])::INT % 90 AS INT))), '') AS e{0}"
 
+# Near pairs by another way: up to 20 words by equal variants of one deletion, beyond it by shared runs of
+# four words, since k edits of a line of 10 k words and more leave one, then by edit distance of letters
+# that stand for words (three codes, as letters are fewer than words).  The fate of lines is a recursion.
 OP4_SQL = f"""
-WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls, text FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line FROM d),
-m AS (SELECT doc_id, pos, line, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS ws, doc_id * 1000000 + pos AS place FROM l),
-c AS (SELECT line, any_value(ws) AS ws, min(place) AS first FROM m WHERE len(ws) >= {MIN_WORDS} GROUP BY line),
-n AS (SELECT line, first, ws, array_to_string(ws, ' ') AS whole FROM c WHERE len(ws) >= {NEAR_WORDS}),
-i AS (SELECT line, first, ws, unnest(range(1, len(ws) + 1)) AS gap FROM n),
-v AS (SELECT line, first, gap, len(ws) AS k, array_to_string(list_concat(ws[1:gap - 1], ws[gap + 1:]), ' ') AS rest FROM i),
-s AS (SELECT line, min(first) OVER (PARTITION BY rest, gap, k) AS near FROM v),
-w AS (SELECT whole, min(first) AS f FROM n GROUP BY whole),
-r AS (SELECT rest, min(first) AS f FROM v GROUP BY rest),
-near AS (SELECT line, min(near) AS near FROM (
-  SELECT line, near FROM s UNION ALL SELECT v.line, w.f FROM v JOIN w ON v.rest = w.whole
-  UNION ALL SELECT n.line, r.f FROM n JOIN r ON n.whole = r.rest UNION ALL SELECT n.line, w.f FROM n JOIN w USING (whole)) GROUP BY line),
-t AS (SELECT line, least(first, coalesce(near, first)) AS keep FROM c LEFT JOIN near USING (line)),
-k AS (SELECT m.doc_id, m.pos, m.line, coalesce(m.place > t.keep, false) AS dropped FROM m LEFT JOIN t ON m.line = t.line AND len(m.ws) >= {MIN_WORDS})
+m AS MATERIALIZED (SELECT doc_id, pos, line, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS ws, doc_id * 1000000 + pos AS place FROM l),
+c AS MATERIALIZED (SELECT line, any_value(ws) AS ws, min(place) AS first FROM m WHERE len(ws) >= 1 GROUP BY line),
+n AS MATERIALIZED (SELECT first, ws, array_to_string(ws, ' ') AS whole FROM c WHERE len(ws) >= {NEAR_WORDS}),
+i AS (SELECT first, ws, unnest(range(1, len(ws) + 1)) AS gap FROM n WHERE len(ws) <= {2 * WORDS_PER_EDIT}),
+v AS MATERIALIZED (SELECT first, gap, len(ws) AS k, array_to_string(list_concat(ws[1:gap - 1], ws[gap + 1:]), ' ') AS rest FROM i),
+g AS (SELECT first, ws, unnest(range(1, len(ws) - 2)) AS b FROM n WHERE len(ws) >= {2 * WORDS_PER_EDIT}),
+r AS MATERIALIZED (SELECT DISTINCT first, md5_number(array_to_string(ws[b:b + 3], ' ')) AS run FROM g),
+e AS MATERIALIZED (SELECT first, len(ws) AS n, list_distinct(ws) AS bag, {', '.join(_LETTERS.format(i) for i in (1, 2, 3))} FROM n WHERE len(ws) >= {2 * WORDS_PER_EDIT}),
+x AS (SELECT a.first AS early, b.first AS late, count(*) AS runs FROM r a JOIN r b USING (run) WHERE a.first < b.first GROUP BY ALL),
+y AS (SELECT early, late, a.n AS an, b.n AS bn, greatest(1, least({MOST_EDITS}, least(a.n, b.n) // {WORDS_PER_EDIT})) AS k, a.e1 AS a1, b.e1 AS b1, a.e2 AS a2, b.e2 AS b2, a.e3 AS a3, b.e3 AS b3
+  FROM x JOIN e a ON a.first = early JOIN e b ON b.first = late WHERE abs(a.n - b.n) <= 4 AND len(list_intersect(a.bag, b.bag)) >= greatest(len(a.bag), len(b.bag)) - 4),
+link AS MATERIALIZED (SELECT DISTINCT early, late FROM (
+  SELECT a.first AS early, b.first AS late FROM n a JOIN n b USING (whole) UNION ALL SELECT a.first, b.first FROM v a JOIN v b USING (rest, gap, k)
+  UNION ALL SELECT least(v.first, n.first), greatest(v.first, n.first) FROM v JOIN n ON v.rest = n.whole
+  UNION ALL SELECT early, late FROM y WHERE levenshtein(a1, b1) <= k AND levenshtein(a2, b2) <= k AND levenshtein(a3, b3) <= k) WHERE early < late),
+node AS (SELECT early AS f FROM link UNION SELECT late FROM link),
+fate AS (SELECT 0 AS round, f, 'open' AS s FROM node UNION ALL
+  SELECT round + 1, f, CASE WHEN s <> 'open' THEN s WHEN coalesce(bool_or(es = 'stays'), false) THEN 'goes' WHEN coalesce(bool_and(es = 'goes'), true) THEN 'stays' ELSE 'open' END
+  FROM (SELECT x.round, x.f, x.s, p.s AS es FROM fate x LEFT JOIN link ON link.late = x.f LEFT JOIN fate p ON p.f = link.early) WHERE (SELECT count(*) FROM fate WHERE s = 'open') > 0 GROUP BY round, f, s),
+goes AS (SELECT f FROM fate GROUP BY f HAVING bool_or(s = 'goes')),
+k AS (SELECT m.doc_id, m.pos, m.line, coalesce(m.place > c.first OR goes.f IS NOT NULL, false) AS dropped FROM m LEFT JOIN c ON m.line = c.line LEFT JOIN goes ON goes.f = c.first)
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '') AS text, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped
 FROM k GROUP BY doc_id
 """

@@ -27,3 +27,10 @@ def test_short_and_unspaced_lines_are_deduplicated(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, docs, SMALL).collect()}
     assert got == {1: rows[0][1], 2: "\na b c X"}
+
+
+def test_documents_that_line_dedup_empties_go(spark):
+    rows = [(1, "one two three"), (2, "one two three\n"), (3, ""), (4, None), (5, "one two three\nown")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, docs, SMALL).collect()}
+    assert got == {1: "one two three", 3: "", 4: None, 5: "own"}

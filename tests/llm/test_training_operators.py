@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from rungwise.llm import bagminhash, bpe, embeddings, lines, mixing, pii, quality, queries, toxicity, urls, warc
 
@@ -127,8 +128,17 @@ def test_lines(docs, empty, spark):
     assert by[2]["text"] == "" and by[1]["text"] == TEXTS[0][1] and by[3]["text"] is None and by[4]["text"] == ""
     assert by[5]["text"] == LONG and by[7]["n_dropped"] == 0
     rows = spark.createDataFrame([(1, "a b c d e f g h i\nshort\nshort"), (2, "a b c d e f g h\nshort"), (3, "a b X d e f g h i\nnew line here")], "doc_id long, text string")
-    assert {r["doc_id"]: r["text"] for r in lines.dedup_lines(rows).collect()} == {1: "a b c d e f g h i\nshort\nshort", 2: "short", 3: "new line here"}
+    assert {r["doc_id"]: r["text"] for r in lines.dedup_lines(rows).collect()} == {1: "a b c d e f g h i\nshort", 2: "", 3: "new line here"}
     assert lines.dedup_lines(empty).count() == 0
+    clash = docs.withColumns({"_th": F.lit("x"), "_drop": F.lit(1), "row": F.lit("r"), "n_dropped": F.lit("old")})
+    got = lines.dedup_lines(clash)
+    assert {"_th", "_drop", "row"} < set(got.columns) and got.filter("_th = 'x' AND row = 'r' AND n_dropped >= 0").count() == len(TEXTS)
+
+
+def test_a_line_goes_only_for_one_that_stays(spark):
+    a, b, c, d = "a b c d e f g h i", "a b c d e f g h X", "a b c d e f g Y X", "a b c d e f Z Y X"
+    rows = spark.createDataFrame(list(enumerate([a, b, c, d, "u v w x y", "u v w x z"])), "doc_id long, text string")
+    assert [r["text"] for r in lines.dedup_lines(rows).orderBy("doc_id").collect()] == [a, "", c, "", "u v w x y", ""]
 
 
 def _edited(rng, words, edits):
@@ -139,18 +149,24 @@ def _edited(rng, words, edits):
     return out
 
 
-def test_segment_keys_find_every_near_pair():
-    rng = random.Random(6)
-    for _ in range(2000):
+def test_parts_meet_for_every_near_pair(spark):
+    rng, rows = random.Random(6), []
+    for i in range(300):
         a = [f"w{rng.randrange(9)}" for _ in range(rng.randint(20, 60))]
         b = _edited(rng, a, rng.randint(1, 4))
-        a, b = sorted((a, b), key=len)
-        k = lines.bound_of(len(a), 4)
-        if len(a) < 20 or not lines.distance_within(a, b, k):
-            continue
-        (ka, own, sa), (kb, _, sb) = lines.segment_keys(a, 4), lines.segment_keys(b, 4)
-        assert set(ka[:own]) & set(kb)
-        assert sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(sa, sb)) <= 2 * k
+        k = lines.bound_of(min(len(a), len(b)))
+        if min(len(a), len(b)) >= 20 and lines.distance_within(a, b, k):
+            rows += [(i, k, " ".join(a)), (i, k, " ".join(b))]
+    cut = spark.createDataFrame(rows, "pair int, k int, line string").withColumn("words", F.split("line", " ")).withColumn("n", F.size("words")).withColumn("hs", F.transform("words", lambda w: F.xxhash64(w)))
+    keyed = cut.select("pair", "k", lines._part_keys(4).alias("parts"), lines._parity(False).alias("b0"), lines._parity(True).alias("b1")).collect()
+    both = {}
+    for r in keyed:
+        both.setdefault(r["pair"], []).append(r)
+    assert len(both) > 100
+    for x, y in both.values():
+        assert set(x["parts"]) & set(y["parts"])
+        turned = sum(((x[b] ^ y[b]) & (1 << 64) - 1).bit_count() for b in ("b0", "b1"))
+        assert turned <= 2 * x["k"]
 
 
 def test_growing_bound_against_all_pairs(spark):
@@ -161,14 +177,16 @@ def test_growing_bound_against_all_pairs(spark):
         rows += [base] + [_edited(rng, base, rng.randint(0, 6)) for _ in range(rng.randrange(5))]
     passage = [f"p{i}" for i in range(15)]
     rows += [passage + [f"w{rng.randrange(300)}" for _ in range(25)] for _ in range(40)]
+    rows += [["x", "y", "z"] * 9 + rng.choices("xyz", k=rng.randrange(9)) for _ in range(40)]
     rng.shuffle(rows)
-    want = set()
-    for i, a in enumerate(rows):
-        if any(lines.distance_within(a, b, lines.bound_of(min(len(a), len(b)), 4)) for b in rows[:i]):
-            want.add(i)
+    stays = []
+    for a in rows:
+        if not any(lines.distance_within(a, b, lines.bound_of(min(len(a), len(b)))) for b in stays):
+            stays.append(a)
+    kept = {" ".join(a) for a in stays}
     df = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
-    assert {r["doc_id"] for r in lines.dedup_lines(df, most=4).collect() if r["n_dropped"]} == want
-    assert {r["doc_id"] for r in lines.dedup_lines(df).collect() if r["n_dropped"]} < want
+    assert {r["text"] for r in lines.dedup_lines(df).collect()} - {""} == kept
+    assert len(kept) < lines.dedup_lines(df, most=1).filter("text <> ''").count()
 
 
 def test_warc_round_trip(spark, tmp_path):
