@@ -11,13 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rungwise.llm import bagminhash, bpe, lines, mixing, toxicity
-from rungwise.llm.common import materialise, table
+from rungwise.llm.common import WORD_CLASS, materialise, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Words from which lines are deduplicated, and from which also against near ones: every line with text, and from 5 on.
-MIN_WORDS, NEAR_WORDS = 1, 5
-#: Most words of edit between near lines: one for every ten words, from 20 words on, up to this.
-MOST_EDITS = 4
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +23,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier line equals or nearly equals; emptied ones stay."""
-    return lines.dedup_lines(docs, MIN_WORDS, NEAR_WORDS, MOST_EDITS).select(*docs.columns)
+    """Documents without the lines that an earlier line equals or nearly equals; those that lose all their words go."""
+    done = lines.dedup_lines(docs)
+    return done.filter((F.col("n_dropped") == 0) | F.col("text").rlike(WORD_CLASS)).select(*docs.columns)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
