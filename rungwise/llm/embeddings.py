@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwise.llm.common import materialise, table
+from rungwise.llm.common import materialise, scratch, table
 from rungwise.llm.components import components
 
 THRESHOLD = 0.95
@@ -36,6 +36,8 @@ PROBES = 6
 #: Classes that a bucket holds on average, about.
 BUCKET = 8
 MAX_BITS = 34
+#: Components under which the bits of a vector depend on each other too much to rule pairs out.
+MIN_BITS_LENGTH = 8
 SEED = 20240229
 
 
@@ -66,7 +68,7 @@ def hashed(vectors: np.ndarray, parts: int, tables: int, probes: int = PROBES) -
     n, d = vectors.shape
     size = 1 << max(1, (d - 1).bit_length())
     x = np.zeros((n, size))
-    x[:, :d] = vectors
+    x[:, :d] = vectors / np.abs(vectors).max(axis=1, keepdims=True)  # no overflow or underflow in the squares
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     choices = min(3, 2 * size)
     combos = np.array(list(product(range(choices), repeat=parts)))
@@ -118,7 +120,8 @@ def _keys(column: str) -> tuple:
 
 def candidates(classes: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of classes, a < b, that share a bucket and most sign bits."""
-    size = classes.agg(F.count("*"), F.max(F.size("v"))).first()
+    size = classes.agg(F.count("*"), F.max(F.size("v")), F.min(F.size("v"))).first()
+    most_bits = MAX_BITS if (size[2] or 0) >= MIN_BITS_LENGTH else 128
     parts = parts_for(size[0], size[1] or 1)
     tables = TABLES_PER_PART * parts
 
@@ -138,7 +141,7 @@ def candidates(classes: DataFrame) -> DataFrame:
     rows = materialise(classes.select("cid", "v").mapInPandas(run, "bucket long, cid long, s0 long, s1 long, stored boolean"), "vector-buckets")
     x, y = rows.filter("stored").alias("x"), rows.alias("y")
     differ = F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) + F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1")))
-    met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.cid") != F.col("y.cid")) & (differ <= MAX_BITS))
+    met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.cid") != F.col("y.cid")) & (differ <= most_bits))
     return met.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
 
 
@@ -161,6 +164,16 @@ def verified(pairs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD)
 
 def linked(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding)."""
+    with scratch():
+        done = _linked_classes(vectors, threshold)
+    keyed = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).select("vec_id", *_keys("v"))
+    out = keyed.join(done, ["k0", "k1"], "left")
+    known = F.col("n_links").isNotNull()
+    component = F.when(known, F.col("component_id")).otherwise(F.col("vec_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+
+
+def _linked_classes(vectors: DataFrame, threshold: float) -> DataFrame:
     classes = classes_of(vectors)
     links = materialise(verified(candidates(classes), classes, threshold), "vector-links")
     copies = classes.select(F.col("cid").alias("other"), "copies")
@@ -169,11 +182,7 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     grouped = classes.select("cid", "k0", "k1", "copies", "least_id").join(components(links).withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = grouped.groupBy("component").agg(F.min("least_id").alias("component_id"))
     done = grouped.join(least, "component").join(degree, "cid", "left").select("k0", "k1", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "component_id")
-    keyed = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).select("vec_id", *_keys("v"))
-    out = keyed.join(done, ["k0", "k1"], "left")
-    known = F.col("n_links").isNotNull()
-    component = F.when(known, F.col("component_id")).otherwise(F.col("vec_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    return materialise(done, "vector-groups", keep=True)
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
