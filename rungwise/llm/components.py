@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rungwise.llm.common import materialise
+from rungwise.llm.common import materialise, scratch
 
 MAX_ROUNDS = 50
 
@@ -23,6 +23,11 @@ def components(links: DataFrame) -> DataFrame:
 
     An empty link table has no nodes; links of a node to itself and repeated links change nothing.
     """
+    with scratch():
+        return materialise(_settled(links), "components", keep=True)
+
+
+def _settled(links: DataFrame) -> DataFrame:
     edges = materialise(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
     before = _state(edges)
     for _ in range(MAX_ROUNDS):
