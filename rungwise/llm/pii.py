@@ -28,12 +28,22 @@ from pyspark.sql import functions as F
 from rungwise.llm.common import small_batches, table
 
 ROUNDS = 8
-#: Used where the session names no key in ``rungwise.pii.key``; production sets its own secret.
-DEFAULT_KEY = "rungwise demonstration key"
+#: The registered query's key where the session names none in ``rungwise.pii.key``. It protects nothing.
+DEMONSTRATION_KEY = "rungwise demonstration key"
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _CLASS = {c: alphabet for alphabet in (DIGITS, LOWER, UPPER) for c in alphabet}
-FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+FIRST_DAY, LAST_DAY = datetime.date(1700, 1, 1).toordinal(), datetime.date(2199, 12, 31).toordinal()
+
+# Calling codes of two digits (1 and 7 are the codes of one, all others have three).
+CALLING_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+# Month names of the corpus's languages.
+MONTHS = (
+    "January February March April May June July August September October November December".split(),
+    "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(),
+    "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+)
 
 
 class Permuter:
@@ -154,10 +164,13 @@ def _ip(p: Permuter, m: re.Match) -> str | None:
     return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
 
 
+def _calling_code(digits: str) -> str:
+    return digits[: 1 if digits[0] in "17" else 2 if digits[:2] in CALLING_CODES else 3]
+
+
 def _phone(p: Permuter, m: re.Match) -> str | None:
     text = m.group()
-    country = re.match(r"\+\d{1,3}(?=[ .(-])", text)
-    head = country.group() if country else ("+" if text[0] == "+" else "")
+    head = text[: 1 + len(_calling_code(_digits(text)))] if text[0] == "+" else ""
     digits = _digits(text[len(head) :])
     if not 7 <= len(digits) <= 14:
         return None
@@ -166,6 +179,31 @@ def _phone(p: Permuter, m: re.Match) -> str | None:
     return head + _fill(text[len(head) :], p.walk(digits, step, inside) if inside(digits) else step(digits))
 
 
+def _moved(p: Permuter, day: int) -> datetime.date:
+    return datetime.date.fromordinal(FIRST_DAY + p.number(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date"))
+
+
+def _written_date(p: Permuter, m: re.Match) -> str | None:
+    """A date with a month's name: the pseudonym of the same day in figures, in the same language and order."""
+    name = m.group("month")
+    for months in MONTHS:
+        if name in months:
+            break
+    else:
+        return None
+    try:
+        day = datetime.date(int(m.group("year")), months.index(name) + 1, int(m.group("day"))).toordinal()
+    except ValueError:
+        return None
+    new = _moved(p, day)
+    parts = sorted((m.start(k) - m.start(), m.end(k) - m.start(), v) for k, v in (("day", str(new.day)), ("month", months[new.month - 1]), ("year", str(new.year))))
+    text, out, at = m.group(), [], 0
+    for a, b, v in parts:
+        out += [text[at:a], v]
+        at = b
+    return "".join([*out, text[at:]])
+
+
 def _date(p: Permuter, m: re.Match) -> str | None:
     text = m.group()
     mark = next(c for c in text if not c.isdigit())
@@ -179,7 +217,10 @@ def _date(p: Permuter, m: re.Match) -> str | None:
             continue
         if not FIRST_DAY <= day <= LAST_DAY:
             return None
-        new = datetime.date.fromordinal(FIRST_DAY + p.number(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, "date"))
+        new = _moved(p, day)
+        # Day-first dates with slashes are those that can't be read month-first; they stay among themselves.
+        while (y, mo, d) == (2, 1, 0) and mark == "/" and new.day <= 12:
+            new = _moved(p, new.toordinal())
         padded = all(len(x) > 1 for x in parts)
         parts[y] = str(new.year)
         parts[mo], parts[d] = (f"{new.month:02d}", f"{new.day:02d}") if padded else (str(new.month), str(new.day))
@@ -193,7 +234,11 @@ def _email(p: Permuter, m: re.Match) -> str | None:
 
 
 def _access_key(p: Permuter, m: re.Match) -> str | None:
-    return m.group()[:4] + p.string(m.group()[4:], [UPPER + DIGITS] * (len(m.group()) - 4), "key")
+    if m.group()[0] == "A":
+        return m.group()[:4] + p.string(m.group()[4:], [UPPER + DIGITS] * (len(m.group()) - 4), "key")
+    name = "body" if m.group("body") else "jwt"
+    begin = m.start(name) - m.start()
+    return m.group()[:begin] + _same_classes(p, m.group(name), "key")
 
 
 def _secret(p: Permuter, m: re.Match) -> str | None:
@@ -207,14 +252,17 @@ def _secret(p: Permuter, m: re.Match) -> str | None:
 
 
 # kind, what a text must hold for the form to occur, form, replacement
-KINDS: tuple[tuple[str, str, re.Pattern, Callable], ...] = (
+KINDS: tuple[tuple[str, str | tuple[str, ...], re.Pattern, Callable], ...] = (
     ("secret", "=:", re.compile(r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key))\s*[=:]\s*[\"']?(?P<value>[A-Za-z0-9+/_\-]{8,})"), _secret),
-    ("access_key", "A", re.compile(r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"), _access_key),
+    ("access_key", ("AKIA", "ASIA", "gh", "xox", "eyJ"), re.compile(r"\b(?:(?:AKIA|ASIA)[A-Z0-9]{16}|(?:gh[pousr]_|xox[abprs]-)(?P<body>[A-Za-z0-9-]{20,}))(?![A-Za-z0-9])|\beyJ[A-Za-z0-9_-]{8,}\.(?P<jwt>[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})"), _access_key),
     ("email", "@", re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,63})@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), _email),
     ("iban", DIGITS, re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), _iban),
     ("card", DIGITS, re.compile(r"(?<![\w.+-])(?:\d{13,19}|\d{4}(?P<gap>[ -])\d{4}(?P=gap)\d{4}(?P=gap)\d{1,7}|\d{4}(?P<gap6>[ -])\d{6}(?P=gap6)\d{5})(?![\w-])"), _card),
     ("date", DIGITS, re.compile(r"(?<![\w./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/-]|\.\d)"), _date),
+    ("date", DIGITS, re.compile(r"(?<!\w)(?:(?P<day>\d{1,2})(?:st|nd|rd|th|\.)? (?:de )?(?P<month>[A-Za-zéäû]{3,10}),? (?:de )?(?P<year>\d{4}))(?!\w)"), _written_date),
+    ("date", DIGITS, re.compile(r"(?<!\w)(?P<month>[A-Z][a-z]{2,8}) (?P<day>\d{1,2})(?:st|nd|rd|th)?,? (?P<year>\d{4})(?!\w)"), _written_date),
     ("ssn", DIGITS, re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), _ssn),
+    ("ssn", DIGITS, re.compile(r"(?<=SSN |SN: )\d{3} \d{2} \d{4}(?![\w-])"), _ssn),
     ("ip", DIGITS, re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)"), _ip),
     ("phone", DIGITS, re.compile(r"(?<![\w+.-])(?:\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}|\+(?!1[ .(-])\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])"), _phone),
 )
@@ -242,8 +290,12 @@ def replacements(p: Permuter, text: str) -> list[tuple[int, int, str, str]]:
         if not (digit if needs is DIGITS else any(c in text for c in needs)):
             continue
         new = [(a, b, kind, to) for a, b, to in _found(p, text, kind, form, replace)]
-        for a, b, _, _ in new:  # what is taken is hidden from the kinds that follow
-            text = text[:a] + "\0" * (b - a) + text[b:]
+        if new:  # what is taken is hidden from the kinds that follow
+            parts, at = [], 0
+            for a, b, _, _ in new:
+                parts += [text[at:a], "\0" * (b - a)]
+                at = b
+            text = "".join([*parts, text[at:]])
         found += new
     return sorted(found)
 
@@ -257,8 +309,13 @@ def pseudonymised(p: Permuter, text: str) -> tuple[str, list[tuple[int, int, str
 
 
 def pseudonymise(docs: DataFrame, key: str | None = None, text: str = "text") -> DataFrame:
-    """``docs`` with the text rewritten, ``n_values``, and ``spans`` (kind, start and end in the old text)."""
-    key = key or docs.sparkSession.conf.get("rungwise.pii.key", DEFAULT_KEY)
+    """``docs`` with the text rewritten, ``n_values``, and ``spans`` (kind, start and end in the old text).
+
+    The key is given or the session's ``rungwise.pii.key``; without one there are no pseudonyms but an error.
+    """
+    key = key or docs.sparkSession.conf.get("rungwise.pii.key", None)
+    if not key:
+        raise ValueError("no key: give one, or set rungwise.pii.key")
 
     @F.pandas_udf("struct<text:string,spans:array<struct<kind:string,start:int,stop:int>>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -275,5 +332,6 @@ def pseudonymise(docs: DataFrame, key: str | None = None, text: str = "text") ->
 
 def op2_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the rewritten text, the number of values, and the kinds of the values in order."""
-    done = pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = pseudonymise(docs, spark.conf.get("rungwise.pii.key", DEMONSTRATION_KEY))
     return done.select("doc_id", "text", "n_values", F.array_join(F.transform("spans", lambda s: s["kind"]), ",").alias("kinds"))
