@@ -7,9 +7,10 @@ written in full, the others as ``revisit`` records that refer to it.  Records go
 text sink with the blank lines that end a record as its line separator, so that files are committed
 by Spark and lie in the shared folder; a bound on rows a file keeps each readable as one value.
 
-Reading: files are parsed by Content-Length alone; continuation records are grouped by their origin
-id, ordered by segment number and checked against the total length; then the chunked framing is
-decoded and the digest checked.
+Reading: files, plain or of one or many gzip members, are inflated and parsed by Content-Length piece by
+piece; continuation records are grouped by their origin id, ordered by segment number and checked
+against the total length; then chunked framing, where the header names it, is decoded and a SHA-1 digest,
+where there is one, checked.  A file is read as one value, so it must stay under 2 GB compressed.
 
 Defined results: null html is an empty payload; of equal payloads with equal ids, or none with an id,
 the record id decides; null ids are larger than all others; equal rows are records of their own;
@@ -94,21 +95,53 @@ def records(record_id: str, page_id, url: str | None, payload: bytes, digest: st
         yield _record("continuation", f"{record_id}:{number}", part, more)
 
 
-def parse(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields in lower case, block) of every record of an archive, found by length alone."""
-    at = 0
+def inflated(content: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """The content piece by piece; of gzipped content that of all its members, the last of which must be whole."""
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    view, at, member = memoryview(content), 0, None
     while at < len(content):
-        stop = content.index(_END, at)
-        lines = content[at:stop].decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        begin = stop + len(_END)
-        end = begin + int(fields["content-length"])
-        if content[end : end + 4] != _END:
-            raise ValueError(f"the record at byte {at} has another length than it says")
-        yield fields, content[begin:end]
-        at = end + 4
+        if member is None:
+            if not bytes(view[at : at + step]).strip(b"\0"):  # padding
+                at += step
+                continue
+            member = zlib.decompressobj(31)
+        yield member.decompress(view[at : at + step])
+        at += min(step, len(content) - at)
+        if member.eof:
+            at -= len(member.unused_data)
+            member = None
+    if member is not None:
+        raise ValueError("a gzip member ends early")
+
+
+def parse(pieces: bytes | Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields in lower case, block) of every record of an archive, found by length alone."""
+    held, at, need = bytearray(), 0, 0  # need: bytes without which nothing more can be read
+    for piece in [pieces] if isinstance(pieces, bytes) else pieces:
+        held += piece
+        while len(held) >= need and held:
+            stop = held.find(_END)
+            if stop < 0:
+                need = len(held) + 1
+                break
+            lines = held[:stop].decode("utf-8", "replace").split("\r\n")
+            if not lines[0].startswith("WARC/"):
+                raise ValueError(f"no record at byte {at}")
+            fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+            begin = stop + len(_END)
+            end = begin + int(fields["content-length"])
+            need = end + len(_END)
+            if len(held) < need:
+                break
+            if held[end:need] != _END:
+                raise ValueError(f"the record at byte {at} has another length than it says")
+            yield fields, bytes(held[begin:end])
+            del held[:need]
+            at, need = at + need, 0
+    if held:
+        raise ValueError(f"the record at byte {at} ends early")
 
 
 def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, min_revisit: int = MIN_REVISIT_BYTES) -> None:
@@ -150,16 +183,23 @@ def _name(ordinal) -> str:
     return f"urn:rungwise:record:{int(ordinal)}"
 
 
+#: Names of archives in a folder: those that are written here, and the usual ones.
+FILES = "{part-*,*.warc,*.warc.gz}"
 _COLUMNS = {"record_id": "string", "kind": "string", "page_id": "long", "url": "string", "digest": "string", "refers_to": "string", "origin": "string", "segment": "int", "total": "long", "block": "binary", "size": "long"}
 _PARSED = ", ".join(f"{k} {v}" for k, v in _COLUMNS.items())
 #: Bytes of blocks in a frame that goes back to Spark, about.
 _FRAME_BYTES = 8 << 20
 
 
-def _payload(block: bytes, digest: str) -> bytes:
-    """The decoded body of a whole response block; another digest than the record's is an error."""
-    body = dechunked(block[block.index(_END) + 4 :])
-    if digest_of(body) != digest:
+def _payload(block: bytes, digest: str | None) -> bytes:
+    """The body of a whole response block, without chunked framing if its header names that.
+
+    A SHA-1 digest of the record must be that of the body, framed or not; anything else is an error.
+    """
+    head, found, raw = block.partition(_END) if block[:5] == b"HTTP/" else (b"", b"", block)
+    fields = [x.partition(b":") for x in head.lower().split(b"\r\n")]
+    body = dechunked(raw) if any(k.strip() == b"transfer-encoding" and b"chunked" in v for k, _, v in fields) else raw
+    if digest and digest not in (digest_of(body), digest_of(raw)):
         raise ValueError("a payload has another digest than its record")
     return body
 
@@ -172,11 +212,12 @@ def scan(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
     """
 
     def row(f: dict[str, str], block: bytes) -> tuple:
-        page, segment, digest = f.get("x-page-id", ""), int(f.get("warc-segment-number", 0)), f.get("warc-payload-digest", "").removeprefix("sha1:")
+        page, segment, digest = f.get("x-page-id", ""), int(f.get("warc-segment-number", 0)), f.get("warc-payload-digest", "")
+        digest = digest[5:].upper() if digest[:5].lower() == "sha1:" else None
         size = None
         if f["warc-type"] == "response" and not segment:
             block = _payload(block, digest)
-            size = len(block)
+            size, digest = len(block), digest or digest_of(block)
         keep = segment or (with_payload and size is not None)
         named = lambda k: f.get(k, "").strip("<>") or None
         total = f.get("warc-segment-total-length")
@@ -186,7 +227,7 @@ def scan(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
         for batch in batches:
             for content in batch["content"]:
                 made, size = [], 0
-                for f, block in parse(zlib.decompressobj(31).decompress(content) if content[:2] == b"\x1f\x8b" else content):
+                for f, block in parse(inflated(content)):
                     made.append(row(f, block))
                     size += len(made[-1][9] or b"") + 200
                     if size > _FRAME_BYTES:
@@ -195,7 +236,7 @@ def scan(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame
                 if made:
                     yield _frame(made)
 
-    files = small_batches(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content"))
+    files = small_batches(spark.read.format("binaryFile").option("pathGlobFilter", FILES).load(path).select("content"))
     return files.mapInPandas(rows, _PARSED)
 
 
@@ -231,7 +272,8 @@ def responses(parsed: DataFrame) -> DataFrame:
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             bodies = [_payload(b, d) for b, d in zip(batch["block"], batch["digest"])]
-            yield batch[["record_id", "page_id", "url", "digest"]].assign(size=[len(b) for b in bodies], block=bodies)
+            digests = [d or digest_of(b) for b, d in zip(bodies, batch["digest"])]
+            yield batch[["record_id", "page_id", "url"]].assign(digest=digests, size=[len(b) for b in bodies], block=bodies)
 
     columns = ["record_id", "page_id", "url", F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("block").alias("payload")]
     whole = parsed.filter("segment = 0 AND kind = 'response'").select(*columns)
