@@ -7,7 +7,7 @@ Rules for a line that holds a word (blank lines are kept and count for nothing):
 
 * punctuation: four or more words that don't end in closing punctuation;
 * navigation: two or more bars, an arrow or angle mark, or a bare link word;
-* boilerplate: a phrase of legal, cookie, script or sign-up notices;
+* boilerplate: a phrase of legal, cookie, script or sign-up notices in English, French, German or Spanish;
 * symbols: a tenth or more of its word characters are symbols;
 * shouting: ten or more letters of which over half are capitals.
 
@@ -35,10 +35,16 @@ MAX_LOST_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 CLOSING = tuple(".!?…:;\"'”’»)]")
 BARS, ARROWS = r"\|.*\|", tuple("→»›")
-LINKS = ("home", "menu", "next", "previous", "back", "search", "login", "contact")
+# Link words and notices in the corpus's languages.
+LINKS = (
+    "home", "menu", "next", "previous", "back", "search", "login", "contact", "accueil", "suivant", "précédent", "recherche", "connexion",
+    "startseite", "menü", "weiter", "zurück", "suche", "anmelden", "kontakt", "inicio", "menú", "siguiente", "anterior", "buscar", "contacto",
+)
 BOILERPLATE = (
     "all rights reserved", "copyright", "privacy policy", "cookie", "terms of use", "terms of service", "javascript",
     "lorem ipsum", "subscribe", "sign up", "click here", "license under", "licensed under", "spdx-license",
+    "tous droits réservés", "politique de confidentialité", "mentions légales", "alle rechte vorbehalten", "datenschutzerklärung",
+    "nutzungsbedingungen", "todos los derechos reservados", "política de privacidad", "aviso legal",
 )
 
 
@@ -80,7 +86,10 @@ def line_fails(line: Column) -> Column:
 
 
 def clean(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``cleaned`` (the text without its failed lines) and ``n_failed_lines``, ``lost_chars``."""
+    """Adds ``cleaned`` (the text without its failed lines) and ``n_failed_lines``, ``lost_chars``.
+
+    Columns of these names, and those that begin with ``_`` and name the guards, are replaced.
+    """
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     guarded = docs.withColumns(_guards(whole) | {"_lines": F.split(whole, "\n", -1)})
     out = guarded.withColumn("_failed", F.transform("_lines", line_fails)).drop("_boilerplate", "_bars", "_arrows")
@@ -145,8 +154,8 @@ def _sql(pattern: str) -> str:
 
 # The rules once more, as patterns for the SQL.
 _CLOSING = r"""[.!?…:;"'”’»)\]][\x20\x09-\x0D]*$"""
-_NAVIGATION = r"(\|.*\|)|[→»›]|^(home|menu|next|previous|back|search|login|contact)$"
-_BOILERPLATE = r"all rights reserved|copyright|privacy policy|cookie|terms of (use|service)|javascript|lorem ipsum|subscribe|sign up|click here|licensed? under|spdx-license"
+_NAVIGATION = r"(\|.*\|)|[→»›]|^(home|menu|next|previous|back|search|login|contact|accueil|suivant|précédent|recherche|connexion|startseite|menü|weiter|zurück|suche|anmelden|kontakt|inicio|menú|siguiente|anterior|buscar|contacto)$"
+_BOILERPLATE = r"tous droits réservés|politique de confidentialité|mentions légales|alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|todos los derechos reservados|política de privacidad|aviso legal|all rights reserved|copyright|privacy policy|cookie|terms of (use|service)|javascript|lorem ipsum|subscribe|sign up|click here|licensed? under|spdx-license"
 
 _W, _S = r"'[^\x20\x09-\x0D]+'", r"'[\x20\x09-\x0D]+'"
 
