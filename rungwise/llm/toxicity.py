@@ -7,8 +7,11 @@ together finds every term within the bound, or every stem within the bound of th
 How far a match with an edit can be trusted is learned from the sample as well.
 
 Scoring: every match has a context window of WINDOW words.  A match inside quotation marks or beside
-a reporting word counts for less, one beside the second person or another match for more.  The score
-is the probability that one match or more is meant: 1 - product(1 - p).
+a reporting word counts for less, one beside the second person or another match for more.  How much is
+learned from the sample, where documents whose matches are all of one kind say how often it is meant;
+QUOTED and ABUSIVE are the factors before any is seen.  Words that stand beside matches of clean
+documents far more often than of toxic ones join the reporting words.  The score is the probability that
+one match or more is meant: 1 - product(1 - p).
 
 Defined results: null, empty and wordless texts, and all texts if the labels give no terms, score
 BASE; a text is scored whole; equal texts get equal scores; the only inputs of a score are the text
@@ -32,7 +35,6 @@ from rungwise.llm.common import small_batches, table, unit_hash
 
 #: Expected number of labelled rows that are learned from.
 SAMPLE_ROWS = 12_000
-MAX_TERMS = 500
 #: A term's documents in the sample: this many, and this share of the toxic ones, at least.
 MIN_SUPPORT, MIN_SUPPORT_SHARE = 3, 0.01
 MIN_PRECISION = 0.75
@@ -42,6 +44,10 @@ THRESHOLD = 0.7
 BASE = 0.02
 WINDOW = 6
 QUOTED, ABUSIVE = 0.5, 1.15
+#: Documents that the factors before any is seen count as, and bounds of a learned factor.
+CONTEXT_PRIOR, CONTEXT_BOUNDS = 20, (0.05, 1.3)
+#: A learned reporting word: documents with a match beside it, and the toxic ones among them, at most.
+REPORTING_SUPPORT, REPORTING_SHARE = 20, 0.1
 CACHE_WORDS = 100_000
 
 # Words of reporting and of the second person in the corpus's languages.
@@ -58,6 +64,9 @@ class Lexicon:
 
     terms: dict[str, float]
     fuzzy: dict[str, float] = field(default_factory=dict)
+    reporting: frozenset[str] = REPORTING
+    quoted: float = QUOTED
+    abusive: float = ABUSIVE
 
     def __post_init__(self):
         self.trie: dict = {}
@@ -145,12 +154,13 @@ class Scorer:
         if not found:
             return BASE
         miss = 1.0
-        for p in self._weighed(text.lower(), found):
-            miss *= 1.0 - min(0.999, p)
+        factor = {"quoted": self.lexicon.quoted, "abusive": self.lexicon.abusive, "plain": 1.0}
+        for p, kind, _ in self.contexts(text.lower(), found):
+            miss *= 1.0 - min(0.999, p * factor[kind])
         return max(BASE, 1.0 - miss)
 
-    def _weighed(self, text: str, found: dict[str, tuple]) -> Iterator[float]:
-        """The probability of each match, weighed by the words around it."""
+    def contexts(self, text: str, found: dict[str, tuple]) -> Iterator[tuple[float, str, list[str]]]:
+        """(probability, kind of context, words of the window) of each match, in order."""
         spots = list(_WORD.finditer(text))
         words = [m.group() for m in spots]
         at = [i for i, w in enumerate(words) if w in found]
@@ -163,12 +173,12 @@ class Scorer:
             quote += sum(text.count(q, seen, begin) for q in QUOTES)
             seen = begin
             near = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
-            p = found[words[i]][2]
-            if quote % 2 or not REPORTING.isdisjoint(near):
-                p *= QUOTED
+            kind = "plain"
+            if quote % 2 or not self.lexicon.reporting.isdisjoint(near):
+                kind = "quoted"
             elif not SECOND_PERSON.isdisjoint(near) or any(w in found for w in near):
-                p *= ABUSIVE
-            yield p
+                kind = "abusive"
+            yield found[words[i]][2], kind, near
 
 
 def held_out(doc_id: Column) -> Column:
@@ -219,9 +229,11 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
 
         found = distinct.select("vocabulary", "toxic").mapInPandas(features, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         good = found.filter((F.col("toxic") >= support) & (F.col("toxic") >= MIN_PRECISION * (F.col("toxic") + F.col("clean") + 1)))
-        terms = _chosen([(r["term"], r["toxic"], r["clean"]) for r in good.orderBy(F.desc("toxic"), "term").limit(4 * MAX_TERMS).collect()])
+        terms = _chosen([(r["term"], r["toxic"], r["clean"]) for r in good.collect()])  # no more than the sample's words
         lexicon = Lexicon(terms)
-        lexicon.fuzzy = _edits(distinct, lexicon) if terms else {}
+        if terms:
+            lexicon.fuzzy = _edits(distinct, lexicon)
+            _learn_context(rows, lexicon)
         return lexicon
     finally:
         distinct.unpersist()
@@ -242,7 +254,7 @@ def _chosen(rows: list[tuple[str, int, int]]) -> dict[str, float]:
             continue
         stems = [s for s in stems if s not in above] + [stem]
     words = [t for t in support if not t.endswith("*") and not any(t.startswith(s[:-1]) for s in stems)]
-    return {t: min(0.99, trust[t]) for t in sorted(stems + words, key=lambda t: (-support[t], t))[:MAX_TERMS]}
+    return {t: min(0.99, trust[t]) for t in sorted(stems + words, key=lambda t: (-support[t], t))}
 
 
 def _edits(distinct: DataFrame, lexicon: Lexicon) -> dict[str, float]:
@@ -262,8 +274,41 @@ def _edits(distinct: DataFrame, lexicon: Lexicon) -> dict[str, float]:
     return {r["term"]: (r["t"] + 3 * prior(r["term"])) / (r["n"] + 3) for r in counted}
 
 
+def _learn_context(rows: DataFrame, lexicon: Lexicon) -> None:
+    """Sets the lexicon's reporting words, and then its factors, from the sampled texts."""
+
+    def counted(part: str) -> list:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            scorer, counts = Scorer(lexicon), Counter()
+            for batch in batches:
+                for text, toxic in zip(batch["text"], batch["toxic"]):
+                    found = scorer.hits(text or "")[1]
+                    seen = list(scorer.contexts(text.lower(), found)) if found else []
+                    if part == "words":
+                        values = {w for _, _, near in seen for w in near if len(w) > 2 and w not in found}
+                    else:
+                        kinds = {kind for _, kind, _ in seen}
+                        values = kinds if len(kinds) == 1 else ()
+                    counts.update((v, int(toxic)) for v in values)
+            yield pd.DataFrame([(v, t, n) for (v, t), n in counts.items()], columns=["value", "toxic", "n"])
+
+        made = rows.select("text", "toxic").mapInPandas(run, "value string, toxic int, n long")
+        toxic = F.sum(F.when(F.col("toxic") > 0, F.col("n")).otherwise(0))
+        return made.groupBy("value").agg(F.sum("n").alias("n"), toxic.alias("t")).filter((F.col("n") >= REPORTING_SUPPORT) | F.lit(part == "kinds")).collect()
+
+    learned = {r["value"] for r in counted("words") if r["t"] <= REPORTING_SHARE * r["n"]}
+    lexicon.reporting = REPORTING | learned
+    kinds = {r["value"]: (r["t"], r["n"]) for r in counted("kinds")}
+    t, n = kinds.get("plain", (0, 0))
+    plain = (t + CONTEXT_PRIOR * 0.9) / (n + CONTEXT_PRIOR)
+    for kind, before in (("quoted", QUOTED), ("abusive", ABUSIVE)):
+        t, n = kinds.get(kind, (0, 0))
+        rate = (t + CONTEXT_PRIOR * min(1.0, before * plain)) / (n + CONTEXT_PRIOR)
+        setattr(lexicon, kind, min(max(rate / plain, CONTEXT_BOUNDS[0]), CONTEXT_BOUNDS[1]))
+
+
 def with_score(docs: DataFrame, lexicon: Lexicon, out: str = "score") -> DataFrame:
-    """``docs`` with the score of each text."""
+    """``docs`` with the score of each text; a column of the score's name is replaced."""
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
