@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rungwise.llm.common import materialise, small_batches, table
+from rungwise.llm.common import materialise, scratch, small_batches, table
 from rungwise.llm.components import components
 
 SHINGLE = 5
@@ -288,6 +288,11 @@ def _block_links(shingler: Shingler, left, right, similarity: float) -> list[tup
 
 def grouped_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """h0, h1, least_id of each class and component_id, the least doc_id of its component."""
+    with scratch():
+        return materialise(_grouped(docs, similarity), "text-groups", keep=True)
+
+
+def _grouped(docs: DataFrame, similarity: float) -> DataFrame:
     classes = classes_of(docs)
     rows = classes.select("cid", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.min("cid").alias("x"), F.max("cid").alias("y")).filter("x <> y").select("band")
@@ -317,9 +322,9 @@ def op9_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` of which one stands for each group; wordless ones all stay."""
-    done = grouped_classes(docs.select("doc_id", "text"), similarity).withColumn("_kept", F.col("least_id").eqNullSafe(F.col("component_id")))
-    marks = done.select(F.col("h0").alias("_h0"), F.col("h1").alias("_h1"), F.col("least_id").alias("_least"), "_kept")
-    rows = docs.withColumns({"_k0": F.xxhash64("text"), "_k1": F.xxhash64(F.lit(1), "text")})
-    joined = rows.join(marks, (F.col("_k0") == F.col("_h0")) & (F.col("_k1") == F.col("_h1")), "left")
-    first = F.col("_kept").isNull() | (F.col("_kept") & F.col("doc_id").eqNullSafe(F.col("_least")))
-    return joined.filter(first).select(*[F.col(f"`{c}`") for c in docs.columns])
+    done = grouped_classes(docs.select("doc_id", "text"), similarity).withColumn("stays", F.col("least_id").eqNullSafe(F.col("component_id")))
+    # The caller's columns travel inside one, so that no name can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("h0"), F.xxhash64(F.lit(1), "text").alias("h1"))
+    joined = rows.join(done.select("h0", "h1", "least_id", "stays"), ["h0", "h1"], "left")
+    first = F.col("stays").isNull() | (F.col("stays") & F.col("row.doc_id").eqNullSafe(F.col("least_id")))
+    return joined.filter(first).select("row.*")
