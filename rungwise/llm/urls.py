@@ -7,7 +7,9 @@ and from smoothed block rates of suffixes and first path segments, and judge eve
 
 Only the fit reads a sample: rows whose hash lies under ``SAMPLE_ROWS / labelled rows``, so about
 SAMPLE_ROWS at any size.  The block rates are counted on all labelled rows, for every value, and joined;
-they are broadcast up to BROADCAST_VALUES values (counted), beyond that the join is by value.
+they are broadcast up to BROADCAST_VALUES values (counted), beyond that the join is by value.  In the fit
+a row's rates are those of the other FOLDS - 1 folds of labelled rows, so that no row's own label is in
+its features; :func:`held_out_scores` scores labelled rows that neither the fit nor the rates have seen.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, fits no rule and is
 judged by the trees like any other; if the labelled URLs are none or of one kind only, that kind is
@@ -31,6 +33,7 @@ SAMPLE_ROWS = 20_000
 #: Values of a suffix or path segment up to which their rates are broadcast.
 BROADCAST_VALUES = 100_000
 PRIOR_ROWS = 10.0
+FOLDS = 5
 TREES, DEPTH = 10, 4
 #: Rules that are written into the plan; more would make it unwieldy.
 MAX_RULES = 500
@@ -91,46 +94,86 @@ LEXICAL = ["f_length", "f_host_length", "f_labels", "f_depth", "f_digits", "f_en
 RATES = {"v_suffix": "f_suffix_rate", "v_segment": "f_segment_rate"}
 
 
-def _rates(labelled: DataFrame, value: str, prior: float) -> DataFrame:
-    """Each labelled value with its smoothed block rate."""
-    counted = labelled.groupBy(value).agg(F.count("*").alias("n"), F.sum("label").alias("blocked"))
-    rate = (F.col("blocked") + PRIOR_ROWS * prior) / (F.col("n") + PRIOR_ROWS)
-    rates = materialise(counted.select(value, rate.alias(RATES[value])), "url-rates")
-    return F.broadcast(rates) if rates.count() <= BROADCAST_VALUES else rates
+def _fold() -> Column:
+    return F.pmod(F.xxhash64(F.lit("url fold"), "page_id", "url"), F.lit(FOLDS)).cast("int")
 
 
-def _with_rates(featured: DataFrame, rates: dict[str, DataFrame], prior: float) -> DataFrame:
-    """The rates of both values; the prior for values without a label."""
-    for value, found in rates.items():
-        featured = featured.join(found, value, "left").withColumn(RATES[value], F.coalesce(RATES[value], F.lit(prior)))
+def _rate(n: Column, blocked: Column, prior: float) -> Column:
+    return (F.coalesce(blocked, F.lit(0.0)) + PRIOR_ROWS * prior) / (F.coalesce(n, F.lit(0)) + PRIOR_ROWS)
+
+
+def _counts(labelled: DataFrame, value: str) -> DataFrame:
+    """Each labelled value with its rows and blocked rows, in all and for each fold."""
+    folds = [c for k in range(FOLDS) for c in (F.count(F.when(F.col("fold") == k, 1)).alias(f"n{k}"), F.sum(F.when(F.col("fold") == k, F.col("label")).otherwise(0.0)).alias(f"b{k}"))]
+    counted = materialise(labelled.groupBy(value).agg(F.count("*").alias("n"), F.sum("label").alias("blocked"), *folds), "url-rates")
+    return F.broadcast(counted) if counted.count() <= BROADCAST_VALUES else counted
+
+
+def _with_rates(featured: DataFrame, counts: dict[str, DataFrame], prior: float, own_fold: bool) -> DataFrame:
+    """The rates of both values, for ``own_fold`` without the rows of the row's fold; the prior for values without a label."""
+    for value, found in counts.items():
+        n, blocked = F.col("n"), F.col("blocked")
+        if own_fold:
+            n = n - F.coalesce(*[F.when(F.col("fold") == k, F.col(f"n{k}")) for k in range(FOLDS)])
+            blocked = blocked - F.coalesce(*[F.when(F.col("fold") == k, F.col(f"b{k}")) for k in range(FOLDS)])
+        kept = [c for c in featured.columns if c != RATES[value]]
+        featured = featured.join(found, value, "left").select(*kept, _rate(n, blocked, prior).alias(RATES[value]))
     return featured
 
 
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict and score (the trees' probability of block)."""
+def _trained(labelled: DataFrame, kinds: dict[str, int]):
+    """(model, counts, prior) from labelled rows with features, label and fold."""
+    total = sum(kinds.values())
+    prior, share = kinds["block"] / total, min(1.0, SAMPLE_ROWS / total)
+    counts = {value: _counts(labelled, value) for value in RATES}
+    drawn = labelled.filter(unit_hash("url sample", F.col("url"), F.col("page_id")) < share)
+    sample = _gather().transform(_with_rates(drawn, counts, prior, True)).select("features", "label").cache()
+    try:
+        return GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(sample), counts, prior
+    finally:
+        sample.unpersist()
+
+
+def _gather() -> VectorAssembler:
+    return VectorAssembler(inputCols=[*LEXICAL, *RATES.values()], outputCol="features")
+
+
+def _ruled(pages: DataFrame, rules) -> tuple[DataFrame, dict[str, int]]:
+    """Parsed pages with rule and ruled (its verdict), and how many rows each verdict has."""
     parsed = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = matched(F.col("host"), F.col("path"), rules)
     ruled = parsed.withColumn("rule", rule).withColumn("ruled", verdict)
-    kinds = {r["ruled"]: r["n"] for r in ruled.filter(F.col("ruled").isNotNull()).groupBy("ruled").agg(F.count("*").alias("n")).collect()}
+    return ruled, {r["ruled"]: r["n"] for r in ruled.filter(F.col("ruled").isNotNull()).groupBy("ruled").agg(F.count("*").alias("n")).collect()}
+
+
+def _labelled(ruled: DataFrame) -> DataFrame:
+    return _features(ruled.filter(F.col("ruled").isNotNull())).withColumn("label", (F.col("ruled") == "block").cast("double")).withColumn("fold", _fold())
+
+
+def judge(pages: DataFrame, rules=RULES) -> DataFrame:
+    """page_id, host, path, rule, verdict and score (the trees' probability of block)."""
+    ruled, kinds = _ruled(pages, rules)
     out = ["page_id", "host", "path", "rule"]
     if len(kinds) < 2:
         only = next(iter(kinds), "allow")
         return ruled.select(*out, F.coalesce("ruled", F.lit(only)).alias("verdict"), F.lit(float(only == "block")).alias("score"))
-    share = min(1.0, SAMPLE_ROWS / sum(kinds.values()))
-    prior = kinds["block"] / sum(kinds.values())
-    labelled = _features(ruled.filter(F.col("ruled").isNotNull())).withColumn("label", (F.col("ruled") == "block").cast("double"))
-    rates = {value: _rates(labelled, value, prior) for value in RATES}
-    gather = VectorAssembler(inputCols=[*LEXICAL, *RATES.values()], outputCol="features")
-    sample = gather.transform(_with_rates(labelled.filter(unit_hash("url sample", F.col("url"), F.col("page_id")) < share), rates, prior)).select("features", "label").cache()
-    try:
-        model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=7).fit(sample)
-    finally:
-        sample.unpersist()
-    scored = model.transform(gather.transform(_with_rates(_features(ruled), rates, prior)))
+    model, counts, prior = _trained(_labelled(ruled), kinds)
+    scored = model.transform(_gather().transform(_with_rates(_features(ruled), counts, prior, False)))
     score = vector_to_array("probability")[1]
     return scored.select(*out, F.coalesce("ruled", F.when(score >= 0.5, "block").otherwise("allow")).alias("verdict"), score.alias("score"))
 
 
+def held_out_scores(pages: DataFrame, rules=RULES) -> DataFrame:
+    """label and score of the labelled rows of fold 0, by trees and rates that learn from the other folds only."""
+    ruled, _ = _ruled(pages, rules)
+    labelled = _labelled(ruled)
+    known = labelled.filter("fold <> 0")
+    kinds = {("block" if r["label"] else "allow"): r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    model, counts, prior = _trained(known, kinds)
+    scored = model.transform(_gather().transform(_with_rates(labelled.filter("fold = 0"), counts, prior, False)))
+    return scored.select("label", vector_to_array("probability")[1].alias("score"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages").select("page_id", "url"))
 
