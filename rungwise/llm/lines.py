@@ -29,6 +29,7 @@ all other columns are kept but for ``n_lines`` and ``n_dropped``, which are repl
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -187,11 +188,12 @@ def distance_within(a: list[str], b: list[str], bound: int = 1) -> bool:
     return row[len(b)] <= bound
 
 
-_SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
+_CONTROLS = re.compile("[\t\x0b\x0c\r]")
 
 
 def _words(line: str) -> list[str]:
-    return [w for w in line.translate(_SPACES).split(" ") if w]
+    words = (_CONTROLS.sub(" ", line) if _CONTROLS.search(line) else line).split(" ")
+    return [w for w in words if w] if "" in words else words
 
 
 def _variant_holders(texts: DataFrame) -> DataFrame:
