@@ -1,12 +1,13 @@
-"""Vector distances as column expressions, and the same as SQL for the oracle.
+"""Vector distances as column expressions, as kernels over blocks, and as SQL for the oracle.
 
-Everything is computed in double precision and in element order, inside one row.
+Everything is computed in double precision; a column expression works inside one row, in element order.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,14 +78,88 @@ def jaccard(a: Column, b: Column) -> Column:
     return low / _folded(a, b, lambda x, y: F.greatest(F.abs(x), F.abs(y)))
 
 
-def sign_word(a: Column) -> Column:
-    """The signs of up to 63 components as the bits of a long."""
-    bits = F.transform(F.slice(a, 1, 63), lambda x, i: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L")))
-    return F.aggregate(bits, F.expr("0L"), lambda s, b: s * 2 + b)
+def lp(p: float) -> Callable[[Column, Column], Column]:
+    """The sum of the differences' p-th powers."""
+    return lambda a, b: _folded(a, b, lambda x, y: F.pow(F.abs(x - y), F.lit(float(p))))
+
+
+def jensen_shannon(a: Column, b: Column) -> Column:
+    """Half the divergences from the mean vector, of the magnitudes; an element of 0 adds nothing."""
+
+    def part(x: Column, y: Column) -> Column:
+        m = (F.abs(x) + F.abs(y)) / 2
+        side = lambda v: F.when(F.abs(v) > 0, -F.abs(v) * F.ln(m / F.abs(v))).otherwise(0.0)
+        return side(x) + side(y)
+
+    return _folded(a, b, part) / 2
+
+
+def nan_euclidean(a: Column, b: Column) -> Column:
+    """Squared L2 over the elements that both have, scaled up to the whole length; NaN if there is none."""
+    has = lambda x, y: ~F.isnan(x) & ~F.isnan(y)
+    total = _folded(a, b, lambda x, y: F.when(has(x, y), (x - y) * (x - y)).otherwise(0.0))
+    present = _folded(a, b, lambda x, y: F.when(has(x, y), 1.0).otherwise(0.0))
+    return F.when(present > 0, total * F.size(a) / present).otherwise(F.lit(float("nan")))
+
+
+def sign_words(a: Column) -> Column:
+    """The signs of all components as bits, 32 in each long of an array."""
+    bit = lambda i: F.when(F.get(a, i) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i % 32)).otherwise(F.expr("0L"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size(a) - 1, F.lit(0)), F.lit(32))
+    word = lambda s: F.aggregate(F.sequence(s, F.least(s + 31, F.size(a) - 1)), F.expr("0L"), lambda x, i: x + bit(i))
+    return F.when(F.size(a) > 0, F.transform(starts, word)).otherwise(F.array().cast("array<bigint>"))
 
 
 def hamming(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b)).cast("double")
+    """Differing bits of two such arrays."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x).cast("double")
+
+
+def added(a: Column, b: Column, factor: float = 1.0) -> Column:
+    """a + factor * b."""
+    return F.zip_with(a, b, lambda x, y: x + F.lit(float(factor)) * y)
+
+
+# The same over blocks: arrays whose last axis holds the elements.
+def _ratio(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.divide(x, y, out=np.zeros(np.broadcast_shapes(x.shape, y.shape)), where=y != 0)
+
+
+def _norm_form(q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.maximum(0.0, (q * q).sum(-1) + (b * b).sum(-1) - 2 * (q * b).sum(-1))
+
+
+def _js(q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x, y = np.abs(q), np.abs(b)
+    m = (x + y) / 2
+    side = lambda v: np.where(v > 0, -v * np.log(_ratio(m, v), out=np.zeros_like(m), where=np.broadcast_to(v > 0, m.shape)), 0.0)
+    return (side(np.broadcast_to(x, m.shape)) + side(np.broadcast_to(y, m.shape))).sum(-1) / 2
+
+
+KERNELS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
+    "l2": lambda q, b: ((q - b) ** 2).sum(-1),
+    "ip": lambda q, b: (q * b).sum(-1),
+    "cosine": lambda q, b: (q * b).sum(-1) / np.sqrt((q * q).sum(-1) * (b * b).sum(-1)),
+    "angular": lambda q, b: 1 - (q * b).sum(-1),
+    "l2_norm_form": _norm_form,
+    "l1": lambda q, b: np.abs(q - b).sum(-1),
+    "linf": lambda q, b: np.abs(q - b).max(-1),
+    "lp3": lambda q, b: (np.abs(q - b) ** 3).sum(-1),
+    "canberra": lambda q, b: _ratio(np.abs(q - b), np.abs(q) + np.abs(b)).sum(-1),
+    "braycurtis": lambda q, b: np.abs(q - b).sum(-1) / np.abs(q + b).sum(-1),
+    "jaccard": lambda q, b: np.minimum(np.abs(q), np.abs(b)).sum(-1) / np.maximum(np.abs(q), np.abs(b)).sum(-1),
+    "jensen_shannon": _js,
+    "hamming": lambda q, b: ((q > 0) != (b > 0)).sum(-1).astype(np.float64),
+}
+# Where a matrix product gives the scores but for rounding.
+_SQUARES = lambda q, b: (q * q).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (q @ b.T)
+PRODUCTS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
+    "l2": _SQUARES,
+    "l2_norm_form": _SQUARES,
+    "ip": lambda q, b: q @ b.T,
+    "angular": lambda q, b: 1 - q @ b.T,
+    "cosine": lambda q, b: (q @ b.T) / np.sqrt((q * q).sum(1)[:, None] * (b * b).sum(1)[None, :]),
+}
 
 
 # name: (expression, SQL over lists a.e and b.e, larger is better)
@@ -103,5 +178,7 @@ METRICS: dict[str, tuple[Callable[[Column, Column], Column], str, bool]] = {
     "lp3": (lp3, _sql("abs(p[1] - p[2]) * abs(p[1] - p[2]) * abs(p[1] - p[2])"), False),
     "canberra": (canberra, _sql("CASE WHEN abs(p[1]) + abs(p[2]) > 0 THEN abs(p[1] - p[2]) / (abs(p[1]) + abs(p[2])) ELSE 0 END"), False),
     "braycurtis": (bray_curtis, _sql("abs(p[1] - p[2])") + " / " + _sql("abs(p[1] + p[2])"), False),
+    "jensen_shannon": (jensen_shannon, _sql("CASE WHEN abs(p[1]) > 0 THEN -abs(p[1]) * ln((abs(p[1]) + abs(p[2])) / 2 / abs(p[1])) ELSE 0 END + CASE WHEN abs(p[2]) > 0 THEN -abs(p[2]) * ln((abs(p[1]) + abs(p[2])) / 2 / abs(p[2])) ELSE 0 END") + " / 2", False),
+    "hamming": (lambda a, b: hamming(sign_words(a), sign_words(b)), _sql("CASE WHEN (p[1] > 0) <> (p[2] > 0) THEN 1.0::DOUBLE ELSE 0 END"), False),
     "jaccard": (jaccard, _sql("least(abs(p[1]), abs(p[2]))") + " / " + _sql("greatest(abs(p[1]), abs(p[2]))"), True),
 }

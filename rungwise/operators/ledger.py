@@ -6,17 +6,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Digits of amounts; rounds are counted in decimals, where 0.3 / 0.1 is 3.
+MONEY = "decimal(30,9)"
+
+
+def _whole_quotient(a: Column, b: Column) -> tuple[Column, Column]:
+    """(floor, ceiling) of a / b in decimals, b not 0: the remainder, not a rounded quotient, decides."""
+    a, b = a.cast(MONEY), b.cast(MONEY)
+    toward_zero = F.call_function("div", a, b)
+    exact, negative = a % b == 0, (F.signum(a) * F.signum(b)) < 0
+    return F.when(exact | ~negative, toward_zero).otherwise(toward_zero - 1), F.when(exact | negative, toward_zero).otherwise(toward_zero + 1)
+
+
 def first_round(upfront: Column, saving: Column) -> Column:
-    """The first round whose total is strictly below: floor(B / D) + 1; equality isn't repaid yet.
+    """The first round, 1 at least, whose total is strictly below: floor(B / D) + 1; equality isn't repaid yet.
 
-    1 if nothing is to be repaid and nothing is lost later; NULL if it is never repaid.
+    1 as well if nothing is saved and less than nothing was paid; NULL if it is never repaid, or only for some
+    first rounds, which :func:`initial_region` says.
     """
-    return F.when(saving > 0, F.when(upfront < 0, F.lit(1)).otherwise(F.floor(upfront / saving) + 1)).when(upfront < 0, F.lit(1)).cast("long")
+    b, d = upfront.cast(MONEY), saving.cast(MONEY)
+    low, _ = _whole_quotient(b, d)
+    return F.when(d > 0, F.greatest(F.lit(1), low + 1)).when((b < 0) & (d == 0), F.lit(1)).cast("long")
+
+
+def initial_region(upfront: Column, saving: Column) -> Column:
+    """Whether an early advantage lasts for a finite number of rounds only."""
+    b, d = upfront.cast(MONEY), saving.cast(MONEY)
+    return (b < 0) & (d < 0) & (b < d)
 
 
 def last_initial_round(upfront: Column, saving: Column) -> Column:
     """The last round of an early advantage that later losses eat up; NULL where there is none."""
-    return F.when((upfront < 0) & (saving < 0), F.ceil(upfront / saving) - 1).cast("long")
+    b, d = upfront.cast(MONEY), saving.cast(MONEY)
+    _, high = _whole_quotient(b, d)
+    return F.when((b < 0) & (d < 0) & (high >= 2), high - 1).cast("long")
+
+
+def contrast(upfront: Column, saving: Column, requests: int, overhead: float = 100.0) -> dict[str, Column]:
+    """What a policy costs against another: B, D, the first round's balance, rounds, and the overhead a request may have."""
+    return {
+        "upfront": upfront,
+        "saving": saving,
+        "first_round_net": upfront - saving,
+        "strict_round": first_round(upfront, saving),
+        "initial_only": initial_region(upfront, saving),
+        "last_initial_round": last_initial_round(upfront, saving),
+        "nonpositive_saving": saving <= 0,
+        "overhead_per_request": F.when(saving > 0, saving / requests),
+        "strict_round_with_overhead": first_round(upfront.cast(MONEY) + F.lit(overhead).cast(MONEY), saving),
+    }
 
 
 def curves(ledger: DataFrame, rounds: list[int]) -> DataFrame:

@@ -53,19 +53,46 @@ def role() -> Column:
 
 
 def binomial_cdf(f: int, n: int, p: float) -> float:
-    return sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * log(p) + (n - i) * log(1 - p)) for i in range(f + 1))
+    """P(at most f of n), as the regularised incomplete beta function by its continued fraction."""
+    if f >= n or p <= 0:
+        return 1.0
+    if f < 0 or p >= 1:
+        return 0.0
+    a, b, x = n - f, f + 1, 1 - p
+    front = exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * log(x) + b * log(1 - x))
+    if x < (a + 1) / (a + b + 2):
+        return front * _beta_fraction(a, b, x) / a
+    return 1 - front * _beta_fraction(b, a, 1 - x) / b
+
+
+def _beta_fraction(a: float, b: float, x: float) -> float:
+    """The continued fraction of the incomplete beta function, by Lentz's method."""
+    tiny = 1e-300
+    c, d = 1.0, 1 / max(1 - (a + b) * x / (a + 1), tiny)
+    h = d
+    for m in range(1, 10_000):
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 + top * d
+            c = 1 + top / c
+            d = 1 / (d if abs(d) > tiny else tiny)
+            c = c if abs(c) > tiny else tiny
+            h *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return h
 
 
 def max_failures(n: int, alpha: float, epsilon: float) -> int:
     """The most failures of n whose upper confidence bound at alpha is at most epsilon; -1 if none.
 
     The bound is at most epsilon exactly if the binomial distribution function at the failures is at
-    most alpha, so no quantile of a Beta distribution is needed.
+    most alpha, so no quantile of a Beta distribution is needed; it rises with the failures, so halving finds it.
     """
-    f = -1
-    while f + 1 < n and binomial_cdf(f + 1, n, epsilon) <= alpha:
-        f += 1
-    return f
+    low, high = -1, n
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if binomial_cdf(mid, n, epsilon) <= alpha else (low, mid)
+    return low
 
 
 def upper_bound(f: int, n: int, alpha: float) -> float:
@@ -81,10 +108,18 @@ def upper_bound(f: int, n: int, alpha: float) -> float:
     return high
 
 
-def qualifies(failures: Column, n: Column, alpha: float, epsilon: float, sizes) -> Column:
-    """failures <= max_failures(n), for the sample sizes that occur (a handful, one a role and build)."""
-    limit = F.coalesce(*[F.when(n == s, F.lit(max_failures(s, alpha, epsilon))) for s in sizes], F.lit(-1))
-    return failures <= limit
+#: Sample sizes up to which thresholds are made on the driver: one a role and build.
+MAX_SIZES = 100_000
+
+
+def limits(counted: DataFrame, alphas: dict[str, float], epsilons) -> DataFrame:
+    """n, epsilon and a column of most failures for each name of ``alphas``, for the n that occur (counted)."""
+    sizes = [r["n"] for r in counted.select("n").distinct().limit(MAX_SIZES + 1).collect()]
+    if len(sizes) > MAX_SIZES:
+        raise ValueError(f"more than {MAX_SIZES} sample sizes")
+    rows = [(n, float(e), *[max_failures(n, a, e) for a in alphas.values()]) for n in sizes for e in epsilons]
+    schema = "n long, epsilon double, " + ", ".join(f"{name} int" for name in alphas)
+    return F.broadcast(counted.sparkSession.createDataFrame(rows, schema))
 
 
 def candidate_outcomes(cube: DataFrame) -> DataFrame:
@@ -95,51 +130,58 @@ def candidate_outcomes(cube: DataFrame) -> DataFrame:
     return hm.join(at, ["target", "query_id", "action_idx"]).join(end, ["target", "query_id"])
 
 
-def certify(cube: DataFrame, alpha: float, epsilon: float) -> DataFrame:
-    """target, n, candidate and endpoint failures on the certification role, decision."""
+def certify(cube: DataFrame, alpha: float, epsilons) -> DataFrame:
+    """epsilon, target, n, candidate and endpoint failures on the certification role, decision; all tolerances in one pass."""
     rows = candidate_outcomes(cube).filter(role() == "certification")
     union = (F.col("hits") < K) | (F.col("end_hits") < K)
     counted = rows.groupBy("target").agg(F.count("*").alias("n"), F.count(F.when(union, 1)).alias("candidate_failures"), F.count(F.when(F.col("end_hits") < K, 1)).alias("endpoint_failures"), F.count(F.when(F.col("bottom"), 1)).alias("abstentions"))
-    sizes = sorted({r["n"] for r in counted.select("n").distinct().collect()})
-    end_ok = qualifies(F.col("endpoint_failures"), F.col("n"), alpha, epsilon, sizes)
-    ok = qualifies(F.col("candidate_failures"), F.col("n"), alpha, epsilon, sizes)
-    return counted.withColumn("decision", F.when(~end_ok, "UNDEPLOYABLE").when(ok, "CANDIDATE").otherwise("ENDPOINT"))
+    judged = counted.join(limits(counted, {"most": alpha}, epsilons), "n")
+    decision = F.when(F.col("endpoint_failures") > F.col("most"), "UNDEPLOYABLE").when(F.col("candidate_failures") <= F.col("most"), "CANDIDATE").otherwise("ENDPOINT")
+    return judged.withColumn("decision", decision).drop("most")
 
 
 def evaluate(cube: DataFrame, locked: DataFrame) -> DataFrame:
-    """target, decision, n, failures, mean_ndc of the locked decisions on the evaluation role."""
-    rows = candidate_outcomes(cube).filter(role() == "evaluation").join(F.broadcast(locked.select("target", "decision")), "target")
+    """epsilon, target, decision, n, failures, mean_ndc of the locked decisions on the evaluation role."""
+    rows = candidate_outcomes(cube).filter(role() == "evaluation").join(F.broadcast(locked.select("epsilon", "target", "decision")), "target")  # a row a tolerance and build
     use = F.col("decision") == "CANDIDATE"
     hits, ndc = F.when(use, F.col("hits")).otherwise(F.col("end_hits")), F.when(use, F.col("ndc")).otherwise(F.col("end_ndc"))
     live = F.col("decision") != "UNDEPLOYABLE"
-    return rows.groupBy("target", "decision").agg(F.count("*").alias("n"), F.count(F.when(live & (hits < K), 1)).alias("failures"), F.round(F.avg(F.when(live, ndc)), 6).alias("mean_ndc"))
-
-
-def target_global(cube: DataFrame, alpha: float, epsilon: float) -> DataFrame:
-    """target, action_idx of least mean cost among eligible ones (ties to the lower), decision."""
-    by = cube.withColumn("role", role()).filter(F.col("role").isin("selection", "certification"))
-    counted = by.groupBy("role", F.col("build").alias("target"), "action_idx").agg(F.count("*").alias("n"), F.count(F.when(~safe(), 1)).alias("f"), F.avg("ndc").alias("cost"))
-    sizes = sorted({r["n"] for r in counted.select("n").distinct().collect()})
-    chosen = counted.filter((F.col("role") == "selection") & qualifies(F.col("f"), F.col("n"), alpha / N, epsilon, sizes)).groupBy("target").agg(F.min(F.struct("cost", "action_idx")).alias("m")).select("target", F.col("m.action_idx").alias("action_idx"))
-    cert = counted.filter("role = 'certification'").withColumn("ok", qualifies(F.col("f"), F.col("n"), alpha / 2, epsilon, sizes))
-    end = cert.filter(F.col("action_idx") == END).select("target", F.col("ok").alias("end_ok"))
-    both = end.join(chosen, "target", "left").join(cert.select("target", "action_idx", "ok"), ["target", "action_idx"], "left")
-    decision = F.when(~F.col("end_ok"), "UNDEPLOYABLE").when(F.coalesce("ok", F.lit(False)), "CANDIDATE").otherwise("ENDPOINT")
-    return both.select("target", F.col("action_idx").cast("int").alias("action_idx"), decision.alias("decision"))
-
-
-def one_rung(cube: DataFrame, alpha: float, epsilon: float) -> DataFrame:
-    """source, target, source_action, candidate_action, decision: the source's first passing budget, one rung up."""
-    by = cube.withColumn("role", role()).groupBy("role", "build", "action_idx").agg(F.count("*").alias("n"), F.count(F.when(~safe(), 1)).alias("f"))
-    sizes = sorted({r["n"] for r in by.select("n").distinct().collect()})
-    passed = by.filter((F.col("role") == "design") & qualifies(F.col("f"), F.col("n"), alpha / N, epsilon, sizes)).groupBy("build").agg(F.min("action_idx").alias("a"))
-    source = by.select("build").distinct().join(passed, "build", "left").select(F.col("build").alias("source"), F.coalesce("a", F.lit(END)).alias("source_action"))
-    cert = by.filter("role = 'certification'").select(F.col("build").alias("target"), "action_idx", qualifies(F.col("f"), F.col("n"), alpha / 2, epsilon, sizes).alias("ok"))
-    rung = source.withColumn("candidate_action", F.least(F.col("source_action") + 1, F.lit(END)))
-    pairs = rung.join(cert.withColumnRenamed("action_idx", "candidate_action"), "candidate_action").filter("source <> target")
-    end = cert.filter(F.col("action_idx") == END).select("target", F.col("ok").alias("end_ok"))
-    decision = F.when(F.col("ok"), "CANDIDATE_ACCEPTED").when(F.col("end_ok"), "FIXED_SAFE_FALLBACK").otherwise("ABSTAIN_ENDPOINT_UNQUALIFIED")
-    return pairs.join(end, "target").select("source", "target", "source_action", "candidate_action", decision.alias("decision"))
+    return rows.groupBy("epsilon", "target", "decision").agg(F.count("*").alias("n"), F.count(F.when(live & (hits < K), 1)).alias("failures"), F.round(F.avg(F.when(live, ndc)), 6).alias("mean_ndc"))
+
+
+def by_role(cube: DataFrame) -> DataFrame:
+    """role, build, action_idx, n, f (queries that are not safe), fa (or whose endpoint is not), cost (mean)."""
+    end = cube.filter(F.col("action_idx") == END).select("build", "query_id", (F.col("hits") != K).alias("end_bad"))
+    rows = cube.join(end, ["build", "query_id"]).withColumn("role", role())
+    return rows.groupBy("role", "build", "action_idx").agg(F.count("*").alias("n"), F.count(F.when(~safe(), 1)).alias("f"), F.count(F.when(~safe() | F.col("end_bad"), 1)).alias("fa"), F.avg("ndc").alias("cost"))
+
+
+def three_way(end_ok: Column, ok: Column, names=("UNDEPLOYABLE", "CANDIDATE", "ENDPOINT")) -> Column:
+    return F.when(~end_ok, names[0]).when(F.coalesce(ok, F.lit(False)), names[1]).otherwise(names[2])
+
+
+def target_global(cube: DataFrame, alpha: float, epsilons) -> DataFrame:
+    """epsilon, target, action_idx of least mean cost among eligible ones (ties to the lower), decision."""
+    counted = by_role(cube).filter(F.col("role").isin("selection", "certification")).withColumnRenamed("build", "target")
+    judged = counted.join(limits(counted, {"each": alpha / N, "half": alpha / 2}, epsilons), "n")
+    chosen = judged.filter("role = 'selection' AND f <= each").groupBy("epsilon", "target").agg(F.min(F.struct("cost", "action_idx")).alias("m")).select("epsilon", "target", F.col("m.action_idx").alias("action_idx"))
+    cert = judged.filter("role = 'certification'").withColumn("ok", F.col("f") <= F.col("half"))
+    end = cert.filter(F.col("action_idx") == END).select("epsilon", "target", F.col("ok").alias("end_ok"))
+    both = end.join(chosen, ["epsilon", "target"], "left").join(cert.select("epsilon", "target", "action_idx", "ok"), ["epsilon", "target", "action_idx"], "left")
+    return both.select("epsilon", "target", F.col("action_idx").cast("int").alias("action_idx"), three_way(F.col("end_ok"), F.col("ok")).alias("decision"))
+
+
+def one_rung(cube: DataFrame, alpha: float, epsilons) -> DataFrame:
+    """epsilon, source, target, source_action, candidate_action, decision: the source's first passing budget, one rung up."""
+    counted = by_role(cube)
+    judged = counted.join(limits(counted, {"each": alpha / N, "half": alpha / 2}, epsilons), "n")
+    passed = judged.filter("role = 'design'").groupBy("epsilon", F.col("build").alias("source")).agg(F.coalesce(F.min(F.when(F.col("f") <= F.col("each"), F.col("action_idx"))), F.lit(END)).alias("source_action"))
+    cert = judged.filter("role = 'certification'").select("epsilon", F.col("build").alias("target"), F.col("action_idx").alias("candidate_action"), (F.col("f") <= F.col("half")).alias("ok"))
+    rung = passed.withColumn("candidate_action", F.least(F.col("source_action") + 1, F.lit(END)))
+    pairs = rung.join(cert, ["epsilon", "candidate_action"]).filter("source <> target")
+    end = cert.filter(F.col("candidate_action") == END).select("epsilon", "target", F.col("ok").alias("end_ok"))
+    names = ("ABSTAIN_ENDPOINT_UNQUALIFIED", "CANDIDATE_ACCEPTED", "FIXED_SAFE_FALLBACK")
+    return pairs.join(end, ["epsilon", "target"]).select("epsilon", "source", "target", "source_action", "candidate_action", three_way(F.col("end_ok"), F.col("ok"), names).alias("decision"))
 
 
 # --- partitions of queries into cells, and what a common budget in each cell costs ---------------------

@@ -1,34 +1,34 @@
-"""Nearest neighbours: exact, by range, filtered, in two stages, and graded by a probing budget."""
+"""Nearest neighbours: exact, by range, by group, in two stages, and graded by a probing budget.
+
+Pairs are formed in blocks of vectors, a matrix of scores a block, and leave a task only as the k best of
+each query or as what lies in range.  The queries go to every task up to QUERY_BYTES (checked); beyond
+that both sides are packed into rows of a block each, and blocks are paired instead of vectors.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rungwise.functions import distance as D
 
 K = 5
-#: Query rows that are sent to every task; beyond it pairs are formed by a join.
-MAX_BROADCAST_QUERIES = 20_000
+#: Bytes of query vectors that are sent to every task.
+QUERY_BYTES = 64 << 20
+#: Rows of a side in a block, and bytes of a temporary array.
+BLOCK, SCRATCH_BYTES = 512, 16 << 20
+#: Base rows up to which they are dealt out to all cores first.
+SMALL_ROWS = 200_000
 
 
 def vectors(embeddings: DataFrame) -> DataFrame:
     return embeddings.select("vec_id", D.as_double(F.col("embedding")).alias("e"))
 
 
-def _pairs(base: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every (query, base) pair but a vector with itself; the query side is broadcast up to its bound."""
-    b = base.select(F.col("vec_id").alias("base_id"), F.col("e").alias("eb"))
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("e").alias("eq"))
-    if queries.limit(MAX_BROADCAST_QUERIES + 1).count() <= MAX_BROADCAST_QUERIES:
-        q = F.broadcast(q)
-    return b.join(q, F.col("base_id") != F.col("query_id"))
-
-
 def top_k(scored: DataFrame, k: int, larger: bool = False, by: str = "query_id") -> DataFrame:
     """The k best rows of each query, ties to the smaller id; Spark cuts to k before it shuffles."""
     best = F.col("score").desc() if larger else F.col("score").asc()
@@ -36,56 +36,171 @@ def top_k(scored: DataFrame, k: int, larger: bool = False, by: str = "query_id")
     return ranked.filter(F.col("rank") <= k)
 
 
-def exact_knn(base: DataFrame, queries: DataFrame, k: int = K, metric: str = "l2") -> DataFrame:
-    """query_id, rank, base_id, score of the k nearest, by any metric of the table."""
-    f, _, larger = D.METRICS[metric]
-    scored = _pairs(base, queries).select("query_id", "base_id", f(F.col("eq"), F.col("eb")).alias("score"))
-    return top_k(scored, k, larger).select("query_id", "rank", "base_id", "score")
+def _matrix(values) -> np.ndarray:
+    return np.stack([np.asarray(v, np.float64) for v in values]) if len(values) else np.empty((0, 0))
+
+
+def scores(metric: str, q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The scores of all pairs of two blocks, a slice of the queries at a time."""
+    f = D.KERNELS[metric]
+    step = max(1, SCRATCH_BYTES // max(1, 8 * b.size))
+    return np.concatenate([f(q[i : i + step, None, :], b[None, :, :]) for i in range(0, len(q), step)])
 
 
-def exact_knn_blocked(base: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """The same for squared L2 with one matrix per batch; falls back to the join beyond the bound.
+def _nearest(metric: str, k: int, q_ids: np.ndarray, q: np.ndarray, b_ids: np.ndarray, b: np.ndarray, selves: bool) -> pd.DataFrame:
+    """The k best of a base block for each query of a block, with exact scores; ties to the smaller id.
 
-    Every batch of the base keeps its own k best per query, so what is shuffled is k rows a query and
-    batch, and the merge is a top-k again.
+    Where a matrix product gives a first score, those that its error leaves in question are scored again.
     """
-    rows = queries.select("vec_id", "e").limit(MAX_BROADCAST_QUERIES + 1).toPandas()
-    if len(rows) > MAX_BROADCAST_QUERIES:
-        return exact_knn(base, queries, k, "l2")
-    ids = rows["vec_id"].to_numpy()
-    matrix = np.array(rows["e"].tolist(), np.float64).reshape(len(rows), -1)
+    larger, first = D.METRICS[metric][2], D.PRODUCTS.get(metric)
+    order = np.argsort(b_ids, kind="stable")
+    b_ids, b = b_ids[order], b[order]
+    rough = first(q, b) if first else scores(metric, q, b)
+    rough = -rough if larger else rough
+    if not selves:
+        rough[q_ids[:, None] == b_ids[None, :]] = np.inf
+    if not first or len(b_ids) <= k:
+        if first:
+            rows, cols = np.nonzero(np.isfinite(rough))
+        else:
+            near = np.argsort(rough, axis=1, kind="stable")[:, :k]
+            rows, cols = np.repeat(np.arange(len(q)), near.shape[1]), near.ravel()
+            good = np.isfinite(rough[rows, cols])
+            rows, cols = rows[good], cols[good]
+    else:
+        kth = np.partition(rough, k - 1, axis=1)[:, k - 1 : k]
+        size = np.abs(np.where(np.isfinite(rough), rough, 0)).max(axis=1, keepdims=True) + (q * q).sum(1)[:, None] + (b * b).sum(1).max()
+        rows, cols = np.nonzero((rough <= kth + 1e-9 * size) & np.isfinite(rough))
+    score = D.KERNELS[metric](q[rows], b[cols]) if first else (-rough if larger else rough)[rows, cols]
+    found = pd.DataFrame({"query_id": q_ids[rows], "base_id": b_ids[cols], "score": score})
+    ranked = found.sort_values(["query_id", "score", "base_id"], ascending=[True, not larger, True], kind="stable")
+    return ranked.groupby("query_id", sort=False).head(k)
+
+
+def _blocks(rows: DataFrame, prefix: str) -> DataFrame:
+    """Rows of a block each: ids, length of a vector, and the vectors' bytes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for i in range(0, len(batch), 512):
-                part = batch.iloc[i : i + 512].sort_values("vec_id")
-                b, eb = part["vec_id"].to_numpy(), np.stack(part["e"].to_numpy())
-                for j in range(0, len(ids), 128):
-                    q = ids[j : j + 128]
-                    d = ((matrix[j : j + 128, None, :] - eb[None, :, :]) ** 2).sum(axis=2)
-                    d[q[:, None] == b[None, :]] = np.inf
-                    near = np.argsort(d, axis=1, kind="stable")[:, :k]
-                    score = np.take_along_axis(d, near, 1)
-                    out = pd.DataFrame({"query_id": np.repeat(q, near.shape[1]), "base_id": b[near].ravel(), "score": score.ravel()})
-                    yield out[np.isfinite(out["score"])]
-
-    found = base.select("vec_id", "e").mapInPandas(run, "query_id long, base_id long, score double")
-    return top_k(found, k).select("query_id", "rank", "base_id", "score")
+            for i in range(0, len(batch), BLOCK):
+                part = batch.iloc[i : i + BLOCK]
+                x = _matrix(part["e"].tolist())
+                yield pd.DataFrame({"ids": [part["vec_id"].to_numpy()], "d": [x.shape[1]], "x": [x.tobytes()]})
+
+    packed = rows.select("vec_id", "e").mapInPandas(run, "ids array<long>, d int, x binary")
+    return packed.select(*[F.col(c).alias(prefix + c) for c in ("ids", "d", "x")])
+
+
+def paired(base: DataFrame, queries: DataFrame, found: Callable[..., pd.DataFrame], schema: str, query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """``found(q_ids, q, b_ids, b)`` of every pair of blocks, for (vec_id, e) tables."""
+    spark = base.sparkSession
+    n, d = queries.agg(F.count("*"), F.max(F.size("e"))).first()
+    if n * (d or 0) * 8 <= query_bytes:
+        rows = queries.select("vec_id", "e").toPandas()
+        shared = spark.sparkContext.broadcast((rows["vec_id"].to_numpy(), _matrix(rows["e"].tolist())))
+        if base.count() <= SMALL_ROWS:
+            base = base.repartition(spark.sparkContext.defaultParallelism)
+
+        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            q_ids, q = shared.value
+            for batch in batches:
+                for i in range(0, len(batch) if len(q_ids) else 0, BLOCK):
+                    part = batch.iloc[i : i + BLOCK]
+                    b_ids, b = part["vec_id"].to_numpy(), _matrix(part["e"].tolist())
+                    for j in range(0, len(q_ids), BLOCK):
+                        yield found(q_ids[j : j + BLOCK], q[j : j + BLOCK], b_ids, b)
+
+        return base.select("vec_id", "e").mapInPandas(near, schema)
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                q, b = (np.frombuffer(x, np.float64).reshape(-1, d) for x, d in ((row.q_x, row.q_d), (row.b_x, row.b_d)))
+                yield found(np.asarray(row.q_ids), q, np.asarray(row.b_ids), b)
+
+    return _blocks(base, "b_").crossJoin(_blocks(queries, "q_")).mapInPandas(each, schema)
+
+
+def exact_knn(base: DataFrame, queries: DataFrame, k: int = K, metric: str = "l2", selves: bool = False) -> DataFrame:
+    """query_id, rank, base_id, score of the k nearest by any metric of the table; a vector is not its own neighbour.
+
+    Every block of the base keeps its own k best per query, and their merge is a top-k again.
+    """
+    found = paired(base, queries, lambda *x: _nearest(metric, k, *x, selves), "query_id long, base_id long, score double")
+    return top_k(found, k, D.METRICS[metric][2]).select("query_id", "rank", "base_id", "score")
+
+
+def knn_with_ties(base: DataFrame, queries: DataFrame, k: int = K, metric: str = "l2") -> DataFrame:
+    """query_id, base_id, score of the k nearest and of all that are as near as the last of them."""
+    larger = D.METRICS[metric][2]
+
+    def near(q_ids, q, b_ids, b) -> pd.DataFrame:
+        s = scores(metric, q, b)
+        s = -s if larger else s
+        s[q_ids[:, None] == b_ids[None, :]] = np.inf
+        kth = np.sort(s, axis=1)[:, min(k, s.shape[1]) - 1 :][:, :1]
+        rows, cols = np.nonzero((s <= kth) & np.isfinite(s))
+        return pd.DataFrame({"query_id": q_ids[rows], "base_id": b_ids[cols], "score": -s[rows, cols] if larger else s[rows, cols]})
+
+    found = paired(base, queries, near, "query_id long, base_id long, score double")
+    best = F.col("score").desc() if larger else F.col("score").asc()
+    return found.withColumn("place", F.rank().over(Window.partitionBy("query_id").orderBy(best))).filter(F.col("place") <= k).drop("place")
 
 
 def range_search(base: DataFrame, queries: DataFrame, radius: float, metric: str = "l2") -> DataFrame:
     """Pairs closer than the radius (above it for similarities)."""
-    f, _, larger = D.METRICS[metric]
-    scored = _pairs(base, queries).select("query_id", "base_id", f(F.col("eq"), F.col("eb")).alias("score"))
-    return scored.filter(F.col("score") > radius if larger else F.col("score") < radius)
+    larger = D.METRICS[metric][2]
+
+    def inside(q_ids, q, b_ids, b) -> pd.DataFrame:
+        s = scores(metric, q, b)
+        rows, cols = np.nonzero(((s > radius) if larger else (s < radius)) & (q_ids[:, None] != b_ids[None, :]))
+        return pd.DataFrame({"query_id": q_ids[rows], "base_id": b_ids[cols], "score": s[rows, cols]})
+
+    return paired(base, queries, inside, "query_id long, base_id long, score double")
+
+
+def grouped_knn(base: DataFrame, groups: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+    """query_id, rank, base_id (the group) and score: the k groups with the nearest members, of (vec_id, label).
+
+    The label travels as a vector's last element; a block keeps the best of each group, then k groups.
+    """
+    larger = D.METRICS[metric][2]
+    tagged = base.join(groups.filter("label IS NOT NULL"), "vec_id").select("vec_id", F.concat("e", F.array(F.col("label").cast("double"))).alias("e"))
+    asked = queries.select("vec_id", F.concat("e", F.array(F.lit(0.0))).alias("e"))
+
+    def best(q_ids, q, b_ids, b) -> pd.DataFrame:
+        order = np.argsort(b[:, -1], kind="stable")
+        b_ids, b = b_ids[order], b[order]
+        s = scores(metric, q[:, :-1], b[:, :-1])
+        s = -s if larger else s
+        s[q_ids[:, None] == b_ids[None, :]] = np.inf
+        labels, starts = np.unique(b[:, -1], return_index=True)
+        least = np.minimum.reduceat(s, starts, axis=1)
+        near = np.argsort(least, axis=1, kind="stable")[:, :k]
+        value = np.take_along_axis(least, near, 1).ravel()
+        found = pd.DataFrame({"query_id": np.repeat(q_ids, near.shape[1]), "base_id": labels[near].ravel().astype(np.int64), "score": -value if larger else value})
+        return found[np.isfinite(value)]
+
+    each = paired(tagged, asked, best, "query_id long, base_id long, score double")
+    worst = F.max if larger else F.min
+    return top_k(each.groupBy("query_id", "base_id").agg(worst("score").alias("score")), k, larger)
+
+
+def rescored(pairs: DataFrame, base: DataFrame, queries: DataFrame, f: Callable[[Column, Column], Column]) -> DataFrame:
+    """(query_id, base_id) pairs with score anew: the candidates' vectors are joined by id."""
+    q = queries.select(F.col("vec_id").alias("query_id"), F.col("e").alias("eq"))
+    b = base.select(F.col("vec_id").alias("base_id"), F.col("e").alias("eb"))
+    return pairs.select("query_id", "base_id").join(q, "query_id").join(b, "base_id").select("query_id", "base_id", f(F.col("eq"), F.col("eb")).alias("score"))
+
+
+def prefix(rows: DataFrame, dims: int) -> DataFrame:
+    return rows.select("vec_id", F.slice("e", 1, dims).alias("e"))
 
 
 def refined_knn(base: DataFrame, queries: DataFrame, k: int = K, factor: int = 4, dims: int = 16) -> DataFrame:
     """Two stages: the k * factor nearest on the first dims, ranked again by the full distance."""
-    pairs = _pairs(base, queries)
-    coarse = pairs.select("query_id", "base_id", D.l2sq(F.slice("eq", 1, dims), F.slice("eb", 1, dims)).alias("score"), "eq", "eb")
-    fine = top_k(coarse, k * factor).select("query_id", "base_id", D.l2sq(F.col("eq"), F.col("eb")).alias("score"))
-    return top_k(fine, k).select("query_id", "rank", "base_id", "score")
+    coarse = exact_knn(prefix(base, dims), prefix(queries, dims), k * factor)
+    return top_k(rescored(coarse, base, queries, D.l2sq), k).select("query_id", "rank", "base_id", "score")
 
 
 # --- a budget-graded index: inverted lists, probed nearest first -------------------------------------
@@ -96,10 +211,11 @@ GRID = (4, 6, 8, 10, 12, 13, 14, 15)
 
 def centroids(base: DataFrame, lists: int = LISTS, builds=BUILDS) -> DataFrame:
     """build, list (a vec_id) and its vector: each build takes the ids of least key."""
-    key = (F.col("vec_id") * 2654435761 + F.col("build") * 40503 * (F.col("vec_id") + 7)) % 1000003
-    keyed = base.select("vec_id", "e", F.explode(F.array(*[F.lit(b) for b in builds])).alias("build")).withColumn("key", key)
-    ranked = keyed.withColumn("r", F.row_number().over(Window.partitionBy("build").orderBy("key", "vec_id")))
-    return ranked.filter(F.col("r") <= lists).select("build", F.col("vec_id").alias("list"), F.col("e").alias("ec"))
+    place = F.pmod(F.col("vec_id"), F.lit(1_000_003))  # no overflow, whatever the id
+    key = (place * 2654435761 + F.col("build") * 40503 * (place + 7)) % 1000003
+    keyed = base.select("vec_id", F.explode(F.array(*[F.lit(b) for b in builds])).alias("build")).withColumn("key", key)
+    ranked = keyed.withColumn("r", F.row_number().over(Window.partitionBy("build").orderBy("key", "vec_id"))).filter(F.col("r") <= lists)
+    return ranked.join(base, "vec_id").select("build", F.col("vec_id").alias("list"), F.col("e").alias("ec"))
 
 
 def probe_order(base: DataFrame, centres: DataFrame) -> DataFrame:

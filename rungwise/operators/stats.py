@@ -27,23 +27,33 @@ def gain_of_sums(df: DataFrame, by: str, a: str, b: str) -> DataFrame:
 def leave_one_out_means(df: DataFrame, group: str, value: str) -> DataFrame:
     """For each group the mean of the other groups' means; totals less the part, so no pairs."""
     means = df.groupBy(group).agg(F.avg(value).alias("m"))
-    every = Window.partitionBy()
-    return means.select(group, F.round((F.sum("m").over(every) - F.col("m")) / (F.count("*").over(every) - 1), 6).alias("loo_mean"))
+    whole = means.agg(F.sum("m").alias("all"), F.count("*").alias("groups"))
+    return means.crossJoin(F.broadcast(whole)).select(group, F.round((F.col("all") - F.col("m")) / (F.col("groups") - 1), 6).alias("loo_mean"))  # one row
 
 
-def trimmed_mean(df: DataFrame, by: str, value: str, key: str, share: float = 0.01) -> DataFrame:
-    """Mean without the ceil(share * n) largest values of a group (ties to the smaller key)."""
-    w = Window.partitionBy(by)
-    ranked = df.withColumn("_r", F.row_number().over(w.orderBy(F.desc(value), key))).withColumn("_n", F.count("*").over(w))
-    return ranked.filter(F.col("_r") > F.ceil(F.col("_n") * share)).groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("trimmed_mean"))
+def trimmed_mean(df: DataFrame, by: str, value: str, share: float = 0.01) -> DataFrame:
+    """Mean without the ceil(share * n) largest values of a group; rows are summed to distinct values before they are ordered."""
+    values = df.filter(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    sizes = values.groupBy(by).agg(F.sum("c").alias("n"))
+    above = F.sum("c").over(Window.partitionBy(by).orderBy(F.desc("v"))) - F.col("c")
+    cut = F.ceil(F.col("n") * share)
+    left = values.withColumn("above", above).join(F.broadcast(sizes), by).withColumn("kept", F.greatest(F.lit(0), F.least(F.col("c"), F.col("above") + F.col("c") - cut)))  # a row a group
+    return left.groupBy(by).agg(F.sum("kept").alias("n"), F.round(F.sum(F.col("v") * F.col("kept")) / F.sum("kept"), 6).alias("trimmed_mean"))
 
 
 def spearman(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
-    """Correlation of average ranks."""
-    for c in (x, y):
-        w = Window.partitionBy(by)
-        df = df.withColumn(f"_r{c}", F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy(by, c)) - 1) / 2)
-    return df.groupBy(by).agg(F.round(F.corr(f"_r{x}", f"_r{y}"), 6).alias("spearman"))
+    """Correlation of average ranks; ranks are of distinct values with their counts, and so are the sums."""
+    cells = df.groupBy(by, F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").cast("double").alias("n"))
+
+    def ranks(c: str) -> DataFrame:
+        counted = cells.groupBy(by, c).agg(F.sum("n").alias("m"))
+        return counted.select(by, c, (F.sum("m").over(Window.partitionBy(by).orderBy(c)) - F.col("m") / 2 + 0.5).alias(f"r{c}"))
+
+    placed = cells.join(ranks("x"), [by, "x"]).join(ranks("y"), [by, "y"])
+    a, b, n = F.col("rx"), F.col("ry"), F.col("n")
+    sums = placed.groupBy(by).agg(F.sum(n).alias("n"), F.sum(n * a).alias("a"), F.sum(n * b).alias("b"), F.sum(n * a * a).alias("aa"), F.sum(n * b * b).alias("bb"), F.sum(n * a * b).alias("ab"))
+    part = lambda p, q, r: F.col(p) - F.col(q) * F.col(r) / F.col("n")
+    return sums.select(by, F.round(F.try_divide(part("ab", "a", "b"), F.sqrt(part("aa", "a", "a") * part("bb", "b", "b"))), 6).alias("spearman"))
 
 
 def kendall(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
@@ -61,15 +71,3 @@ def kendall(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
     n0 = F.col("t") * (F.col("t") - 1) / 2
     tau = F.try_divide(F.col("s"), F.sqrt((n0 - F.col("tx")) * (n0 - F.col("ty"))))
     return all_.select(by, F.round(tau, 6).alias("tau"), F.round((1 - tau) / 2, 6).alias("inversion"))
-
-
-def bootstrap(df: DataFrame, weights: DataFrame, on: list[str], value: str, by: str) -> DataFrame:
-    """Percentile interval of weighted means; ``weights`` (rep, *on, w) says how often each unit is drawn."""
-    means = df.join(weights, on).groupBy(by, "rep").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("m"))
-    return means.groupBy(by).agg(F.round(F.percentile("m", 0.025), 6).alias("low"), F.round(F.percentile("m", 0.975), 6).alias("high"), F.count("*").alias("reps"))
-
-
-def hash_weights(units: DataFrame, unit: str, reps: int, salt: int) -> DataFrame:
-    """rep, unit, w in 0..3 by integer arithmetic: the same draw on every engine."""
-    mixed = (F.col(unit) * 7919 + F.col("rep") * 104729 + salt) % 1009
-    return units.select(unit, F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).withColumn("w", (mixed * mixed % 1013) % 4)

@@ -5,41 +5,17 @@ Each query reads whole tables of a directory; floats are rounded to six places o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rungwise.functions import distance as D
 from rungwise.operators import graph, ledger, policy, quantize, search, stats
 from rungwise.operators.policy import END, N
 from rungwise.operators.search import GRID, K, LISTS
+from rungwise.plans.registry import ORACLE_SQL, QUERIES, cube_of, query, table, vecs
 from rungwise.streaming import monitor
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def query(name: str, sql: str | None = None):
-    def register(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.vectors(table(spark, sf_dir, "embeddings"))
-
-
-def cube_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = vecs(spark, sf_dir)
-    return search.response_cube(base, search.exact_knn_blocked(base, base))
-
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 _VEC = "vec AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings)"
 
@@ -57,14 +33,16 @@ def _register_knn(metric: str, name: str) -> None:
         return search.exact_knn(base, base, K, metric).withColumn("score", F.round("score", 6))
 
 
-for _metric, _name in (("l2", "exact_knn_l2"), ("ip", "exact_knn_ip"), ("cosine", "exact_knn_cosine"), ("angular", "exact_knn_angular"), ("l2_norm_form", "knn_l2_norm_form"), ("l1", "knn_l1"), ("linf", "knn_linf"), ("lp3", "knn_lp3"), ("canberra", "knn_canberra"), ("braycurtis", "knn_braycurtis"), ("jaccard", "knn_jaccard")):
+for _metric, _name in (("l2", "exact_knn_l2"), ("ip", "exact_knn_ip"), ("cosine", "exact_knn_cosine"), ("angular", "exact_knn_angular"), ("l2_norm_form", "knn_l2_norm_form"), ("l1", "knn_l1"), ("linf", "knn_linf"), ("lp3", "knn_lp3"), ("canberra", "knn_canberra"), ("braycurtis", "knn_braycurtis"), ("jaccard", "knn_jaccard"), ("jensen_shannon", "knn_jensen_shannon"), ("hamming", "hamming_knn")):
     _register_knn(_metric, _name)
 
 
 @query("exact_knn_blocked", f"WITH {_knn_sql('l2')} SELECT query_id, CAST(rank AS INT) AS rank, base_id, round(score, 6) AS score FROM knn")
 def exact_knn_blocked(spark, sf_dir):
+    """The same with both sides packed into blocks, as for queries that no task can hold whole."""
     base = vecs(spark, sf_dir)
-    return search.exact_knn_blocked(base, base).withColumn("score", F.round("score", 6))
+    found = search.paired(base, base, lambda *x: search._nearest("l2", K, *x, False), "query_id long, base_id long, score double", 0)
+    return search.top_k(found, K).select("query_id", "rank", "base_id", F.round("score", 6).alias("score"))
 
 
 @query("range_search_l2", f"WITH {_VEC} SELECT a.vec_id AS query_id, b.vec_id AS base_id, round({D.METRICS['l2'][1]}, 6) AS score FROM vec a, vec b WHERE a.vec_id <> b.vec_id AND {D.METRICS['l2'][1]} < 1.2")
@@ -91,23 +69,10 @@ def refined_knn(spark, sf_dir):
     return search.refined_knn(base, base).withColumn("score", F.round("score", 6))
 
 
-_SIGN = "list_reduce(list_transform(list_zip({0}.e[1:63], range(1, 64)), lambda p: CASE WHEN p[1] > 0 THEN 1::BIGINT << (63 - p[2]) ELSE 0::BIGINT END), lambda x, y: x | y)"
-
-
-@query("hamming_knn", f"""WITH {_VEC}, w AS (SELECT vec_id, {_SIGN.format('vec')} AS s FROM vec)
-SELECT a.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY bit_count(xor(a.s, b.s)), b.vec_id) AS INT) AS rank, b.vec_id AS base_id, CAST(bit_count(xor(a.s, b.s)) AS DOUBLE) AS score
-FROM w a, w b WHERE a.vec_id <> b.vec_id QUALIFY rank <= {K}""")
-def hamming_knn(spark, sf_dir):
-    words = vecs(spark, sf_dir).select("vec_id", D.sign_word(F.col("e")).alias("s"))
-    q, b = words.select(F.col("vec_id").alias("query_id"), F.col("s").alias("sq")), words.select(F.col("vec_id").alias("base_id"), F.col("s").alias("sb"))
-    scored = b.join(q, F.col("query_id") != F.col("base_id")).select("query_id", "base_id", D.hamming(F.col("sq"), F.col("sb")).alias("score"))
-    return search.top_k(scored, K).select("query_id", "rank", "base_id", "score")
-
-
 # --- the response cube ----------------------------------------------------------------------------------
 
 _L2C = "list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
-_INDEX = f"""cents AS (SELECT build, vec_id AS list, e FROM (SELECT build, vec_id, e, row_number() OVER (PARTITION BY build ORDER BY (vec_id * 2654435761 + build * 40503 * (vec_id + 7)) % 1000003, vec_id) AS r
+_INDEX = f"""cents AS (SELECT build, vec_id AS list, e FROM (SELECT build, vec_id, e, row_number() OVER (PARTITION BY build ORDER BY (vec_id % 1000003 * 2654435761 + build * 40503 * (vec_id % 1000003 + 7)) % 1000003, vec_id) AS r
   FROM vec, (SELECT unnest([1, 2, 3, 4]) AS build)) WHERE r <= {LISTS}),
 ord AS MATERIALIZED (SELECT build, v.vec_id, list, row_number() OVER (PARTITION BY build, v.vec_id ORDER BY {_L2C}, list) AS rank FROM vec v, cents c),
 assigned AS (SELECT build, vec_id, list FROM ord WHERE rank = 1)"""
@@ -199,70 +164,60 @@ def mixed_cell_pairs(spark, sf_dir):
 
 EPSILONS, ALPHA = (0.05, 0.10, 0.20, 0.35), 0.05
 _ROLE = "CASE query_id % 5 WHEN 0 THEN 'design' WHEN 1 THEN 'selection' WHEN 2 THEN 'certification' ELSE 'evaluation' END"
-#: Largest role sizes that the oracle's table of thresholds covers.
-_MAX_N = 420
 
 
-def _limits(alphas: dict[str, float]) -> str:
-    rows = [f"({n}, '{name}', {e}, {policy.max_failures(n, a, e)})" for name, a in alphas.items() for e in EPSILONS for n in range(1, _MAX_N)]
-    return f"lim(n, alpha, epsilon, most) AS (VALUES {', '.join(rows)})"
+def limits_sql(counted: str, alphas: dict[str, float], epsilons=EPSILONS) -> str:
+    """lim (n, epsilon, alpha, most) by the binomial sum in SQL, for the sizes n of ``counted``."""
+    levels = ", ".join(f"('{name}', {a!r}::DOUBLE)" for name, a in alphas.items())
+    return f"""lim_n AS (SELECT DISTINCT n FROM {counted}), lim_a(alpha, level) AS (VALUES {levels}), lim_e AS (SELECT unnest({list(epsilons)}::DOUBLE[]) AS epsilon),
+lim_p AS (SELECT n, epsilon, f, exp(lgamma(n + 1) - lgamma(f + 1) - lgamma(n - f + 1) + f * ln(epsilon) + (n - f) * ln(1 - epsilon)) AS p FROM (SELECT n, unnest(range(0, n)) AS f FROM lim_n), lim_e),
+lim_c AS (SELECT n, epsilon, f, sum(p) OVER (PARTITION BY n, epsilon ORDER BY f) AS c FROM lim_p),
+lim AS MATERIALIZED (SELECT n, epsilon, alpha, coalesce(max(f) FILTER (c <= level), -1) AS most FROM lim_c, lim_a GROUP BY ALL)"""
 
 
 _OUT = f"""{_HM}, outc AS MATERIALIZED (SELECT h.target, h.query_id, {_ROLE.replace('query_id', 'h.query_id')} AS role, h.source_max = {N} AS bottom, c.hits, c.ndc, e.hits AS end_hits, e.ndc AS end_ndc FROM hm h
   JOIN cube c ON c.build = h.target AND c.query_id = h.query_id AND c.action_idx = least(h.source_max, {END}) JOIN cube e ON e.build = h.target AND e.query_id = h.query_id AND e.action_idx = {END})"""
 _CERT = f"""{_OUT}, cc AS (SELECT target, count(*) AS n, count(*) FILTER (hits < {K} OR end_hits < {K}) AS candidate_failures, count(*) FILTER (end_hits < {K}) AS endpoint_failures, count(*) FILTER (bottom) AS abstentions FROM outc WHERE role = 'certification' GROUP BY target),
-{{limits}},
+{limits_sql('cc', {'full': ALPHA})},
 locked AS (SELECT epsilon, target, cc.n, candidate_failures, endpoint_failures, abstentions, CASE WHEN endpoint_failures > most THEN 'UNDEPLOYABLE' WHEN candidate_failures <= most THEN 'CANDIDATE' ELSE 'ENDPOINT' END AS decision FROM cc JOIN lim ON cc.n = lim.n AND alpha = 'full')"""
 
 
-def _panel(f) -> DataFrame:
-    """The union over the panel's tolerances."""
-    out = None
-    for e in EPSILONS:
-        one = f(e).withColumn("epsilon", F.lit(e))
-        out = one if out is None else out.unionByName(one)
-    return out
+@query("certify_history_max", f"WITH {_CERT} SELECT epsilon, target, n, candidate_failures, endpoint_failures, abstentions, decision FROM locked")
+def certify_history_max(spark, sf_dir):
+    return policy.certify(cube_of(spark, sf_dir), ALPHA, EPSILONS)
 
 
-def _register_policies() -> None:
-    full = _limits({"full": ALPHA})
+@query("evaluate_locked", f"""WITH {_CERT} SELECT epsilon, o.target, decision, count(*) AS n,
+  count(*) FILTER ((decision = 'CANDIDATE' AND hits < {K}) OR (decision = 'ENDPOINT' AND end_hits < {K})) AS failures, round(avg(CASE decision WHEN 'CANDIDATE' THEN ndc WHEN 'ENDPOINT' THEN end_ndc END), 6) AS mean_ndc
+  FROM outc o JOIN locked l ON o.target = l.target WHERE role = 'evaluation' GROUP BY ALL""")
+def evaluate_locked(spark, sf_dir):
+    cube = cube_of(spark, sf_dir)
+    return policy.evaluate(cube, policy.certify(cube, ALPHA, EPSILONS))
 
-    @query("certify_history_max", f"WITH {_CERT.format(limits=full)} SELECT CAST(epsilon AS DOUBLE) AS epsilon, target, n, candidate_failures, endpoint_failures, abstentions, decision FROM locked")
-    def certify_history_max(spark, sf_dir):
-        cube = cube_of(spark, sf_dir).cache()
-        return _panel(lambda e: policy.certify(cube, ALPHA, e))
 
-    @query("evaluate_locked", f"""WITH {_CERT.format(limits=full)} SELECT CAST(epsilon AS DOUBLE) AS epsilon, o.target, decision, count(*) AS n,
-      count(*) FILTER ((decision = 'CANDIDATE' AND hits < {K}) OR (decision = 'ENDPOINT' AND end_hits < {K})) AS failures, round(avg(CASE decision WHEN 'CANDIDATE' THEN ndc WHEN 'ENDPOINT' THEN end_ndc END), 6) AS mean_ndc
-      FROM outc o JOIN locked l ON o.target = l.target WHERE role = 'evaluation' GROUP BY ALL""")
-    def evaluate_locked(spark, sf_dir):
-        cube = cube_of(spark, sf_dir).cache()
-        return _panel(lambda e: policy.evaluate(cube, policy.certify(cube, ALPHA, e)))
+_BY_ROLE = f"""ends AS (SELECT build, query_id, hits <> {K} AS bad, ndc AS end_ndc FROM cube WHERE action_idx = {END}),
+br AS MATERIALIZED (SELECT {_ROLE} AS role, build, action_idx, count(*) AS n, count(*) FILTER (hits <> {K}) AS f, count(*) FILTER (hits <> {K} OR bad) AS fa, avg(ndc) AS cost FROM cube JOIN ends USING (build, query_id) GROUP BY ALL)"""
+_JUDGED = f"{_CUBE}, {_BY_ROLE}, {limits_sql('br', {'each': ALPHA / N, 'half': ALPHA / 2})}"
 
-    by_role = f"br AS (SELECT {_ROLE} AS role, build, action_idx, count(*) AS n, count(*) FILTER (hits <> {K}) AS f, avg(ndc) AS cost FROM cube GROUP BY ALL), {_limits({'each': ALPHA / N, 'half': ALPHA / 2})}"
 
-    @query("target_global_decision", f"""WITH {_CUBE}, {by_role},
-      ch AS (SELECT epsilon, build, action_idx FROM br JOIN lim ON br.n = lim.n AND alpha = 'each' AND f <= most WHERE role = 'selection' QUALIFY row_number() OVER (PARTITION BY epsilon, build ORDER BY cost, action_idx) = 1),
-      ce AS (SELECT epsilon, build, action_idx, f <= most AS ok FROM br JOIN lim ON br.n = lim.n AND alpha = 'half' WHERE role = 'certification')
-      SELECT CAST(e.epsilon AS DOUBLE) AS epsilon, e.build AS target, ch.action_idx, CASE WHEN NOT e.ok THEN 'UNDEPLOYABLE' WHEN c.ok THEN 'CANDIDATE' ELSE 'ENDPOINT' END AS decision
-      FROM ce e LEFT JOIN ch ON ch.epsilon = e.epsilon AND ch.build = e.build LEFT JOIN ce c ON c.epsilon = e.epsilon AND c.build = e.build AND c.action_idx = ch.action_idx WHERE e.action_idx = {END}""")
-    def target_global_decision(spark, sf_dir):
-        cube = cube_of(spark, sf_dir).cache()
-        return _panel(lambda e: policy.target_global(cube, ALPHA, e))
+@query("target_global_decision", f"""WITH {_JUDGED},
+  ch AS (SELECT epsilon, build, action_idx FROM br JOIN lim ON br.n = lim.n AND alpha = 'each' AND f <= most WHERE role = 'selection' QUALIFY row_number() OVER (PARTITION BY epsilon, build ORDER BY cost, action_idx) = 1),
+  ce AS (SELECT epsilon, build, action_idx, f <= most AS ok FROM br JOIN lim ON br.n = lim.n AND alpha = 'half' WHERE role = 'certification')
+  SELECT e.epsilon, e.build AS target, ch.action_idx, CASE WHEN NOT e.ok THEN 'UNDEPLOYABLE' WHEN c.ok THEN 'CANDIDATE' ELSE 'ENDPOINT' END AS decision
+  FROM ce e LEFT JOIN ch ON ch.epsilon = e.epsilon AND ch.build = e.build LEFT JOIN ce c ON c.epsilon = e.epsilon AND c.build = e.build AND c.action_idx = ch.action_idx WHERE e.action_idx = {END}""")
+def target_global_decision(spark, sf_dir):
+    return policy.target_global(cube_of(spark, sf_dir), ALPHA, EPSILONS)
 
-    @query("one_rung_decision", f"""WITH {_CUBE}, {by_role},
-      pa AS (SELECT epsilon, build, min(action_idx) AS a FROM br JOIN lim ON br.n = lim.n AND alpha = 'each' AND f <= most WHERE role = 'design' GROUP BY ALL),
-      so AS (SELECT ep.epsilon, b.build AS source, coalesce(a, {END}) AS source_action FROM (SELECT DISTINCT build FROM br) b CROSS JOIN (SELECT DISTINCT epsilon FROM lim) ep LEFT JOIN pa ON pa.build = b.build AND pa.epsilon = ep.epsilon),
-      ce AS (SELECT epsilon, build, action_idx, f <= most AS ok FROM br JOIN lim ON br.n = lim.n AND alpha = 'half' WHERE role = 'certification')
-      SELECT CAST(s.epsilon AS DOUBLE) AS epsilon, source, c.build AS target, CAST(source_action AS INT) AS source_action, CAST(least(source_action + 1, {END}) AS INT) AS candidate_action,
-        CASE WHEN c.ok THEN 'CANDIDATE_ACCEPTED' WHEN e.ok THEN 'FIXED_SAFE_FALLBACK' ELSE 'ABSTAIN_ENDPOINT_UNQUALIFIED' END AS decision
-      FROM so s JOIN ce c ON c.epsilon = s.epsilon AND c.build <> source AND c.action_idx = least(source_action + 1, {END}) JOIN ce e ON e.epsilon = s.epsilon AND e.build = c.build AND e.action_idx = {END}""")
-    def one_rung_decision(spark, sf_dir):
-        cube = cube_of(spark, sf_dir).cache()
-        return _panel(lambda e: policy.one_rung(cube, ALPHA, e))
 
+@query("one_rung_decision", f"""WITH {_JUDGED},
+  so AS (SELECT epsilon, build AS source, coalesce(min(action_idx) FILTER (f <= most), {END}) AS source_action FROM br JOIN lim ON br.n = lim.n AND alpha = 'each' WHERE role = 'design' GROUP BY ALL),
+  ce AS (SELECT epsilon, build, action_idx, f <= most AS ok FROM br JOIN lim ON br.n = lim.n AND alpha = 'half' WHERE role = 'certification')
+  SELECT s.epsilon, source, c.build AS target, CAST(source_action AS INT) AS source_action, CAST(least(source_action + 1, {END}) AS INT) AS candidate_action,
+    CASE WHEN NOT e.ok THEN 'ABSTAIN_ENDPOINT_UNQUALIFIED' WHEN c.ok THEN 'CANDIDATE_ACCEPTED' ELSE 'FIXED_SAFE_FALLBACK' END AS decision
+  FROM so s JOIN ce c ON c.epsilon = s.epsilon AND c.build <> source AND c.action_idx = least(source_action + 1, {END}) JOIN ce e ON e.epsilon = s.epsilon AND e.build = c.build AND e.action_idx = {END}""")
+def one_rung_decision(spark, sf_dir):
+    return policy.one_rung(cube_of(spark, sf_dir), ALPHA, EPSILONS)
 
-_register_policies()
 
 _CELLS = f"{_HM}, cells AS MATERIALIZED (SELECT l.build AS target, l.query_id, l.label, h.source_max AS cell FROM lab l JOIN hm h ON h.target = l.build AND h.query_id = l.query_id WHERE l.label < {N})"
 
@@ -299,12 +254,10 @@ t AS (SELECT query_id, max(d) AS boundary, list(base_id) AS ids FROM (SELECT que
 s AS (SELECT f.query_id, count(*) FILTER (f.d < boundary) AS strict_hits, count(*) FILTER (f.d = boundary) AS returned_ties, count(*) FILTER (list_contains(ids, base_id)) AS hits FROM f JOIN t USING (query_id) GROUP BY f.query_id)
 SELECT query_id, hits, strict_hits, strict_hits + least({K} - strict_hits, returned_ties) AS tie_aware_hits FROM s""")
 def tie_aware_hits(spark, sf_dir):
-    z = vecs(spark, sf_dir).select("vec_id", F.transform("e", lambda x: F.round(x * 8).cast("long")).alias("z"))
-    exact = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.expr("0L"), lambda s, x: s + x)
-    q, b = z.select(F.col("vec_id").alias("query_id"), F.col("z").alias("zq")), z.select(F.col("vec_id").alias("base_id"), F.col("z").alias("zb"))
-    d = b.join(q, F.col("query_id") != F.col("base_id")).select("query_id", "base_id", exact(F.col("zq"), F.col("zb")).alias("d"), exact(F.slice("zq", 1, 32), F.slice("zb", 1, 32)).alias("h"))
-    truth = search.top_k(d.withColumnRenamed("d", "score"), K).groupBy("query_id").agg(F.max("score").alias("boundary"), F.collect_list("base_id").alias("ids"))
-    found = search.top_k(d.withColumnRenamed("h", "score"), K).join(truth, "query_id")
+    z = vecs(spark, sf_dir).select("vec_id", F.transform("e", lambda x: F.round(x * 8)).alias("e"))  # whole numbers, so distances are exact
+    truth = search.exact_knn(z, z).groupBy("query_id").agg(F.max("score").alias("boundary"), F.collect_list("base_id").alias("ids"))
+    coarse = search.exact_knn(search.prefix(z, 32), search.prefix(z, 32))
+    found = search.rescored(coarse, z, z, D.l2sq).withColumnRenamed("score", "d").join(truth, "query_id")
     s = found.groupBy("query_id").agg(F.count(F.when(F.col("d") < F.col("boundary"), 1)).alias("strict_hits"), F.count(F.when(F.col("d") == F.col("boundary"), 1)).alias("ties"), F.count(F.when(F.expr("array_contains(ids, base_id)"), 1)).alias("hits"))
     return s.select("query_id", "hits", "strict_hits", (F.col("strict_hits") + F.least(K - F.col("strict_hits"), F.col("ties"))).alias("tie_aware_hits"))
 
@@ -332,8 +285,8 @@ SELECT query_id, round(sum(gt) / sum(found), 6) AS tdr, round(avg(found / gt - 1
 def result_quality(spark, sf_dir):
     """Total distance ratio, relative distance error, and the rank sum as the reference states it: a perfect list is 0."""
     base = vecs(spark, sf_dir)
-    pairs = search._pairs(base, base).select("query_id", "base_id", D.l2sq(F.slice("eq", 1, 16), F.slice("eb", 1, 16)).alias("score"), D.l2sq(F.col("eq"), F.col("eb")).alias("d"))
-    found = search.top_k(pairs, K).select("query_id", "base_id", F.col("d").alias("found"))
+    coarse = search.exact_knn(search.prefix(base, 16), search.prefix(base, 16))
+    found = search.rescored(coarse, base, base, D.l2sq).withColumnRenamed("score", "found")
     found = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("found", "base_id")))
     truth = search.exact_knn(base, base)
     aligned = found.join(truth.select("query_id", "rank", F.col("score").alias("gt")), ["query_id", "rank"]).join(truth.select("query_id", "base_id", F.col("rank").alias("true_rank")), ["query_id", "base_id"], "left")
@@ -382,7 +335,7 @@ def leave_one_out_means(spark, sf_dir):
 
 @query("trimmed_mean", "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS r, count(*) OVER (PARTITION BY event_type) AS c FROM events) SELECT event_type, count(*) AS n, round(avg(value), 6) AS trimmed_mean FROM r WHERE r > ceil(c * 0.01) GROUP BY event_type")
 def trimmed_mean(spark, sf_dir):
-    return stats.trimmed_mean(table(spark, sf_dir, "events"), "event_type", "value", "event_id")
+    return stats.trimmed_mean(table(spark, sf_dir, "events"), "event_type", "value")
 
 
 _DEMAND = f"{_LABELS}, d AS (SELECT s.build AS source, s.label AS x, t.label AS y FROM lab s JOIN lab t ON s.query_id = t.query_id AND t.build = s.build % 4 + 1)"
@@ -406,35 +359,20 @@ def kendall_tau(spark, sf_dir):
     return stats.kendall(_demand(spark, sf_dir), "source", "x", "y")
 
 
-REPS = 50
-_W = "(({0} * 7919 + rep * 104729 + {1}) % 1009)"
-
-
-@query("crossed_bootstrap", f"""WITH {_PAIRS}, v AS (SELECT source, target, query_id, CASE WHEN hits < {K} THEN 1.0 ELSE 0 END AS z FROM pairs), reps AS (SELECT unnest(range(1, {REPS + 1})) AS rep),
-w AS (SELECT rep, source, {_W.format('query_id', 17)} AS a, {_W.format('target', 5)} AS b, z FROM v, reps),
-m AS (SELECT source, rep, sum((a * a % 1013 % 4) * (1 + b * b % 1013 % 4) * z) / sum((a * a % 1013 % 4) * (1 + b * b % 1013 % 4)) AS m FROM w GROUP BY ALL)
-SELECT source, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, count(*) AS reps FROM m GROUP BY source""")
-def crossed_bootstrap(spark, sf_dir):
-    """Query weights times target weights: both axes are drawn again in every replicate."""
-    cube = cube_of(spark, sf_dir)
-    v = policy.directed_pairs(cube, policy.labels(cube)).select("source", "target", "query_id", F.when(F.col("hits") < K, 1.0).otherwise(0.0).alias("z"))
-    wq = stats.hash_weights(vecs(spark, sf_dir).select(F.col("vec_id").alias("query_id")), "query_id", REPS, 17)
-    wt = stats.hash_weights(spark.createDataFrame([(b,) for b in search.BUILDS], "target long"), "target", REPS, 5)
-    weights = v.select("target", "query_id").distinct().join(wq, "query_id").join(F.broadcast(wt.select("target", "rep", (F.col("w") + 1).alias("wt"))), ["target", "rep"])
-    return stats.bootstrap(v, weights.select("target", "query_id", "rep", (F.col("w") * F.col("wt")).alias("w")), ["target", "query_id"], "z", "source")
-
-
 # --- ledger, cache, integrity -----------------------------------------------------------------------------
 
 
-@query("break_even_ledger", """WITH s AS (SELECT l_suppkey AS supplier, CAST(sum(l_extendedprice) AS DECIMAL(38, 4)) - 5000000 AS upfront, CAST(sum(l_extendedprice * l_discount) AS DECIMAL(38, 4)) - 250000 AS saving FROM (SELECT l_suppkey, CAST(l_extendedprice AS DECIMAL(18, 2)) AS l_extendedprice, CAST(l_discount AS DECIMAL(6, 2)) AS l_discount FROM lineitem) GROUP BY 1)
-SELECT supplier, CAST(upfront AS DOUBLE) AS upfront, CAST(saving AS DOUBLE) AS saving, CAST(CASE WHEN saving > 0 THEN CASE WHEN upfront < 0 THEN 1 ELSE floor(CAST(upfront AS DOUBLE) / CAST(saving AS DOUBLE)) + 1 END WHEN upfront < 0 THEN 1 END AS BIGINT) AS first_round,
-CAST(CASE WHEN upfront < 0 AND saving < 0 THEN ceil(CAST(upfront AS DOUBLE) / CAST(saving AS DOUBLE)) - 1 END AS BIGINT) AS last_initial_round FROM s""")
+@query("break_even_ledger", """WITH s AS (SELECT l_suppkey AS supplier, CAST(sum(p) AS DECIMAL(28, 9)) - 5000000 AS upfront, CAST(sum(p * d) AS DECIMAL(28, 9)) - 250000 AS saving
+  FROM (SELECT l_suppkey, CAST(l_extendedprice AS DECIMAL(18, 2)) AS p, CAST(l_discount AS DECIMAL(6, 2)) AS d FROM lineitem) GROUP BY 1),
+u AS (SELECT *, CAST(upfront * 10000 AS HUGEINT) AS b, CAST(saving * 10000 AS HUGEINT) AS d FROM s),
+v AS (SELECT *, CASE WHEN d <> 0 THEN b // d - CASE WHEN b % d <> 0 AND (b < 0) <> (d < 0) THEN 1 ELSE 0 END END AS low FROM u)
+SELECT supplier, CAST(upfront AS DOUBLE) AS upfront, CAST(saving AS DOUBLE) AS saving, CAST(CASE WHEN d > 0 THEN greatest(1, low + 1) WHEN b < 0 AND d = 0 THEN 1 END AS BIGINT) AS first_round,
+  b < 0 AND d < 0 AND b < d AS initial_only, CAST(CASE WHEN b < 0 AND d < 0 AND low + CASE WHEN b % d <> 0 THEN 1 ELSE 0 END >= 2 THEN low + CASE WHEN b % d <> 0 THEN 1 ELSE 0 END - 1 END AS BIGINT) AS last_initial_round FROM v""")
 def break_even_ledger(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_extendedprice").cast("decimal(18,2)").alias("p"), F.col("l_discount").cast("decimal(6,2)").alias("d"))
-    s = rows.groupBy(F.col("l_suppkey").alias("supplier")).agg((F.sum("p").cast("decimal(38,4)") - 5000000).alias("upfront"), (F.sum(F.col("p") * F.col("d")).cast("decimal(38,4)") - 250000).alias("saving"))
-    up, down = F.col("upfront").cast("double"), F.col("saving").cast("double")
-    return s.select("supplier", up.alias("upfront"), down.alias("saving"), ledger.first_round(up, down).alias("first_round"), ledger.last_initial_round(up, down).alias("last_initial_round"))
+    s = rows.groupBy(F.col("l_suppkey").alias("supplier")).agg((F.sum("p").cast("decimal(28,9)") - 5000000).alias("upfront"), (F.sum(F.col("p") * F.col("d")).cast("decimal(28,9)") - 250000).alias("saving"))
+    up, down = F.col("upfront"), F.col("saving")
+    return s.select("supplier", up.cast("double").alias("upfront"), down.cast("double").alias("saving"), ledger.first_round(up, down).alias("first_round"), ledger.initial_region(up, down).alias("initial_only"), ledger.last_initial_round(up, down).alias("last_initial_round"))
 
 
 @query("cost_curves", "WITH l AS (SELECT r_regionkey AS region, 100.0 * (r_regionkey + 1) AS upfront, 7.5 * r_regionkey AS saving FROM region) SELECT region, round, CAST(upfront - round * saving AS DOUBLE) AS remaining FROM l, (SELECT unnest([1, 5, 10, 20, 40]) AS round)")
@@ -479,20 +417,21 @@ def role_disjointness(spark, sf_dir):
 @query("knn_graph_edges", f"WITH {_knn_sql('l2', k=3)}, e AS (SELECT least(query_id, base_id) AS src, greatest(query_id, base_id) AS dst FROM knn) SELECT DISTINCT src, dst FROM e")
 def knn_graph_edges(spark, sf_dir):
     base = vecs(spark, sf_dir)
-    return graph.knn_edges(search.exact_knn_blocked(base, base, 3))
+    return graph.knn_edges(search.exact_knn(base, base, 3))
 
 
-@query("adjacency_stats", f"WITH {_knn_sql('l2', k=3)} SELECT count(DISTINCT v) AS nodes, (SELECT max(c) FROM (SELECT count(*) AS c FROM knn GROUP BY query_id)) AS max_out_degree, (SELECT count(*) FROM knn) AS edges, (SELECT count(*) FROM knn a JOIN knn b ON a.query_id = b.base_id AND a.base_id = b.query_id) AS reciprocal_edges, CAST(0 AS BIGINT) AS self_loops FROM (SELECT query_id AS v FROM knn UNION ALL SELECT base_id FROM knn)")
+@query("adjacency_stats", f"""WITH RECURSIVE {_knn_sql('l2', k=3)}, ln AS (SELECT query_id AS a, base_id AS b FROM knn UNION ALL SELECT base_id, query_id FROM knn), reach AS (SELECT vec_id AS id, vec_id AS r FROM vec UNION SELECT ln.b, reach.r FROM reach JOIN ln ON ln.a = reach.id)
+SELECT (SELECT count(*) FROM vec) AS nodes, (SELECT max(c) FROM (SELECT count(*) AS c FROM knn GROUP BY query_id)) AS max_out_degree, (SELECT count(*) FROM knn) AS edges, (SELECT count(*) FROM knn a JOIN knn b ON a.query_id = b.base_id AND a.base_id = b.query_id) AS reciprocal_edges, (SELECT count(DISTINCT m) FROM (SELECT min(r) AS m FROM reach GROUP BY id)) AS components""")
 def adjacency_stats(spark, sf_dir):
     base = vecs(spark, sf_dir)
-    directed = search.exact_knn_blocked(base, base, 3).select(F.col("query_id").alias("src"), F.col("base_id").alias("dst"))
-    return graph.adjacency_stats(directed)
+    directed = search.exact_knn(base, base, 3).select(F.col("query_id").alias("src"), F.col("base_id").alias("dst"))
+    return graph.adjacency_stats(directed, base.select(F.col("vec_id").alias("id")), 3)
 
 
 @query("gaussian_edge_weights", f"WITH {_knn_sql('l2', k=3)}, e AS (SELECT DISTINCT least(query_id, base_id) AS src, greatest(query_id, base_id) AS dst, sqrt(score) AS d FROM knn) SELECT src, dst, round(exp(-pow(d / (SELECT quantile_cont(d, 0.5) FROM e), 2)), 6) AS weight FROM e")
 def gaussian_edge_weights(spark, sf_dir):
     base = vecs(spark, sf_dir)
-    near = search.exact_knn_blocked(base, base, 3)
+    near = search.exact_knn(base, base, 3)
     e = near.groupBy(F.least("query_id", "base_id").alias("src"), F.greatest("query_id", "base_id").alias("dst")).agg(F.sqrt(F.min("score")).alias("d"))
     rho = e.agg(F.median("d").alias("rho"))
     return e.crossJoin(F.broadcast(rho)).select("src", "dst", F.round(F.exp(-F.pow(F.col("d") / F.col("rho"), F.lit(2))), 6).alias("weight"))
@@ -501,7 +440,7 @@ def gaussian_edge_weights(spark, sf_dir):
 @query("mutual_knn_edges", f"WITH {_knn_sql('l2', k=3)} SELECT DISTINCT a.query_id AS src, a.base_id AS dst FROM knn a JOIN knn b ON a.query_id = b.base_id AND a.base_id = b.query_id WHERE a.query_id < a.base_id")
 def mutual_knn_edges(spark, sf_dir):
     base = vecs(spark, sf_dir)
-    return graph.knn_edges(search.exact_knn_blocked(base, base, 3), "intersection")
+    return graph.knn_edges(search.exact_knn(base, base, 3), "intersection")
 
 
 # --- quantisers, merged and grouped search, membership ---------------------------------------------------
@@ -529,10 +468,8 @@ def lloyd_step(spark, sf_dir):
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s, label) AS INT) AS rank, label, round(s, 6) AS score FROM g QUALIFY rank <= 3""")
 def grouped_search(spark, sf_dir):
     """The nearest distinct labels: a minimum a label first, so that one label cannot fill the list."""
-    base, groups = vecs(spark, sf_dir), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("base_id"), "label").filter("label IS NOT NULL")
-    scored = search.range_search(base, base, float("inf")).join(groups, "base_id")
-    best = scored.groupBy("query_id", "label").agg(F.min("score").alias("score"))
-    found = search.top_k(best.withColumnRenamed("label", "base_id"), 3)
+    base, groups = vecs(spark, sf_dir), table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    found = search.grouped_knn(base, groups, base, 3)
     return found.select("query_id", "rank", F.col("base_id").alias("label"), F.round("score", 6).alias("score"))
 
 
@@ -540,7 +477,7 @@ def grouped_search(spark, sf_dir):
 def merge_shards(spark, sf_dir):
     """Two shards searched apart; of both lists the best k stay."""
     base = vecs(spark, sf_dir)
-    lists = [search.exact_knn_blocked(base.filter(F.col("vec_id") % 2 == i), base) for i in (0, 1)]
+    lists = [search.exact_knn(base.filter(F.col("vec_id") % 2 == i), base) for i in (0, 1)]
     merged = search.top_k(lists[0].drop("rank").unionByName(lists[1].drop("rank")), K)
     return merged.select("query_id", "rank", "base_id", F.round("score", 6).alias("score"))
 
@@ -552,7 +489,7 @@ def truth_by_membership(spark, sf_dir):
     every = vecs(spark, sf_dir)
     asked = every.filter("vec_id % 5 = 4")
     members = every.join(asked.select("vec_id"), "vec_id", "left_anti")
-    states = [search.exact_knn_blocked(members.filter(F.col("vec_id") % 20 != s), asked).withColumn("state", F.lit(s)) for s in (0, 1)]
+    states = [search.exact_knn(members.filter(F.col("vec_id") % 20 != s), asked).withColumn("state", F.lit(s)) for s in (0, 1)]
     return states[0].unionByName(states[1]).select("state", "query_id", "rank", "base_id", F.round("score", 6).alias("score"))
 
 
@@ -571,7 +508,7 @@ def score_reference(spark, sf_dir):
     """Scores recomputed by norms and products; counts those off by more than single precision allows."""
     base = vecs(spark, sf_dir)
     q, b = base.select(F.col("vec_id").alias("query_id"), F.col("e").alias("eq")), base.select(F.col("vec_id").alias("base_id"), F.col("e").alias("eb"))
-    both = search.exact_knn_blocked(base, base).join(q, "query_id").join(b, "base_id")
+    both = search.exact_knn(base, base).join(q, "query_id").join(b, "base_id")
     scale = D.norm_l2sq(F.col("eq")) + D.norm_l2sq(F.col("eb"))
     off = F.abs(F.col("score") - D.l2_norm_form(F.col("eq"), F.col("eb"))) > scale * (128 * 2.0**-23) + 1e-3
     return both.agg(F.count("*").alias("n"), F.count(F.when(off, 1)).alias("beyond"))
@@ -638,3 +575,6 @@ SELECT vec_id, CAST(dim AS INT) AS dim, round(norm, 6) AS norm, round(CASE WHEN
 def centred_vectors(spark, sf_dir):
     moved = quantize.centred(vecs(spark, sf_dir))
     return moved.select("vec_id", F.round("norm", 6).alias("norm"), F.posexplode("e").alias("dim", "v")).withColumn("v", F.round("v", 6))
+
+
+from rungwise.plans import decisions, files, graphs, indexes, integrity, ledgers, partitions, resampling  # noqa: E402, F401  they register their queries

@@ -7,6 +7,8 @@ Vectors leave the worker in blocks, so that memory holds one file and one block.
 from __future__ import annotations
 
 import csv
+import gzip
+import hashlib
 import io
 import json
 import struct
@@ -58,7 +60,93 @@ def _query_file(blob: bytes) -> tuple[np.ndarray | None, np.ndarray]:
     return rows["id"], rows["v"]
 
 
-DECODERS: dict[str, Callable[[bytes], tuple[np.ndarray | None, np.ndarray]]] = {"fvecs": _fvecs, "f32bin": _f32bin, "query": _query_file}
+def _ivecs(blob: bytes) -> tuple[np.ndarray | None, np.ndarray]:
+    """Records of a 32-bit dimension and that many 32-bit whole numbers."""
+    _, rows = _fvecs(blob)
+    return None, np.ascontiguousarray(rows).view("<i4").astype(np.float32)
+
+
+def _fbin(blob: bytes) -> tuple[np.ndarray | None, np.ndarray]:
+    """32-bit count and dimension, then the floats."""
+    n, d = struct.unpack_from("<ii", blob)
+    if n < 0 or d < 0 or len(blob) != 8 + 4 * n * d:
+        raise ValueError("fbin: size and header differ")
+    return None, np.frombuffer(blob, "<f4", offset=8).reshape(n, d)
+
+
+DECODERS: dict[str, Callable[[bytes], tuple[np.ndarray | None, np.ndarray]]] = {"fvecs": _fvecs, "ivecs": _ivecs, "f32bin": _f32bin, "fbin": _fbin, "query": _query_file}
+
+
+def _with_dimension(x: np.ndarray) -> bytes:
+    return np.concatenate([np.full((len(x), 1), x.shape[1], "<i4").view(x.dtype), x], axis=1).tobytes()
+
+
+def _npz(ids: np.ndarray, x: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, ids=ids, vectors=x)
+    return out.getvalue()
+
+
+ENCODERS: dict[str, Callable[[np.ndarray, np.ndarray], bytes]] = {
+    "fvecs": lambda ids, x: _with_dimension(x.astype("<f4")),
+    "ivecs": lambda ids, x: _with_dimension(x.astype("<i4")),
+    "f32bin": lambda ids, x: struct.pack("<qq", *x.shape) + x.astype("<f4").tobytes(),
+    "fbin": lambda ids, x: struct.pack("<ii", *x.shape) + x.astype("<f4").tobytes(),
+    "query": lambda ids, x: QUERY_MARK + struct.pack("<QQ", *x.shape) + np.rec.fromarrays([ids, x.astype("<f4")], np.dtype([("id", "<i8"), ("v", "<f4", (x.shape[1],))])).tobytes(),
+    "npz": lambda ids, x: _npz(ids, x.astype("<f4")),
+}
+#: Vectors of a file at most; a task writes as many files as it needs.
+FILE_ROWS = 65_536
+
+
+def sink_vectors(rows: DataFrame, path: str, form: str) -> int:
+    """Writes (vec_id, e) as files of a binary form into a new folder, and returns how many vectors.
+
+    Each task writes its own files, under another name first, so that a task that runs again leaves the same
+    files; the folder must lie where all executors can write.
+    """
+    encode, spark = ENCODERS[form], rows.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        raise FileExistsError(path)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, folder = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        store.create_dir(folder)
+        part, held, size, number, done = TaskContext.get().partitionId(), [], 0, 0, 0
+
+        def flush(whole: pd.DataFrame) -> None:
+            name = f"{folder}/part-{part:05d}-{number:05d}.{form}"
+            with store.open_output_stream(name + ".unfinished") as out:
+                out.write(encode(whole["vec_id"].to_numpy(np.int64), np.stack(whole["e"].to_numpy())))
+            store.move(name + ".unfinished", name)
+
+        for batch in batches:
+            for i in range(0, len(batch), FILE_ROWS):
+                piece = batch.iloc[i : i + FILE_ROWS]
+                if size + len(piece) > FILE_ROWS:
+                    flush(pd.concat(held))
+                    held, size, number = [], 0, number + 1
+                held.append(piece)
+                size += len(piece)
+                done += len(piece)
+        if held:
+            flush(pd.concat(held))
+        yield pd.DataFrame({"n": [done]})
+
+    return rows.select("vec_id", "e").mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def gather_by_id(vectors: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The vectors of the wanted ids (vec_id), each once; an id without a vector is an error."""
+    ids = wanted.select("vec_id").distinct()
+    missing = ids.join(vectors, "vec_id", "left_anti").limit(5).collect()
+    if missing:
+        raise ValueError(f"no vector for {[r['vec_id'] for r in missing]}")
+    return vectors.join(ids, "vec_id", "left_semi")
 
 
 def _blobs(spark: SparkSession, path: str) -> DataFrame:
@@ -99,15 +187,30 @@ def scan_npz(spark: SparkSession, path: str) -> DataFrame:
     return _blobs(spark, path).mapInPandas(run, "path string, name string, index array<long>, value double")
 
 
-def scan_zip_csv(spark: SparkSession, path: str, suffix: str = ".csv") -> DataFrame:
-    """path, member, pos and row (a map by header) of the tables in ZIP archives; a byte-order mark is skipped."""
+def scan_zip_csv(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".csv", ".csv.gz"), pins: dict[str, tuple[int, str]] | None = None) -> DataFrame:
+    """path, member, pos and row (a map by header) of the tables in ZIP archives, gzipped ones too; a byte-order mark is skipped.
+
+    With ``pins`` the archive's tables must be those named, each of its bytes and SHA-256, or it is an error.
+    """
+
+    def checked(archive: zipfile.ZipFile, members: list[str]) -> None:
+        if pins is None:
+            return
+        if set(members) != set(pins):
+            raise ValueError(f"members {sorted(set(members) ^ set(pins))}")
+        for m in members:
+            raw = archive.read(m)
+            if (len(raw), hashlib.sha256(raw).hexdigest()) != tuple(pins[m]):
+                raise ValueError(f"{m} is not what was pinned")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for name, blob in zip(batch["path"], batch["content"]):
                 with zipfile.ZipFile(io.BytesIO(blob)) as archive:
-                    for member in sorted(m for m in archive.namelist() if m.endswith(suffix)):
-                        with archive.open(member) as f:
+                    members = sorted(m for m in archive.namelist() if m.endswith(suffixes))
+                    checked(archive, members)
+                    for member in members:
+                        with archive.open(member) as raw, gzip.open(raw) if member.endswith(".gz") else raw as f:
                             rows: list[dict] = []
                             pos = 0
                             for pos, row in enumerate(csv.DictReader(io.TextIOWrapper(f, "utf-8-sig", newline="")), 1):

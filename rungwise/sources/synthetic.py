@@ -6,10 +6,14 @@ Distributions, not random streams, are the contract: columns are vec_id, part (b
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import gcd
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Places and spreads of the bridge set.
+CLOUD_AT, CLOUD_SPREAD, BRIDGE_END, BRIDGE_SPREAD, QUERY_NOISE = 3.0, 0.45, 2.6, 0.04, 0.02
+
 
 def _normals(dim: int, seed: int, scale: Column | float = 1.0) -> list[Column]:
     scale = scale if isinstance(scale, Column) else F.lit(scale)
@@ -21,19 +25,20 @@ def _split(points: DataFrame, n: int) -> DataFrame:
 
 
 def narrow_bridge(spark: SparkSession, n: int, dim: int = 16, query_fraction: float = 0.1, seed: int = 0) -> DataFrame:
-    """Two clouds at -3 and 3 of the first axis and a thin bridge between them; queries are disturbed points."""
+    """Two clouds at -3 and 3 of the first axis and a bridge of n // 50 points between them; queries are disturbed in every axis."""
     if n < 100 or dim < 2:
         raise ValueError("at least 100 points of 2 dimensions")
     queries = max(20, int(n * query_fraction))
-    bridge = max(10, n // 50) / (n + queries)
-    rows = spark.range(n + queries).withColumn("u", F.rand(seed * 1009 + 977))
-    rows = rows.withColumn("on", F.col("u") < bridge).withColumn("left", F.col("u") < bridge + (1 - bridge) / 2)
-    scale = F.when(F.col("on"), 0.04).otherwise(0.45)
-    noise = F.when(F.col("id") >= n, F.randn(seed * 1009 + 978) * 0.02).otherwise(0.0)
-    first = F.when(F.col("on"), (F.col("u") / bridge) * 5.2 - 2.6).when(F.col("left"), -3.0).otherwise(3.0)
-    drawn = _normals(dim, seed, scale)
-    along = F.when(F.col("on"), first).otherwise(first + drawn[0])
-    return _split(rows.withColumn("vector", F.array(along + noise, *drawn[1:])), n)
+    whole, bridge = n + queries, max(10, n // 50)
+    # A place in 0 .. whole - 1 for each id, by a step that has no divisor in common with their number.
+    step = next(s for s in range(whole * 5 // 8, 2 * whole) if gcd(s, whole) == 1)
+    rows = spark.range(whole).withColumn("place", (F.col("id") * step + seed) % whole)
+    on, left = F.col("place") < bridge, F.col("place") < bridge + (whole - bridge) // 2
+    drawn = _normals(dim, seed, F.when(on, BRIDGE_SPREAD).otherwise(CLOUD_SPREAD))
+    along = F.when(on, F.col("place") / (bridge - 1) * (2 * BRIDGE_END) - BRIDGE_END).otherwise(F.when(left, -CLOUD_AT).otherwise(CLOUD_AT) + drawn[0])
+    points = [along, *drawn[1:]]
+    noise = [F.when(F.col("id") >= n, F.randn(seed * 1009 + 500 + i) * QUERY_NOISE).otherwise(0.0) for i in range(dim)]
+    return _split(rows.withColumn("vector", F.array(*[x + e for x, e in zip(points, noise)])), n)
 
 
 def gaussian_mixture(spark: SparkSession, n: int, dim: int = 16, seed: int = 0, centres: int = 5) -> DataFrame:
@@ -58,4 +63,5 @@ def swiss_roll(spark: SparkSession, n: int, dim: int = 16, seed: int = 0) -> Dat
     return _split(rows.withColumn("vector", F.array(*[F.col("x") * float(a) + F.col("y") * float(b) + F.col("z") * float(c) for a, b, c in to.T])), n)
 
 
+# The names of the sets.
 GENERATORS: dict[str, Callable[..., DataFrame]] = {"narrow_bridge": narrow_bridge, "gaussian_mixture": gaussian_mixture, "swiss_roll": swiss_roll}

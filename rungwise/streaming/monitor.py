@@ -17,7 +17,11 @@ def rates(events: DataFrame, width: str = "1 hour", late: str = "10 minutes", ba
     return grouped.select(F.col("w.start").alias("start"), "n", "bad", F.round(F.col("bad") / F.col("n"), 6).alias("share"), F.round("mean", 6).alias("mean"))
 
 
-def watch(spark: SparkSession, folder: str, schema, name: str) -> StreamingQuery:
-    """Starts the rates of a folder's Parquet files as the in-memory table ``name``, over all that is there."""
+def watch(spark: SparkSession, folder: str, schema, out: str, checkpoint: str) -> StreamingQuery:
+    """Starts the rates of a folder's Parquet files as Parquet in ``out``.
+
+    A window is written once, when the watermark has passed its end; its state goes then, and rows that come
+    later are left out.
+    """
     stream = spark.readStream.schema(schema).parquet(folder)
-    return rates(stream).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    return rates(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()

@@ -1,12 +1,16 @@
 """Analytic truths, brute force on tiny inputs, and negative controls."""
 
+import time
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
 from itertools import product
+from math import comb
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rungwise.operators import graph, ledger, policy, search, stats
+from rungwise.functions import distance
+from rungwise.operators import graph, graphsearch, indexes, integrity, ledger, membership, policy, resample, search
 
 
 def test_clopper_pearson():
@@ -17,12 +21,31 @@ def test_clopper_pearson():
         assert (policy.upper_bound(f, 125, 0.05) <= 0.1) == (f <= policy.max_failures(125, 0.05, 0.1))
 
 
+def test_thresholds_against_the_binomial_sum():
+    for n, alpha, epsilon in ((40, 0.05, 0.2), (125, 0.025, 0.35), (500, 0.05 / 11, 0.05), (7, 0.05, 0.05)):
+        cdf = np.cumsum([comb(n, i) * epsilon**i * (1 - epsilon) ** (n - i) for i in range(n)])
+        assert policy.max_failures(n, alpha, epsilon) == sum(c <= alpha for c in cdf) - 1
+        assert all(policy.binomial_cdf(i, n, epsilon) == pytest.approx(cdf[i], abs=1e-12) for i in range(n))
+    began = time.time()
+    assert 45_000 < policy.max_failures(1_000_000, 0.05, 0.05) < 50_000 and time.time() - began < 1
+
+
 def test_resistance_truths():
-    path = graph.resistance_matrix(3, np.array([0, 1]), np.array([1, 2]), np.array([2.0, 4.0]))
-    assert path[0, 2] == pytest.approx(0.75)
-    triangle = graph.resistance_matrix(3, np.array([0, 1, 0]), np.array([1, 2, 2]), np.ones(3))
-    assert triangle[0, 1] == pytest.approx(2 / 3)
-    assert np.isinf(graph.resistance_matrix(3, np.array([0]), np.array([1]), np.ones(1))[0, 2])
+    path = graph.edge_resistances(3, [0, 1], [1, 2], [2.0, 4.0])
+    assert path == pytest.approx([0.5, 0.25])
+    assert graph.shifted_resistance(3, [0, 1], [1, 2], [2.0, 4.0], 0, 2) == pytest.approx(0.75)
+    assert graph.edge_resistances(3, [0, 1, 0], [1, 2, 2], np.ones(3)) == pytest.approx([2 / 3] * 3)
+    rng = np.random.default_rng(1)
+    n, edges = 40, sorted({tuple(sorted(p)) for p in [(i, i + 1) for i in range(39)] + rng.integers(0, 40, (60, 2)).tolist() if p[0] != p[1]})
+    s, t = np.array(edges).T
+    w = rng.random(len(edges)) + 0.1
+    dense = graph.edge_resistances(n, s, t, w)
+    assert dense == pytest.approx([graph.shifted_resistance(n, s, t, w, a, b) for a, b in edges])
+    assert (dense * w).sum() == pytest.approx(n - 1) and (dense * w).max() <= 1 + 1e-9
+    current = np.zeros((n, len(edges)))
+    current[s, range(len(edges))], current[t, range(len(edges))] = 1, -1
+    potential = graph._conjugate(n, s, t, w, current)
+    assert dense == pytest.approx(potential[s, range(len(edges))] - potential[t, range(len(edges))], abs=1e-8)
 
 
 def test_leverage_and_components(spark):
@@ -30,17 +53,54 @@ def test_leverage_and_components(spark):
     found = graph.components(edges.select("src", "dst"))
     assert dict(found.collect()) == {0: 0, 1: 0, 2: 0, 7: 7, 8: 7}
     assert all(r["leverage"] == pytest.approx(1.0) for r in graph.edge_leverage(edges, found).collect())
+    pairs = spark.createDataFrame([(0, 2), (0, 7)], "src long, dst long")
+    for across in (float("inf"), None):
+        assert sorted((r["dst"], r["resistance"], r["connected"]) for r in graph.pair_resistance(pairs, found, across).collect()) == [(2, None, True), (7, across, False)]
+
+
+def test_adjacency_errors_and_isolated_nodes(spark):
+    directed = spark.createDataFrame([(1, 2), (2, 1), (2, 3)], "src long, dst long")
+    nodes = spark.createDataFrame([(i,) for i in (1, 2, 3, 9)], "id long")
+    assert tuple(graph.adjacency_stats(directed, nodes, 2).first()) == (4, 3, 2, 2, 2)
+    for bad, limit in ((directed.union(spark.createDataFrame([(3, 3)], "src long, dst long")), None), (directed.union(spark.createDataFrame([(3, 4)], "src long, dst long")), None), (directed, 1)):
+        with pytest.raises(ValueError):
+            graph.adjacency_stats(bad, nodes, limit)
 
 
 def test_greedy_avoids_a_direction_it_has():
     candidates = np.array([[1.0, 0.0], [1.0, 0.0], [0.0, 1.0]])
     assert graph.greedy_neighbours(np.zeros(2), candidates, np.ones(3), 2) == [0, 2]
+    with pytest.raises(ValueError):
+        graph.greedy_neighbours(np.zeros(2), np.zeros((1, 2)), np.ones(1), 1)
+
+
+def test_greedy_against_whole_determinants():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        x, lever = rng.normal(size=(6, 3)), rng.random(6)
+        length = np.linalg.norm(x, axis=1)
+        unit, near = x / length[:, None], np.exp(-((length / np.median(length)) ** 2))
+        value = lambda rows: np.linalg.slogdet(np.eye(len(rows)) + unit[rows] @ unit[rows].T / 0.25)[1] if rows else 0.0
+        chosen = []
+        while len(chosen) < 4:
+            gain = {i: lever[i] + value([*chosen, i]) - value(chosen) + near[i] for i in range(6) if i not in chosen}
+            chosen.append(max(gain, key=lambda i: (gain[i], -i)))
+        assert graph.greedy_neighbours(np.zeros(3), x, lever, 4) == chosen
 
 
-def test_break_even_is_strict(spark):
-    rows = spark.createDataFrame([(20.0, 10.0), (25.0, 10.0), (5.0, -1.0), (-10.0, -4.0), (-1.0, 2.0)], "b double, d double")
-    got = rows.select(ledger.first_round(F.col("b"), F.col("d")), ledger.last_initial_round(F.col("b"), F.col("d"))).collect()
-    assert [tuple(r) for r in got] == [(3, None), (3, None), (None, None), (1, 2), (1, None)]
+def test_break_even_in_every_region(spark):
+    cases = [("20", "10"), ("25", "10"), ("5", "-1"), ("-10", "-4"), ("-1", "2"), ("-1", "-4"), ("0.3", "0.1"), ("-3", "0"), ("3", "0"), ("-8", "-4"), ("-20", "3")]
+    rows = spark.createDataFrame([(Decimal(b), Decimal(d)) for b, d in cases], "b decimal(20,6), d decimal(20,6)")
+    got = rows.select(ledger.first_round(F.col("b"), F.col("d")), ledger.initial_region(F.col("b"), F.col("d")), ledger.last_initial_round(F.col("b"), F.col("d"))).collect()
+
+    def want(b, d):
+        b, d = Decimal(b), Decimal(d)
+        first = max(1, int((b / d).to_integral_value(ROUND_FLOOR)) + 1) if d > 0 else 1 if b < 0 and d == 0 else None
+        both = b < 0 and d < 0
+        last = int((b / d).to_integral_value(ROUND_CEILING)) - 1 if both else 0
+        return first, both and b / d > 1, last if last >= 1 else None
+
+    assert [tuple(r) for r in got] == [want(b, d) for b, d in cases]
 
 
 def test_missing_is_not_zero(spark):
@@ -49,12 +109,46 @@ def test_missing_is_not_zero(spark):
     assert [r["k"] for r in ledger.differences(a, b, ["k"]).collect()] == [1]
 
 
-def test_knn_paths_agree(spark):
+@pytest.mark.parametrize("metric", sorted(distance.METRICS))
+def test_knn_paths_agree(spark, metric):
     rng = np.random.default_rng(3)
-    base = spark.createDataFrame([(i, [float(x) for x in np.round(rng.normal(size=6), 1)]) for i in range(60)], "vec_id long, e array<double>")
-    a = search.exact_knn(base, base, 4).orderBy("query_id", "rank").collect()
-    b = search.exact_knn_blocked(base, base, 4).orderBy("query_id", "rank").collect()
-    assert [(r[0], r[1], r[2]) for r in a] == [(r[0], r[1], r[2]) for r in b]
+    x = np.round(rng.normal(size=(60, 70)), 1)
+    x[7] = x[3]
+    base = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, e array<double>")
+    f, _, larger = distance.METRICS[metric]
+    q, b = base.select(F.col("vec_id").alias("query_id"), F.col("e").alias("eq")), base.select(F.col("vec_id").alias("base_id"), F.col("e").alias("eb"))
+    pairs = q.crossJoin(b).filter("query_id <> base_id").select("query_id", "base_id", F.round(f(F.col("eq"), F.col("eb")), 9).alias("score"))
+    want = {}
+    for r in sorted(pairs.collect(), key=lambda r: (r["query_id"], -r["score"] if larger else r["score"], r["base_id"])):
+        want.setdefault(r["query_id"], []).append((r["base_id"], r["score"]))
+    near = search.exact_knn(base, base, 4, metric)
+    packed = search.paired(base, base, lambda *a: search._nearest(metric, 4, *a, False), "query_id long, base_id long, score double", 0)
+    for rows in (near.collect(), search.top_k(packed, 4, larger).collect()):
+        for i, top in want.items():
+            got = sorted((r["rank"], r["base_id"], round(r["score"], 9)) for r in rows if r["query_id"] == i)
+            assert [s for _, _, s in got] == pytest.approx([s for _, s in top[:4]], abs=1e-9)
+            assert sum(g[1] == t[0] for g, t in zip(got, top)) == 4 or len({s for _, s in top[:5]}) < 5
+
+
+def test_groups_ranges_and_ties_in_blocks(spark):
+    x = [[0.0], [1.0], [1.0], [2.0], [5.0]]
+    base = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "vec_id long, e array<double>")
+    groups = spark.createDataFrame([(0, 1), (1, 1), (2, 2), (3, 2), (4, None)], "vec_id long, label int")
+    got = search.grouped_knn(base, groups, base, 2).filter("query_id = 3").orderBy("rank").collect()
+    assert [(r["base_id"], r["score"]) for r in got] == [(1, 1.0), (2, 1.0)]
+    assert search.range_search(base, base, 1.5).filter("query_id = 3").count() == 2
+    assert sorted(r["base_id"] for r in search.knn_with_ties(base, base, 1).filter("query_id = 0").collect()) == [1, 2]
+
+
+def test_signs_of_all_components(spark):
+    a = [1.0] * 70
+    rows = spark.createDataFrame([(a, a[:69] + [-1.0]), (a, [-1.0] * 70), ([], [])], "a array<double>, b array<double>")
+    assert [r[0] for r in rows.select(distance.hamming(distance.sign_words(F.col("a")), distance.sign_words(F.col("b")))).collect()] == [1.0, 70.0, 0.0]
+
+
+def test_ids_beyond_the_key_s_range(spark):
+    base = spark.createDataFrame([(i * 10**17, [float(i)]) for i in range(80)], "vec_id long, e array<double>")
+    assert search.centroids(base).count() == 4 * search.LISTS
 
 
 def _cube(spark, hits, ndc):
@@ -87,8 +181,76 @@ def test_labels_and_order_against_enumeration(spark):
         assert row["j_identity"] <= row["j_summary"] <= row["j_order"] + 1e-9
 
 
-def test_constant_bootstrap(spark):
-    df = spark.createDataFrame([("a", i, 0.5) for i in range(20)], "g string, u long, v double")
-    weights = stats.hash_weights(df.select("u"), "u", 30, 3)
-    row = stats.bootstrap(df, weights, ["u"], "v", "g").first()
-    assert (row["low"], row["high"]) == (0.5, 0.5)
+def test_constant_and_crossed_bootstraps(spark):
+    rows = spark.createDataFrame([(t, q, 0.5, 1.0) for t in range(3) for q in range(20)], "target long, query_id long, v double, n double")
+    wq, wt = resample.weights(rows.select("query_id"), "query_id", 3, 50), resample.weights(rows.select("target"), "target", 4, 50)
+    assert all(r["w"] == 20 for r in wq.groupBy("rep").agg(F.sum("w").alias("w")).collect()) and wq.select("rep").distinct().count() == 50
+    sums = resample.crossed(rows, wt, wq, [], ["v", "n"]).withColumn("m", F.col("v") / F.col("n"))
+    row = resample.interval(sums, [], ["m"]).first()
+    assert (row["low_m"], row["high_m"], row["replicates"]) == (0.5, 0.5, 50)
+    drawn = {(r["rep"], r["query_id"]): r["w"] for r in wq.collect()}
+    targets = {(r["rep"], r["target"]): r["w"] for r in wt.collect()}
+    other = rows.withColumn("v", F.col("target") * 100.0 + F.col("query_id"))
+    got = {r["rep"]: r["v"] for r in resample.crossed(other, wt, wq, [], ["v"]).collect()}
+    for rep in range(50):
+        assert got[rep] == pytest.approx(sum(targets.get((rep, t), 0) * drawn.get((rep, q), 0) * (t * 100 + q) for t in range(3) for q in range(20)))
+    spread = resample.weights(spark.range(200).withColumnRenamed("id", "query_id"), "query_id", 9, 400).agg(F.variance("w"), F.max("w")).first()
+    assert spread[1] < 12
+
+
+def test_shuffled_ids_are_a_permutation(spark):
+    ids = spark.range(1000).withColumnRenamed("id", "vec_id")
+    rows = membership.shuffled(ids, 5).collect()
+    assert sorted(r["place"] for r in rows) == list(range(1000))
+    assert np.corrcoef([r["vec_id"] for r in rows], [r["place"] for r in rows])[0, 1] < 0.1
+    parts = membership.turnover(ids, membership.roles(ids, 5, {"a": 30, "b": 70}), 6)
+    assert {r["part"]: r["n"] for r in parts.groupBy("part").agg(F.count("*").alias("n")).collect()} == {"old_only": 45, "new_only": 45, "both": 810}
+    left = membership.repaired(parts, parts.filter("part = 'old_only'").limit(7))
+    assert {r["part"]: r["n"] for r in left.groupBy("part").agg(F.count("*").alias("n")).collect()} == {"old_only": 38, "new_only": 38, "both": 810}
+
+
+def test_documents_are_compared_by_value():
+    d = integrity.json_differs
+    assert not d({"a": [1, 2.0, {"b": None}]}, {"a": [1, 2.0 + 1e-15, {"b": None}]})
+    assert d({"a": 1}, {"a": 2}) and d({"a": 1}, {"b": 1}) and d([1], [1, 2]) and d(True, 1) and d(None, 0) and d("1", 1) and d({}, [])
+
+
+def test_graphs_find_most_neighbours(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 12))
+    base = spark.createDataFrame([(i * 3, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, e array<double>")
+    truth = search.exact_knn(base, base)
+    for kind in ("hnsw", "vamana"):
+        held = graphsearch.build(base, kind)
+        rows = {r["parameter"]: r for r in graphsearch.scored(graphsearch.search(held, base, [("breadth", 8), ("breadth", 64)]), truth).collect()}
+        assert rows[64.0]["recall"] > 0.97 >= 0 and rows[8.0]["mean_distances"] < rows[64.0]["mean_distances"] < 600, kind
+    learned = graphsearch.train(held, base.filter("vec_id % 2 = 0"), truth)
+    asked = base.filter("vec_id % 2 = 1")
+    early = {(r["policy"], r["parameter"]): r for r in graphsearch.scored(graphsearch.search(held, asked, [("breadth", 128), ("darth", 0.8), ("darth", 0.99), ("ada", 0.9), ("patience", 8), ("gap", 0.1), ("laet", 2.0)], learned), truth).collect()}
+    whole = early["breadth", 128.0]
+    assert all(r["mean_distances"] <= whole["mean_distances"] and r["recall"] > 0.7 for r in early.values())
+    assert early["darth", 0.8]["mean_distances"] <= early["darth", 0.99]["mean_distances"]
+    gone = base.filter("vec_id % 5 = 0").select("vec_id")
+    found = graphsearch.search(graphsearch.marked(held, gone), base, [("breadth", 64)])
+    assert found.join(gone.withColumnRenamed("vec_id", "base_id"), "base_id", "left_semi").count() == 0
+
+
+def test_shards_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(graphsearch, "SHARD_ROWS", 100)
+    rng = np.random.default_rng(7)
+    base = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(rng.normal(size=(300, 6)))], "vec_id long, e array<double>")
+    held = graphsearch.build(base, "hnsw")
+    assert held.count() == 3
+    rows = graphsearch.scored(graphsearch.search(held, base, [("breadth", 32)]), search.exact_knn(base, base)).first()
+    assert rows["recall"] > 0.97 and rows["queries"] == 300
+
+
+def test_index_strings(spark):
+    rng = np.random.default_rng(8)
+    base = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(rng.normal(size=(300, 16)))], "vec_id long, e array<double>")
+    truth = {(r["query_id"], r["base_id"]) for r in search.exact_knn(base, base).collect()}
+    recall = {s: len(truth & {(r["query_id"], r["base_id"]) for r in indexes.build(s, base)(base).collect()}) / len(truth) for s in ("Flat", "HR,Flat", "PCA16,Flat", "SQ8", "IVF4,Flat", "PQ4x16", "PQ4x16,RFlat", "LSH")}
+    assert recall["Flat"] == recall["HR,Flat"] == recall["PCA16,Flat"] == 1.0 and recall["SQ8"] > 0.95
+    assert recall["PQ4x16,RFlat"] > recall["PQ4x16"] > 0.1 and recall["IVF4,Flat"] > 0.3 and recall["LSH"] > 0.1
+    with pytest.raises(ValueError):
+        indexes.build("IVF4", base)

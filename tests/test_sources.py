@@ -1,6 +1,7 @@
 """Files written by hand and read back, refusals, generators, and a stream against its batch form."""
 
 import gzip
+import hashlib
 import struct
 import zipfile
 
@@ -82,10 +83,43 @@ def test_generators(spark, name):
 
 
 def test_bridge_shape(spark):
-    x = np.array([r["vector"] for r in synthetic.narrow_bridge(spark, 4000, 4).collect()])
+    rows = synthetic.narrow_bridge(spark, 4000, 4).collect()
+    x = np.array([r["vector"] for r in rows])
     middle = np.abs(x[:, 0]) < 1.0
     assert 0 < middle.sum() < 100 and np.abs(x[middle, 1:]).max() < 0.3
-    assert abs((x[:, 0] < 0).mean() - 0.5) < 0.05
+    assert len(rows) == 4400 and abs((x[:, 0] < 0).mean() - 0.5) < 0.01
+    assert 27 <= middle.sum() <= 34  # of 80 evenly from -2.6 to 2.6
+
+
+@pytest.mark.parametrize("form", sorted(files.ENCODERS))
+def test_vector_sinks(spark, tmp_path, form):
+    rows = spark.createDataFrame([(i * 7, [float(i), -2.0, 0.5 * i]) for i in range(50)], "vec_id long, e array<double>").repartition(3)
+    path = str(tmp_path / form)
+    assert files.sink_vectors(rows, path, form) == 50
+    with pytest.raises(FileExistsError):
+        files.sink_vectors(rows, path, form)
+    if form == "npz":
+        assert files.scan_npz(spark, path).count() == 50 * 4
+        return
+    got = sorted((r["id"] if form == "query" else 7 * r["vector"][0], list(r["vector"])) for r in files.scan_vectors(spark, path, form).collect())
+    assert got == [(i * 7, [float(i), -2.0, float(int(0.5 * i)) if form == "ivecs" else 0.5 * i]) for i in range(50)]
+
+
+def test_pinned_archives_of_gzipped_tables(spark, tmp_path):
+    raw = gzip.compress("a,b\n1,x\n".encode())
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("t.csv.gz", raw)
+    pin = (len(raw), hashlib.sha256(raw).hexdigest())
+    assert files.scan_zip_csv(spark, str(tmp_path / "a.zip"), pins={"t.csv.gz": pin}).first()["row"] == {"a": "1", "b": "x"}
+    for bad in ({"t.csv.gz": (pin[0], "0" * 64)}, {"t.csv.gz": pin, "u.csv": pin}):
+        with pytest.raises(Exception, match="pinned|members"):
+            files.scan_zip_csv(spark, str(tmp_path / "a.zip"), pins=bad).collect()
+
+
+def test_missing_vectors_are_an_error(spark):
+    rows = spark.createDataFrame([(1, [1.0])], "vec_id long, e array<double>")
+    with pytest.raises(ValueError, match="2"):
+        files.gather_by_id(rows, spark.createDataFrame([(1,), (2,)], "vec_id long"))
 
 
 def test_codes_decode_within_an_interval(spark):
@@ -96,12 +130,17 @@ def test_codes_decode_within_an_interval(spark):
     assert quantize.scalar_codes(rows.limit(0)).count() == 0
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    folder = str(tmp_path / "events")
-    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(3).write.parquet(folder)
-    events = spark.read.parquet(folder)
-    stream = monitor.watch(spark, folder, events.schema, "event_rates_seen")
+def test_stream_writes_closed_windows(spark, tmp_path):
+    folder, out = str(tmp_path / "events"), str(tmp_path / "rates")
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.repartition(3).write.parquet(folder)
+    stream = monitor.watch(spark, folder, events.schema, out, str(tmp_path / "state"))
     assert stream.awaitTermination(120)
-    want = monitor.rates(events)
-    got = spark.table("event_rates_seen").select(F.col("start").cast("string"), "n", "bad", "share", "mean")
-    assert sorted(got.collect()) == sorted(want.select(F.col("start").cast("string"), "n", "bad", "share", "mean").collect())
+    last = events.agg(F.max("ts").alias("t")).first()["t"]
+    closed = monitor.rates(events).filter(F.col("start") + F.expr("INTERVAL 1 HOUR") <= F.lit(last) - F.expr("INTERVAL 10 MINUTES"))
+    text = lambda df: sorted(df.select(F.col("start").cast("string"), "n", "bad", "share", "mean").collect())
+    assert text(spark.read.parquet(out)) == text(closed)
+    late = events.limit(5).withColumn("ts", F.expr("ts - INTERVAL 5 DAYS"))
+    late.write.mode("append").parquet(folder)
+    assert monitor.watch(spark, folder, events.schema, out, str(tmp_path / "state")).awaitTermination(120)
+    assert text(spark.read.parquet(out)) == text(closed)
