@@ -328,3 +328,20 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     joined = rows.join(done.select("h0", "h1", "least_id", "stays"), ["h0", "h1"], "left")
     first = F.col("stays").isNull() | (F.col("stays") & F.col("row.doc_id").eqNullSafe(F.col("least_id")))
     return joined.filter(first).select("row.*")
+
+
+_BLANK = "[\\x09-\\x0D\\x1C-\\x20\\x85\\xA0\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+# Every pair of texts with a shingle in common, by exact counts, and what the links reach by recursion.
+OP9_SQL = f"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS i, text, list_filter(regexp_split_to_array(lower(text), '{_BLANK}'), lambda w: w <> '') AS ws FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)),
+w AS MATERIALIZED (SELECT i, text, ws FROM t WHERE len(ws) > 0),
+s AS (SELECT i, CASE WHEN len(ws) < {SHINGLE} THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - {SHINGLE - 2}), lambda k: array_to_string(ws[k:k + {SHINGLE - 1}], ' ')) END AS l FROM w),
+c AS MATERIALIZED (SELECT i, sh, count(*) AS n FROM (SELECT i, unnest(l) AS sh FROM s) GROUP BY ALL),
+z AS (SELECT i, sum(n) AS n FROM c GROUP BY i),
+o AS (SELECT a.i AS a, b.i AS b, sum(least(a.n, b.n)) AS m FROM c a JOIN c b ON a.sh = b.sh AND a.i <> b.i GROUP BY ALL),
+h AS MATERIALIZED (SELECT a, b FROM o JOIN z x ON x.i = a JOIN z y ON y.i = b WHERE m / (x.n + y.n - m) >= {SIMILARITY}),
+reach AS (SELECT i, i AS j FROM w UNION SELECT reach.i, h.b FROM reach JOIN h ON h.a = reach.j),
+d AS (SELECT text, min(doc_id) AS first FROM documents GROUP BY text),
+g AS (SELECT x.text, min(d.first) AS component_id FROM reach JOIN w x ON x.i = reach.i JOIN w y ON y.i = reach.j JOIN d ON d.text = y.text GROUP BY x.text)
+SELECT doc_id, CASE WHEN g.text IS NULL THEN doc_id ELSE component_id END AS component_id, doc_id IS NOT DISTINCT FROM CASE WHEN g.text IS NULL THEN doc_id ELSE component_id END AS kept FROM documents LEFT JOIN g USING (text)
+"""

@@ -187,3 +187,16 @@ def _linked_classes(vectors: DataFrame, threshold: float) -> DataFrame:
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+# All pairs in double precision, and what the links reach by recursion.
+OP3_SQL = f"""
+WITH RECURSIVE r AS (SELECT row_number() OVER () AS i, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+v AS MATERIALIZED (SELECT i, vec_id, list_transform(e, lambda x: x / list_max(list_transform(e, lambda y: abs(y)))) AS e FROM r
+  WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(e, lambda y: abs(y))) > 0),
+n AS MATERIALIZED (SELECT i, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v),
+h AS MATERIALIZED (SELECT a.i AS a, b.i AS b FROM n a JOIN n b ON a.i <> b.i AND len(a.e) = len(b.e) WHERE list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2])) / (a.norm * b.norm) >= {THRESHOLD}),
+reach AS (SELECT i, i AS j FROM r UNION SELECT reach.i, h.b FROM reach JOIN h ON h.a = reach.j),
+least AS (SELECT reach.i, min(r.vec_id) AS component_id FROM reach JOIN r ON r.i = reach.j GROUP BY reach.i)
+SELECT vec_id, (SELECT count(*) FROM h WHERE h.a = r.i) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept FROM r JOIN least USING (i)
+"""

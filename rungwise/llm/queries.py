@@ -15,4 +15,11 @@ QUERIES = {
     "op10_url_filter": urls.op10_url_filter,
 }
 
-ORACLE_SQL = {"op1_mix_sources": mixing.OP1_SQL, "op4_line_dedup": lines.OP4_SQL, "op7_line_quality": quality.OP7_SQL}
+ORACLE_SQL = {
+    "op1_mix_sources": mixing.OP1_SQL,
+    "op3_embedding_dedup": embeddings.OP3_SQL,
+    "op4_line_dedup": lines.OP4_SQL,
+    "op5_warc": warc.OP5_SQL,
+    "op7_line_quality": quality.OP7_SQL,
+    "op9_bagminhash_dedup": bagminhash.OP9_SQL,
+}

@@ -307,3 +307,13 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     write(table(spark, sf_dir, "pages"), path)
     return read(spark, path, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# A base32 digit is five bits: four of them are five hexadecimal digits.
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((('0x' || substr(sha, {5 * i + 1}, 5))::BIGINT >> {shift}) & 31 AS INT), 1)" for i in range(8) for shift in (15, 10, 5, 0))
+OP5_SQL = f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY sha) AS first FROM p)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = first OR payload_bytes < {MIN_REVISIT_BYTES} THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first AND payload_bytes >= {MIN_REVISIT_BYTES} THEN first END AS refers_to FROM f
+"""
