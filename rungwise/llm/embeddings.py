@@ -7,6 +7,10 @@ into the PROBES likeliest ones.  Rows of the join are narrow: bucket, class and
 pair whose bits differ in more than MAX_BITS places (six deviations beyond what the threshold allows)
 ends inside the join.  What is left is compared exactly, in double precision.
 
+Buckets of more than SMALL classes are not joined but dealt out in blocks of BLOCK classes; every two blocks
+are a matrix product, which gives back how many each class is linked with and a forest of its links, not
+pairs.  A pair that meets in several buckets belongs to one of them, which both vectors' codes tell.
+
 The number of parts follows the number of classes, so that a bucket holds a few classes at any size.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with
@@ -26,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwise.llm.common import materialise, scratch, table
+from rungwise.llm.common import materialise, scratch, small_batches, table
 from rungwise.llm.components import components
 
 THRESHOLD = 0.95
@@ -36,6 +40,8 @@ PROBES = 6
 #: Classes that a bucket holds on average, about.
 BUCKET = 8
 MAX_BITS = 34
+#: Classes of a bucket up to which pairs are joined, and classes of a block beyond it.
+SMALL, BLOCK = 96, 512
 #: Components under which the bits of a vector depend on each other too much to rule pairs out.
 MIN_BITS_LENGTH = 8
 SEED = 20240229
@@ -118,10 +124,9 @@ def _keys(column: str) -> tuple:
     return F.xxhash64(column).alias("k0"), F.xxhash64(F.lit(1), column).alias("k1")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of classes, a < b, that share a bucket and most sign bits."""
-    size = classes.agg(F.count("*"), F.max(F.size("v")), F.min(F.size("v"))).first()
-    most_bits = MAX_BITS if (size[2] or 0) >= MIN_BITS_LENGTH else 128
+def codes_of(classes: DataFrame) -> DataFrame:
+    """cid, codes (the buckets of every table, the stored one first in each) and sign bits."""
+    size = classes.agg(F.count("*"), F.max(F.size("v"))).first()
     parts = parts_for(size[0], size[1] or 1)
     tables = TABLES_PER_PART * parts
 
@@ -131,35 +136,127 @@ def candidates(classes: DataFrame) -> DataFrame:
             for at, matrix in _stack(batch["v"].tolist()):
                 for i in range(0, len(at), 2000):
                     codes, words = hashed(matrix[i : i + 2000], parts, tables)
-                    n, _, probes = codes.shape
-                    flat = codes.reshape(-1)
-                    each = tables * probes
-                    yield pd.DataFrame(
-                        {"bucket": flat, "cid": np.repeat(ids[at[i : i + 2000]], each), "s0": np.repeat(words[:, 0], each), "s1": np.repeat(words[:, 1], each), "stored": np.tile(np.arange(probes) == 0, n * tables)}
-                    )
-
-    rows = materialise(classes.select("cid", "v").mapInPandas(run, "bucket long, cid long, s0 long, s1 long, stored boolean"), "vector-buckets")
+                    # Vectors of few components have fewer probes; the stored one fills up.
+                    full = np.concatenate([codes, np.repeat(codes[:, :, :1], PROBES - codes.shape[2], axis=2)], axis=2)
+                    yield pd.DataFrame({"cid": ids[at[i : i + 2000]], "codes": list(full.reshape(len(full), -1)), "s0": words[:, 0], "s1": words[:, 1]})
+
+    return materialise(classes.select("cid", "v").mapInPandas(run, "cid long, codes array<long>, s0 long, s1 long"), "vector-codes")
+
+
+def candidates(rows: DataFrame, most_bits: int) -> DataFrame:
+    """Distinct pairs (a, b) of classes, a < b, that share a bucket and most sign bits."""
     x, y = rows.filter("stored").alias("x"), rows.alias("y")
     differ = F.bit_count(F.col("x.s0").bitwiseXOR(F.col("y.s0"))) + F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1")))
     met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.cid") != F.col("y.cid")) & (differ <= most_bits))
     return met.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs whose cosine, in double precision, is at least the threshold."""
-    left = classes.select(F.col("cid").alias("a"), F.col("v").alias("va"))
-    right = classes.select(F.col("cid").alias("b"), F.col("v").alias("vb"))
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of rows with each other, in double precision."""
+    x, y = (m / np.abs(m).max(axis=1, keepdims=True) for m in (x, y))  # no overflow in the squares
+    return np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
+
+
+def _home(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The bucket that a pair belongs to, from codes (..., tables, probes) of the lesser and the greater class.
+
+    It is in the first table where one is stored in a bucket that the other looks into, the lesser's bucket first.
+    """
+    in_b = (a[..., :, :1] == b).any(-1)
+    in_a = (b[..., :, :1] == a).any(-1)
+    table = (in_b | in_a).argmax(-1)[..., None]
+    pick = lambda m: np.take_along_axis(m, table, -1)[..., 0]
+    stored_a, stored_b = (np.broadcast_to(m[..., 0], in_b.shape) for m in (a, b))
+    return np.where(pick(in_b), pick(stored_a), pick(stored_b))
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, codes: DataFrame, threshold: float) -> DataFrame:
+    """a, b, home of the pairs whose cosine, in double precision, is at least the threshold."""
+    known = classes.select("cid", "v").join(codes.select("cid", "codes"), "cid")
+    left = known.select(F.col("cid").alias("a"), F.col("v").alias("va"), F.col("codes").alias("ca"))
+    right = known.select(F.col("cid").alias("b"), F.col("v").alias("vb"), F.col("codes").alias("cb"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             same = batch[batch["va"].map(len) == batch["vb"].map(len)]
             for _, rows in same.groupby(same["va"].map(len)):
-                x, y = np.stack(rows["va"].to_numpy()), np.stack(rows["vb"].to_numpy())
-                x, y = (m / np.abs(m).max(axis=1, keepdims=True) for m in (x, y))  # no overflow in the squares
-                cosine = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
-                yield rows.loc[cosine >= threshold, ["a", "b"]]
+                rows = rows[cosines(np.stack(rows["va"].to_numpy()), np.stack(rows["vb"].to_numpy())) >= threshold]
+                if len(rows):
+                    ca, cb = (np.stack(rows[c].to_numpy()).reshape(len(rows), -1, PROBES) for c in ("ca", "cb"))
+                    yield rows[["a", "b"]].assign(home=_home(ca, cb))
+
+    return pairs.join(left, "a").join(right, "b").mapInPandas(run, "a long, b long, home long")
+
+
+def _forest(left: np.ndarray, right: np.ndarray, links: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join what all of them join: at most one fewer than there are classes."""
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while root.setdefault(i, i) != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out = []
+    for i, row in zip(left.tolist(), links):
+        for j in right[row].tolist():
+            x, y = find(i), find(j)
+            if x != y:
+                root[x] = y
+                out.append((min(i, j), max(i, j)))
+    return out
+
+
+def _block_links(left, right, same: bool, bucket: int, threshold: float) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(links of a forest, (class, vectors it is linked with)) of the pairs of two blocks that belong to the bucket."""
+    forest, counts = [], []
+    lengths = {len(m["v"]) for m in left} & {len(m["v"]) for m in right}
+    for d in lengths:
+        a, b = ([m for m in side if len(m["v"]) == d] for side in (left, right))
+        ia, ib = (np.array([m["cid"] for m in side]) for side in (a, b))
+        x, y = (np.stack([np.asarray(m["v"], np.float64) for m in side]) for side in (a, b))
+        ux, uy = (m / np.abs(m).max(axis=1, keepdims=True) for m in (x, y))
+        ux, uy = (m / np.sqrt((m * m).sum(axis=1, keepdims=True)) for m in (ux, uy))
+        rough = ux @ uy.T
+        links = rough >= threshold
+        near = np.argwhere(np.abs(rough - threshold) < 1e-9)
+        if len(near):
+            links[near[:, 0], near[:, 1]] = cosines(x[near[:, 0]], y[near[:, 1]]) >= threshold
+        links &= (ia[:, None] < ib[None, :]) if same else (ia[:, None] != ib[None, :])
+        at = np.argwhere(links)
+        ca, cb = (np.stack([np.asarray(m["codes"]) for m in side]).reshape(len(side), -1, PROBES) for side in (a, b))
+        for i in range(0, len(at), 65_536):
+            p, q = at[i : i + 65_536].T
+            less = (ia[p] < ib[q])[:, None, None]
+            home = _home(np.where(less, ca[p], cb[q]), np.where(less, cb[q], ca[p]))
+            links[p, q] = home == bucket
+        ka, kb = (np.array([m["copies"] for m in side]) for side in (a, b))
+        counts += [(int(i), int(n)) for i, n in zip(ia, links @ kb) if n] + [(int(i), int(n)) for i, n in zip(ib, links.T @ ka) if n]
+        forest += _forest(ia, ib, links)
+    return forest, counts
+
+
+def _dense_links(rows: DataFrame, sizes: DataFrame, classes: DataFrame, codes: DataFrame, threshold: float) -> DataFrame:
+    """cid, other, n: links of the large buckets (n NULL), and how many vectors a class is linked with there (other NULL)."""
+    blocks = sizes.select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("n"))
+    dealt = rows.select("bucket", "cid").join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "cid"), "n").cast("int"))
+    known = classes.select("cid", "copies", "v").join(codes.select("cid", "codes"), "cid")
+    member = F.struct("cid", "copies", "v", "codes")
+    every = dealt.join(known, "cid").groupBy("bucket", "n", "block").agg(F.collect_list(member).alias("members"))
+    every = materialise(every, "vector-blocks")
+    left = every.select("bucket", F.col("block").alias("i"), F.col("members").alias("left"), F.explode(F.sequence("block", F.col("n") - 1)).alias("block"))
+    pairs = left.join(every.select("bucket", "block", F.col("members").alias("right")), ["bucket", "block"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for bucket, same, x, y in zip(batch["bucket"], batch["same"], batch["left"], batch["right"]):
+                forest, counts = _block_links(x, y, same, bucket, threshold)
+                made = [(a, b, None) for a, b in forest] + [(c, None, n) for c, n in counts]
+                yield pd.DataFrame(made, columns=["cid", "other", "n"], dtype=object)
 
-    return pairs.join(left, "a").join(right, "b").mapInPandas(run, "a long, b long")
+    ready = pairs.select("bucket", (F.col("i") == F.col("block")).alias("same"), "left", "right")
+    return materialise(small_batches(ready).mapInPandas(run, "cid long, other long, n long"), "vector-dense")
 
 
 def linked(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -175,10 +272,22 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def _linked_classes(vectors: DataFrame, threshold: float) -> DataFrame:
     classes = classes_of(vectors)
-    links = materialise(verified(candidates(classes), classes, threshold), "vector-links")
+    codes = codes_of(classes)
+    shortest = classes.agg(F.min(F.size("v"))).first()[0]
+    most_bits = MAX_BITS if (shortest or 0) >= MIN_BITS_LENGTH else 128
+    held = codes.select("cid", "s0", "s1", "codes", F.posexplode("codes").alias("at", "bucket")).withColumn("stored", F.col("at") % PROBES == 0)
+    filled = ~F.col("stored") & (F.get("codes", F.col("at") - F.col("at") % PROBES) == F.col("bucket"))
+    rows = materialise(held.filter(~filled).select("bucket", "cid", "s0", "s1", "stored"), "vector-buckets")
+    sizes = materialise(rows.groupBy("bucket").agg(F.count("*").alias("size")).filter(F.col("size") > SMALL), "vector-sizes")
+    small = rows.join(sizes, "bucket", "left_anti")
+    found = _verified(candidates(small, most_bits), classes, codes, threshold)
+    links = materialise(found.join(sizes.withColumnRenamed("bucket", "home"), "home", "left_anti").select("a", "b"), "vector-links")
+    dense = _dense_links(rows.join(sizes, "bucket", "left_semi"), sizes, classes, codes, threshold)
     copies = classes.select(F.col("cid").alias("other"), "copies")
     ends = links.select(F.col("a").alias("cid"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("cid"), F.col("a").alias("other")))
-    degree = ends.join(copies, "other").groupBy("cid").agg(F.sum("copies").alias("linked"))
+    counted = ends.join(copies, "other").select("cid", F.col("copies").alias("n")).unionByName(dense.filter("other IS NULL").select("cid", "n"))
+    degree = counted.groupBy("cid").agg(F.sum("n").alias("linked"))
+    links = links.unionByName(dense.filter("other IS NOT NULL").select(F.col("cid").alias("a"), F.col("other").alias("b")))
     grouped = classes.select("cid", "k0", "k1", "copies", "least_id").join(components(links).withColumnRenamed("id", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = grouped.groupBy("component").agg(F.min("least_id").alias("component_id"))
     done = grouped.join(least, "component").join(degree, "cid", "left").select("k0", "k1", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), "component_id")

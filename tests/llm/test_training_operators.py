@@ -1,6 +1,7 @@
 """Each operator on edge rows and against a brute-force version, round trip or SQL."""
 
 import base64
+import contextlib
 import gzip
 import hashlib
 import random
@@ -161,7 +162,10 @@ def test_addresses_of_all_octets_and_ibans_before_words():
     assert pii.pseudonymised(p, "XX12 3456 7890 AT61 1904 3002 3457 3201")[0] == "XX12 3456 7890 " + pii.pseudonymised(p, "AT61 1904 3002 3457 3201")[0]
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("small,block", [(96, 512), (2, 7)])
+def test_embeddings(spark, monkeypatch, small, block):
+    monkeypatch.setattr(embeddings, "SMALL", small)
+    monkeypatch.setattr(embeddings, "BLOCK", block)
     rng = np.random.default_rng(2)
     base = rng.normal(size=(120, 24))
     near = base[:60] + rng.normal(size=(60, 24)) * 0.06
@@ -191,6 +195,24 @@ def test_embeddings_of_extreme_length_repeated_and_null_ids(spark):
     assert [(k[1], n, c) for k, n, c in got] == [(1, 5, 1), (2, 5, 1), (3, 5, 1), (3, 5, 1), (9, 0, 9), (10, 5, 1)]
 
 
+def test_a_cluster_is_counted_in_blocks_and_sends_no_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    centre = rng.normal(size=32)
+    x = np.concatenate([centre + rng.normal(size=(700, 32)) * 0.12, rng.normal(size=(300, 32)), rng.normal(size=(10, 16))[:, :16].repeat(2, axis=1)])
+    sent = []
+    whole = embeddings._dense_links
+    monkeypatch.setattr(embeddings, "_dense_links", lambda *a: sent.append(whole(*a)) or sent[0])
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(embeddings, "scratch", contextlib.nullcontext)
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.linked(df).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = u @ u.T >= 0.95
+    np.fill_diagonal(links, False)
+    want = links.sum(axis=1)
+    assert sum(abs(got[i] - want[i]) for i in got) <= 0.001 * want.sum()
+    assert 0 < sent[0].count() < 60 * len(x) < want.sum()
+
+
 def test_vectors_recall_with_several_parts():
     rng = np.random.default_rng(4)
     for d, parts in ((64, 2), (64, 3), (24, 2)):
