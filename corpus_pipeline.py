@@ -1,8 +1,14 @@
 """From documents to token ids: toxicity, line dedup, near-dedup, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on every row that its predecessor kept; all but the
-last return the columns of documents.  ORACLE_SQL is None: learned scores, signatures and BPE merges
-have no SQL form, so the tests hold the rows against brute-force versions of the stages.
+last return the columns of ``docs``, whatever further ones it has and however they are named.  ORACLE_SQL is
+None: learned scores, growing edit bounds, signatures and BPE merges have no SQL form together, so the tests
+hold every stage against a brute-force version.
+
+Defined results: a null text scores like an empty one, has no lines and no shingles, is mixed as an empty
+one and has no ids; empty and wordless texts stay but for those that line dedup emptied; rows with equal ids
+and texts share one fate but in near-dedup, where one row of a group's first text stays for each time it
+occurs; rows with null ids are kept or dropped like others; a stage of no rows returns none.
 """
 
 from __future__ import annotations
@@ -16,16 +22,22 @@ from rungwise.llm.common import WORD_CLASS, materialise, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _nested(docs: DataFrame) -> DataFrame:
+    """The columns that stages work on, and all columns inside one, so that no name can clash."""
+    return docs.select(*COLUMNS, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under the threshold, by a lexicon learned from the labels of these documents."""
     lexicon = toxicity.learn(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    return toxicity.with_score(docs, lexicon, "_score").filter(F.col("_score") < toxicity.THRESHOLD).select(*docs.columns)
+    return toxicity.with_score(_nested(docs).select("row", "text"), lexicon).filter(F.col("score") < toxicity.THRESHOLD).select("row.*")
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier line equals or nearly equals; those that lose all their words go."""
-    done = lines.dedup_lines(docs)
-    return done.filter((F.col("n_dropped") == 0) | F.col("text").rlike(WORD_CLASS)).select(*docs.columns)
+    done = lines.dedup_lines(_nested(docs)).filter((F.col("n_dropped") == 0) | F.col("text").rlike(WORD_CLASS))
+    own = [F.col(c) if c in ("text", "n_chars") else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
+    return done.select(*own)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
