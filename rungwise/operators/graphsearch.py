@@ -281,7 +281,7 @@ def _stop(policy: str, parameter: float, learned: Learned | None):
         return lambda s, d: s.still > parameter and len(s.best) >= K
     if policy == "gap":
         return lambda s, d: len(s.best) >= K and d > (1 + parameter) * s.kth(K)
-    if policy == "laet":
+    if policy == "length":
         limit = [float("inf")]
 
         def by_length(s: Walk, d: float) -> bool:
@@ -290,7 +290,7 @@ def _stop(policy: str, parameter: float, learned: Learned | None):
             return s.distances >= limit[0] and len(s.best) >= K
 
         return by_length
-    if policy == "darth":
+    if policy == "recall":
         at = [INTERVALS[0]]
 
         def by_recall(s: Walk, d: float) -> bool:
@@ -314,7 +314,7 @@ def answered(g: Graph, q: np.ndarray, policy: str, parameter: float, learned: Le
     breadth = BREADTHS[-1]
     if policy == "breadth":
         breadth = int(parameter)
-    elif policy == "ada":
+    elif policy == "start":
         breadth = learned.breadth(state.quality, parameter)
     found = walk(g, g.layers[0], q, near, max(breadth, k + 1), state, _stop(policy, parameter, learned), k)
     return [(d, int(g.ids[i])) for d, i in found if int(g.ids[i]) != me][:k], state

@@ -260,7 +260,7 @@ def early_stops(spark, sf_dir):
     truth = search.exact_knn(base, base)
     learned = graphsearch.train(graph, base.filter("vec_id % 5 = 0"), truth)
     asked = base.filter("vec_id % 5 <> 0")
-    found = graphsearch.search(graph, asked, [("breadth", graphsearch.BREADTHS[-1]), ("patience", 12), ("gap", 0.25), ("laet", 1.0), ("laet", 2.0), ("darth", 0.9), ("darth", 0.98), ("ada", 0.95)], learned)
+    found = graphsearch.search(graph, asked, [("breadth", graphsearch.BREADTHS[-1]), ("patience", 12), ("gap", 0.25), ("length", 1.0), ("length", 2.0), ("recall", 0.9), ("recall", 0.98), ("start", 0.95)], learned)
     return graphsearch.scored(found, truth)
 
 

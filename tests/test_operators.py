@@ -226,10 +226,10 @@ def test_graphs_find_most_neighbours(spark):
         assert rows[64.0]["recall"] > 0.97 >= 0 and rows[8.0]["mean_distances"] < rows[64.0]["mean_distances"] < 600, kind
     learned = graphsearch.train(held, base.filter("vec_id % 2 = 0"), truth)
     asked = base.filter("vec_id % 2 = 1")
-    early = {(r["policy"], r["parameter"]): r for r in graphsearch.scored(graphsearch.search(held, asked, [("breadth", 128), ("darth", 0.8), ("darth", 0.99), ("ada", 0.9), ("patience", 8), ("gap", 0.1), ("laet", 2.0)], learned), truth).collect()}
+    early = {(r["policy"], r["parameter"]): r for r in graphsearch.scored(graphsearch.search(held, asked, [("breadth", 128), ("recall", 0.8), ("recall", 0.99), ("start", 0.9), ("patience", 8), ("gap", 0.1), ("length", 2.0)], learned), truth).collect()}
     whole = early["breadth", 128.0]
     assert all(r["mean_distances"] <= whole["mean_distances"] and r["recall"] > 0.7 for r in early.values())
-    assert early["darth", 0.8]["mean_distances"] <= early["darth", 0.99]["mean_distances"]
+    assert early["recall", 0.8]["mean_distances"] <= early["recall", 0.99]["mean_distances"]
     gone = base.filter("vec_id % 5 = 0").select("vec_id")
     found = graphsearch.search(graphsearch.marked(held, gone), base, [("breadth", 64)])
     assert found.join(gone.withColumnRenamed("vec_id", "base_id"), "base_id", "left_semi").count() == 0
