@@ -12,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from rungwise.llm import bagminhash, bpe, embeddings, lines, mixing, pii, quality, queries, toxicity, urls, warc
+from rungwise.llm import bagminhash, bpe, components, embeddings, lines, mixing, pii, quality, queries, toxicity, urls, warc
 
 SMALL = "/root/testdata/sf0.001"
 LONG = " ".join(f"w{i % 977}" for i in range(60_000))
@@ -195,6 +195,20 @@ def test_embeddings_of_extreme_length_repeated_and_null_ids(spark):
     assert [(k[1], n, c) for k, n, c in got] == [(1, 5, 1), (2, 5, 1), (3, 5, 1), (3, 5, 1), (9, 0, 9), (10, 5, 1)]
 
 
+@pytest.mark.parametrize("degree", [256, 3])
+def test_components_with_hot_nodes(spark, monkeypatch, degree):
+    monkeypatch.setattr(components, "HOT_DEGREE", degree)
+    rng = random.Random(12)
+    links = [(0, i) for i in range(1, 40)] + [(100 + i, 101 + i) for i in range(30)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(39, 7), (5, 5)]
+    label = {i: i for p in links for i in p}
+    for _ in label:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = dict(components.components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert got == {i: c for i, c in label.items() if any(i in p and p[0] != p[1] for p in links)}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_a_cluster_is_counted_in_blocks_and_sends_no_pairs(spark, monkeypatch):
     rng = np.random.default_rng(11)
     centre = rng.normal(size=32)
