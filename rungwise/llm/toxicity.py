@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwise.llm.common import small_batches, table, unit_hash
+from rungwise.llm.common import materialise, scratch, small_batches, table, unit_hash
 
 #: Expected number of labelled rows that are learned from.
 SAMPLE_ROWS = 12_000
@@ -192,13 +192,19 @@ def _shingle_key(words: list[str]) -> int:
 
 def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """The lexicon of the labelled rows that aren't held out."""
+    with scratch():
+        return _learned(docs, labels)
+
+
+def _learned(docs: DataFrame, labels: DataFrame) -> Lexicon:
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = known.count()
     if not n:
         return Lexicon({})
     sample = known.filter(unit_hash("toxic sample", F.col("doc_id")) < min(1.0, SAMPLE_ROWS / n))
-    rows = small_batches(docs).select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # about SAMPLE_ROWS narrow rows
+    # About SAMPLE_ROWS narrow rows; what they pick is written once, as it is read four times.
+    rows = materialise(small_batches(docs).select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic"), "toxic-sample")
 
     def prepared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
