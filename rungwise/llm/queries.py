@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators and their SQL."""
 
-from rungwise.llm import bagminhash, bpe, embeddings, lines, mixing, pii, quality, resampling, toxicity, urls, warc
+from rungwise.llm import bagminhash, bpe, divergence, embeddings, lines, mixing, pii, quality, resampling, toxicity, urls, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_bagminhash_dedup": bagminhash.op9_bagminhash_dedup,
     "op10_url_filter": urls.op10_url_filter,
     "op11_importance_resampling": resampling.op11_importance_resampling,
+    "op12_source_divergence": divergence.op12_source_divergence,
 }
 
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op7_line_quality": quality.OP7_SQL,
     "op9_bagminhash_dedup": bagminhash.OP9_SQL,
     "op11_importance_resampling": resampling.OP11_SQL,
+    "op12_source_divergence": divergence.OP12_SQL,
 }
