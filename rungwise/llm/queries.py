@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators and their SQL."""
 
-from rungwise.llm import bagminhash, bpe, divergence, embeddings, lines, mixing, pii, quality, resampling, toxicity, urls, warc
+from rungwise.llm import bagminhash, bpe, divergence, embeddings, lines, mixing, pii, quality, resampling, tokencounts, toxicity, urls, warc
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_url_filter": urls.op10_url_filter,
     "op11_importance_resampling": resampling.op11_importance_resampling,
     "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_token_counts": tokencounts.op13_token_counts,
 }
 
 ORACLE_SQL = {
