@@ -30,34 +30,6 @@ def test_thresholds_against_the_binomial_sum():
     assert 45_000 < policy.max_failures(1_000_000, 0.05, 0.05) < 50_000 and time.time() - began < 1
 
 
-def test_resistance_truths():
-    path = graph.edge_resistances(3, [0, 1], [1, 2], [2.0, 4.0])
-    assert path == pytest.approx([0.5, 0.25])
-    assert graph.shifted_resistance(3, [0, 1], [1, 2], [2.0, 4.0], 0, 2) == pytest.approx(0.75)
-    assert graph.edge_resistances(3, [0, 1, 0], [1, 2, 2], np.ones(3)) == pytest.approx([2 / 3] * 3)
-    rng = np.random.default_rng(1)
-    n, edges = 40, sorted({tuple(sorted(p)) for p in [(i, i + 1) for i in range(39)] + rng.integers(0, 40, (60, 2)).tolist() if p[0] != p[1]})
-    s, t = np.array(edges).T
-    w = rng.random(len(edges)) + 0.1
-    dense = graph.edge_resistances(n, s, t, w)
-    assert dense == pytest.approx([graph.shifted_resistance(n, s, t, w, a, b) for a, b in edges])
-    assert (dense * w).sum() == pytest.approx(n - 1) and (dense * w).max() <= 1 + 1e-9
-    current = np.zeros((n, len(edges)))
-    current[s, range(len(edges))], current[t, range(len(edges))] = 1, -1
-    potential = graph._conjugate(n, s, t, w, current)
-    assert dense == pytest.approx(potential[s, range(len(edges))] - potential[t, range(len(edges))], abs=1e-8)
-
-
-def test_leverage_and_components(spark):
-    edges = spark.createDataFrame([(0, 1, 2.0), (1, 2, 4.0), (7, 8, 1.0)], "src long, dst long, weight double")
-    found = graph.components(edges.select("src", "dst"))
-    assert dict(found.collect()) == {0: 0, 1: 0, 2: 0, 7: 7, 8: 7}
-    assert all(r["leverage"] == pytest.approx(1.0) for r in graph.edge_leverage(edges, found).collect())
-    pairs = spark.createDataFrame([(0, 2), (0, 7)], "src long, dst long")
-    for across in (float("inf"), None):
-        assert sorted((r["dst"], r["resistance"], r["connected"]) for r in graph.pair_resistance(pairs, found, across).collect()) == [(2, None, True), (7, across, False)]
-
-
 def test_adjacency_errors_and_isolated_nodes(spark):
     directed = spark.createDataFrame([(1, 2), (2, 1), (2, 3)], "src long, dst long")
     nodes = spark.createDataFrame([(i,) for i in (1, 2, 3, 9)], "id long")
