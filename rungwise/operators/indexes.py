@@ -97,24 +97,6 @@ def assigned(base: DataFrame, centres: np.ndarray, probes: int = 1) -> DataFrame
     return base.select("vec_id", "e").mapInPandas(run, "vec_id long, rank int, list int, distance double")
 
 
-def probed(lists: DataFrame, probes: DataFrame) -> DataFrame:
-    """query_id, list, base_id: the members of each query's probed lists. Large lists are a join's skewed side, which Spark splits."""
-    members = lists.filter("rank = 1").select("list", F.col("vec_id").alias("base_id"))
-    return probes.select(F.col("vec_id").alias("query_id"), "list").join(members, "list").filter("query_id <> base_id")
-
-
-def ivf_search(base: DataFrame, queries: DataFrame, centres: np.ndarray, probes: int, k: int = search.K) -> DataFrame:
-    """query_id, rank, base_id, list, score of the k nearest in the probed lists."""
-    candidates = probed(assigned(base, centres), assigned(queries, centres, probes))
-    scored = search.rescored(candidates, base, queries, D.l2sq).join(candidates, ["query_id", "base_id"])
-    return search.top_k(scored, k).select("query_id", "rank", "base_id", "list", "score")
-
-
-def ivf_range(base: DataFrame, queries: DataFrame, centres: np.ndarray, probes: int, radius: float) -> DataFrame:
-    """Pairs closer than the radius among the members of probed lists."""
-    return search.rescored(probed(assigned(base, centres), assigned(queries, centres, probes)), base, queries, D.l2sq).filter(F.col("score") < radius)
-
-
 def residuals(base: DataFrame, centres: np.ndarray) -> DataFrame:
     """vec_id, list, e: each vector less the centre of its list."""
     spark = base.sparkSession

@@ -40,23 +40,6 @@ def kmeans_lists(spark, sf_dir):
     return indexes.assigned(base, centres).groupBy("list").agg(F.count("*").alias("size"), F.round(F.sum("distance"), 4).alias("inertia"))
 
 
-_IVF = f"""{_KMEANS}, cand AS (SELECT q.vec_id AS query_id, b.vec_id AS base_id, q.list FROM asg q JOIN asg b ON b.list = q.list AND b.rank = 1 AND q.rank <= {PROBES} AND q.vec_id <> b.vec_id),
-sc AS MATERIALIZED (SELECT query_id, base_id, list, {_L2.format('a.e', 'b.e')} AS score FROM cand JOIN vec a ON a.vec_id = query_id JOIN vec b ON b.vec_id = base_id)"""
-
-
-@query("ivf_search", f"WITH RECURSIVE {_IVF} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, base_id) AS INT) AS rank, base_id, list, round(score, 6) AS score FROM sc QUALIFY rank <= {K}")
-def ivf_search(spark, sf_dir):
-    """Nearest in the probed trained lists, with the list each was found in."""
-    base, centres = _centres(spark, sf_dir)
-    return indexes.ivf_search(base, base, centres, PROBES).withColumn("score", F.round("score", 6))
-
-
-@query("ivf_range", f"WITH RECURSIVE {_IVF} SELECT query_id, count(*) AS n, round(min(score), 6) AS nearest FROM sc WHERE score < 1.2 GROUP BY query_id")
-def ivf_range(spark, sf_dir):
-    base, centres = _centres(spark, sf_dir)
-    return indexes.ivf_range(base, base, centres, PROBES, 1.2).groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.min("score"), 6).alias("nearest"))
-
-
 @query("residuals", f"WITH RECURSIVE {_KMEANS} SELECT vec_id, list, round(d, 6) AS length FROM asg WHERE rank = 1")
 def residuals(spark, sf_dir):
     """Each vector less its list's centre: the squared length of what is left."""
