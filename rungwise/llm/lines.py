@@ -18,7 +18,8 @@ line that stays equals it or is near it; so every line that goes has one that st
 4. Each round compares a line with the earliest holder of each of its keys that has not gone; lines that
    find no near one there go on to all earlier holders, behind 128 parity bits of the words, which lose
    no pair.  Candidates are verified by edit distance.  Lines near one that stays go, lines with none
-   near stay, and what waits for another line's fate takes the next round.
+   near stay, and what waits for another line's fate takes the next round.  After KEY_ROUNDS rounds the
+   open lines, which are chains of near lines, are settled on the table of all their links.
 
 Defined results: lines are split at U+000A only; blank lines always stay; lines under NEAR_WORDS words
 are compared for equality only, and so are lines without ASCII blanks, being one word; null texts stay
@@ -39,13 +40,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rungwise.llm.common import count_of, materialise, scratch, small_batches, table, words_of
+from rungwise.llm.components import components
 
 #: Words from which lines are compared for nearness; lines with a word are compared for equality.
 NEAR_WORDS = 5
 #: Words of the shorter line for each word of edit, from twice as many on.
 WORDS_PER_EDIT = 10
 MOST_EDITS = 4
-MAX_ROUNDS = 100
+#: Rounds over keys; what is open after them is settled on the table of all its links.
+KEY_ROUNDS = 3
+#: Links of a component up to which one task settles it, in the order of its lines.
+TASK_LINKS = 1 << 19
 
 _P = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
@@ -255,7 +260,7 @@ def _gone(live: DataFrame, texts: DataFrame, most: int) -> DataFrame:
 
     holder = F.struct("first", "cid", "n", "b0", "b1")
     gone, opened = None, live.withColumn("stays", F.lit(False))
-    for _ in range(MAX_ROUNDS):
+    for _ in range(KEY_ROUNDS):
         least = opened.groupBy("key").agg(F.min(holder).alias("any"), F.min(F.when(F.col("role") != WITHOUT, holder)).alias("strong"))
         asked = opened.filter("NOT stays").drop("stays")
         # A whole line is near every holder of its key; a line that lacks a word only near the whole ones.
@@ -276,7 +281,48 @@ def _gone(live: DataFrame, texts: DataFrame, most: int) -> DataFrame:
         marked = marked.withColumn("stays", F.col("waits").isNull()).drop("waits")
         keys = marked.filter("NOT stays").select("key").distinct()
         opened = materialise(marked.join(keys, "key", "left_semi"), "line-open")
-    raise RuntimeError("the lines did not settle")
+    a, b = opened.filter("NOT stays").alias("a"), opened.alias("b")
+    weak = (F.col("a.role") == WITHOUT) & (F.col("b.role") == WITHOUT)
+    every = a.join(b, (F.col("a.key") == F.col("b.key")) & ~weak & close("a", "b")).select(F.col("a.cid").alias("cid"), F.col("b.cid").alias("other"))
+    links = materialise(_near_pairs(every, texts, most).join(texts.select("cid", "first"), "cid"), "line-chains")
+    return gone.unionByName(_settled(links))
+
+
+def _settled(links: DataFrame) -> DataFrame:
+    """cid and near of each line that goes, given all links (cid, first, other, near) of the open lines to earlier ones that haven't gone.
+
+    Chains of near lines wait for each other one by one, so a component is settled by one task, which walks
+    its lines in their order. A component of over TASK_LINKS links is settled in rounds over its links.
+    """
+    joined = components(links.select(F.col("cid").alias("a"), F.col("other").alias("b"))).withColumnRenamed("id", "cid")
+    dealt = materialise(links.join(joined, "cid"), "line-dealt")
+    sizes = dealt.groupBy("component").agg(F.count("*").alias("size"))
+    large = sizes.filter(F.col("size") > TASK_LINKS).select("component")
+
+    def walk(rows: pd.DataFrame) -> pd.DataFrame:
+        place = lambda p: (p["doc_id"] is not None and p["doc_id"] == p["doc_id"], p["doc_id"] or 0, p["th"], p["pos"])
+        earlier: dict[int, list[tuple]] = {}
+        order = {}
+        for cid, first, other, near in zip(rows["cid"], rows["first"], rows["other"], rows["near"]):
+            order[cid] = place(first)
+            earlier.setdefault(cid, []).append((place(near), other, near))
+        gone: dict[int, dict] = {}
+        for cid in sorted(order, key=order.get):
+            near = [x for x in earlier[cid] if x[1] not in gone]
+            if near:
+                gone[cid] = min(near, key=lambda x: x[0])[2]
+        return pd.DataFrame({"cid": pd.Series(list(gone), dtype="int64"), "near": pd.Series([dict(p) for p in gone.values()], dtype=object)})
+
+    schema = f"cid long, near {links.schema['near'].dataType.simpleString()}"
+    done = materialise(dealt.join(large, "component", "left_anti").groupBy("component").applyInPandas(walk, schema), "line-walked")
+    rest = dealt.join(large, "component", "left_semi").select("cid", "other", "near")
+    while not rest.isEmpty():
+        rest = materialise(rest, "line-rest")
+        # A line that no link leaves stays; those with a link to it go, and with them the links to them.
+        going = materialise(rest.join(rest.select(F.col("cid").alias("other")).distinct(), "other", "left_anti").groupBy("cid").agg(F.min("near").alias("near")), "line-going")
+        done = done.unionByName(going)
+        rest = rest.join(going.select("cid"), "cid", "left_anti").join(going.select(F.col("cid").alias("other")), "other", "left_anti").select("cid", "other", "near")
+    return done
 
 
 def drop_list(docs: DataFrame, near_words: int = NEAR_WORDS, most: int = MOST_EDITS) -> DataFrame:
