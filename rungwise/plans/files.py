@@ -89,12 +89,13 @@ def gathered_vectors(spark, sf_dir):
     return got.select("vec_id", F.round(F.aggregate("e", F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
-@query("generated_sets", "SELECT unnest(['gaussian_mixture', 'narrow_bridge', 'swiss_roll']) AS name, 500::BIGINT AS base, 50::BIGINT AS queries, 8::BIGINT AS dims")
+@query("generated_sets", "SELECT unnest(['gaussian_mixture', 'narrow_bridge', 'swiss_roll']) AS name, count(*) AS base, greatest(20, count(*) // 10) AS queries, CAST(max(len(embedding)) AS BIGINT) AS dims FROM embeddings")
 def generated_sets(spark, sf_dir):
-    """Every generator of the registry: sizes and dimensions (their shapes are held in the tests)."""
+    """Every generator of the registry makes a set of the table's size and dimension (shapes are held in the tests)."""
+    n, dims = vecs(spark, sf_dir).agg(F.count("*"), F.max(F.size("e"))).first()
     out = None
     for name in sorted(synthetic.GENERATORS):
-        rows = synthetic.GENERATORS[name](spark, 500, 8)
+        rows = synthetic.GENERATORS[name](spark, n, dims)
         one = rows.agg(F.lit(name).alias("name"), F.count(F.when(F.col("part") == "base", 1)).alias("base"), F.count(F.when(F.col("part") != "base", 1)).alias("queries"), F.max(F.size("vector")).cast("long").alias("dims"))
         out = one if out is None else out.unionByName(one)
     return out

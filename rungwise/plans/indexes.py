@@ -126,13 +126,20 @@ def lsh_search(spark, sf_dir):
     return search.exact_knn(signs, signs, K, "hamming")
 
 
-@query("half_precision", "SELECT vec_id, len(embedding) AS dims, true AS near FROM embeddings")
+# A number's last place in a form of so many bits behind the leading one; the half form has a least exponent.
+_HALF = "CASE WHEN v = 0 THEN 0.0 ELSE round_even(v / pow(2, greatest(floor(log2(abs(v))), -14) - 10), 0) * pow(2, greatest(floor(log2(abs(v))), -14) - 10) END"
+_BRAIN = "CASE WHEN v = 0 THEN 0.0 ELSE trunc(v / pow(2, floor(log2(abs(v))) - 7)) * pow(2, floor(log2(abs(v))) - 7) END"
+
+
+@query("half_precision", f"WITH {_VEC}, {_DIMS}, h AS (SELECT vec_id, v, {_HALF} AS a, {_BRAIN} AS b FROM x) SELECT vec_id, count(*) AS dims, round(sum(a), 8) AS half_sum, round(sum(b), 8) AS brain_sum, round(max(abs(v - a)), 8) AS half_off, round(max(abs(v - b)), 8) AS brain_off FROM h GROUP BY vec_id")
 def half_precision(spark, sf_dir):
-    """Vectors through both 16-bit forms: relative errors stay below a unit of their last place."""
+    """Vectors through both 16-bit forms: what they add up to and how far they are off."""
     base = vecs(spark, sf_dir)
     a, b = indexes.half_precision(base, "fp16").withColumnRenamed("e", "a"), indexes.half_precision(base, "bf16").withColumnRenamed("e", "b")
-    off = lambda c, share: F.forall(F.zip_with("e", c, lambda x, y: F.abs(x - y) <= F.abs(x) * share + 1e-7), lambda ok: ok)
-    return base.join(a, "vec_id").join(b, "vec_id").select("vec_id", F.size("e").cast("long").alias("dims"), (off("a", 2.0**-10) & off("b", 2.0**-7)).alias("near"))
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x), 8)
+    off = lambda c: F.round(F.array_max(F.zip_with("e", c, lambda x, y: F.abs(x - y))), 8)
+    rows = base.join(a, "vec_id").join(b, "vec_id")
+    return rows.select("vec_id", F.size("e").cast("long").alias("dims"), total("a").alias("half_sum"), total("b").alias("brain_sum"), off("a").alias("half_off"), off("b").alias("brain_off"))
 
 
 @query("index_mutations", "SELECT count(*) AS n, CAST(sum(vec_id) AS BIGINT) AS ids, count(*) FILTER (vec_id >= 1000000) AS moved, round(sum(CASE WHEN vec_id % 10 = 3 AND vec_id < 1000000 THEN 2 ELSE 1 END * CAST(embedding[1] AS DOUBLE)), 4) AS total FROM (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 7 <> 0 UNION ALL SELECT vec_id + 1000000, embedding FROM embeddings WHERE vec_id % 5 = 1)")

@@ -42,11 +42,11 @@ def searched_cube(spark, sf_dir):
     return both.select("build", "query_id", F.coalesce("found", F.lit(0)).cast("long").alias("hits"), "scanned", ((F.coalesce("found", F.lit(0)) == F.col("hits")) & (F.col("scanned") == F.col("ndc") - LISTS)).alias("equal"))
 
 
-@query("count_accounting", f"WITH {_CUBE} SELECT count(*) AS n, 0::BIGINT AS unequal, 0::BIGINT AS not_positive FROM cube")
+@query("count_accounting", f"WITH {_CUBE} SELECT build, action_idx, count(*) AS n, CAST(sum(ndc) AS BIGINT) AS total, CAST(sum(ndc % 4) AS BIGINT) AS scalar, CAST(sum(ndc // 4) AS BIGINT) AS batches, count(*) FILTER (ndc <= 0) AS not_positive FROM cube GROUP BY ALL")
 def count_accounting(spark, sf_dir):
-    """Distances counted one at a time and in batches of four add up to the total of every cell."""
+    """Distances of every action, as counted one at a time and in batches of four."""
     c = cube_of(spark, sf_dir).withColumns({"batches": F.floor(F.col("ndc") / 4), "scalar": F.col("ndc") % 4})
-    return c.agg(F.count("*").alias("n"), count_if(F.col("scalar") + 4 * F.col("batches") != F.col("ndc"), "unequal"), count_if(F.col("ndc") <= 0, "not_positive"))
+    return c.groupBy("build", "action_idx").agg(F.count("*").alias("n"), F.sum("ndc").alias("total"), F.sum("scalar").alias("scalar"), F.sum("batches").alias("batches"), count_if(F.col("ndc") <= 0, "not_positive"))
 
 
 @query("cube_ranges", f"WITH {_CUBE} SELECT count(*) AS n, count(*) FILTER (hits NOT BETWEEN 0 AND {K}) AS hits_out, count(*) FILTER (ndc <= 0) AS ndc_out, count(*) FILTER (action_idx NOT BETWEEN 0 AND {END}) AS action_out, count(DISTINCT action_idx) = {N} AS whole_axis, count(DISTINCT (build, action_idx, query_id)) = count(*) AS unique_cells FROM cube")
@@ -56,13 +56,19 @@ def cube_ranges(spark, sf_dir):
     return c.agg(F.count("*").alias("n"), count_if(~F.col("hits").between(0, K), "hits_out"), count_if(F.col("ndc") <= 0, "ndc_out"), count_if(~F.col("action_idx").between(0, END), "action_out"), (F.count_distinct("action_idx") == N).alias("whole_axis"), (F.count_distinct("build", "action_idx", "query_id") == F.count("*")).alias("unique_cells"))
 
 
-@query("header_equality", "SELECT 0::BIGINT AS differences, 1::BIGINT AS renamed")
+_HEADERS = ("documents", "embeddings", "labels", "pages", "benchmark", "conversations", "events", "lineitem")
+
+
+@query("header_equality", "SELECT table_name AS name, count(*) AS columns, string_agg(column_name, ',' ORDER BY ordinal_position) AS header, count(*) FILTER (column_name NOT IN (SELECT column_name FROM information_schema.columns WHERE table_name = 'documents')) AS differences FROM information_schema.columns WHERE table_name IN " + str(_HEADERS) + " GROUP BY table_name")
 def header_equality(spark, sf_dir):
-    """The cube's header against the declared one, and against one with a column renamed."""
-    c = cube_of(spark, sf_dir)
-    declared = {"build": "int", "action_idx": "int", "query_id": "bigint", "hits": "bigint", "ndc": "bigint"}
-    other = integrity.same_columns(c.withColumnRenamed("ndc", "cost"), declared)
-    return spark.createDataFrame([(len(integrity.same_columns(c, declared)), int(any("ndc" in x for x in other)))], "differences long, renamed long")
+    """The headers of the tables, and how many of their columns the documents don't have."""
+    whole = dict(table(spark, sf_dir, "documents").dtypes)
+    rows = []
+    for name in _HEADERS:
+        own = table(spark, sf_dir, name)
+        missing = integrity.same_columns(table(spark, sf_dir, "documents"), {c: whole.get(c, kind) for c, kind in own.dtypes} | whole)
+        rows.append((name, len(own.columns), ",".join(own.columns), len(missing)))
+    return spark.createDataFrame(rows, "name string, columns long, header string, differences long")
 
 
 @query("endpoint_reconciliation", f"WITH {_arms_sql(True)}, {_EVAL} SELECT count(*) AS cells, count(*) FILTER (d <> 1) AS unequal FROM (SELECT target, query_id, count(DISTINCT (end_hits, end_ndc)) AS d FROM ev GROUP BY ALL)")
@@ -127,14 +133,16 @@ def content_pins(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.octet_length(raw).cast("long").alias("bytes"), F.sha2(raw, 256).alias("sha256"))
 
 
-@query("receipt_chain", "WITH r AS (SELECT conv_id, turn, sha256(role || '|' || text) AS sha FROM conversations), c AS (SELECT conv_id, turn, sha, lag(sha) OVER (PARTITION BY conv_id ORDER BY turn) AS parent FROM r) SELECT conv_id, count(*) AS receipts, count(*) FILTER (parent IS NULL) AS roots, 0::BIGINT AS broken FROM c GROUP BY conv_id")
+@query("receipt_chain", """WITH r AS (SELECT conv_id, turn, sha256(role || '|' || text) AS sha FROM conversations), c AS (SELECT a.conv_id, a.turn, a.sha, b.sha AS parent, EXISTS (SELECT 1 FROM r e WHERE e.conv_id = a.conv_id AND e.turn < a.turn) AS later FROM r a LEFT JOIN r b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1)
+SELECT conv_id, count(*) AS receipts, count(*) FILTER (NOT later) AS roots, count(*) FILTER (later AND parent IS NULL) AS broken, max(sha256(coalesce(parent, '') || sha)) AS seal FROM c GROUP BY conv_id""")
 def receipt_chain(spark, sf_dir):
-    """Each turn names its predecessor's digest; a parent that no receipt of its chain has is a break."""
+    """Each turn's receipt names the digest of the turn before; a chain is broken where that turn is missing."""
     r = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(F.concat_ws("|", "role", "text").cast("binary"), 256).alias("sha"))
-    linked = r.withColumn("parent", F.lag("sha").over(Window.partitionBy("conv_id").orderBy("turn")))
-    known = r.select("conv_id", F.col("sha").alias("parent"), F.lit(1).alias("known")).distinct()
-    done = linked.join(known, ["conv_id", "parent"], "left")
-    return done.groupBy("conv_id").agg(F.count("*").alias("receipts"), count_if(F.col("parent").isNull(), "roots"), count_if(F.col("parent").isNotNull() & F.col("known").isNull(), "broken"))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    linked = r.withColumns({"before": F.lag("turn").over(w), "last": F.lag("sha").over(w)})
+    parent = F.when(F.col("before") == F.col("turn") - 1, F.col("last"))
+    seal = F.sha2(F.concat(F.coalesce(parent, F.lit("")), "sha").cast("binary"), 256)
+    return linked.groupBy("conv_id").agg(F.count("*").alias("receipts"), count_if(F.col("before").isNull(), "roots"), count_if(F.col("before").isNotNull() & parent.isNull(), "broken"), F.max(seal).alias("seal"))
 
 
 @query("document_differences", "SELECT count(*) AS n, count(*) FILTER (event_id % 10 = 0) AS differing, count(*) FILTER (event_id % 10 = 0 AND props IS NOT NULL) AS changed FROM events")
@@ -201,12 +209,14 @@ def source_cost_totals(spark, sf_dir):
     return own.join(whole, "query_id").groupBy(F.col("build").alias("target")).agg(F.round(F.avg(F.col("all") - F.col("c")), 6).alias("mean_source_ndc"))
 
 
-@query("next_rung", f"WITH g AS (SELECT unnest({list(GRID)}) AS rung) SELECT rung, coalesce(lead(rung) OVER (ORDER BY rung), rung) AS next_rung, CAST(row_number() OVER (ORDER BY rung) - 1 AS INT) AS action_idx, rung = max(rung) OVER () AS endpoint FROM g")
+@query("next_rung", f"WITH {_CUBE}, a AS (SELECT build, action_idx, round(avg(ndc), 6) AS mean_ndc FROM cube GROUP BY ALL) SELECT a.build, a.action_idx, coalesce(b.action_idx, a.action_idx) AS next_idx, a.mean_ndc, round(coalesce(b.mean_ndc - a.mean_ndc, 0), 6) AS step_ndc, b.action_idx IS NULL AS endpoint FROM a LEFT JOIN a b ON b.build = a.build AND b.action_idx = a.action_idx + 1")
 def next_rung(spark, sf_dir):
-    """The budget grid with each rung's successor, the last one's being itself."""
-    g = spark.createDataFrame([(x,) for x in GRID], "rung int")
-    w = Window.orderBy("rung")  # the design's few rungs
-    return g.select("rung", F.coalesce(F.lead("rung").over(w), "rung").alias("next_rung"), (F.row_number().over(w) - 1).alias("action_idx"), (F.col("rung") == max(GRID)).alias("endpoint"))
+    """Each rung of the cube with its successor, the last one's being itself, and what the step costs."""
+    a = cube_of(spark, sf_dir).groupBy("build", "action_idx").agg(F.round(F.avg("ndc"), 6).alias("mean_ndc"))
+    w = Window.partitionBy("build").orderBy("action_idx")  # a build's few rungs
+    led = a.withColumns({"_i": F.lead("action_idx").over(w), "_n": F.lead("mean_ndc").over(w)})
+    step = F.round(F.coalesce(F.col("_n") - F.col("mean_ndc"), F.lit(0.0)), 6)
+    return led.select("build", "action_idx", F.coalesce("_i", "action_idx").alias("next_idx"), "mean_ndc", step.alias("step_ndc"), F.col("_i").isNull().alias("endpoint"))
 
 
 # --- roles and members -------------------------------------------------------------------------------------

@@ -129,7 +129,7 @@ def _components(spark, sf_dir, build=None) -> DataFrame:
     return stored(spark, sf_dir, "embeddings", "ledger-components", build)
 
 
-@query("component_decomposition", f"WITH {_MODEL} SELECT component, CAST(ns AS BIGINT) AS ns, round(ns / (SELECT f FROM fixed), 6) AS share, true AS adds_up FROM cp UNION ALL SELECT 'total', f, 1.0, true FROM fixed")
+@query("component_decomposition", f"WITH {_MODEL} SELECT component, CAST(ns AS BIGINT) AS ns, round(ns / (SELECT f FROM fixed), 6) AS share, (SELECT sum(ns) FROM cp) = (SELECT fixed_ns FROM lg WHERE method = 'POLICY') AS adds_up FROM cp UNION ALL SELECT 'total', sum(ns), 1.0, sum(ns) = (SELECT fixed_ns FROM lg WHERE method = 'POLICY') FROM cp")
 def component_decomposition(spark, sf_dir):
     """The fixed costs' parts and their total, which the ledger's fixed costs must equal."""
     parts, methods = _model(spark, sf_dir)
