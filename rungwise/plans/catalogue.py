@@ -577,4 +577,4 @@ def centred_vectors(spark, sf_dir):
     return moved.select("vec_id", F.round("norm", 6).alias("norm"), F.posexplode("e").alias("dim", "v")).withColumn("v", F.round("v", 6))
 
 
-from rungwise.plans import decisions, files, graphs, indexes, integrity, ledgers, partitions, quantisers, resampling  # noqa: E402, F401  they register their queries
+from rungwise.plans import decisions, files, graphs, hashing, indexes, integrity, ledgers, partitions, quantisers, resampling  # noqa: E402, F401  they register their queries
