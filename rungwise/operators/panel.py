@@ -6,6 +6,7 @@ for an abstention).  A cube row is (build, action_idx, query_id, hits, ndc).
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +98,28 @@ def arms(cube: DataFrame, alpha: float, epsilon: float, oracle: bool = True) ->
     return done.select("arm", "deployable", "source", "target", "source_action", "proposed", F.when(free, F.col("proposed")).otherwise(F.col("executed")).alias("executed"), F.when(free, "DIAGNOSTIC_NO_CERTIFICATE").otherwise(F.col("decision")).alias("decision"))
 
 
+def with_bounds(decisions: DataFrame, cube: DataFrame, alpha: float) -> DataFrame:
+    """``decisions`` (arm, deployable, target, proposed ...) with the upper bounds that they rest on.
+
+    candidate_ucb and endpoint_ucb are Clopper-Pearson bounds at half of alpha over the target's
+    certification rows, of the size that the arm pays for; arms without a certificate have NULL.
+    """
+    rows = counts(cube).filter("role = 'certification'").select("size", F.col("build").alias("target"), "action_idx", "f", "n")
+
+    @F.pandas_udf("double")
+    def bound(f: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([policy.upper_bound(int(a), int(b), alpha / 2) for a, b in zip(f, n)], dtype="float64")
+
+    # Counts repeat over actions and builds: each pair of them is bounded once.
+    bounded = rows.join(rows.select("f", "n").distinct().withColumn("ucb", bound("f", "n")), ["f", "n"]).select("size", "target", "action_idx", "ucb")
+    sized = decisions.withColumn("size", F.when(F.col("arm") == "B3_TARGET_GLOBAL_HALF", "half").otherwise("full"))
+    own = bounded.select("size", "target", F.col("action_idx").alias("proposed"), F.col("ucb").alias("candidate_ucb"))
+    end = bounded.filter(F.col("action_idx") == END).select("size", "target", F.col("ucb").alias("endpoint_ucb"))
+    joined = sized.join(own, ["size", "target", "proposed"], "left").join(end, ["size", "target"], "left")
+    held = {c: F.when(F.col("deployable"), F.col(c)) for c in ("candidate_ucb", "endpoint_ucb")}
+    return joined.withColumns(held).select(*decisions.columns, "candidate_ucb", "endpoint_ucb")
+
+
 def evaluated(decisions: DataFrame, cube: DataFrame, columns: tuple[str, ...] = ("hits", "ndc")) -> DataFrame:
     """Decisions that execute an action, with the evaluation rows of that action and of the endpoint."""
     rows = cube.filter(policy.role() == "evaluation")

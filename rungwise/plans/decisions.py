@@ -71,6 +71,21 @@ def nine_arm_decisions(spark, sf_dir):
     return _arms(spark, sf_dir)
 
 
+# A bound by sixty halvings of the interval, with the binomial sum by logarithms of factorials.
+_UCB = """CASE WHEN f >= n THEN 1.0 ELSE list_reduce(list_transform(range(60), lambda i: [0.0::DOUBLE, 1.0::DOUBLE]), lambda s, i: CASE WHEN
+  list_sum(list_transform(range(0, f + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln((s[1] + s[2]) / 2) + (n - j) * ln(1 - (s[1] + s[2]) / 2)))) > {alpha}
+  THEN [(s[1] + s[2]) / 2, s[2]] ELSE [s[1], (s[1] + s[2]) / 2] END)[2] END"""
+
+
+@query("nine_arm_bounds", f"""WITH {_arms_sql(True)}, ub AS MATERIALIZED (SELECT size, build AS target, action_idx, {_UCB.format(alpha=ALPHA / 2)} AS ucb FROM jd WHERE role = 'certification')
+SELECT arm, source, a.target, proposed, decision, CASE WHEN deployable THEN round(c.ucb, 8) END AS candidate_ucb, CASE WHEN deployable THEN round(e.ucb, 8) END AS endpoint_ucb
+FROM arm a JOIN ub c ON c.target = a.target AND c.action_idx = proposed AND c.size = CASE arm WHEN 'B3_TARGET_GLOBAL_HALF' THEN 'half' ELSE 'full' END JOIN ub e ON e.target = a.target AND e.size = c.size AND e.action_idx = {END}""")
+def nine_arm_bounds(spark, sf_dir):
+    """The upper bounds of risk behind every certified arm's decision."""
+    rows = panel.with_bounds(_arms(spark, sf_dir), cube_of(spark, sf_dir), ALPHA)
+    return rows.select("arm", "source", "target", "proposed", "decision", F.round("candidate_ucb", 8).alias("candidate_ucb"), F.round("endpoint_ucb", 8).alias("endpoint_ucb"))
+
+
 @query("locked_arm_decisions", f"WITH {_arms_sql(False)} SELECT * FROM arm")
 def locked_arm_decisions(spark, sf_dir):
     """Eight arms, decided before any evaluation row is read."""
