@@ -176,7 +176,9 @@ def _phone(p: Permuter, m: re.Match) -> str | None:
         return None
     inside = lambda d: d[0] not in "01" and (len(d) != 10 or d[3] not in "01")
     step = lambda d: p.string(d, [DIGITS] * len(d), "phone")
-    return head + _fill(text[len(head) :], p.walk(digits, step, inside) if inside(digits) else step(digits))
+    # Numbers of the plan and all others stay among themselves, or two could meet in one pseudonym.
+    was = inside(digits)
+    return head + _fill(text[len(head) :], p.walk(digits, step, lambda d: inside(d) == was))
 
 
 def _moved(p: Permuter, day: int) -> datetime.date:

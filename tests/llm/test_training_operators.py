@@ -134,21 +134,6 @@ def test_a_long_text_of_values_takes_linear_time():
     assert len(pii.pseudonymised(p, text)[1]) == 30_000 and time.time() - began < 20
 
 
-def test_pseudonyms_against_brute_force(spark):
-    folder, key = SMALL, pii.DEMONSTRATION_KEY
-    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(folder + "/documents.parquet").collect()}
-    p = pii.Permuter(key)
-    for r in pii.op2_feistel_pii(spark, folder).collect():
-        old, new, at = texts[r["doc_id"]], r["text"], 0
-        found = pii.pseudonymised(p, old)[1]
-        parts = []
-        for a, b, _, to in found:
-            parts += [old[at:a], to]
-            at = b
-        assert new == "".join([*parts, old[at:]]) and r["n_values"] == len(found) and r["kinds"] == ",".join(k for _, _, k, _ in found)
-        assert all(to != old[a:b] and len(to) >= 8 or k in ("date", "ip", "email") for a, b, k, to in found)
-
-
 def test_addresses_of_all_octets_and_ibans_before_words():
     p = pii.Permuter("k")
     for text in ("233.254.104.120", "240.40.1.146", "0.0.0.0"):
