@@ -13,7 +13,9 @@ its features; :func:`held_out_scores` scores labelled rows that neither the fit
 
 Defined results: a null URL or one without ``://`` has an empty host and path, fits no rule and is
 judged by the trees like any other; if the labelled URLs are none or of one kind only, that kind is
-the verdict (allow if there are none); equal rows get equal rows; other columns are not read.
+the verdict (allow if there are none); equal rows get equal rows; other columns are not read.  Rules are a
+list, of which up to MAX_RULES are written into the plan, or a table of any size; a rule without a slash in a
+table fits nothing.
 """
 
 from __future__ import annotations
@@ -35,8 +37,10 @@ BROADCAST_VALUES = 100_000
 PRIOR_ROWS = 10.0
 FOLDS = 5
 TREES, DEPTH = 10, 4
-#: Rules that are written into the plan; more would make it unwieldy.
+#: Rules that are written into the plan; more, or a table of them, are joined.
 MAX_RULES = 500
+#: Rules of a table up to which they are broadcast (counted).
+BROADCAST_RULES = 100_000
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
@@ -53,17 +57,38 @@ def path_of(url: Column) -> Column:
 
 
 def matched(host: Column, path: Column, rules) -> tuple[Column, Column]:
-    """(rule, verdict) of the longest rule that fits: its host or a subdomain, its path a prefix."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
+    """(rule, verdict) of the longest rule that fits: its host or a subdomain, its path a prefix; of equally long ones the greater."""
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for kind, rule in sorted(rules, key=lambda r: len(r[1])):
+    for kind, rule in sorted(rules, key=lambda r: (len(r[1]), r[1])):
         at = rule.index("/")
         fits = ((host == rule[:at]) | host.endswith("." + rule[:at])) & path.startswith(rule[at:])
         name, verdict = F.when(fits, F.lit(rule)).otherwise(name), F.when(fits, F.lit(kind)).otherwise(verdict)
     return name, verdict
 
 
+def joined_rules(parsed: DataFrame, rules: DataFrame) -> DataFrame:
+    """``parsed`` (page_id, url, host, path) with rule and ruled, by the same choice from a table (kind, rule) of any size.
+
+    A host meets the rules of its suffixes; of a suffix's rules only the lengths of paths travel, and the
+    path's beginnings of those lengths are joined with the rules. Each rule is one row of its key, so that
+    a frequent host repeats rows of pages only, which Spark splits where rules are too many to broadcast.
+    """
+    at = F.instr("rule", "/")
+    split = rules.filter(at > 0).select("kind", "rule", F.substring("rule", F.lit(1), at - 1).alias("suffix"), F.substr("rule", at).alias("start"))
+    split = materialise(split.groupBy("suffix", "start").agg(F.max("rule").alias("rule"), F.max("kind").alias("kind")).withColumn("size", F.length("start")), "url-rules")
+    small = split.count() <= BROADCAST_RULES
+    held = F.broadcast if small else (lambda df: df)
+    sizes = split.groupBy("suffix").agg(F.collect_set("size").alias("sizes"))
+    numbered = parsed.withColumn("row", F.monotonically_increasing_id())
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    asked = numbered.filter("host <> ''").select("row", "path", F.explode(suffixes).alias("suffix")).join(held(sizes), "suffix")
+    starts = asked.select("row", "path", "suffix", F.explode("sizes").alias("size")).filter(F.col("size") <= F.length("path"))
+    fits = starts.withColumn("start", F.substring("path", F.lit(1), F.col("size"))).drop("size").join(held(split), ["suffix", "start"])
+    best = fits.groupBy("row").agg(F.max(F.struct(F.length("rule").alias("n"), "rule", "kind")).alias("best"))
+    return numbered.join(best, "row", "left").select(*parsed.columns, F.col("best.rule").alias("rule"), F.col("best.kind").alias("ruled"))
+
+
 def _entropy(text: Column) -> Column:
     """Bits a character."""
     n = F.length(text)
@@ -141,8 +166,13 @@ def _gather() -> VectorAssembler:
 def _ruled(pages: DataFrame, rules) -> tuple[DataFrame, dict[str, int]]:
     """Parsed pages with rule and ruled (its verdict), and how many rows each verdict has."""
     parsed = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rule, verdict = matched(F.col("host"), F.col("path"), rules)
-    ruled = parsed.withColumn("rule", rule).withColumn("ruled", verdict)
+    if not isinstance(rules, DataFrame) and len(rules) > MAX_RULES:
+        rules = pages.sparkSession.createDataFrame(list(rules), "kind string, rule string")
+    if isinstance(rules, DataFrame):
+        ruled = materialise(joined_rules(parsed, rules), "url-ruled")
+    else:
+        rule, verdict = matched(F.col("host"), F.col("path"), rules)
+        ruled = parsed.withColumn("rule", rule).withColumn("ruled", verdict)
     return ruled, {r["ruled"]: r["n"] for r in ruled.filter(F.col("ruled").isNotNull()).groupBy("ruled").agg(F.count("*").alias("n")).collect()}
 
 
