@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from rungwise.operators import additive, indexes, lists
 from rungwise.operators.resample import mixed_sql
 from rungwise.operators.search import K
+from rungwise.operators.storage import new_path
 from rungwise.plans.catalogue import _VEC
 from rungwise.plans.indexes import _L2
 from rungwise.plans.registry import query, stored, vecs
+from rungwise.sources import liststore
 
 LIST_ROUNDS, PROBES, RADIUS = 6, 3, 1.2
 PARTS, CODES, CODE_ROUNDS = 8, 8, 3
@@ -172,3 +174,27 @@ def itq_codes(spark, sf_dir):
     base = vecs(spark, sf_dir)
     mean, projection, _ = additive.itq(base, BITS, TURNS)
     return additive.sign_codes(base, mean, projection)
+
+
+# --- a store of lists --------------------------------------------------------------------------------------
+
+#: Lists of over so many times their mean size are not read.
+STOP_SIZE = 3
+
+
+@query("list_store", f"""WITH RECURSIVE {_LISTED}, held AS (SELECT vec_id, list, e FROM asg JOIN vec USING (vec_id) WHERE rank = 1 AND vec_id % 7 <> 0
+  UNION ALL SELECT vec_id + 1000000, list, e FROM asg JOIN vec USING (vec_id) WHERE rank = 1 AND vec_id % 5 = 1),
+size AS (SELECT list, count(*) AS n FROM held GROUP BY list), kept AS (SELECT held.* FROM held JOIN size USING (list) WHERE n <= {STOP_SIZE} * (SELECT avg(n) FROM size)),
+sc AS (SELECT q.vec_id AS query_id, k.vec_id AS base_id, q.list, {_L2.format('k.e', 'v.e')} AS score FROM asg q JOIN vec v ON v.vec_id = q.vec_id JOIN kept k ON k.list = q.list AND k.vec_id <> q.vec_id WHERE q.rank <= {PROBES})
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, base_id) AS INT) AS rank, base_id, list, round(score, 6) AS score FROM sc QUALIFY rank <= {K}""")
+def list_store(spark, sf_dir):
+    """Lists in files, some members removed and others added, searched without overlong lists."""
+    base, centres = _fitted(spark, sf_dir)
+    members = lists.with_lists(base, centres)
+    store = liststore.created(members, new_path(spark, "list-store"))
+    more = members.filter("vec_id % 5 = 1").withColumn("vec_id", F.col("vec_id") + 1000000)
+    store = store.changed(more, base.filter("vec_id % 7 = 0"))
+    sizes = [n for _, n in store.lists.values()]
+    asked = lists.with_lists(base, centres, PROBES)
+    found = lists.search_lists(store.without_stop_lists(int(STOP_SIZE * sum(sizes) / max(1, len(sizes)))).probed(asked), asked)
+    return found.withColumn("score", F.round("score", 6))
