@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rungwise.operators import additive, indexes, lists
+from rungwise.operators import additive, earlystop, indexes, lists
 from rungwise.operators.resample import mixed_sql
 from rungwise.operators.search import K
 from rungwise.operators.storage import new_path
@@ -198,3 +198,38 @@ def list_store(spark, sf_dir):
     asked = lists.with_lists(base, centres, PROBES)
     found = lists.search_lists(store.without_stop_lists(int(STOP_SIZE * sum(sizes) / max(1, len(sizes)))).probed(asked), asked)
     return found.withColumn("score", F.round("score", 6))
+
+
+# --- predicted stops ---------------------------------------------------------------------------------------
+
+#: Coefficients of a fitted model, and the predicted recall at which a query stops.
+MODEL, TARGET = (-0.15, 0.2, -0.25, -0.1), 0.6
+#: Queries are the vectors whose ids are divisible by this.
+ASKED = 5
+
+
+_STOPS = f"""{_LISTED}, ask AS (SELECT vec_id, list, rank, coalesce(lead(d) OVER (PARTITION BY vec_id ORDER BY rank), d) AS ahead FROM asg WHERE vec_id % {ASKED} = 0),
+top AS (SELECT * FROM ask WHERE rank <= {earlystop.ROUNDS}), size AS (SELECT list, count(*) AS n FROM asg WHERE rank = 1 GROUP BY list),
+got AS (SELECT t.vec_id AS query_id, b.vec_id AS base_id, t.rank AS came, {_L2.format('q.e', 'v.e')} AS score FROM top t JOIN asg b ON b.list = t.list AND b.rank = 1 AND b.vec_id <> t.vec_id JOIN vec q ON q.vec_id = t.vec_id JOIN vec v ON v.vec_id = b.vec_id),
+so AS (SELECT r.vec_id AS query_id, r.rank AS round, r.ahead, g.base_id, g.score, g.came, row_number() OVER (PARTITION BY r.vec_id, r.rank ORDER BY g.score, g.base_id) AS place FROM top r LEFT JOIN got g ON g.query_id = r.vec_id AND g.came <= r.rank QUALIFY place <= {K}),
+feat AS (SELECT query_id, round, count(*) FILTER (came = round) / {K} AS fresh, CASE WHEN count(base_id) = {K} AND any_value(ahead) > 0 THEN max(score) / any_value(ahead) ELSE 0 END AS reach FROM so GROUP BY ALL),
+seen AS (SELECT vec_id AS query_id, rank AS round, CAST(sum(coalesce(n, 0)) OVER (PARTITION BY vec_id ORDER BY rank) AS BIGINT) AS read FROM top LEFT JOIN size USING (list)),
+guess AS (SELECT query_id, round, read, {MODEL[0]} + {MODEL[1]} * ln(1 + read) + {MODEL[2]} * fresh + {MODEL[3]} * reach AS predicted FROM feat JOIN seen USING (query_id, round)),
+stop AS MATERIALIZED (SELECT * FROM guess QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN predicted >= {TARGET} THEN round ELSE 1000 - round END) = 1)"""
+
+
+def _stopped(spark, sf_dir):
+    base, centres = _fitted(spark, sf_dir)
+    return earlystop.search_until(lists.with_lists(base, centres), base.filter(F.col("vec_id") % ASKED == 0), centres, list(MODEL), TARGET)
+
+
+@query("predicted_stops", f"WITH RECURSIVE {_STOPS} SELECT query_id, CAST(round AS INT) AS rounds, read, round(predicted, 8) AS predicted FROM stop")
+def predicted_stops(spark, sf_dir):
+    """After how many lists each query was predicted to know enough."""
+    return _stopped(spark, sf_dir)[1].withColumn("predicted", F.round("predicted", 8))
+
+
+@query("predicted_search", f"WITH RECURSIVE {_STOPS} SELECT query_id, CAST(place AS INT) AS rank, base_id, round(score, 6) AS score FROM so JOIN stop USING (query_id, round) WHERE base_id IS NOT NULL")
+def predicted_search(spark, sf_dir):
+    """What the queries knew when they stopped."""
+    return _stopped(spark, sf_dir)[0].withColumn("score", F.round("score", 6))
