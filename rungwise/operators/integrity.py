@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rungwise.operators import policy
+
 
 def json_differs(a, b, tolerance: float = 1e-12) -> bool:
     """Whether two parsed documents differ: keys, lengths, types and whole numbers exactly, other numbers within a tolerance."""
@@ -67,3 +69,22 @@ def same_columns(df: DataFrame, expected: dict[str, str]) -> list[str]:
     out = [f"{c}: {have.get(c)} for {t}" for c, t in expected.items() if have.get(c) != t]
     out += [f"{c}: not expected" for c in have if c not in expected]
     return out + (["order"] if not out and list(have) != list(expected) else [])
+
+
+def loaded_role(cube: DataFrame, role: str, builds: list[int], actions: list[int]) -> DataFrame:
+    """query_id, build, hits, ndc (arrays by action) and label of one role's queries, its axes checked.
+
+    An error unless the role's rows have exactly the given builds and actions and every (build, action,
+    query) cell once. The label is the first action from which on all are safe, or their number.
+    """
+    rows = cube.filter(policy.role() == role).select("build", "action_idx", "query_id", "hits", "ndc")
+    axes = rows.agg(F.sort_array(F.collect_set("build")).alias("b"), F.sort_array(F.collect_set("action_idx")).alias("a")).first()
+    if list(axes["b"]) != sorted(builds) or list(axes["a"]) != sorted(actions):
+        raise ValueError(f"builds {axes['b']} and actions {axes['a']} where {builds} and {actions} are declared")
+    lists = rows.groupBy("query_id", "build").agg(F.array_sort(F.collect_list(F.struct("action_idx", "hits", "ndc"))).alias("x"))
+    wrong = lists.filter(F.transform("x", lambda r: r["action_idx"].cast("int")) != F.array(*[F.lit(a) for a in sorted(actions)]))
+    uneven = lists.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") != len(builds))
+    if not wrong.isEmpty() or not uneven.isEmpty():
+        raise ValueError("a cell is missing or occurs twice")
+    made = lists.join(policy.labels(rows).select("query_id", "build", "label"), ["query_id", "build"])
+    return made.select("query_id", "build", F.col("x.hits").alias("hits"), F.col("x.ndc").alias("ndc"), "label")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rungwise.operators.resample import mixed
+from rungwise.operators.storage import in_order
 
 
 def shuffled(ids: DataFrame, seed: int) -> DataFrame:
@@ -53,4 +54,5 @@ def repaired(parts: DataFrame, disallowed: DataFrame) -> DataFrame:
 
 def insertion_order(vectors: DataFrame, members: DataFrame, norm: Column) -> DataFrame:
     """vec_id, place: all vectors by norm and id, restricted to members in that order."""
-    return vectors.select("vec_id", norm.alias("norm")).join(members.select("vec_id"), "vec_id", "left_semi").withColumn("place", F.row_number().over(Window.orderBy("norm", "vec_id")) - 1).select("vec_id", "place")
+    kept = vectors.select("vec_id", norm.alias("norm")).join(members.select("vec_id"), "vec_id", "left_semi")
+    return in_order(kept, "norm", "vec_id").select("vec_id", "place")

@@ -256,6 +256,14 @@ def balanced_repair(spark, sf_dir):
     return membership.repaired(parts, table(spark, sf_dir, "embeddings").filter("vec_id % 11 = 0").select("vec_id"))
 
 
+@query("load_role", f"WITH {_LABELS} SELECT c.query_id, c.build, string_agg(hits, ',' ORDER BY action_idx) AS hits, CAST(sum(ndc) AS BIGINT) AS total_ndc, CAST(any_value(label) AS INT) AS label FROM cube c JOIN lab USING (build, query_id) WHERE c.query_id % 5 = 2 GROUP BY c.query_id, c.build")
+def load_role(spark, sf_dir):
+    """One role's queries with their answers by action and their labels, the axes checked."""
+    rows = integrity.loaded_role(cube_of(spark, sf_dir), "certification", [*search.BUILDS], list(range(N)))
+    hits = F.array_join(F.transform("hits", lambda h: h.cast("string")), ",")
+    return rows.select("query_id", "build", hits.alias("hits"), F.aggregate("ndc", F.lit(0).cast("long"), lambda s, x: s + x).alias("total_ndc"), F.col("label").cast("int").alias("label"))
+
+
 @query("insertion_order", f"WITH {_VEC}, {_PARTS}, m AS (SELECT vec_id FROM pa WHERE part <> 'new_only') SELECT vec_id, row_number() OVER (ORDER BY list_sum(list_transform(e, lambda x: x * x)), vec_id) - 1 AS place FROM vec WHERE vec_id IN (SELECT vec_id FROM m)")
 def insertion_order(spark, sf_dir):
     """The old state's members by norm and id."""
