@@ -270,18 +270,29 @@ def updated(base: DataFrame, more: DataFrame) -> DataFrame:
 # --- an index by name --------------------------------------------------------------------------------------
 
 
+#: Centres of a slice and turns with which an OPQ transform is fitted.
+OPQ_CODES, OPQ_TURNS = 16, 6
+
+
 def build(spec: str, base: DataFrame):
     """A search (queries, k) -> neighbours for a description: an optional transform, an index, an optional re-ranking.
 
     ``PCA16,IVF8,Flat``, ``HR,PQ8x16``, ``SQ8``, ``LSH``, ``Flat``, ``PQ8x16,RFlat``: transforms PCAn (axes),
-    HR (rotation) and L2norm; indexes Flat, IVFn,Flat (a quarter of the lists is probed), PQmxk, SQ4, SQ6, SQ8
-    and LSH; RFlat ranks four times as many again by full distances.
+    HR (rotation), OPQm (a rotation fitted to m slices) and L2norm; indexes Flat, IVFn,Flat (a quarter of the
+    lists is probed), PQmxk, IVFn,PQmxk (codes of residuals; IVFn,PQmxkR with codes that refine them), SQ4, SQ6,
+    SQ8 and LSH; RFlat ranks four times as many again by full distances.
     """
+    from rungwise.operators import additive, lists  # they are built on this module
+
     parts = [p for p in spec.split(",") if p != "IDMap"]
     transform = lambda rows: rows
     if parts[0].startswith("PCA"):
         mean, axes, _ = principal(base, int(parts.pop(0)[3:]))
         transform = lambda rows: projected(rows, mean, axes)
+    elif m := re.fullmatch(r"OPQ(\d+)", parts[0]):
+        parts.pop(0)
+        rotation = additive.opq(base, int(m[1]), OPQ_CODES, OPQ_TURNS)[0]
+        transform = lambda rows: additive.turned(rows, rotation)
     elif parts[0] == "HR":
         parts.pop(0)
         transform = hadamard_rotated
@@ -295,7 +306,17 @@ def build(spec: str, base: DataFrame):
     elif m := re.fullmatch(r"IVF(\d+),Flat", name):
         n = int(m[1])
         centres = kmeans(inner, picks(inner, n))[0]
-        find = lambda q, k: ivf_search(inner, q, centres, max(1, n // 4), k)
+        members = lists.with_lists(inner, centres)
+        find = lambda q, k: lists.search_lists(members, lists.with_lists(q, centres, max(1, n // 4)), k)
+    elif m := re.fullmatch(r"IVF(\d+),PQ(\d+)x(\d+)(R?)", name):
+        n, slices, size = int(m[1]), int(m[2]), int(m[3])
+        centres = kmeans(inner, picks(inner, n))[0]
+        rest = lists.less_centre(lists.with_lists(inner, centres), centres)
+        books = kmeans(rest, picks(rest, size), slices)
+        finer = lists.less_codes(rest, books)
+        refining = kmeans(finer, picks(finer, size), slices) if m[4] else np.zeros_like(books[:, :1])
+        codes = lists.coded(rest, books, refining)
+        find = lambda q, k: lists.search_codes(codes, lists.with_lists(q, centres, max(1, n // 4)), centres, books, refining, k, lists.FACTOR if m[4] else 1)
     elif m := re.fullmatch(r"PQ(\d+)x(\d+)", name):
         books = kmeans(inner, picks(inner, int(m[2])), int(m[1]))
         codes = product_codes(inner, books)

@@ -26,7 +26,8 @@ SMALL_ROWS = 200_000
 
 
 def vectors(embeddings: DataFrame) -> DataFrame:
-    return embeddings.select("vec_id", D.as_double(F.col("embedding")).alias("e"))
+    """vec_id, e; rows without a vector are nobody's neighbours. Vectors of unequal length are errors where they meet."""
+    return embeddings.filter(F.col("embedding").isNotNull()).select("vec_id", D.as_double(F.col("embedding")).alias("e"))
 
 
 def top_k(scored: DataFrame, k: int, larger: bool = False, by: str = "query_id") -> DataFrame:

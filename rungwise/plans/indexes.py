@@ -206,7 +206,7 @@ def lp_distances(spark, sf_dir):
     return base.join(other, "vec_id").select("vec_id", *[F.round(D.lp(x)(F.col("e"), F.col("b")), 5).alias(f"p{i}") for i, x in enumerate((0.5, 1, 2, 3, 4.5))])
 
 
-SPECS = ("Flat", "IVF8,Flat", "PQ8x16", "PQ8x16,RFlat", "SQ8", "SQ4", "LSH", "PCA32,Flat", "HR,Flat", "L2norm,Flat", "IDMap,Flat")
+SPECS = ("Flat", "IVF8,Flat", "PQ8x16", "PQ8x16,RFlat", "SQ8", "SQ4", "LSH", "PCA32,Flat", "HR,Flat", "L2norm,Flat", "IDMap,Flat", "IVF8,PQ8x16", "IVF8,PQ8x16R", "IVF8,PQ8x16,RFlat", "OPQ8,PQ8x16")
 
 
 @query("index_strings")

@@ -221,8 +221,9 @@ def test_index_strings(spark):
     rng = np.random.default_rng(8)
     base = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(rng.normal(size=(300, 16)))], "vec_id long, e array<double>")
     truth = {(r["query_id"], r["base_id"]) for r in search.exact_knn(base, base).collect()}
-    recall = {s: len(truth & {(r["query_id"], r["base_id"]) for r in indexes.build(s, base)(base).collect()}) / len(truth) for s in ("Flat", "HR,Flat", "PCA16,Flat", "SQ8", "IVF4,Flat", "PQ4x16", "PQ4x16,RFlat", "LSH")}
+    recall = {s: len(truth & {(r["query_id"], r["base_id"]) for r in indexes.build(s, base)(base).collect()}) / len(truth) for s in ("Flat", "HR,Flat", "PCA16,Flat", "SQ8", "IVF4,Flat", "PQ4x16", "PQ4x16,RFlat", "LSH", "IVF4,PQ4x16", "IVF4,PQ4x16R", "IVF4,PQ4x16,RFlat", "OPQ4,PQ4x16")}
     assert recall["Flat"] == recall["HR,Flat"] == recall["PCA16,Flat"] == 1.0 and recall["SQ8"] > 0.95
     assert recall["PQ4x16,RFlat"] > recall["PQ4x16"] > 0.1 and recall["IVF4,Flat"] > 0.3 and recall["LSH"] > 0.1
+    assert recall["IVF4,PQ4x16R"] > recall["IVF4,PQ4x16"] > 0.1 and recall["IVF4,PQ4x16,RFlat"] > recall["IVF4,PQ4x16"] and recall["OPQ4,PQ4x16"] > 0.1
     with pytest.raises(ValueError):
         indexes.build("IVF4", base)
