@@ -42,3 +42,16 @@ def test_fewer_codes_than_wanted(spark, monkeypatch):
     none = codes.limit(0)
     assert bits.search_codes(none, none, 5)[0].count() == 0
     assert spark.range(1).select(bits.flips(4, 2)).first()[0] == [3, 5, 6, 9, 10, 12]
+
+
+def test_queries_meet_buckets_by_half(spark, monkeypatch):
+    """Rows of queries that are sent to buckets: by upper halves of a substring, not by every mask of its flips."""
+    rng = np.random.default_rng(2)
+    codes = bits.codes_of(frame(spark, rng.random((40, 32)) < 0.5))
+    sent = []
+    whole = bits._prefixes
+    monkeypatch.setattr(bits, "_prefixes", lambda each, masks, prefix: sent.append((prefix, each.select(masks.alias("m")).first()["m"])) or whole(each, masks, prefix))
+    found, went = bits.search_codes(codes, codes.filter("vec_id < 3"), 5)
+    assert found.count() == 15
+    assert max(r["radius"] for r in went.collect()) + 2 == len(sent)
+    assert [len(m) for p, m in sent if p == "q_"][:4] == [1, 9, 37, 93]
