@@ -22,7 +22,7 @@ def _register_vectors(form: str) -> None:
     @query(f"vectors_{form}", f"SELECT {names}len(embedding) AS dims, round(list_sum(list_transform(embedding, lambda x: {cell})), 5) AS total FROM embeddings")
     def run(spark, sf_dir):
         """Vectors written in a binary form and read back, exact to the bit."""
-        e = F.transform("embedding", lambda x: (x * 1000).cast("int").cast("double")) if form == "ivecs" else F.col("embedding").cast("array<double>")
+        e = F.transform("embedding", lambda x: (x * F.lit(1000).cast("float")).cast("int").cast("double")) if form == "ivecs" else F.col("embedding").cast("array<double>")
         path = new_path(spark, form)
         files.sink_vectors(table(spark, sf_dir, "embeddings").select("vec_id", e.alias("e")), path, form)
         rows = files.scan_vectors(spark, path, form)

@@ -144,3 +144,20 @@ def test_stream_writes_closed_windows(spark, tmp_path):
     late.write.mode("append").parquet(folder)
     assert monitor.watch(spark, folder, events.schema, out, str(tmp_path / "state")).awaitTermination(120)
     assert text(spark.read.parquet(out)) == text(closed)
+
+
+def test_ivecs_products_stay_in_single_precision(spark, duck, tmp_path):
+    """A product that single precision rounds up to a whole number, and double precision leaves below it."""
+    import __spark_entry__ as entry
+
+    rows = [(0, [0.013, 0.25, -0.029], 1), (1, [0.057, 0.001, 0.9999], 2)]
+    whole = [i / 1000 for i in range(1, 1000)]
+    rows += [(2 + i, whole[i : i + 3], 1) for i in range(0, 996, 3)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "parts"))
+    (part,) = (tmp_path / "parts").glob("*.parquet")
+    import duckdb
+
+    want = duckdb.sql(entry.oracle_sql()["vectors_ivecs"].replace("FROM embeddings", f"FROM '{part}'")).fetchall()
+    part.rename(tmp_path / "embeddings.parquet")
+    got = entry.queries()["vectors_ivecs"](spark, str(tmp_path)).collect()
+    assert sorted((r["dims"], r["total"]) for r in got) == sorted(want)
