@@ -227,3 +227,24 @@ def test_index_strings(spark):
     assert recall["IVF4,PQ4x16R"] > recall["IVF4,PQ4x16"] > 0.1 and recall["IVF4,PQ4x16,RFlat"] > recall["IVF4,PQ4x16"] and recall["OPQ4,PQ4x16"] > 0.1
     with pytest.raises(ValueError):
         indexes.build("IVF4", base)
+
+
+def test_lists_are_ordered_in_batches(spark):
+    """Every vector's lists against brute force, ties to the smaller id, without a row a vector and centre to sort."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 3, (90, 3)).astype(float)
+    base = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, e array<double>")
+    centres = search.centroids(base)
+    order = search.probe_order(base, centres)
+    assert "Window" not in order._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in order.collect():
+        got.setdefault((r["build"], r["vec_id"]), {})[r["rank"]] = r["list"]
+    held = {}
+    for r in centres.collect():
+        held.setdefault(r["build"], []).append(r["list"])
+    assert len(got) == 4 * len(x)
+    for (build, v), lists in got.items():
+        want = sorted(held[build], key=lambda c: (((x[v] - x[c]) ** 2).sum(), c))
+        assert [lists[i + 1] for i in range(len(want))] == want
+    assert search.probe_order(base.limit(0), centres.limit(0)).count() == 0
