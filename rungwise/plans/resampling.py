@@ -17,7 +17,10 @@ from rungwise.plans.registry import cube_of, query, stored
 NESTED = 1000
 
 
-def _drawn(spark, sf_dir, axis: DataFrame, unit: str, salt: int) -> DataFrame:
+def _drawn(spark, sf_dir, axis: DataFrame, unit: str, salt: int) -> DataFrame | resample.Draw:
+    """Weights of targets, which are few, as a table; of queries in blocks."""
+    if unit == "query_id":
+        return resample.draw(axis, unit, salt, keep=lambda name, build: stored(spark, sf_dir, "embeddings", f"weights-{name}-{salt}", build))
     return stored(spark, sf_dir, "embeddings", f"weights-{unit}-{salt}", lambda: resample.weights(axis, unit, salt))
 
 

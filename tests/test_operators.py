@@ -248,3 +248,16 @@ def test_lists_are_ordered_in_batches(spark):
         want = sorted(held[build], key=lambda c: (((x[v] - x[c]) ** 2).sum(), c))
         assert [lists[i + 1] for i in range(len(want))] == want
     assert search.probe_order(base.limit(0), centres.limit(0)).count() == 0
+
+
+def test_weights_in_blocks_are_those_of_the_table(spark, monkeypatch):
+    """Blocks of a few units give the sums of the table of weights; a query without a row, and a replicate that draws none, have none."""
+    monkeypatch.setattr(resample, "CHUNK", 7)
+    monkeypatch.setattr(resample, "UNITS", 8)
+    axis = spark.range(0, 60, 3).withColumnRenamed("id", "query_id")
+    rows = spark.createDataFrame([("a", 9, 1.5), ("a", 30, -2.0), ("b", 57, 4.0), ("b", 9, 0.0)], "arm string, query_id long, v double")
+    table, blocks = resample.weights(axis, "query_id", 3, 40), resample.draw(axis, "query_id", 3, 40)
+    assert blocks.blocks.count() == 6 * 3 and blocks.places.count() == 20
+    want = {(r["arm"], r["rep"]): (r["v"], r["w"]) for r in rows.join(table, "query_id").groupBy("arm", "rep").agg(F.sum(F.col("v") * F.col("w")).alias("v"), F.sum("w").alias("w")).collect()}
+    got = {(r["arm"], r["rep"]): (r["v"], r["w"]) for r in resample.drawn_sums(rows, blocks, ["arm"], ["v"], 40).collect()}
+    assert got == want and 0 < len(want) < 80
