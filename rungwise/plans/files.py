@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rungwise.operators import search
 from rungwise.operators.storage import new_path
 from rungwise.plans.catalogue import _knn_sql
-from rungwise.plans.registry import query, table, vecs
+from rungwise.plans.registry import knn_of, query, table, vecs
 from rungwise.sources import files, synthetic
 
 
@@ -60,9 +60,8 @@ def table_files(spark, sf_dir):
 @query("cube_files", f"WITH {_knn_sql('l2')} SELECT CASE WHEN query_id % 2 = 0 THEN 'even' ELSE 'odd' END AS build, query_id, CAST(rank AS INT) AS rank, base_id AS neighbor_id FROM knn")
 def cube_files(spark, sf_dir):
     """Answer lists as one CSV a build, read with a declared schema and taken apart again."""
-    base = vecs(spark, sf_dir)
     ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "base_id"))), lambda x: x["base_id"].cast("string")), ";")
-    lists = search.exact_knn(base, base).groupBy("query_id").agg(ids.alias("topk"))
+    lists = knn_of(spark, sf_dir).groupBy("query_id").agg(ids.alias("topk"))
     paths = {}
     for i, build in enumerate(("even", "odd")):
         paths[build] = new_path(spark, build)

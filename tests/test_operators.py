@@ -261,3 +261,17 @@ def test_weights_in_blocks_are_those_of_the_table(spark, monkeypatch):
     want = {(r["arm"], r["rep"]): (r["v"], r["w"]) for r in rows.join(table, "query_id").groupBy("arm", "rep").agg(F.sum(F.col("v") * F.col("w")).alias("v"), F.sum("w").alias("w")).collect()}
     got = {(r["arm"], r["rep"]): (r["v"], r["w"]) for r in resample.drawn_sums(rows, blocks, ["arm"], ["v"], 40).collect()}
     assert got == want and 0 < len(want) < 80
+
+
+def test_adjacency_reads_its_edges_once(spark):
+    """The rows of edges, which may be dear, are made once although six counts follow."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (5, 6)], "src long, dst long").mapInPandas(seen, "src long, dst long")
+    row = graph.adjacency_stats(edges, spark.createDataFrame([(i,) for i in (1, 2, 3, 5, 6, 9)], "id long"), 3).first()
+    assert tuple(row) == (6, 4, 2, 2, 3) and made.value == 4
