@@ -207,6 +207,59 @@ def test_graphs_find_most_neighbours(spark):
     assert found.join(gone.withColumnRenamed("vec_id", "base_id"), "base_id", "left_semi").count() == 0
 
 
+def _walked_alone(g, q, breadth):
+    """(places, nearest first; distances counted) of one walk with heaps."""
+    import heapq
+
+    d, at, counted, _ = graphsearch._descend(g, q[None, :])
+    away = lambda j: float(((g.x[j] - q) ** 2).sum())
+    ahead, seen, n = [(float(d[0, 0]), int(at[0, 0]))], {int(at[0, 0])}, int(counted[0])
+    best = [(-v, i) for v, i in ahead if not g.hidden[i]]
+    while ahead:
+        v, i = heapq.heappop(ahead)
+        if len(best) >= breadth and v > -best[0][0]:
+            break
+        for j in g.layers[0][i]:
+            if j < 0 or j in seen:
+                continue
+            seen.add(int(j))
+            n += 1
+            if len(best) < breadth or away(j) < -best[0][0]:
+                heapq.heappush(ahead, (away(j), int(j)))
+                if not g.hidden[j]:
+                    heapq.heappush(best, (-away(j), int(j)))
+                    if len(best) > breadth:
+                        heapq.heappop(best)
+    return [i for _, i in sorted((-v, i) for v, i in best)], n
+
+
+@pytest.mark.parametrize("marks", [False, True])
+def test_one_walk_answers_every_breadth(monkeypatch, marks):
+    x = np.random.default_rng(9).normal(size=(900, 10))
+    walks, walk = [], graphsearch.walk
+    for kind in ("hnsw", "vamana"):
+        g = graphsearch.Graph.unpacked(graphsearch.BUILDERS[kind](np.arange(900) * 2, x).packed())
+        if marks:
+            g.hidden[::3] = True
+        monkeypatch.setattr(graphsearch, "walk", lambda g, links, *a, **b: (walks.append(links is g.layers[0]), walk(g, links, *a, **b))[1])
+        _, at, n, _ = graphsearch.answered(g, x[:70], [("breadth", b) for b in (8, 32, 64)])
+        monkeypatch.undo()
+        assert sum(walks) == 1, kind
+        walks.clear()
+        for p, breadth in enumerate((8, 32, 64)):
+            for i in range(70):
+                places, counted = _walked_alone(g, x[i], breadth)
+                assert at[p, i].tolist() == places[:6] and n[p, i] == counted, (kind, breadth, i)
+
+
+def test_few_and_equal_vectors_in_graphs():
+    for n in (1, 2, 3, 40):
+        for kind, build in graphsearch.BUILDERS.items():
+            g = build(np.arange(n), np.ones((n, 4)))
+            d, at, _, _ = graphsearch.answered(g, np.ones((2, 4)), [("breadth", 64), ("patience", 3)])
+            assert (d[0, 0] == 0).sum() == min(n, 6) and g.ids[at[0, 0, 0]] in range(n), (kind, n)
+
+
 def test_shards_are_merged(spark, monkeypatch):
     monkeypatch.setattr(graphsearch, "SHARD_ROWS", 100)
     rng = np.random.default_rng(7)
