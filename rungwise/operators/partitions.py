@@ -40,7 +40,8 @@ def choices(cube: DataFrame, labelled: DataFrame) -> DataFrame:
     """choices by both criteria: safe at the action, or in the safe tail."""
     own = labelled.select("build", "query_id", "label")
     both = F.array(F.struct(F.lit("actual").alias("criterion"), (F.col("hits") == K).alias("ok")), F.struct(F.lit("stable_tail").alias("criterion"), (F.col("action_idx") >= F.col("label")).alias("ok")))
-    return cube.join(own, ["build", "query_id"]).select(F.col("build").alias("target"), "query_id", "label", "action_idx", "ndc", F.explode(both).alias("b")).select("target", "query_id", "label", "action_idx", "ndc", "b.*")
+    # Merged: a cube's rows pack so well that Spark would take hundreds of thousands of labels for a small table, and broadcast them.
+    return cube.join(own.hint("merge"), ["build", "query_id"]).select(F.col("build").alias("target"), "query_id", "label", "action_idx", "ndc", F.explode(both).alias("b")).select("target", "query_id", "label", "action_idx", "ndc", "b.*")
 
 
 def objectives(keys: DataFrame, options: DataFrame, by: tuple[str, ...]) -> DataFrame:
@@ -52,7 +53,7 @@ def objectives(keys: DataFrame, options: DataFrame, by: tuple[str, ...]) -> Data
     """
     group = list(by)
     on = ["target", "query_id", *[c for c in by if c in options.columns and c in keys.columns and c != "target"]]
-    rows = keys.join(options, on)
+    rows = keys.join(options.hint("merge"), on)
     costs = rows.groupBy(*group, "key", "ord", "action_idx").agg(F.bool_and("ok").alias("ok"), F.sum("ndc").alias("cost"), F.count("*").alias("n"))
     cells = costs.groupBy(*group, "key", "ord").agg(F.min(F.when(F.col("ok"), F.col("cost"))).alias("best"), F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("action_idx", F.when(F.col("ok"), F.col("cost").cast("double")).otherwise(F.lit(float("inf"))).alias("c")))).alias("row"))
     start = F.transform(F.sequence(F.lit(0), F.lit(END)), lambda i: F.lit(0.0))

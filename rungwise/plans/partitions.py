@@ -163,16 +163,15 @@ def tie_mode_objectives(spark, sf_dir):
     """Objectives with labels and safety by id, by ties on the target's side, or by ties on both."""
     base = vecs(spark, sf_dir)
     z = base.select("vec_id", F.transform("e", lambda x: F.round(x * 2)).alias("e"))  # whole numbers: distances tie exactly
-    ties = search.knn_with_ties(z, z)
-    canonical = search.response_cube(base, search.top_k(ties, K))
-    tied = search.response_cube(base, ties).withColumn("hits", F.least("hits", F.lit(K).cast("long")))
-    cubes = [stored(spark, sf_dir, "embeddings", f"tie-cube-{i}", lambda c=c: c) for i, c in enumerate((canonical, tied))]
+    near = stored(spark, sf_dir, "embeddings", "tie-neighbours", lambda: search.exact_knn(z, z))
+    makers = (lambda: search.response_cube(base, near), lambda: search.tied_cube(base, z, near))
+    cubes = [stored(spark, sf_dir, "embeddings", f"tie-cube-{i}", make) for i, make in enumerate(makers)]
     solvable = policy.labels(cubes[0]).filter(F.col("label") < N).select(F.col("build").alias("target"), "query_id", F.lit(True).alias("solvable"))
     out = None
     for mode, s, t in (("canonical", 0, 0), ("target_ties", 0, 1), ("joint_ties", 1, 1)):
         keys = partitions.summaries(policy.labels(cubes[s])).filter("summary IN ('vector', 'max')")
         alone = keys.filter("summary = 'max'").select("target", "query_id", F.lit("identity").alias("summary"), F.col("query_id").cast("string").alias("key"), F.lit(None).cast("int").alias("ord"))
-        keys = partitions.subsets(keys.unionByName(alone).join(solvable, ["target", "query_id"], "left"), F.coalesce("solvable", F.lit(False))).drop("solvable")
+        keys = partitions.subsets(keys.unionByName(alone).join(solvable.hint("merge"), ["target", "query_id"], "left"), F.coalesce("solvable", F.lit(False))).drop("solvable")
         keys = keys.withColumn("subset", F.when(F.col("subset") == "all", "all").otherwise("original_endpoint"))
         done = partitions.objectives(keys, partitions.choices(cubes[t], policy.labels(cubes[t])), ("target", "subset", "summary", "criterion")).withColumn("mode", F.lit(mode))
         out = done if out is None else out.unionByName(done)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rungwise.functions import distance
-from rungwise.operators import graph, graphsearch, indexes, integrity, ledger, membership, policy, resample, search
+from rungwise.operators import graph, graphsearch, indexes, integrity, ledger, membership, partitions, policy, resample, search
 
 
 def test_clopper_pearson():
@@ -112,6 +112,27 @@ def test_groups_ranges_and_ties_in_blocks(spark):
     assert sorted(r["base_id"] for r in search.knn_with_ties(base, base, 1).filter("query_id = 0").collect()) == [1, 2]
 
 
+def test_ties_are_counted_by_list(spark):
+    x = np.random.default_rng(12).normal(size=(300, 5))
+    base = spark.createDataFrame([(i * 3, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, e array<double>")
+    z = base.select("vec_id", F.transform("e", lambda v: F.round(v / 2)).alias("e"))
+    ties = search.knn_with_ties(z, z)
+    assert ties.count() > 4 * search.K * 300  # all rows of which the cube of pairs was made
+    want = search.response_cube(base, ties).withColumn("hits", F.least("hits", F.lit(search.K).cast("long")))
+    got = search.tied_cube(base, z, search.exact_knn(z, z))
+    assert sorted(got.collect()) == sorted(want.collect()) and got.columns == want.columns
+
+
+def test_labels_are_not_broadcast(spark, capsys):
+    cube = spark.createDataFrame([(b, a, q, 5, 10) for b in (1, 2) for a in range(3) for q in range(4)], "build int, action_idx int, query_id long, hits long, ndc long")
+    labelled = policy.labels(cube)
+    options = partitions.choices(cube, labelled)
+    partitions.objectives(partitions.summaries(labelled).withColumn("subset", F.lit("all")), options, ("target", "subset", "summary", "criterion")).explain()
+    plan = capsys.readouterr().out
+    # The last join's sides have a row a group.
+    assert plan.count("SortMergeJoin") >= 2 and plan.count("BroadcastHashJoin") <= 1
+
+
 def test_signs_of_all_components(spark):
     a = [1.0] * 70
     rows = spark.createDataFrame([(a, a[:69] + [-1.0]), (a, [-1.0] * 70), ([], [])], "a array<double>, b array<double>")
