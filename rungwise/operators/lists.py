@@ -38,12 +38,10 @@ def packed(rows: DataFrame, by: str, values: list[str], prefix: str) -> DataFram
 def _best(q_ids, b_ids, score, keep: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of each query's best of a block: least score, then least id; never the query itself."""
     score = np.where(q_ids[:, None] == b_ids[None, :], np.inf, score)
-    order = np.argsort(b_ids, kind="stable")
-    near = order[np.argsort(score[:, order], axis=1, kind="stable")[:, :keep]]
-    row = np.repeat(np.arange(len(q_ids)), near.shape[1])
-    column = near.ravel()
-    found = np.isfinite(score[row, column])
-    return row[found], column[found]
+    last = np.partition(score, keep - 1, axis=1)[:, keep - 1 : keep] if keep < score.shape[1] else np.inf
+    row, column = np.nonzero((score <= last) & np.isfinite(score))
+    kept = search._kept(keep, row, b_ids[column], score[row, column])
+    return row[kept], column[kept]
 
 
 def _matrix(values) -> np.ndarray:
@@ -72,10 +70,8 @@ def search_lists(members: DataFrame, queries: DataFrame, k: int = search.K) -> D
     def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples(index=False):
-                q_ids, b_ids = np.asarray(r.q_vec_id), np.asarray(r.b_vec_id)
-                score = search.scores("l2", _matrix(r.q_e), _matrix(r.b_e))
-                i, j = _best(q_ids, b_ids, score, k)
-                yield pd.DataFrame({"query_id": q_ids[i], "base_id": b_ids[j], "list": np.int32(r.list), "score": score[i, j]})
+                found = search._nearest("l2", k, np.asarray(r.q_vec_id), _matrix(r.q_e), np.asarray(r.b_vec_id), _matrix(r.b_e), False)
+                yield found.assign(list=np.int32(r.list))[["query_id", "base_id", "list", "score"]]
 
     met = packed(members, "list", ["vec_id", "e"], "b_").join(packed(queries, "list", ["vec_id", "e"], "q_"), "list")
     found = met.select("list", "b_vec_id", "b_e", "q_vec_id", "q_e").mapInPandas(near, "query_id long, base_id long, list int, score double")

@@ -169,3 +169,33 @@ def test_empty_tables(spark):
     members = lists.with_lists(none, np.zeros((2, 3)))
     assert lists.search_lists(members, members).count() == 0 and lists.range_lists(members, members, 1.0).count() == 0
     assert additive.residual_codes(none, np.zeros((2, 3, 4))).count() == 0 and lists.lists_for(0) == 1
+
+
+def test_codes_are_summed_once_a_group(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    books = rng.normal(size=(4, 16, 3))
+    codes = rng.integers(0, 16, (700, 4))
+    codes[:200] = codes[0]  # ties, to the smaller id
+    ids, q = rng.permutation(700) * 7, rng.normal(size=(700, 12))
+    held = spark.createDataFrame([(int(i), [int(c) for c in z]) for i, z in zip(ids, codes)], "vec_id long, codes array<int>")
+    asked = spark.createDataFrame([(int(i), [float(v) for v in e]) for i, e in zip(ids, q)], "vec_id long, e array<double>")
+    monkeypatch.setattr(search, "BLOCK", 64)
+    found = sorted((r["query_id"], r["rank"], r["base_id"], r["score"]) for r in indexes.product_search(held, asked, books, 6).collect())
+    score = np.zeros((700, 700))
+    for p in range(4):
+        score += ((q[:, None, 3 * p : 3 * p + 3] - books[p][None]) ** 2).sum(-1)[:, codes[:, p]]
+    want = []
+    for i in range(700):
+        order = [j for j in np.lexsort((ids, score[i])) if j != i][:6]
+        want += [(int(ids[i]), r + 1, int(ids[j]), score[i, j]) for r, j in enumerate(order)]
+    assert found == sorted(want)
+
+
+def test_index_strings_take_exact_neighbours_once(spark, monkeypatch):
+    from rungwise.plans import catalogue, registry
+    from rungwise.plans import indexes as plans
+
+    monkeypatch.setattr(registry, "_stored", {})
+    monkeypatch.setattr(plans, "SPECS", ("SQ8", "SQ4"))
+    assert catalogue.QUERIES["index_strings"](spark, "/root/testdata/sf0.001").count() == 2
+    assert [key[2] for key in registry._stored] == ["knn"]
