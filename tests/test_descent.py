@@ -47,3 +47,29 @@ def test_pruning_against_all_ways(spark):
     between = lambda a, b: edges.get((a, b), edges.get((b, a), np.inf))
     want = {(i, j) for (i, j), s in edges.items() if not any(edges[i, w] < s and between(w, j) < s for (k, w) in edges if k == i and w != j)}
     assert {(r["id"], r["other"]) for r in descent.pruned(df).collect()} == want and 0 < len(want) < len(edges)
+
+
+def test_a_round_sends_only_what_lists_have_room_for(spark, monkeypatch):
+    """Few rounds after a start by pivots; a node gets a found edge only if its list has room; recall holds where pivots leave much open."""
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(600, 6)) + 3 * rng.normal(size=(30, 6))[rng.integers(0, 30, 600)]).astype(np.float32).astype(float)
+    monkeypatch.setattr(descent, "PER_PIVOT", 6)
+    monkeypatch.setattr(descent, "NEAREST", 2)
+    monkeypatch.setattr(descent, "MEMBERS", 20)
+    sent = []
+    compared = descent._compared
+    monkeypatch.setattr(descent, "_compared", lambda *a: sent.append((a[0].schema["es"].dataType.simpleString(), compared(*a))) or sent[-1][1])
+    edges, history = descent.nn_descent(frame(spark, x))
+    assert {kind for kind, _ in sent} == {"array<array<float>>"}
+    rows = [found.count() for _, (found, _) in sent[1:]]
+    # Without the bound every group gives each member up to KEPT edges, some ten times as many.
+    assert len(rows) == len(history) and rows[-1] < 600 * descent.KEPT / 4
+    got = {}
+    for r in edges.collect():
+        got.setdefault(r["id"], set()).add(r["other"])
+    d = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    assert np.mean([j in got[i] for i in range(600) for j in np.argsort(d[i])[:10]]) > 0.95
+    # Vectors that single precision would change stay as they are.
+    fine = descent._narrow(frame(spark, [[0.1], [1.0]]))
+    assert fine.schema["e"].dataType.simpleString() == "array<double>"
