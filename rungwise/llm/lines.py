@@ -13,7 +13,7 @@ line that stays equals it or is near it; so every line that goes has one that st
    equals another's variant lacks that word.
 3. Bounds over one, for longer lines: all variants within the bound are too many to write.  The words
    are dealt to 2k + 1 parts by a hash; k edits touch 2k parts at most, so a near pair agrees in one
-   part: the variant without all other words.  Unlike a passage, such a part spans the whole line, so
+   part: the variant without all other words, known by the sum of its words' hashes.  Unlike a passage, such a part spans the whole line, so
    that lines which only share a passage share no key.
 4. Each round compares a line with the earliest holder of each of its keys that has not gone; lines that
    find no near one there go on to all earlier holders, behind 128 parity bits of the words, which lose
@@ -31,15 +31,16 @@ all other columns are kept but for ``n_lines`` and ``n_dropped``, which are repl
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rungwise.llm.common import count_of, materialise, scratch, small_batches, table, words_of
+from rungwise.llm.common import count_of, materialise, scratch, small_batches, table
 from rungwise.llm.components import components
 
 #: Words from which lines are compared for nearness; lines with a word are compared for equality.
@@ -73,28 +74,13 @@ def _line_keys() -> tuple[Column, Column]:
     return F.xxhash64("line").alias("h0"), F.xxhash64(F.lit(1), "line").alias("h1")
 
 
-def _half_keys(near: Column) -> list[Column]:
-    """Hashes of the first and last half of a line's words, and of halves one shorter if n is even.
-
-    A line of n words and one of n + 1 agree on n // 2 words at one end, so both emit that length.
-    """
-    words, n, h = F.col("words"), F.col("n"), F.shiftright("n", 1)
-
-    def key(side: int, length: Column, when: Column) -> Column:
-        part = F.slice(words, F.lit(1), length) if side == 0 else F.slice(words, n - length + 1, length)
-        return F.when(when, F.xxhash64(F.lit(side), length, part))
-
-    even = near & (n % 2 == 0)
-    return [key(0, h, near).alias("k0"), key(1, h, near).alias("k1"), key(0, h - 1, even).alias("k2"), key(1, h - 1, even).alias("k3")]
-
-
 def bound_of(n: int, most: int = MOST_EDITS) -> int:
     """Words of edit between lines of which the shorter has n words."""
     return max(1, min(most, n // WORDS_PER_EDIT))
 
 
 def _part_keys(most: int) -> Column:
-    """The keys of a line's parts, from its words' hashes in ``hs``; null for short lines."""
+    """Part keys as a column, from the words' hashes in ``hs``; null for short lines. The query takes :func:`line_keys`."""
 
     def keys(k: int) -> Column:
         parts = 2 * k + 1
@@ -116,19 +102,104 @@ def _parity(high: bool) -> Column:
     return F.aggregate("hs", F.lit(0).cast("long"), lambda s, h: s.bitwiseXOR(F.when(side(h), bit(h)).otherwise(F.lit(0).cast("long"))))
 
 
+_U = np.uint64
+_BYTES = np.random.default_rng(4).integers(0, 1 << 64, 256, np.uint64)
+_BLANK = np.isin(np.arange(256), [32, *range(9, 14)])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for shift, by in ((32, 0xD6E8FEB86659FD93), (29, 0xBF58476D1CE4E5B9)):
+        x = (x ^ (x >> _U(shift))) * _U(by)
+    return x ^ (x >> _U(32))
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the values times powers, and inverse powers: what two sums differ by, times the inverse at the first place, is a run's hash."""
+    powers, inverse = (np.multiply.accumulate(np.r_[_U(1), np.full(len(values), p)]) for p in (_P, _P_INVERSE))
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.add.accumulate(values * powers[:-1], out=sums[1:])
+    return sums, inverse
+
+
+def line_keys(data: np.ndarray, ends: np.ndarray, near_words: int, most: int) -> tuple[np.ndarray, dict[str, tuple], tuple]:
+    """(words of each line, column: (values, which lines have one), (part keys, their number by line)).
+
+    ``data`` are the lines' UTF-8 bytes, each up to its end. k0 to k3: hashes of the first and last half of a
+    line's words, and of halves one shorter if n is even, as a line of n words and one of n + 1 agree on n // 2
+    words at one end. Parts: sums of the hashes of a part's words, so that equal parts have equal keys. b0, b1:
+    128 parity bits of the words; an edit turns two at most.
+    """
+    begins = np.r_[0, ends[:-1]]
+    blank, some = _BLANK[data], begins < ends
+    after, before = np.ones(len(data), bool), np.ones(len(data), bool)
+    after[1:], before[:-1] = blank[:-1], blank[1:]
+    after[begins[some]] = before[ends[some] - 1] = True
+    start, end = np.flatnonzero(~blank & after), np.flatnonzero(~blank & before) + 1
+    sums, inverse = _runs(_BYTES[data])
+    h = _mixed((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+    low, high = np.searchsorted(start, begins), np.searchsorted(start, ends)
+    n = high - low
+    near = (n >= max(near_words, 1)) & ((n <= 2 * WORDS_PER_EDIT) | (most == 1))
+    columns = {}
+    sums, inverse = _runs(h)
+    for c in range(4):
+        has = near & (n % 2 == 0) if c > 1 else near
+        size = n[has] // 2 - c // 2
+        first = high[has] - size if c % 2 else low[has]
+        values = np.zeros(len(n), np.uint64)
+        values[has] = _mixed((sums[first + size] - sums[first]) * inverse[first] + _U(c % 2 + 1) * _places(size))
+        columns[f"k{c}"] = values, has
+    long = (n >= 2 * WORDS_PER_EDIT) & (most > 1)
+    keys, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+
+    def summed(op: np.ufunc, value: Callable[[np.ndarray], np.ndarray], lines: np.ndarray) -> np.ndarray:
+        firsts = np.cumsum(n[lines]) - n[lines]
+        return op.reduceat(value(h[np.repeat(lines, n)]), firsts) if len(firsts) else np.zeros(0, np.uint64)
+
+    for b in (0, 1):
+        values = np.zeros(len(n), np.uint64)
+        values[long] = summed(np.bitwise_xor, lambda x: np.where((x >> _U(6)) & _U(1) == _U(b), _U(1) << (x & _U(63)), _U(0)), long)
+        columns[f"b{b}"] = values, long
+    for k in range(2, most + 1):
+        lines = long & (n >= k * WORDS_PER_EDIT) & ((n < (k + 1) * WORDS_PER_EDIT + k) | (k == most))
+        part = (h >> _U(7)) % _U(2 * k + 1)
+        again = h * _U(0x94D049BB133111EB)
+        words, firsts = np.repeat(lines, n), np.cumsum(n[lines]) - n[lines]
+        part, again = part[words], again[words]
+        for c in range(2 * k + 1 if len(firsts) else 0):
+            keys.append(_mixed(np.add.reduceat(np.where(part == _U(c), again, _U(0)), firsts) + _places(np.array([64 * k + c]))))
+            of.append(np.flatnonzero(lines))
+    every, of = np.concatenate(keys), np.concatenate(of)
+    return n, columns, (every[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(n)), long)
+
+
+def _places(x: np.ndarray) -> np.ndarray:
+    return _mixed(x.astype(np.uint64) + _U(1))
+
+
 def classes_of(lines: DataFrame, near_words: int = NEAR_WORDS, most: int = MOST_EDITS) -> DataFrame:
     """One row for each distinct line with a word: cid, keys, first place, copies, half keys; parts and bits of long lines."""
-    # A generator of one row keeps the filter above it, so that lines are split once and not twice.
-    worded = lines.select("*", F.explode(F.array(words_of(F.col("line")))).alias("words")).withColumn("n", F.size("words")).filter("n > 0")
-    near = F.col("n") >= near_words
-    extra: list[Column] = []
-    if most > 1:
-        near = near & (F.col("n") <= 2 * WORDS_PER_EDIT)
-        worded = worded.withColumn("hs", F.when(F.col("n") >= 2 * WORDS_PER_EDIT, F.transform("words", lambda w: F.xxhash64(w))))
-        extra = ["n", _part_keys(most).alias("parts"), _parity(False).alias("b0"), _parity(True).alias("b1")]
-    keyed = worded.select(*_line_keys(), _place().alias("place"), *_half_keys(near), *extra)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            line = batch["line"].cast(pa.large_string())
+            _, offsets, data = line.buffers()
+            ends = np.frombuffer(offsets, np.int64, len(line) + 1, 8 * line.offset)
+            data = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
+            n, columns, (parts, many, long) = line_keys(data, ends[1:] - ends[0], near_words, most)
+            out = {c: batch[c] for c in ("h0", "h1", "place")} | {"n": pa.array(n.astype(np.int32))}
+            out |= {c: pa.array(values.view(np.int64), mask=~has) for c, (values, has) in columns.items()}
+            if most > 1:
+                out["parts"] = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)].astype(np.int32)), pa.array(parts.view(np.int64)), mask=pa.array(~long))
+            yield pa.RecordBatch.from_pydict({c: out[c] for c in names}).filter(pa.array(n > 0))
+
+    rows = lines.filter("line <> ''").select(*_line_keys(), _place().alias("place"), "line")
+    halves = ["k0", "k1", "k2", "k3"]
+    names = ["h0", "h1", "place", *halves, *(["n", "parts", "b0", "b1"] if most > 1 else [])]
+    kinds = {"place": rows.schema["place"].dataType.simpleString(), "n": "int", "parts": "array<bigint>"}
+    keys = small_batches(rows).mapInArrow(keyed, ", ".join(f"{c} {kinds.get(c, 'bigint')}" for c in names))
     more = [F.max("n").alias("n"), F.first("parts").alias("parts"), F.max("b0").alias("b0"), F.max("b1").alias("b1")] if most > 1 else []
-    grouped = keyed.groupBy("h0", "h1").agg(F.min("place").alias("first"), F.count("*").alias("copies"), *[F.max(f"k{i}").alias(f"k{i}") for i in range(4)], *more)
+    grouped = keys.groupBy("h0", "h1").agg(F.min("place").alias("first"), F.count("*").alias("copies"), *[F.max(c).alias(c) for c in halves], *more)
     return materialise(grouped.withColumn("cid", F.monotonically_increasing_id()), "line-classes")
 
 
