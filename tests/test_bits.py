@@ -55,3 +55,28 @@ def test_queries_meet_buckets_by_half(spark, monkeypatch):
     assert found.count() == 15
     assert max(r["radius"] for r in went.collect()) + 2 == len(sent)
     assert [len(m) for p, m in sent if p == "q_"][:4] == [1, 9, 37, 93]
+
+
+@pytest.mark.parametrize("many", [1, 1 << 20])
+def test_all_codes_ask_in_blocks_or_one_by_one(spark, monkeypatch, many):
+    monkeypatch.setattr(bits, "MANY", many)
+    monkeypatch.setattr(bits, "WIDTH", 8)
+    rng = np.random.default_rng(3)
+    signs = rng.random((60, 72)) < 0.5
+    codes = bits.codes_of(frame(spark, signs))
+    found, went = bits.search_codes(codes, codes, 3, reads=many > 1)
+    far = (signs[:, None, :] != signs[None, :, :]).sum(axis=2)
+    want = {(q, i, b, float(d)) for q in range(60) for i, (d, b) in enumerate(sorted((far[q, b], b) for b in range(60) if b != q)[:3], 1)}
+    assert {tuple(r) for r in found.select("query_id", "rank", "base_id", "score").collect()} == want
+    parts = np.add.reduceat((signs[:, None, :] != signs[None, :, :]).astype(int), range(0, 72, 8), axis=2)
+    for r in went.collect():
+        assert r["read"] == (sum(int((parts[r["query_id"], b] <= r["radius"]).sum()) for b in range(60) if b != r["query_id"]) if many > 1 else 0)
+
+
+def test_multi_index_hashing_answers_every_vector(spark, duck, same):
+    from rungwise.plans import catalogue, hashing
+
+    folder = "/root/testdata/sf0.001"
+    got = hashing.multi_index_hashing(spark, folder).toPandas()
+    assert got["query_id"].nunique() == spark.read.parquet(f"{folder}/embeddings.parquet").count()
+    same(got, duck(catalogue.ORACLE_SQL["multi_index_hashing"], folder))
