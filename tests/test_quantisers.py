@@ -199,3 +199,18 @@ def test_index_strings_take_exact_neighbours_once(spark, monkeypatch):
     monkeypatch.setattr(plans, "SPECS", ("SQ8", "SQ4"))
     assert catalogue.QUERIES["index_strings"](spark, "/root/testdata/sf0.001").count() == 2
     assert [key[2] for key in registry._stored] == ["knn"]
+
+
+def test_index_strings_train_and_search_shared_forms_once(spark, monkeypatch):
+    from rungwise.operators import indexes
+    from rungwise.plans import catalogue
+    from rungwise.plans import indexes as plans
+
+    trained, built = [], []
+    kmeans, build = indexes.kmeans, indexes.build
+    monkeypatch.setattr(indexes, "kmeans", lambda *a, **k: trained.append(1) or kmeans(*a, **k))
+    monkeypatch.setattr(indexes, "build", lambda spec, *a: built.append(spec) or build(spec, *a))
+    monkeypatch.setattr(plans, "SPECS", ("Flat", "IDMap,Flat", "PQ8x4", "PQ8x4,RFlat", "IVF4,Flat", "IVF4,PQ8x4"))
+    got = {r["index"]: r["recall"] for r in catalogue.QUERIES["index_strings"](spark, "/root/testdata/sf0.001").collect()}
+    assert built == ["Flat", "PQ8x4", "IVF4,Flat", "IVF4,PQ8x4"] and len(trained) == 3
+    assert got["Flat"] == got["IDMap,Flat"] == 1 and got["PQ8x4,RFlat"] >= got["PQ8x4"] and len(got) == 6
